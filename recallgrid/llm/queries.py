@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup_exact, sharding
+from . import bpe, dedup_exact, dedup_lines, packing, sharding, toxicity, video
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +34,53 @@ def op5_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a video without loss and read again."""
+    rows = video.read(video.store(_documents(spark, sf_dir).select("doc_id", "text")))
+    return rows.select(
+        "doc_id",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.array_join(F.transform("clips", lambda x: F.concat_ws(":", x["first_frame"], x["last_frame"], x["start_us"], x["end_us"], F.round(x["brightness"], 3))), " ").alias("feature"),
+    )
+
+
+def op4_class_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity; learned from the labelled rows that aren't held out."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(~held)
+    rows = toxicity.score(_documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return rows.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op6_monotone_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    rows = packing.pack(_documents(spark, sf_dir).select("doc_id", "text"), *PACKING)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+#: The byte-level vocabulary as ranks, its pattern and its special token.
+PACKING = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),), 1)
+
+
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of lines that stand elsewhere before."""
+    rows = dedup_lines.line_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_minimax_shards": op1_minimax_shards,
+    "op2_avi_motion_jpeg": op2_avi_motion_jpeg,
     "op3_chunk_recipes": op3_chunk_recipes,
+    "op4_class_kneser_ney": op4_class_kneser_ney,
     "op5_word_bpe": op5_word_bpe,
+    "op6_monotone_packing": op6_monotone_packing,
+    "op9_line_chunks": op9_line_chunks,
 }
 
 ORACLE_SQL = {
@@ -46,4 +89,17 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op9_line_chunks": """
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        l AS (SELECT doc_id, len(lines) AS n_lines, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+        h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
+        e AS (SELECT *, CASE WHEN i = n_lines - 1 OR (h + 3 * coalesce(lag(h) OVER w, 0) + 7 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0
+                             THEN 1 ELSE 0 END AS last FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        k AS (SELECT *, sum(last) OVER (PARTITION BY doc_id ORDER BY i) - last AS no FROM e),
+        c AS (SELECT doc_id, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, no),
+        f AS (SELECT *, n >= 2 AND trim(replace(body, chr(10), ' ')) <> ''
+                        AND row_number() OVER (PARTITION BY n >= 2, body ORDER BY doc_id, no) > 1 AS gone FROM c)
+        SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed,
+               sha256(coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM f GROUP BY doc_id""",
 }
