@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup_exact, dedup_lines, packing, sharding, toxicity, video
+from . import bpe, dedup_exact, dedup_lines, ngram_lm, packing, sharding, toxicity, video
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,15 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability; learned from the documents that aren't held out."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = ngram_lm.train(docs.where(~held))
+    rows = ngram_lm.score(docs, model)
+    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
     "op1_minimax_shards": op1_minimax_shards,
     "op2_avi_motion_jpeg": op2_avi_motion_jpeg,
@@ -81,6 +90,7 @@ QUERIES = {
     "op5_word_bpe": op5_word_bpe,
     "op6_monotone_packing": op6_monotone_packing,
     "op9_line_chunks": op9_line_chunks,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 ORACLE_SQL = {
