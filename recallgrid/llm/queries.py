@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup_exact, dedup_lines, dedup_near, ngram_lm, packing, sharding, toxicity, video
+from . import bpe, dedup_exact, dedup_lines, dedup_near, dedup_substrings, ngram_lm, packing, sharding, toxicity, video
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,12 @@ def op6_monotone_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 PACKING = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),), 1)
 
 
+def op7_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 400-byte strings that stand elsewhere."""
+    rows = dedup_substrings.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates at a similarity of 0.85."""
     rows = dedup_near.near_classes(_documents(spark, sf_dir).select("doc_id", "text"), 85)
@@ -95,6 +101,7 @@ QUERIES = {
     "op4_class_kneser_ney": op4_class_kneser_ney,
     "op5_word_bpe": op5_word_bpe,
     "op6_monotone_packing": op6_monotone_packing,
+    "op7_suffix_sort": op7_suffix_sort,
     "op8_bbit_minhash": op8_bbit_minhash,
     "op9_line_chunks": op9_line_chunks,
     "op10_kneser_ney": op10_kneser_ney,
