@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import binary_array, flat, slices, written
+from ._common import binary_array, flat, keep_rows, row_keys, slices, written
 from ._text import BYTE, LOWER
 
 #: Least, usual and greatest bytes of a chunk.
@@ -168,6 +168,12 @@ def identified(docs: DataFrame, text: str = "text", hash_bytes: int = 16) -> Dat
     return made.join(numbers, "text_sha", "left").withColumn("recipe", F.concat("recipe", F.coalesce(F.col("_numbers").cast("binary"), F.lit(b"")))).drop("_numbers")
 
 
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that ``exact_dedup`` keeps, one of each group; columns as they are."""
+    keyed = docs.select(doc_id, text).withColumns(row_keys(doc_id, text))
+    return keep_rows(docs, exact_dedup(keyed, text, doc_id).where("kept"), text)
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hash_bytes: int = 16) -> DataFrame:
     """One row for each of ``docs``: its columns but the text, ``text_sha`` (binary), ``keep_id``, ``group_size`` and ``kept``.
 
@@ -181,7 +187,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", has
     docs = docs.drop("text_sha", "recipe", "keep_id", "group_size", "kept", "_row")
     made = identified(docs, text, hash_bytes)
     best = F.max(F.struct(F.col(doc_id).alias("id"), F.col("_row").alias("row"))).alias("_best")
-    groups = made.groupBy("recipe").agg(best, F.count("*").alias("group_size"))
+    groups = written(made.groupBy("recipe").agg(best, F.count("*").alias("group_size")), "groups")
     joined = made.join(groups, "recipe", "left")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     return joined.select(*rest, "text_sha", F.col("_best.id").alias("keep_id"), "group_size", (F.col("_best.row") == F.col("_row")).alias("kept"))

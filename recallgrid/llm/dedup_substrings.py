@@ -22,9 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -493,6 +494,16 @@ def _lookup(shelf: Shelf, key: np.ndarray, check: np.ndarray, start: np.ndarray,
             i, at = i[more], at[more]
 
 
+def whole_characters(kept: Column) -> Column:
+    """Bytes as text, without those that are no whole UTF-8 character (cuts can fall inside one)."""
+
+    @F.pandas_udf("string")
+    def read(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return read(kept)
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_bytes`` (binary).
 
