@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at a time.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _own_dir: str | None = None
 
@@ -69,6 +70,19 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         at = to
 
 
+def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``kernel``, after whose last batch the worker gives memory back, as it stays for tasks of other operators."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all values one after another, nulls as empty, and where each value starts and the last ends."""
     column = pc.fill_null(column, "" if pa.types.is_string(column.type) else b"")
@@ -85,7 +99,7 @@ def binary_array(parts: list[bytes]) -> pa.Array:
 
 def row_keys(doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
     """Columns that identify a row among its copies: its id (null as the least long) and a hash of its text."""
-    return {"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("\0null")))}
+    return {"_rg_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_rg_th": F.xxhash64(F.coalesce(F.col(text), F.lit("\0null")))}
 
 
 def keep_rows(docs: DataFrame, chosen: DataFrame, text: str = "text") -> DataFrame:
@@ -93,6 +107,6 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, text: str = "text") -> DataFra
     from pyspark.sql import Window
 
     columns = docs.columns
-    w = Window.partitionBy("_id", "_th").orderBy("_id")
-    keyed = docs.withColumns(row_keys(text=text)).join(chosen.select("_id", "_th").distinct(), ["_id", "_th"], "left_semi")
-    return keyed.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*[F.col(f"`{c}`") for c in columns])
+    w = Window.partitionBy("_rg_id", "_rg_th").orderBy("_rg_id")
+    keyed = docs.withColumns(row_keys(text=text)).join(chosen.select("_rg_id", "_rg_th").distinct(), ["_rg_id", "_rg_th"], "left_semi")
+    return keyed.withColumn("_rg_n", F.row_number().over(w)).where("_rg_n = 1").select(*[F.col(f"`{c}`") for c in columns])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import binary_array, flat, keep_rows, row_keys, slices, written
+from ._common import binary_array, flat, keep_rows, released, row_keys, slices, written
 from ._text import BYTE, LOWER
 
 #: Least, usual and greatest bytes of a chunk.
@@ -81,7 +81,7 @@ def recipes(docs: DataFrame, text: str = "text", hash_bytes: int = 16) -> DataFr
                 yield pa.RecordBatch.from_arrays([*batch.columns, binary_array(shas), binary_array(lists)], [*names, "text_sha", "recipe"])
 
     extra = [T.StructField("text_sha", T.BinaryType()), T.StructField("recipe", T.BinaryType())]
-    return docs.mapInArrow(kernel, T.StructType([*docs.schema.fields, *extra]))
+    return docs.mapInArrow(released(kernel), T.StructType([*docs.schema.fields, *extra]))
 
 
 def chunks(docs: DataFrame, text: str = "text", hash_bytes: int = 16) -> DataFrame:
@@ -112,7 +112,7 @@ def chunks(docs: DataFrame, text: str = "text", hash_bytes: int = 16) -> DataFra
                         values.append(chunk)
                 yield pa.RecordBatch.from_arrays([binary_array(keys), binary_array(values)], ["name", "data"])
 
-    return docs.select(text).mapInArrow(kernel, "name binary, data binary")
+    return docs.select(text).mapInArrow(released(kernel), "name binary, data binary")
 
 
 def _ambiguous(docs: DataFrame, text: str, hash_bytes: int) -> DataFrame:
@@ -136,7 +136,7 @@ def identified(docs: DataFrame, text: str = "text", hash_bytes: int = 16) -> Dat
     mean equal bytes.
     """
     made = recipes(docs, text, hash_bytes).drop(text)
-    made = written(made.withColumn("_row", F.monotonically_increasing_id()), "recipes")
+    made = written(made.withColumn("_rg_row", F.monotonically_increasing_id()), "recipes")
     ambiguous = _ambiguous(docs, text, hash_bytes)
     if ambiguous.isEmpty():
         return made
@@ -157,15 +157,15 @@ def identified(docs: DataFrame, text: str = "text", hash_bytes: int = 16) -> Dat
                 types = [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["text_sha", "place", "name", "data"])
 
-    placed = docs.select(text).mapInArrow(kernel, "text_sha binary, place int, name binary, data binary")
+    placed = docs.select(text).mapInArrow(released(kernel), "text_sha binary, place int, name binary, data binary")
     numbers = (
         placed.join(ambiguous, ["name", "data"])
         .select("text_sha", "place", "number")
         .distinct()
         .groupBy("text_sha")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "number"))), lambda x: F.concat_ws(":", x["place"], x["number"])), ",").alias("_numbers"))
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "number"))), lambda x: F.concat_ws(":", x["place"], x["number"])), ",").alias("_rg_numbers"))
     )
-    return made.join(numbers, "text_sha", "left").withColumn("recipe", F.concat("recipe", F.coalesce(F.col("_numbers").cast("binary"), F.lit(b"")))).drop("_numbers")
+    return made.join(numbers, "text_sha", "left").withColumn("recipe", F.concat("recipe", F.coalesce(F.col("_rg_numbers").cast("binary"), F.lit(b"")))).drop("_rg_numbers")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -184,10 +184,10 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", has
     A group that holds much of the corpus is summed before the shuffle, and the join back to its rows is one that
     adaptive execution can split.
     """
-    docs = docs.drop("text_sha", "recipe", "keep_id", "group_size", "kept", "_row")
+    docs = docs.drop("text_sha", "recipe", "keep_id", "group_size", "kept", "_rg_row")
     made = identified(docs, text, hash_bytes)
-    best = F.max(F.struct(F.col(doc_id).alias("id"), F.col("_row").alias("row"))).alias("_best")
+    best = F.max(F.struct(F.col(doc_id).alias("id"), F.col("_rg_row").alias("row"))).alias("_rg_best")
     groups = written(made.groupBy("recipe").agg(best, F.count("*").alias("group_size")), "groups")
     joined = made.join(groups, "recipe", "left")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    return joined.select(*rest, "text_sha", F.col("_best.id").alias("keep_id"), "group_size", (F.col("_best.row") == F.col("_row")).alias("kept"))
+    return joined.select(*rest, "text_sha", F.col("_rg_best.id").alias("keep_id"), "group_size", (F.col("_rg_best.row") == F.col("_rg_row")).alias("kept"))

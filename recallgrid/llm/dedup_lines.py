@@ -54,24 +54,26 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     break each; one that loses all is empty. Columns of these names that ``docs`` brings along are replaced.
     """
     docs = docs.drop("n_lines", "n_chunks", "n_removed", "kept_text")
-    cut = docs.withColumns(row_keys(doc_id, text)).withColumn("_chunks", line_chunks(F.col(text)))
-    rows = cut.select("_id", "_th", F.inline("_chunks")).where("n_lines >= 2 AND trim(replace(body, '\\n', ' ')) <> ''")
-    rows = rows.select("_id", "_th", "no", "body", F.xxhash64("body").alias("ch"))
-    groups = rows.groupBy("ch", "body").agg(F.min(F.struct("_id", "no")).alias("first"), F.count("*").alias("n"))
+    keyed = docs.withColumns(row_keys(doc_id, text))
+    rows = keyed.select("_rg_id", "_rg_th", F.inline(line_chunks(F.col(text)))).where("n_lines >= 2 AND trim(replace(body, '\\n', ' ')) <> ''")
+    rows = rows.select("_rg_id", "_rg_th", "no", "body", F.xxhash64("body").alias("ch"))
+    groups = rows.groupBy("ch", "body").agg(F.min(F.struct("_rg_id", "no")).alias("first"), F.count("*").alias("n"))
     # For most hashes there is one text, which the hash then names; those that stand for several are taken apart.
     named = groups.groupBy("ch").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n"))
     named = written(named.where("n > 1"), "chunks")
-    several = groups.join(named.where("texts > 1").select("ch"), "ch", "left_semi").where("n > 1")
-    single = rows.drop("body").join(named.where("texts = 1").select("ch", "first"), "ch")
-    apart = rows.join(several.select("ch", "body", "first"), ["ch", "body"]).drop("body")
-    again = single.unionByName(apart).where("_id > first._id OR no > first.no AND _id = first._id")
-    lost = again.groupBy("_id", "_th").agg(F.collect_set("no").alias("_lost"))
-    joined = cut.join(lost, ["_id", "_th"], "left")
-    kept = F.filter("_chunks", lambda c: F.col("_lost").isNull() | ~F.array_contains("_lost", c["no"]))
-    return joined.select(
+    again = rows.drop("body").join(named.where("texts = 1").select("ch", "first"), "ch")
+    if not named.where("texts > 1").isEmpty():
+        several = groups.join(named.where("texts > 1").select("ch"), "ch", "left_semi").where("n > 1")
+        again = again.unionByName(rows.join(several.select("ch", "body", "first"), ["ch", "body"]).drop("body"))
+    again = again.where("_rg_id > first._rg_id OR no > first.no AND _rg_id = first._rg_id")
+    lost = again.groupBy("_rg_id", "_rg_th").agg(F.collect_set("no").alias("_rg_lost"))
+    # The chunks are made again after the join, so that only the text moves.
+    cut = keyed.join(lost, ["_rg_id", "_rg_th"], "left").withColumn("_rg_chunks", line_chunks(F.col(text)))
+    kept = F.filter("_rg_chunks", lambda c: F.col("_rg_lost").isNull() | ~F.array_contains("_rg_lost", c["no"]))
+    return cut.select(
         *[F.col(f"`{c}`") for c in docs.columns],
-        F.aggregate("_chunks", F.lit(0).cast("long"), lambda a, c: a + c["n_lines"]).alias("n_lines"),
-        F.size("_chunks").cast("long").alias("n_chunks"),
-        F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_removed"),
+        F.aggregate("_rg_chunks", F.lit(0).cast("long"), lambda a, c: a + c["n_lines"]).alias("n_lines"),
+        F.size("_rg_chunks").cast("long").alias("n_chunks"),
+        F.coalesce(F.size("_rg_lost"), F.lit(0)).cast("long").alias("n_removed"),
         F.array_join(F.transform(kept, lambda c: c["body"]), "\n").alias("kept_text"),
     )

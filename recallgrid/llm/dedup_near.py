@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import binary_array, flat, keep_rows, row_keys, slices, written
+from ._common import binary_array, flat, keep_rows, released, row_keys, slices, written
 from ._graph import components
 from ._text import mix, shingles, word_hashes
 
@@ -154,7 +154,7 @@ def shingle_sets(docs: DataFrame, text: str = "text", with_sets: bool = False) -
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(size), key, last], [*kept, *(f.name for f in added)])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), *added])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(kernel, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(released(kernel), schema)
 
 
 def _links(members: DataFrame, percent: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
             yield of(rows)
 
     ordered = members.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right", "node")
-    return ordered.select("root", "left", "right", "block", "node", "shingles").mapInArrow(kernel, "a long, b long")
+    return ordered.select("root", "left", "right", "block", "node", "shingles").mapInArrow(released(kernel), "a long, b long")
 
 
 def near_classes(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -193,8 +193,8 @@ def near_classes(docs: DataFrame, percent: int = 80, text: str = "text", doc_id:
     An empty table gives no rows; other columns of ``docs`` are left out.
     """
     keyed = docs.withColumns(row_keys(doc_id, text))
-    rows = written(shingle_sets(keyed.select(F.col(doc_id).alias("doc_id"), "_id", "_th", F.col(text).alias("text"))), "rows")
-    sets = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("_id", "_th")).alias("rep"), F.first("bands").alias("bands"))
+    rows = written(shingle_sets(keyed.select(F.col(doc_id).alias("doc_id"), "_rg_id", "_rg_th", F.col(text).alias("text"))), "rows")
+    sets = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("_rg_id", "_rg_th")).alias("rep"), F.first("bands").alias("bands"))
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
     buckets = sets.select("node", F.explode("bands").alias("key"))
@@ -202,20 +202,20 @@ def near_classes(docs: DataFrame, percent: int = 80, text: str = "text", doc_id:
     near = components(buckets.join(leaders, "key").where("node <> a").select("a", F.col("node").alias("b")))
     near = written(near, "near")
     sized = near.join(near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "root")
-    placed = sized.join(sets.select("node", "rep._id", "rep._th"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    texts = keyed.select("_id", "_th", F.col(text).alias("text")).join(placed, ["_id", "_th"])
+    placed = sized.join(sets.select("node", "rep._rg_id", "rep._rg_th"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    texts = keyed.select("_rg_id", "_rg_th", F.col(text).alias("text")).join(placed, ["_rg_id", "_rg_th"])
     made = shingle_sets(texts.select("root", "node", "block", "blocks", "text"), with_sets=True)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = made.select("root", "node", "block", "shingles", other).select("root", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "shingles")
     classes = components(_links(tasks, percent))
 
-    ids = sets.select("set_key", "node", "rep._id").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ids = sets.select("set_key", "node", "rep._rg_id").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = written(ids, "classes")
-    least = ids.groupBy("root").agg(F.min("_id").alias("component_id"))
+    least = ids.groupBy("root").agg(F.min("_rg_id").alias("component_id"))
     ids = written(ids.join(least, "root").select("set_key", "component_id"), "classes")
     out = rows.drop("bands").join(ids, "set_key", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id", "_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("_id") == F.col("component_id")).alias("kept"), "_id", "_th")
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id", "_rg_id"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("_rg_id") == F.col("component_id")).alias("kept"), "_rg_id", "_rg_th")
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrays import BLOCK, blocks, mapped, merged, save, summed
-from ._common import binary_array, flat, new_path, slices
+from ._common import binary_array, flat, new_path, released, slices
 from ._text import mix, powers, prefix_hash, span_hash
 
 LENGTH, GRAM = 400, 64
@@ -146,7 +146,7 @@ def _repeated_anchors(docs: DataFrame, text: str, folder: str, n_parts: int, len
         save(shelf.path(p, "count"), np.minimum(c, 2**32 - 1).astype("<u4"))
         return pa.table({"part": pa.array([p], pa.int32()), "n": [len(k)]})
 
-    for p, n in docs.select(text).mapInArrow(count, BLOCK).groupBy("part").applyInArrow(write, "part int, n long").collect():
+    for p, n in docs.select(text).mapInArrow(released(count), BLOCK).groupBy("part").applyInArrow(write, "part int, n long").collect():
         shelf.sizes[p] = (n,)
     return shelf
 
@@ -350,7 +350,7 @@ def _contexts(docs: DataFrame, text: str, anchors: Shelf, length: int, gram: int
                     held = 0
         yield out()
 
-    return docs.select(text).mapInArrow(kernel, _CONTEXT)
+    return docs.select(text).mapInArrow(released(kernel), _CONTEXT)
 
 
 _RANGES = "part int, key binary, check binary, n binary, ranges binary"
@@ -400,7 +400,7 @@ def _repeated_windows(contexts: DataFrame, shelf: Shelf, length: int) -> DataFra
             yield of(rows)
 
     ordered = contexts.repartition("anchor_hash").sortWithinPartitions("anchor_hash", "key", "check")
-    return ordered.mapInArrow(kernel, _RANGES)
+    return ordered.mapInArrow(released(kernel), _RANGES)
 
 
 def _range_blocks(shelf: Shelf, key: np.ndarray, check: np.ndarray, ranges: list[list[tuple[int, int]]]) -> pa.RecordBatch:
@@ -461,14 +461,14 @@ def _frequent_windows(docs: DataFrame, text: str, anchors: Shelf, shelf: Shelf,
             pairs, times = np.unique(both, axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64)), pa.array(times)], ["key", "check", "times"])
 
-    counted = docs.select(text).mapInArrow(kernel, "key long, check long, times long").groupBy("key", "check").agg(F.sum("times").alias("times")).where("times > 1")
+    counted = docs.select(text).mapInArrow(released(kernel), "key long, check long, times long").groupBy("key", "check").agg(F.sum("times").alias("times")).where("times > 1")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, check = (batch.column(c).to_numpy().astype(np.uint64) for c in ("key", "check"))
             yield _range_blocks(shelf, key, check, [[(0, 0)]] * len(key))
 
-    _write_ranges(counted.select("key", "check").mapInArrow(parts, _RANGES), shelf)
+    _write_ranges(counted.select("key", "check").mapInArrow(released(parts), _RANGES), shelf)
 
 
 # ---- pass 3 ----------------------------------------------------------------------------------------------------------------
@@ -550,4 +550,4 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "n_bytes", "n_removed", "n_spans", "kept_bytes"])
 
     added = [*(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_bytes", T.BinaryType())]
-    return docs.mapInArrow(kernel, T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(released(kernel), T.StructType([*docs.schema.fields, *added]))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import binary_array, slices
+from ._common import binary_array, released, slices
 
 #: Tokens that a cut at the end of a sentence, and one elsewhere, count like.
 SENTENCE_PENALTY, CUT_PENALTY = 4, 48
@@ -193,4 +193,4 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, special: tuple[tuple[st
         if (rest := emit(True)) is not None:
             yield rest
 
-    return docs.select(doc_id, text).mapInArrow(kernel, T.StructType(fields))
+    return docs.select(doc_id, text).mapInArrow(released(kernel), T.StructType(fields))

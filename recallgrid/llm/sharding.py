@@ -3,7 +3,8 @@
 Groups are equal texts and are never split. They stand in the order of a 64-bit hash of the text, so that a
 shard is a range of hashes and a row finds its shard from the cuts alone, without a join. The smallest
 capacity that lets ``n_shards`` consecutive runs hold all groups is found by binary search; a capacity is checked
-greedily, filling each shard as far as it goes.
+greedily, filling each shard as far as it goes. Under that capacity the cuts are then made as near to equal shares as it
+allows.
 
 The driver never holds all groups. It holds sizes of hash ranges, at most ``MAX_BLOCKS`` at a time, and looks
 closer only where that matters: first at ranges that are large, then at those in which a cut can fall.
@@ -66,6 +67,24 @@ def smallest_capacity(sizes: np.ndarray, n_shards: int) -> int:
     return low
 
 
+def near_equal(ends: np.ndarray, capacity: int, n_shards: int) -> list[int]:
+    """Cuts under ``capacity`` that lie as near to equal shares as it allows, so that no shard is left small at the end."""
+    before = np.concatenate([[0], ends])
+    least = [len(ends)] * (n_shards + 1)  # the i-th cut can't come earlier, or the rest wouldn't fit
+    for i in range(n_shards - 1, 0, -1):
+        least[i] = int(np.searchsorted(before, before[least[i + 1]] - capacity, side="left"))
+    cuts, at = [], 0
+    for i in range(1, n_shards):
+        most = int(np.searchsorted(before, before[at] + capacity, side="right")) - 1
+        ideal = before[-1] * i / n_shards
+        c = int(np.searchsorted(before, ideal))
+        if c and ideal - before[c - 1] < before[min(c, len(ends))] - ideal:
+            c -= 1
+        at = min(max(c, least[i], at), most)
+        cuts.append(at)
+    return [*cuts, len(ends)]
+
+
 def _suspects(b: _Blocks, n_shards: int) -> np.ndarray:
     """Ranges that must be looked at closer before the cuts are known."""
     wide = ~b.atomic & (b.rows > 1)
@@ -116,7 +135,7 @@ def cut_hashes(sized: DataFrame, n_shards: int) -> tuple[list[int], int]:
         new = table(blocks(part, to), to)
         b = _Blocks(*(np.concatenate([x[~chosen], y]) for x, y in zip((b.low, b.bits, b.size, b.rows), new, strict=True)))
     capacity = smallest_capacity(b.size, n_shards)
-    cuts = greedy(b.ends(), capacity, n_shards)
+    cuts = near_equal(b.ends(), capacity, n_shards)
     return [int(b.low[c]) if c < len(b.low) else 2**64 for c in cuts[:-1]], capacity
 
 
@@ -129,12 +148,12 @@ def shard(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_id: str =
     An empty table gives no rows. Columns of these names that ``docs`` brings along are replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("size", "shard", "slot", "_h", "_b")
+    docs = docs.drop("size", "shard", "slot", "_rg_h", "_rg_b")
     t = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumns({"size": F.octet_length(t).cast("long") + 1, "_h": F.xxhash64(t)})
+    keyed = docs.withColumns({"size": F.octet_length(t).cast("long") + 1, "_rg_h": F.xxhash64(t)})
     n_buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = keyed.withColumn("_b", F.pmod(F.xxhash64(F.lit(7), F.col(doc_id), "_h"), F.lit(n_buckets)).cast("int"))
-    sized = written(keyed.select(F.col("_h").alias("h"), "size", F.col("_b").alias("b")), "sizes")
+    keyed = keyed.withColumn("_rg_b", F.pmod(F.xxhash64(F.lit(7), F.col(doc_id), "_rg_h"), F.lit(n_buckets)).cast("int"))
+    sized = written(keyed.select(F.col("_rg_h").alias("h"), "size", F.col("_rg_b").alias("b")), "sizes")
     cuts, _ = cut_hashes(sized, n_shards)
     signed = [c - 2**63 for c in cuts]  # unsigned order is signed order after the top bit is flipped
 
@@ -147,8 +166,8 @@ def shard(docs: DataFrame, n_shards: int = 16, text: str = "text", doc_id: str =
     for s, b, n in sorted(tuple(r) for r in counts):
         base.append((s, b, seen[s]))
         seen[s] += n
-    offsets = spark.createDataFrame(base, "shard int, _b int, _base long")
-    w = Window.partitionBy("shard", "_b").orderBy(doc_id, "_h")
-    placed = keyed.withColumn("shard", shard_of(F.col("_h")).cast("int")).withColumn("_r", F.row_number().over(w))
-    placed = placed.join(F.broadcast(offsets), ["shard", "_b"], "left")
-    return placed.withColumn("slot", F.col("_base") + F.col("_r") - 1).select(*[F.col(f"`{c}`") for c in docs.columns], "size", "shard", "slot")
+    offsets = spark.createDataFrame(base, "shard int, _rg_b int, _rg_base long")
+    w = Window.partitionBy("shard", "_rg_b").orderBy(doc_id, "_rg_h")
+    placed = keyed.withColumn("shard", shard_of(F.col("_rg_h")).cast("int")).withColumn("_rg_r", F.row_number().over(w))
+    placed = placed.join(F.broadcast(offsets), ["shard", "_rg_b"], "left")
+    return placed.withColumn("slot", F.col("_rg_base") + F.col("_rg_r") - 1).select(*[F.col(f"`{c}`") for c in docs.columns], "size", "shard", "slot")

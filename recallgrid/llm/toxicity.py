@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import flat, slices
+from ._common import flat, released, slices
 from ._text import LOWER, SPACE, mix, prefix_hash, span_hash
 
-ORDER, SHARED = 6, 3
+ORDER, SHARED = 6, 1
 PASSAGE = 4
 #: Labelled texts that are learned from, at most (those whose id has the smallest hashes), and how much text in all.
 MAX_LABELLED, MAX_LABELLED_BYTES = 16_000, 64 << 20
@@ -87,7 +87,7 @@ def count_grams(rows: DataFrame, text: str = "text", toxic: str = "toxic") -> Da
                 totals = [np.bincount(back, b, len(key)).astype(np.int64) for b in by]
                 yield pa.RecordBatch.from_arrays([pa.array((key >> 48).astype(np.int32)), pa.array(key & ((1 << 48) - 1)), *map(pa.array, totals)], ["size", "gram", "ordinary", "toxic"])
 
-    made = rows.select(text, toxic).mapInArrow(kernel, "size int, gram long, ordinary long, toxic long")
+    made = rows.select(text, toxic).mapInArrow(released(kernel), "size int, gram long, ordinary long, toxic long")
     return made.groupBy("size", "gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
@@ -159,8 +159,10 @@ class Model:
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> np.ndarray:
-    """Weights and constant of a logistic scale by Newton's method."""
-    spread = np.maximum(x.std(0), 1e-9) if len(x) else np.ones(x.shape[1])
+    """Weights and constant of a logistic scale by Newton's method; without rows a constant that calls nothing toxic."""
+    if not len(x):
+        return np.append(np.zeros(x.shape[1]), -1.0)
+    spread = np.maximum(x.std(0), 1e-9)
     z = np.concatenate([x / spread, np.ones((len(x), 1))], 1)
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
@@ -176,13 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     Rows without an id or a label are left out. If there are more than ``max_labelled`` rows or ``max_bytes`` of text, those
     with the smallest hashes of their id are taken.
     """
-    ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
-    ids = ids.withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id", "toxic").limit(max_labelled)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "_id")
-    sizes = sorted((tuple(r) for r in rows.select("_h", F.octet_length("text")).collect()), key=lambda r: r[0])
+    ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("_rg_id"), F.col("toxic").cast("int").alias("toxic"))
+    ids = ids.withColumn("_rg_h", F.xxhash64("_rg_id")).orderBy("_rg_h", "_rg_id", "toxic").limit(max_labelled)
+    rows = docs.select(F.col(doc_id).alias("_rg_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "_rg_id")
+    sizes = sorted((tuple(r) for r in rows.select("_rg_h", F.octet_length("text")).collect()), key=lambda r: r[0])
     inside = np.searchsorted(np.cumsum([n for _, n in sizes]), max_bytes, side="right")
-    rows = rows.where(F.col("_h") <= (sizes[min(inside, len(sizes) - 1)][0] if sizes else 0))
-    fold = F.pmod(F.xxhash64(F.lit(3), "_h"), F.lit(FOLDS))
+    rows = rows.where(F.col("_rg_h") <= (sizes[min(inside, len(sizes) - 1)][0] if sizes else 0))
+    fold = F.pmod(F.xxhash64(F.lit(3), "_rg_h"), F.lit(FOLDS))
     counted = count_grams(rows.where(fold != 0)).toArrow()
     model = Model(counted["size"].to_numpy(), counted["gram"].to_numpy(), np.stack([counted["ordinary"].to_numpy(), counted["toxic"].to_numpy()], 1))
     shown = figures(rows.where(fold == 0).select("text", "toxic"), model).select("toxic", "figures").toArrow()
@@ -208,13 +210,13 @@ def _map(docs: DataFrame, kept: list[str], held, text: str) -> DataFrame:
             _loaded.clear()
             model = _loaded[key] = pickle.loads(held.value)
         for whole in batches:
-            for batch in slices(whole, text, 4 << 20):
+            for batch in slices(whole, text):
                 found = model.figures(*flat(batch.column(text)))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), 3).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "figures"])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("figures", T.ArrayType(T.DoubleType()))])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(kernel, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(released(kernel), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_text: bool = False) -> DataFrame:
@@ -226,8 +228,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     docs = docs.drop("score", "predicted", "figures")
     model, scale = train(docs, labels, text, doc_id)
     if keep_text:
-        docs = docs.withColumn("_text", F.col(text))
+        docs = docs.withColumn("_rg_text", F.col(text))
     rows = figures(docs, model, text)
     z = sum((F.col("figures")[k] * float(scale[k]) for k in range(3)), F.lit(float(scale[3])))
     out = rows.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("figures")
-    return out.withColumnRenamed("_text", text) if keep_text else out
+    return out.withColumnRenamed("_rg_text", text) if keep_text else out

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import binary_array, flat, slices
+from ._common import binary_array, flat, released, slices
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -214,7 +214,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
                 media = binary_array([write_avi(jpegs[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)])
                 yield pa.RecordBatch.from_arrays([*batch.columns, media], [*names, "media"])
 
-    return docs.mapInArrow(kernel, T.StructType([*docs.schema.fields, T.StructField("media", T.BinaryType())]))
+    return docs.mapInArrow(released(kernel), T.StructType([*docs.schema.fields, T.StructField("media", T.BinaryType())]))
 
 
 def read(rows: DataFrame, media: str = "media") -> DataFrame:
@@ -268,7 +268,7 @@ def read(rows: DataFrame, media: str = "media") -> DataFrame:
                 made = pa.array([c and [dict(zip(names_of, x, strict=True)) for x in c] for c in clips], clip_type)
                 yield pa.RecordBatch.from_arrays([*batch.columns, binary_array(payloads), made], [*names, "payload", "clips"])
 
-    return rows.mapInArrow(kernel, T.StructType([*rows.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("clips", _CLIPS)]))
+    return rows.mapInArrow(released(kernel), T.StructType([*rows.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("clips", _CLIPS)]))
 
 
 def clip_rows(rows: DataFrame, media: str = "media") -> DataFrame:
