@@ -39,8 +39,8 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts without the strings of 400 bytes that stand elsewhere; a character cut in two goes."""
     rows = dedup_substrings.remove_repeats(docs)
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(dedup_substrings.whole_characters(F.col("kept_bytes")))
-    changed = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("_text").cast("long"))
-    return rows.withColumn("_text", text).withColumn("n_chars", changed).withColumn("text", F.col("_text")).select(*docs.columns)
+    changed = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("_rg_text").cast("long"))
+    return rows.withColumn("_rg_text", text).withColumn("n_chars", changed).withColumn("text", F.col("_rg_text")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at a time.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 500
 
 _own_dir: str | None = None
 
@@ -71,7 +73,13 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
 
 
 def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``kernel``, after whose last batch the worker gives memory back, as it stays for tasks of other operators."""
+    """``kernel``, after whose last batch the worker gives memory back, as it stays for tasks of other operators.
+
+    Where the session has Spark's usual 10,000 rows to an Arrow batch, batches become ``BATCH_ROWS``: texts are long.
+    """
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -24,7 +24,7 @@ from ._text import BYTE, LOWER
 #: Least, usual and greatest bytes of a chunk.
 LEAST, USUAL, MOST = 512, 2048, 16384
 #: Bytes of chunks that a task remembers to send each once.
-REMEMBER_BYTES = 48 << 20
+REMEMBER_BYTES = 24 << 20
 
 _GEAR = (BYTE >> np.uint64(32)).astype(np.uint32)
 

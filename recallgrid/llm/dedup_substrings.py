@@ -36,7 +36,7 @@ from ._text import mix, powers, prefix_hash, span_hash
 LENGTH, GRAM = 400, 64
 MANY = 2000
 #: Bytes of contexts that are sorted together, hashes gathered before a block is made, bytes a task remembers to send once.
-SORT_BYTES, BLOCK_HASHES, REMEMBER_BYTES = 4 << 20, 4_000_000, 64 << 20
+SORT_BYTES, BLOCK_HASHES, REMEMBER_BYTES = 1 << 20, 2_000_000, 16 << 20
 
 
 class Anchors:

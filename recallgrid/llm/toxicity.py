@@ -192,9 +192,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     return model, fit_scale(x, shown["toxic"].to_numpy().astype(np.float64))
 
 
-def figures(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` without the text and with ``figures`` (three doubles)."""
-    kept = [c for c in docs.columns if c != text]
+def figures(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless ``keep_text``, with ``figures`` (three doubles)."""
+    kept = [c for c in docs.columns if keep_text or c != text]
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # its size follows from the bound on labelled text
     return _map(docs, kept, held, text)
 
@@ -216,7 +216,8 @@ def _map(docs: DataFrame, kept: list[str], held, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "figures"])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("figures", T.ArrayType(T.DoubleType()))])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(released(kernel), schema)
+    inner = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
+    return inner.mapInArrow(released(kernel), schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_text: bool = False) -> DataFrame:
@@ -227,9 +228,6 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """
     docs = docs.drop("score", "predicted", "figures")
     model, scale = train(docs, labels, text, doc_id)
-    if keep_text:
-        docs = docs.withColumn("_rg_text", F.col(text))
-    rows = figures(docs, model, text)
+    rows = figures(docs, model, text, keep_text)
     z = sum((F.col("figures")[k] * float(scale[k]) for k in range(3)), F.lit(float(scale[3])))
-    out = rows.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("figures")
-    return out.withColumnRenamed("_rg_text", text) if keep_text else out
+    return rows.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("figures")
