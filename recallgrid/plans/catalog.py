@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import graph, metrics, ordered, relational, retrieval, similarity
 from ..sources.model import Store, load, oracle_tables, table
+from ..streaming import feedback as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -756,3 +757,36 @@ def cohens_kappa(s):
 def answer_scores(s):
     first = s.turns.where("turn = 0").select("conv_id", F.col("text").alias("a"))
     return metrics.answers(first.join(s.turns.where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id"), "conv_id", "a", "b")
+
+
+# ---- streams ------------------------------------------------------------------------------------------------------------
+
+FEEDBACK = oracle_tables("feedback")
+
+
+@on_tables(
+    FEEDBACK
+    + """ SELECT created_at // 3600 * 3600 AS start, source, count(*) AS n, round(avg(valence), 6) AS mean_valence FROM feedback
+    WHERE created_at // 3600 * 3600 + 3600 <= (SELECT max(created_at) - 7200 FROM feedback) GROUP BY 1, 2"""
+)
+def stream_window_rollup(spark, sf_dir):
+    return streams.run_available(streams.window_rollup(streams.read(spark, sf_dir), 3600, 7200), "rollup")
+
+
+@on_tables(
+    FEEDBACK
+    + """ SELECT v.feedback_id, v.belief_id, a.feedback_id AS answer_id FROM feedback v
+    JOIN feedback a ON a.belief_id = v.belief_id AND a.source <> 'view' AND a.created_at BETWEEN v.created_at AND v.created_at + 300000 WHERE v.source = 'view'"""
+)
+def stream_answered_exposures(spark, sf_dir):
+    return streams.run_available(streams.answered_exposures(streams.read(spark, sf_dir), streams.read(spark, sf_dir), 300_000, 7200), "answers")
+
+
+@on_tables(FEEDBACK + " SELECT * FROM feedback")
+def stream_first_in_window(spark, sf_dir):
+    return streams.run_available(streams.first_in_window(streams.read(spark, sf_dir), 7200), "first")
+
+
+@on_tables(FEEDBACK + " SELECT session_id, feedback_id, row_number() OVER (PARTITION BY session_id ORDER BY feedback_id) AS fire_idx FROM feedback")
+def stream_session_counters(spark, sf_dir):
+    return streams.run_available(streams.session_counters(streams.read(spark, sf_dir)), "counters")

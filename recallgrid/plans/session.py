@@ -1,9 +1,10 @@
-"""Make the package importable on Python workers."""
+"""Make the package importable on Python workers, and name folders that all of them see."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,3 +25,9 @@ def ship_package(spark: SparkSession) -> None:
         for p in sorted((root / "recallgrid").rglob("*.py")):
             z.write(p, p.relative_to(root))
     spark.sparkContext.addPyFile(str(target))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in ``spark.checkpoint.dir``; where that is unset, in a temporary folder of this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='recallgrid-')}/recallgrid-{name}-{uuid.uuid4().hex}"
