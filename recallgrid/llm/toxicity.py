@@ -105,10 +105,13 @@ class Model:
             pooled = count.sum(1, keepdims=True) if n <= SHARED else count
             once, twice = (pooled == 1).sum(), (pooled == 2).sum()
             discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
-            context, first = np.unique(key >> 8, return_index=True)
+            context, first, of = np.unique(key >> 8, return_index=True, return_inverse=True)
             total = np.add.reduceat(pooled, first) if len(first) else pooled[:0]
             kinds = np.add.reduceat((pooled > 0).astype(np.int64), first) if len(first) else pooled[:0]
-            self.levels.append((n, key, np.maximum(pooled - discount, 0).astype(np.float64), context, total.astype(np.float64), discount * kinds))
+            # What a class leaves of a context to the order below: all, where it has not seen the context.
+            left = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+            own = np.maximum(pooled - discount, 0) / np.maximum(total[of], 1)
+            self.levels.append((n, key, own, of, context, left))
             if n > 1:
                 # Lower orders count the bytes that came before an n-gram, by class; at the start of a word, its uses.
                 lower, at = np.unique(key & ((1 << (8 * (n - 1))) - 1), return_inverse=True)
@@ -116,23 +119,33 @@ class Model:
                 starts = here.get(n - 1, (lower[:0], follow[:0]))
                 key, at = np.unique(np.concatenate([lower, starts[0]]), return_inverse=True)
                 count = np.stack([np.bincount(at, np.concatenate([follow[:, c], starts[1][:, c]]), len(key)) for c in (0, 1)], 1).astype(np.int64)
-        self.levels.reverse()
+        #: From the highest order down: n-grams seen with their probabilities, contexts seen with what they leave.
+        below, known = np.full((1, 2), 1 / 257), np.zeros(1, np.int64)
+        for i in range(ORDER - 1, -1, -1):
+            n, key, own, of, context, left = self.levels[i]
+            suffix = np.searchsorted(known, key & ((1 << (8 * (n - 1))) - 1))  # every suffix of an n-gram is an n-gram below
+            known, below = key, own + left[of] * below[suffix]
+            self.levels[i] = (n, key, below, context, left)
 
     def word_ratios(self, spelled: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each word log P(toxic model) - log P(ordinary model), and the bytes it is over."""
         owner, size, gram = _grams(spelled, where)
-        p = np.full((len(gram), 2), 1 / 257)
-        for n, key, count, context, total, back in self.levels:
-            if not len(key):
+        p = np.ones((len(gram), 2))
+        rest = np.arange(len(gram))
+        for n, key, known, context, left in self.levels:
+            if not len(key) or not len(rest):
                 continue
-            use = size >= n
-            g = gram[use] & ((1 << (8 * n)) - 1)
-            c = np.minimum(np.searchsorted(context, g >> 8), len(context) - 1)
+            at = rest[size[rest] >= n]
+            g = gram[at] & ((1 << (8 * n)) - 1)
             k = np.minimum(np.searchsorted(key, g), len(key) - 1)
-            seen = np.where((context[c] == g >> 8)[:, None], total[c], 0)
-            here = np.where((key[k] == g)[:, None], count[k], 0)
-            was = p[use]
-            p[use] = np.where(seen > 0, (here + np.where(seen > 0, back[c], 0) * was) / np.maximum(seen, 1), was)
+            hit = key[k] == g
+            p[at[hit]] *= known[k[hit]]
+            miss, g = at[~hit], g[~hit] >> 8
+            c = np.minimum(np.searchsorted(context, g), len(context) - 1)
+            seen = context[c] == g
+            p[miss[seen]] *= left[c[seen]]
+            rest = np.concatenate([miss, rest[size[rest] < n]])
+        p[rest] /= 257
         ratio = np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))
         n_words = len(where) - 1
         return np.bincount(owner, ratio, n_words), np.bincount(owner, minlength=n_words)
