@@ -36,9 +36,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that stand elsewhere; a character cut in two goes."""
-    rows = dedup_substrings.remove_repeats(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(dedup_substrings.whole_characters(F.col("kept_bytes")))
+    """Texts without the passages of over 50 words that stand elsewhere (49 words in a row that are equal)."""
+    rows = dedup_substrings.remove_passages(docs)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_bytes").cast("string"))  # whole words go, so characters stay whole
     changed = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("_rg_text").cast("long"))
     return rows.withColumn("_rg_text", text).withColumn("n_chars", changed).withColumn("text", F.col("_rg_text")).select(*docs.columns)
 

@@ -15,6 +15,8 @@ times and never shuffled:
 
 An anchor hash with more than ``MANY`` occurrences (a passage that stands in a large part of the corpus) isn't sent to one task:
 its windows are counted one by one, by digests of their bytes, which tasks sum before they are shuffled.
+
+Passages are found alike, in words: each word is a code of ``CODE`` bytes, and windows and anchors start at codes only.
 """
 
 from __future__ import annotations
@@ -31,20 +33,23 @@ from pyspark.sql import types as T
 
 from ._arrays import BLOCK, blocks, mapped, merged, save, summed
 from ._common import binary_array, flat, new_path, released, slices
-from ._text import mix, powers, prefix_hash, span_hash
+from ._text import mix, powers, prefix_hash, span_hash, words
 
 LENGTH, GRAM = 400, 64
 MANY = 2000
+#: Words of a passage, the bytes of a word's code, and the codes of a gram. 49 words of a passage of over 50 are whole wherever
+#: it stands, even if its first and last word run into their neighbours.
+WORDS, CODE, GRAM_WORDS = 49, 8, 8
 #: Bytes of contexts that are sorted together, hashes gathered before a block is made, bytes a task remembers to send once.
 SORT_BYTES, BLOCK_HASHES, REMEMBER_BYTES = 1 << 20, 2_000_000, 16 << 20
 
 
 class Anchors:
     """Anchors of several texts that stand one after another: the text, the place of the anchor, its hash, and the first
-    and last start of the windows that picked it."""
+    and last start of the windows that picked it. Windows and anchors start at multiples of ``step``, as the texts do."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, length: int, gram: int):
-        n, width = len(data), length - gram + 1
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, length: int, gram: int, step: int = 1):
+        n, width = len(data), (length - gram) // step + 1
         empty = np.zeros(0, np.int64)
         self.doc = self.place = self.first = self.last = empty
         self.hash = np.zeros(0, np.uint64)
@@ -52,7 +57,7 @@ class Anchors:
         if n < length or (size < length).all():
             return
         prefix = prefix_hash(data)
-        at = np.arange(n - gram + 1)
+        at = np.arange(0, n - gram + 1, step)
         h = mix(span_hash(prefix, at, at + gram))
         ranked = (h & ~np.uint64(0xFFFFFFFF)) | at.astype(np.uint64)  # the place breaks ties, leftmost first
         whole = -(-len(ranked) // width) * width
@@ -61,9 +66,10 @@ class Anchors:
         rows = padded.reshape(-1, width)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-        starts = np.arange(n - length + 1)
-        picked = (np.minimum(behind[starts], ahead[starts + width - 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        owner = np.repeat(np.arange(len(size)), size)[: len(starts)]
+        starts = np.arange(0, n - length + 1, step)
+        k = np.arange(len(starts))
+        picked = (np.minimum(behind[k], ahead[k + width - 1]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), size // step)[: len(starts)]
         fits = starts + length <= bounds[1:][owner]
         starts, picked, owner = starts[fits], picked[fits], owner[fits]
         new = np.ones(len(starts), bool)
@@ -71,7 +77,7 @@ class Anchors:
         k = np.flatnonzero(new)
         self.doc, self.place, self.first = owner[k], picked[k], starts[k]
         self.last = np.append(starts[k[1:] - 1], starts[-1])
-        self.hash = h[self.place]
+        self.hash = h[self.place // step]
 
     def only(self, chosen: np.ndarray) -> Anchors:
         for name in ("doc", "place", "first", "last", "hash"):
@@ -79,6 +85,30 @@ class Anchors:
         return self
 
 
+def _read(column: pa.Array, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts and where each begins; with a step of ``CODE``, the codes of their words."""
+    data, bounds = flat(column)
+    if step == 1:
+        return data, bounds
+    _, start, end, first = words(data, bounds)
+    h = span_hash(prefix_hash(data), start, end) if len(start) else np.zeros(0, np.uint64)
+    return mix(h + (end - start).astype(np.uint64)).astype("<u8").view(np.uint8), first * CODE
+
+
+def _word_bytes(gone: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which bytes of the texts go with the words whose codes are gone: the words, and the white space from each to the next
+    word of its text; what stands before the first of them stays."""
+    _, start, end, first = words(data, bounds)
+    lost = gone.reshape(-1, CODE).all(1)
+    until = np.append(start[1:], 0)[: len(start)]
+    final = first[1:][first[1:] > first[:-1]] - 1
+    until[final] = end[final]
+    delta = np.zeros(len(data) + 1, np.int64)
+    np.add.at(delta, start[lost], 1)
+    np.add.at(delta, until[lost], -1)
+    return np.cumsum(delta[:-1]) > 0
+
+
 def _digest(*parts: bytes) -> tuple[int, int]:
     d = xxhash.xxh3_128_intdigest(b"".join(parts))
     return d >> 64, d & (2**64 - 1)
@@ -120,14 +150,14 @@ class Shelf:
 # ---- pass 1 -------------------------------------------------------------------------------------------------------------
 
 
-def _repeated_anchors(docs: DataFrame, text: str, folder: str, n_parts: int, length: int, gram: int) -> Shelf:
+def _repeated_anchors(docs: DataFrame, text: str, folder: str, n_parts: int, length: int, gram: int, step: int) -> Shelf:
     shelf = Shelf(folder, "anchor", n_parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
         for whole in batches:
             for batch in slices(whole, text):
-                k, c = np.unique(Anchors(*flat(batch.column(text)), length, gram).hash, return_counts=True)
+                k, c = np.unique(Anchors(*_read(batch.column(text), step), length, gram, step).hash, return_counts=True)
                 keys.append(k)
                 counts.append(c)
                 held += len(k)
@@ -151,9 +181,9 @@ def _repeated_anchors(docs: DataFrame, text: str, folder: str, n_parts: int, len
     return shelf
 
 
-def _anchors_again(shelf: Shelf, data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[Anchors, np.ndarray]:
+def _anchors_again(shelf: Shelf, data: np.ndarray, bounds: np.ndarray, length: int, gram: int, step: int) -> tuple[Anchors, np.ndarray]:
     """The anchors that occur again, and how often."""
-    a = Anchors(data, bounds, length, gram)
+    a = Anchors(data, bounds, length, gram, step)
     n = np.zeros(len(a.hash), np.int64)
     for p, i, at in shelf.find(a.hash):
         n[i] = shelf.array(p, "count", "<u4", shelf.sizes[p][0])[at]
@@ -320,7 +350,7 @@ def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
-def _contexts(docs: DataFrame, text: str, anchors: Shelf, length: int, gram: int, many: int) -> DataFrame:
+def _contexts(docs: DataFrame, text: str, anchors: Shelf, length: int, gram: int, many: int, step: int) -> DataFrame:
     """Contexts of the anchors that occur again but not very often; each once from a task, with its occurrences."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +365,8 @@ def _contexts(docs: DataFrame, text: str, anchors: Shelf, length: int, gram: int
 
         for whole in batches:
             for batch in slices(whole, text):
-                data, bounds = flat(batch.column(text))
-                a, n = _anchors_again(anchors, data, bounds, length, gram)
+                data, bounds = _read(batch.column(text), step)
+                a, n = _anchors_again(anchors, data, bounds, length, gram, step)
                 a.only(n <= many)
                 view = data.tobytes()
                 for key, h, s, e, p in zip(_context_keys(a, view, length), a.hash.tolist(), a.first.tolist(), a.last.tolist(), a.place.tolist(), strict=True):
@@ -436,25 +466,25 @@ def _write_ranges(made: DataFrame, shelf: Shelf) -> None:
 # ---- windows of very frequent anchors --------------------------------------------------------------------------------------
 
 
-def _window_keys(a: Anchors, view: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _window_keys(a: Anchors, view: bytes, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of all windows of the anchors, and the two halves of their digests."""
-    n = a.last - a.first + 1
-    start = np.repeat(a.first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    n = (a.last - a.first) // step + 1
+    start = np.repeat(a.first, n) + step * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
     made = [xxhash.xxh3_128_digest(view[s : s + length]) for s in start.tolist()]
     pair = np.frombuffer(b"".join(made), ">u8").reshape(-1, 2).astype(np.uint64)
     return start, pair[:, 0], pair[:, 1]
 
 
-def _frequent_windows(docs: DataFrame, text: str, anchors: Shelf, shelf: Shelf, length: int, gram: int, many: int) -> None:
+def _frequent_windows(docs: DataFrame, text: str, anchors: Shelf, shelf: Shelf, length: int, gram: int, many: int, step: int) -> None:
     """Write the digests of the windows of frequent anchors that stand twice or more."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             keys, checks = [], []
             for batch in slices(whole, text):
-                data, bounds = flat(batch.column(text))
-                a, n = _anchors_again(anchors, data, bounds, length, gram)
-                _, k, c = _window_keys(a.only(n > many), data.tobytes(), length)
+                data, bounds = _read(batch.column(text), step)
+                a, n = _anchors_again(anchors, data, bounds, length, gram, step)
+                _, k, c = _window_keys(a.only(n > many), data.tobytes(), length, step)
                 keys.append(k)
                 checks.append(c)
             both = np.stack([np.concatenate(keys), np.concatenate(checks)], 1) if keys else np.zeros((0, 2), np.uint64)
@@ -512,33 +542,49 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     ``length`` stay whole. Of texts repeated in full all copies go, if they are that long. An empty table gives no rows.
     Columns of the names above that ``docs`` brings along are replaced.
     """
+    return _removed(docs, text, length, gram, many, 1)
+
+
+def remove_passages(docs: DataFrame, text: str = "text", n_words: int = WORDS, gram: int = GRAM_WORDS, many: int = MANY) -> DataFrame:
+    """As ``remove_repeats``, in words: every word covered by ``n_words`` words in a row that also stand anywhere else.
+
+    Words are ``[^\\x20\\x09-\\x0D]+``, equal if their bytes are (by hashes of 64 bits); the white space between them doesn't
+    count. Words go with the white space up to the next, so that the words around a passage stay apart.
+    """
+    return _removed(docs, text, n_words * CODE, gram * CODE, many, CODE)
+
+
+def _removed(docs: DataFrame, text: str, length: int, gram: int, many: int, step: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_bytes")
     folder, n_parts = new_path(spark, "repeats"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    anchors = _repeated_anchors(docs, text, folder, n_parts, length, gram)
+    anchors = _repeated_anchors(docs, text, folder, n_parts, length, gram, step)
     contexts, windows = Shelf(folder, "context", n_parts), Shelf(folder, "window", n_parts)
-    _write_ranges(_repeated_windows(_contexts(docs, text, anchors, length, gram, many), contexts, length), contexts)
-    _frequent_windows(docs, text, anchors, windows, length, gram, many)
+    _write_ranges(_repeated_windows(_contexts(docs, text, anchors, length, gram, many, step), contexts, length), contexts)
+    _frequent_windows(docs, text, anchors, windows, length, gram, many, step)
     names = docs.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
-                data, bounds = flat(batch.column(text))
+                data, bounds = _read(batch.column(text), step)
                 view = data.tobytes()
                 delta = np.zeros(len(data) + 1, np.int64)
-                a, n = _anchors_again(anchors, data, bounds, length, gram)
+                a, n = _anchors_again(anchors, data, bounds, length, gram, step)
                 often = n > many
                 if often.any():
                     f = Anchors.__new__(Anchors)
                     for name in ("doc", "place", "first", "last", "hash"):
                         setattr(f, name, getattr(a, name)[often])
-                    start, key, check = _window_keys(f, view, length)
+                    start, key, check = _window_keys(f, view, length, step)
                     _lookup(windows, key, check, start, length, delta)
                 a.only(~often)
                 keys = np.array(_context_keys(a, view, length), np.uint64).reshape(-1, 2)
                 _lookup(contexts, keys[:, 0], keys[:, 1], a.first, length, delta)
                 gone = np.cumsum(delta[:-1]) > 0
+                if step > 1:
+                    data, bounds = flat(batch.column(text))
+                    gone = _word_bytes(gone, data, bounds)
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
                 inner = bounds[1:-1][bounds[1:-1] < len(data)]

@@ -323,6 +323,39 @@ def test_suffixes_are_sorted():
         assert keys == sorted(keys)
 
 
+def without_passages(texts, n):
+    """Texts as (words, white space after each) without the words covered by ``n`` in a row that stand elsewhere."""
+    found = [re.findall(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)", t) for t in texts]
+    seen = Counter(tuple(w for w, _ in f[i : i + n]) for f in found for i in range(len(f) - n + 1))
+    out = []
+    for t, f in zip(texts, found, strict=True):
+        gone = [False] * len(f)
+        for i in range(len(f) - n + 1):
+            if seen[tuple(w for w, _ in f[i : i + n])] > 1:
+                gone[i : i + n] = [True] * n
+        kept = "".join("" if g else w + s for (w, s), g in zip(f[:-1], gone[:-1], strict=True))
+        if f:
+            kept += f[-1][1] if gone[-1] else "".join(f[-1])
+        out.append(re.match(r"[\x20\x09-\x0D]*", t).group() + kept)
+    return out
+
+
+@pytest.mark.parametrize(("n", "gram", "many"), [(49, 8, 2000), (4, 2, 2000), (4, 2, 2), (3, 1, 50)])
+def test_passages(spark, rows, n, gram, many):
+    import random
+
+    rng = random.Random(n)
+    base = [[rng.choice(["a", "b", "é", "Cd"]) for _ in range(70)] for _ in range(5)]
+    small = [rng.choice(["", " ", "\n"]) + rng.choice([" ", "\n\t"]).join(w for _ in range(rng.randrange(5)) for w in rng.choice(base)[rng.randrange(60) :]) + rng.choice(["", "  "]) for _ in range(120)]
+    texts = small + [t or "" for _, t in rows if len(t or "") < 9000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = dedup_substrings.remove_passages(docs, n_words=n, gram=gram, many=many).orderBy("doc_id").toPandas()
+    want = without_passages(texts, n)
+    assert [bytes(r.kept_bytes).decode() for r in got.itertuples()] == want
+    assert [(r.n_bytes, r.n_removed) for r in got.itertuples()] == [(len(t.encode()), len(t.encode()) - len(w.encode())) for t, w in zip(texts, want, strict=True)]
+    assert any(t != w for t, w in zip(texts, want, strict=True)) and any(t == w for t, w in zip(texts, want, strict=True) if t)
+
+
 def test_no_strings(empty):
     assert dedup_substrings.remove_repeats(empty).count() == 0
 

@@ -48,3 +48,24 @@ def test_stages(spark, folder):
 
 def test_run_equals_the_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_passages_of_over_50_words_go(spark, folder):
+    """Passages of 51 to 65 words, all under 400 bytes, between other words or run into them; 48 words stay."""
+    rng = random.Random(51)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghi") for _ in range(5)) for _ in range(n))
+
+    passages = [prose(n) for n in range(51, 66)]
+    short = prose(48)
+    assert max(len(p) for p in passages) < 400
+    rows = [(2 * k + i, prose(60) + sep + p + sep + prose(70)) for k, p in enumerate(passages) for i, sep in enumerate((" ", "\n" if k % 2 else ""))]
+    rows += [(100, prose(60) + " " + short + " " + prose(30)), (101, prose(40) + " " + short)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, docs, folder).collect()}
+    whole = dict(rows)
+    for k, p in enumerate(passages):
+        middle = " ".join(p.split()[1:-1])
+        assert all(middle not in got[i].text and len(got[i].text) <= len(whole[i]) - len(middle) and got[i].n_chars == len(got[i].text) for i in (2 * k, 2 * k + 1))
+    assert all(got[i].text == whole[i] for i in (100, 101))
