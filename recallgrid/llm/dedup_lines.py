@@ -3,6 +3,9 @@
 A rolling hash over the hashes of three lines picks the lines that end a chunk, so that a passage is cut alike wherever
 it stands. Chunks of two lines or more that occur again anywhere are removed but for the first occurrence. Chunks are
 compared by their bytes: they meet once in an aggregation over hash and text, which sums copies before the shuffle.
+
+Chunks miss what their ends don't frame. ``line_runs`` finds every repeated run of two lines or more, and every repeated line of
+many words: all pairs of neighbouring lines are compared, by their MD5.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from ._common import row_keys, written
 
 #: One line in so many ends a chunk, and the factors of the rolling hash from a line back.
 ONE_IN, FACTORS = 4, (1, 3, 7)
+#: A line of more words than this is a passage by itself.
+MANY_WORDS = 50
 
 
 def line_chunks(text: Column) -> Column:
@@ -77,3 +82,47 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
         F.coalesce(F.size("_rg_lost"), F.lit(0)).cast("long").alias("n_removed"),
         F.array_join(F.transform(kept, lambda c: c["body"]), "\n").alias("kept_text"),
     )
+
+
+def line_windows(lines: Column) -> Column:
+    """An array of (``i``, ``n``, ``body``): all pairs of neighbouring lines, and the lines of more than ``MANY_WORDS`` words."""
+
+    def windows(x: Column) -> Column:
+        def line(i: Column) -> Column:
+            return F.struct(i.alias("i"), F.lit(1).alias("n"), F.get(x, i).alias("body"))
+
+        def pair(i: Column) -> Column:
+            return F.struct(i.alias("i"), F.lit(2).alias("n"), F.concat(F.get(x, i), F.lit("\n"), F.get(x, i + 1)).alias("body"))
+
+        places = F.sequence(F.lit(0), F.size(x) - 1)
+        long = F.filter(places, lambda i: (F.length(F.get(x, i)) > 2 * MANY_WORDS) & (F.regexp_count(F.get(x, i), F.lit(r"\S+")) > MANY_WORDS))
+        return F.concat(F.transform(F.filter(places, lambda i: i < F.size(x) - 1), pair), F.transform(long, line))
+
+    return F.transform(F.array(lines), windows)[0]
+
+
+def line_runs(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with ``n_lines``, ``n_removed`` (lines) and ``kept_text``.
+
+    A line goes if it is part of a pair of neighbouring lines, or is a line of more than ``MANY_WORDS`` words, that stands
+    before; so a run of two lines or more goes to its full length, whatever stands around it. The order, null ids, repeated
+    rows and white space are as in ``line_dedup``. The first occurrence of a line's text never goes.
+    """
+    docs = docs.drop("n_lines", "n_removed", "kept_text")
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    keyed = docs.withColumns(row_keys(doc_id, text))
+    rows = keyed.select("_rg_id", "_rg_th", F.inline(line_windows(lines))).where("trim(replace(body, '\\n', ' ')) <> ''")
+    rows = rows.select("_rg_id", "_rg_th", "i", "n", F.unhex(F.md5(F.col("body").cast("binary"))).alias("body_hash"))
+    groups = rows.groupBy("body_hash").agg(F.min(F.struct("_rg_id", "i")).alias("first"), F.count("*").alias("times"))
+    again = rows.join(written(groups.where("times > 1").select("body_hash", "first"), "line-runs"), "body_hash")
+    again = again.where("_rg_id > first._rg_id OR i > first.i AND _rg_id = first._rg_id")
+    lost = again.groupBy("_rg_id", "_rg_th").agg(F.flatten(F.collect_set(F.sequence("i", F.expr("i + n - 1")))).alias("_rg_lost"))
+    cut = keyed.join(lost, ["_rg_id", "_rg_th"], "left").withColumn("_rg_lines", lines)
+    stays = F.array_except(F.sequence(F.lit(0), F.size("_rg_lines") - 1), F.coalesce("_rg_lost", F.array().cast("array<int>")))
+    cut = cut.withColumn("_rg_stays", stays)
+    return cut.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.size("_rg_lines").cast("long").alias("n_lines"),
+        (F.size("_rg_lines") - F.size("_rg_stays")).cast("long").alias("n_removed"),
+        F.array_join(F.transform("_rg_stays", lambda i: F.get("_rg_lines", i)), "\n").alias("kept_text"),
+    )

@@ -85,6 +85,12 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without any run of two lines or more, or line of over 50 words, that stands elsewhere before."""
+    rows = dedup_lines.line_runs(_documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's log-probability; learned from the documents that aren't held out."""
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
@@ -104,6 +110,7 @@ QUERIES = {
     "op7_suffix_sort": op7_suffix_sort,
     "op8_bbit_minhash": op8_bbit_minhash,
     "op9_line_chunks": op9_line_chunks,
+    "op9_line_runs": op9_line_runs,
     "op10_kneser_ney": op10_kneser_ney,
 }
 

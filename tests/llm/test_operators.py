@@ -438,6 +438,42 @@ def test_line_dedup(docs, rows, empty):
     assert dedup_lines.line_dedup(empty).count() == 0
 
 
+def without_runs(rows):
+    """Lines to keep of each (id, text), by a plain rule over all windows of lines."""
+    def windows(t):
+        ls = (t or "").split("\n")
+        found = [(i, 2, (ls[i], ls[i + 1])) for i in range(len(ls) - 1)] + [(i, 1, (x,)) for i, x in enumerate(ls) if len(x.split()) > 50]
+        return ls, [w for w in found if " ".join(w[2]).strip(" ")]
+
+    first = {}
+    for k, t in rows:
+        for i, _, key in windows(t)[1]:
+            first[key] = min(first.get(key, (k, i)), (k, i))
+    out = []
+    for k, t in rows:
+        ls, found = windows(t)
+        gone = {j for i, n, key in found if (k, i) > first[key] for j in range(i, i + n)}
+        out.append((len(ls), len(gone), "\n".join(x for j, x in enumerate(ls) if j not in gone)))
+    return out
+
+
+def test_line_runs(spark, docs, rows, empty):
+    import random
+
+    rng = random.Random(3)
+    pool = [" ".join(f"w{k}x{j}" for j in range(60 if k % 9 == 0 else 6)) for k in range(60)] + ["", " "]
+    own = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"line {k} {j}" for j in range(rng.randrange(1, 12)))) for k in range(80)]
+    # A run of three lines between other lines, whose edges no chunk shows.
+    own += [(100 + k, f"before {k}\nrun a\nrun b\nrun c\nafter {k}") for k in range(4)]
+    got = dedup_lines.line_runs(spark.createDataFrame(own, "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
+    want = without_runs(own)
+    assert [(r.n_lines, r.n_removed, r.kept_text) for r in got] == want
+    assert [r.kept_text for r in got if r.doc_id > 100] == [f"before {k}\nafter {k}" for k in (1, 2, 3)]
+    kept = {x for _, _, t in want for x in t.split("\n")}
+    assert all(x in kept for _, t in own for x in t.split("\n") if x.strip())
+    assert dedup_lines.line_runs(docs).count() == len(rows) and dedup_lines.line_runs(empty).count() == 0
+
+
 def test_line_dedup_runs_no_python(docs, capsys):
     dedup_lines.line_dedup(docs).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
