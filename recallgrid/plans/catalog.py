@@ -230,6 +230,22 @@ def compare_slots(s):
     return relational.compare_slots(slots(3, 400), slots(2, 500))
 
 
+@on_store(
+    "beliefs",
+    """, l AS (SELECT 'k' || (seq % 400) AS slot, type AS value FROM beliefs),
+    r AS (SELECT slot, value AS right_value FROM (SELECT 'k' || (seq % 500) AS slot, type AS value, row_number() OVER (PARTITION BY seq % 500 ORDER BY seq) AS n FROM beliefs) q WHERE n = 1)
+    SELECT CASE WHEN right_value IS NULL THEN 'left_only' WHEN value IS NULL THEN 'right_only' WHEN value = right_value THEN 'duplicate' ELSE 'contradiction' END AS verdict, count(*) AS n
+    FROM l FULL JOIN r ON l.slot = r.slot GROUP BY 1""",
+)
+def compare_slots_all(s):
+    """``compare_slots`` with every belief on both sides."""
+
+    def slots(mod: int) -> DataFrame:
+        return s.beliefs.select(F.concat(F.lit("k"), F.col("seq") % mod).alias("slot"), F.col("type").alias("value"), "seq")
+
+    return relational.compare_slots(slots(400), slots(500))
+
+
 # ---- counts -------------------------------------------------------------------------------------------------------------
 
 
@@ -622,6 +638,39 @@ def heat_step(s):
     return graph.heat_step(s, s.beliefs.where("seq % 50 = 0").select(F.col("id").alias("i"), F.lit(1.0).alias("s")), 0.2)
 
 
+# The queries above start from one belief in 50; these from every active belief.
+FROM_ALL = REACH.replace("WHERE seq % 50 = 0", "WHERE valid_to IS NULL")
+
+
+def _all_seeds(s):
+    return s.active.select(F.col("id").alias("seed"))
+
+
+@on_store("beliefs edges", FROM_ALL + " SELECT * FROM r")
+def multi_hop_reach_all(s):
+    return graph.reachable(s, _all_seeds(s))
+
+
+@on_store("beliefs edges", FROM_ALL + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, node) AS place FROM r) q WHERE place <= 3")
+def multi_hop_top_all(s):
+    return graph.top_reached(s, _all_seeds(s), 3)
+
+
+@on_store(
+    "beliefs edges",
+    FROM_ALL + """, k AS (SELECT DISTINCT dst, type FROM edges WHERE type IN ('SUPERSEDES', 'CONTRADICTS')), f AS (SELECT dst, product(CASE type WHEN 'SUPERSEDES' THEN 0.5 ELSE 0.8 END) AS factor FROM k GROUP BY 1)
+    SELECT seed, node, round(score * coalesce(factor, 1.0), 6) AS score FROM r LEFT JOIN f ON dst = node""",
+)
+def marker_rerank_all(s):
+    return graph.marker_rerank(s, graph.reachable(s, _all_seeds(s)), {"SUPERSEDES": 0.5, "CONTRADICTS": 0.8})
+
+
+@on_store("beliefs edges", LAPLACE + """, h AS (SELECT id AS i, 1.0 AS s FROM beliefs WHERE valid_to IS NULL), f AS (SELECT l.i, sum(v * s) AS x FROM l JOIN h ON h.i = l.j GROUP BY 1)
+    SELECT coalesce(h.i, f.i) AS i, round(coalesce(s, 0.0) - 0.2 * (coalesce(s, 0.0) + coalesce(x, 0.0)), 6) AS s FROM h FULL JOIN f ON h.i = f.i""")
+def heat_step_all(s):
+    return graph.heat_step(s, s.active.select(F.col("id").alias("i"), F.lit(1.0).alias("s")), 0.2)
+
+
 @on_store(
     "edges",
     """, RECURSIVE_MARK AS (SELECT 1), u AS (SELECT src AS a, dst AS b FROM edges WHERE type = 'SUPPORTS' UNION SELECT dst, src FROM edges WHERE type = 'SUPPORTS'),

@@ -48,3 +48,29 @@ def test_query_equals_its_sql(spark, sql, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_query_without_sql_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF_DIR).count() > 0
+
+
+def test_walks_start_from_every_active_belief(spark):
+    """Against plain walks in Python from every active belief; a belief outside the ids divisible by 50 is a seed too."""
+    from recallgrid.operators.graph import WALK
+    from recallgrid.sources.model import load
+
+    store = load(spark, SF_DIR)
+    active = {r.id for r in store.beliefs.where("valid_to IS NULL").collect()}
+    out = {}
+    for e in store.edges.collect():
+        a, b = (e.dst, e.src) if e.type == "SUPERSEDES" else (e.src, e.dst)
+        if b in active and WALK.get(e.type, 0) > 0:
+            out.setdefault(a, []).append((b, WALK[e.type]))
+    want = {}
+    for seed in active:
+        front = [(seed, 1.0)]
+        for _ in range(2):
+            front = [(b, x * w) for a, x in front for b, w in out.get(a, []) if x * w >= 0.1]
+            for b, x in front:
+                if b != seed:
+                    want[seed, b] = max(want.get((seed, b), 0.0), x)
+    got = {(r.seed, r.node): r.score for r in catalog.QUERIES["multi_hop_reach_all"](spark, SF_DIR).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert any(int(s[1:]) % 50 for s, _ in got)
+    assert sum(r.n for r in catalog.QUERIES["compare_slots_all"](spark, SF_DIR).collect()) >= store.beliefs.count()
