@@ -80,25 +80,31 @@ def heat_step(store: Store, heat: DataFrame, time: float) -> DataFrame:
     return both.select("i", F.round(F.col("s") - time * (F.col("s") + F.col("in")), 6).alias("s"))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """(``id``, ``root``): the least node that each node of ``edges`` (``a``, ``b``) reaches, by spreading least labels."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def components(edges: DataFrame) -> DataFrame:
+    """(``id``, ``root``): the least node that each node of ``edges`` (``a``, ``b``) reaches.
+
+    Alternating large-star and small-star steps (Kiveris et al. 2014) hang every node below smaller ones until nothing
+    changes; the rounds grow with the logarithm of the longest path, not with its length.
+    """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recallgrid-"))
-    both = both.checkpoint()
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).select("id", F.least("id", "root").alias("root"))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
-        far = labels.select(F.col("id").alias("root"), F.col("root").alias("far"))
-        new = labels.join(near, "id").join(far, "root").select("id", F.least("root", "near", "far").alias("new"), F.col("root").alias("old")).checkpoint()
-        changed = not new.where("new <> old").isEmpty()
-        labels = new.select("id", F.col("new").alias("root"))
-        if not changed:
+    edges = edges.select("a", "b").distinct().checkpoint()
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        new = small.select("e.u", "e.v").where("u <> v").distinct().checkpoint()
+        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
             break
-    return labels
+        now = new
+    ids = edges.select(F.explode(F.array("a", "b")).alias("id")).where("id IS NOT NULL").distinct()
+    return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def cosine_top(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:

@@ -74,3 +74,16 @@ def test_walks_start_from_every_active_belief(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
     assert any(int(s[1:]) % 50 for s, _ in got)
     assert sum(r.n for r in catalog.QUERIES["compare_slots_all"](spark, SF_DIR).collect()) >= store.beliefs.count()
+
+
+def test_long_chains_are_one_component(spark):
+    """A path of 400 nodes in random order of ids, for which spreading least labels takes over 30 rounds, and a loop."""
+    import random
+
+    from recallgrid.operators.graph import components
+
+    order = list(range(400))
+    random.Random(400).shuffle(order)
+    edges = [(a, b) for a, b in zip(order[:-1], order[1:], strict=True)] + [(900, 900), (902, 901)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(400)} | {900: 900, 901: 901, 902: 901}
