@@ -1,18 +1,21 @@
 """Near duplicates by b-bit MinHash.
 
-A document is the set of its distinct word shingles. Equal sets are one node. Each node has ``BANDS`` x ``ROWS`` minima; nodes
+A document is the set of its distinct word shingles. Equal sets are one node. Each node has bands of ``ROWS`` minima; nodes
 that share the minima of a band are candidates for each other. Candidates are brought together by the components of
 the graph of shared bands, once each, in blocks of bounded size. In a block the minima are kept by their low ``BITS`` bits,
 packed into words; the number of equal fields, counted by bit operations and corrected for equality by chance, estimates
 the similarity. What is not clearly below the threshold is confirmed on the full sets. Links are reduced to a
 spanning forest within a block, and components of these are the classes of near duplicates.
 
-With 24 bands of 5 rows a pair at similarity 0.85 shares no band with probability 7e-7; the estimate discards a pair
-at the threshold with probability below 1e-6 (five standard deviations).
+The bands are as many as the threshold needs for a pair at it to share none with probability below ``MISS``: 24 bands of 5
+rows at a similarity of 0.85 (7.7e-7), 36 at 0.80 (6.2e-7). The estimate discards a pair at the threshold with probability
+below 1e-6 (five standard deviations).
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,10 @@ from ._graph import components
 from ._text import mix, shingles, word_hashes
 
 SHINGLE = 5
+#: Bands at 0.85, and the rows of a band at any threshold.
 BANDS, ROWS = 24, 5
+#: A pair at the threshold shares no band with a probability below this.
+MISS = 8e-7
 #: Low bits of each minimum that are compared. Fields of 4 bits, 16 in a 64-bit word.
 BITS = 4
 #: Nodes of a block; larger groups of candidates are compared block against block.
@@ -41,36 +47,54 @@ _TURN = _rng.integers(1, 2**63, _N, dtype=np.uint64)
 _ONES = np.uint64(0x1111111111111111)
 
 
-def minima(sets: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(sets, 120) minima; sets stand one after another and none is empty."""
-    out = np.empty((len(starts) - 1, _N), np.uint64)
-    for k in range(_N):
-        out[:, k] = np.minimum.reduceat((sets ^ _TURN[k]) * _MULTIPLY[k], starts[:-1])
+def bands_for(percent: int) -> int:
+    """How many bands of ``ROWS`` a threshold needs."""
+    share = (percent / 100) ** ROWS
+    return 1 if share >= 1 else math.ceil(math.log(MISS) / math.log1p(-share))
+
+
+@functools.cache
+def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and turns of ``n`` minima; fewer are the first of more."""
+    more = np.random.Generator(np.random.PCG64(80)).integers(1, 2**63, (max(n - _N, 0), 2), dtype=np.uint64)
+    multiply = np.concatenate([_MULTIPLY, more[:, 0] * np.uint64(2) + np.uint64(1)])
+    return multiply[:n], np.concatenate([_TURN, more[:, 1]])[:n]
+
+
+def minima(sets: np.ndarray, starts: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """(sets, bands x rows) minima; sets stand one after another and none is empty."""
+    multiply, turn = _factors(bands * ROWS)
+    out = np.empty((len(starts) - 1, bands * ROWS), np.uint64)
+    for k in range(bands * ROWS):
+        out[:, k] = np.minimum.reduceat((sets ^ turn[k]) * multiply[k], starts[:-1])
     return out
 
 
 def band_keys(found: np.ndarray) -> np.ndarray:
-    """(sets, 24) hashes of the minima of each band; different bands never share one but by chance."""
-    keys = np.full((len(found), BANDS), np.uint64(0))
+    """(sets, bands) hashes of the minima of each band; different bands never share one but by chance."""
+    bands = found.shape[1] // ROWS
+    keys = np.full((len(found), bands), np.uint64(0))
     for r in range(ROWS):
-        keys = mix(keys + found[:, r::ROWS] + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        keys = mix(keys + found[:, r::ROWS] + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return keys
 
 
 def signatures(found: np.ndarray) -> np.ndarray:
-    """(sets, 8) words with the low bits of all minima; unused fields are 0 in all."""
+    """(sets, words) words with the low bits of all minima, 16 in each; unused fields are 0 in all."""
     # The low bits of a product depend on few bits of the set's hashes, so those of the mixed minimum are kept.
-    low = np.zeros((len(found), 128), np.uint64)
-    low[:, :_N] = mix(found) & np.uint64(15)
-    return np.bitwise_or.reduce(low.reshape(len(found), 8, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+    n = found.shape[1]
+    n_words = -(-n // 16)
+    low = np.zeros((len(found), 16 * n_words), np.uint64)
+    low[:, :n] = mix(found) & np.uint64(15)
+    return np.bitwise_or.reduce(low.reshape(len(found), n_words, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
 
 
-def equal_fields(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Of ``_N`` fields, those equal in ``one`` and each of ``many``."""
+def equal_fields(one: np.ndarray, many: np.ndarray, n: int = _N) -> np.ndarray:
+    """Of ``n`` fields, those equal in ``one`` and each of ``many``."""
     x = one ^ many
     x |= x >> np.uint64(2)
     x |= x >> np.uint64(1)
-    return _N - np.bitwise_count(x & _ONES).sum(1, dtype=np.int64)
+    return n - np.bitwise_count(x & _ONES).sum(1, dtype=np.int64)
 
 
 def estimate(fields: np.ndarray) -> np.ndarray:
@@ -81,9 +105,9 @@ def estimate(fields: np.ndarray) -> np.ndarray:
 
 def least_fields(percent: int) -> int:
     """Equal fields below which a pair is clearly under ``percent`` of similarity."""
-    chance = 2.0**-BITS
+    chance, n = 2.0**-BITS, bands_for(percent) * ROWS
     q = chance + (1 - chance) * percent / 100
-    return int(np.floor(_N * q - DEVIATIONS * np.sqrt(_N * q * (1 - q))))
+    return int(np.floor(n * q - DEVIATIONS * np.sqrt(n * q * (1 - q))))
 
 
 def block_links(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -93,7 +117,8 @@ def block_links(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perc
     """
     m = len(node)
     size = np.array([len(s) for s in sets], np.int64)
-    found = minima(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)])) if m else np.zeros((0, _N), np.uint64)
+    bands = bands_for(percent)
+    found = minima(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), bands) if m else np.zeros((0, bands * ROWS), np.uint64)
     keys, signature, least = band_keys(found), signatures(found), least_fields(percent)
     crossed = bool(side.min() != side.max())
     root = np.arange(m)
@@ -106,7 +131,7 @@ def block_links(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perc
         rest = rest[(keys[rest] == keys[i]).any(1)]
         if not len(rest):
             continue
-        fields = equal_fields(signature[i], signature[rest])
+        fields = equal_fields(signature[i], signature[rest], bands * ROWS)
         order = np.argsort(-fields, kind="stable")
         rest = rest[order][fields[order] >= least]
         while len(rest):
@@ -129,7 +154,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def shingle_sets(docs: DataFrame, text: str = "text", with_sets: bool = False) -> DataFrame:
+def shingle_sets(docs: DataFrame, text: str = "text", with_sets: bool = False, bands: int = BANDS) -> DataFrame:
     """``docs`` without the text, with ``n_shingles``, ``set_key`` (digest; null if empty) and ``bands`` (array<long>), or with
     the sets themselves (binary, sorted 64-bit hashes) in place of the bands."""
     kept = [c for c in docs.columns if c != text]
@@ -148,8 +173,8 @@ def shingle_sets(docs: DataFrame, text: str = "text", with_sets: bool = False) -
                     last = binary_array(parts)
                 else:
                     full = size > 0
-                    keys = band_keys(minima(found, np.concatenate([starts[:-1][full], starts[-1:]]))) if full.any() else np.zeros((0, BANDS), np.uint64)
-                    offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
+                    keys = band_keys(minima(found, np.concatenate([starts[:-1][full], starts[-1:]]), bands)) if full.any() else np.zeros((0, bands), np.uint64)
+                    offsets = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
                     last = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.astype(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(size), key, last], [*kept, *(f.name for f in added)])
 
@@ -193,7 +218,7 @@ def near_classes(docs: DataFrame, percent: int = 80, text: str = "text", doc_id:
     An empty table gives no rows; other columns of ``docs`` are left out.
     """
     keyed = docs.withColumns(row_keys(doc_id, text))
-    rows = written(shingle_sets(keyed.select(F.col(doc_id).alias("doc_id"), "_rg_id", "_rg_th", F.col(text).alias("text"))), "rows")
+    rows = written(shingle_sets(keyed.select(F.col(doc_id).alias("doc_id"), "_rg_id", "_rg_th", F.col(text).alias("text")), bands=bands_for(percent)), "rows")
     sets = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("_rg_id", "_rg_th")).alias("rep"), F.first("bands").alias("bands"))
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 

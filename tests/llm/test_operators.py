@@ -392,6 +392,25 @@ def test_estimates():
     assert abs(dedup_near.estimate(fields)[0] - 1600 / 2400) < 0.2
 
 
+def test_bands_fit_the_threshold():
+    """Of 60,000 pairs that share 8 of 10 values all have a band in common at 80; with the 24 bands of 85 some have none."""
+    assert dedup_near.bands_for(85) == dedup_near.BANDS
+    assert all((1 - (p / 100) ** dedup_near.ROWS) ** dedup_near.bands_for(p) <= dedup_near.MISS for p in range(50, 100))
+    rng = np.random.default_rng(80)
+    values = rng.integers(0, 2**64, (60_000, 10), dtype=np.uint64)
+    a, b = np.sort(values[:, :9]), np.sort(np.delete(values, 8, axis=1))
+    starts = np.arange(0, 9 * len(values) + 1, 9)
+
+    def apart(bands):
+        one, other = (dedup_near.band_keys(dedup_near.minima(x.ravel(), starts, bands)) for x in (a, b))
+        return np.flatnonzero(~(one == other).any(1))
+
+    missed = apart(dedup_near.BANDS)
+    assert len(missed) and not len(apart(dedup_near.bands_for(80)))
+    for i in missed:
+        assert dedup_near.block_links(np.array([5, 6]), np.array([0, 0]), [a[i], b[i]], 80) == [(5, 6)]
+
+
 def test_links_across_blocks():
     rng = np.random.default_rng(7)
     base = np.sort(rng.integers(1, 2**63, 200, dtype=np.uint64))
