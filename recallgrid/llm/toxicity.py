@@ -2,9 +2,9 @@
 
 The models spell words: they give each byte of a word the probability that it follows the up to ``ORDER`` - 1 bytes before it in
 the word, so that invented forms of an insult count like the insult. Orders above ``SHARED`` are counted by class; the
-orders below, to which rare expressions back off, are shared. What is compared is the log-likelihood of either model,
-divided by the length: over the whole text and over its passages of ``PASSAGE`` words. Three such figures go into a
-logistic scale that is fitted on labelled texts which were not counted.
+orders from there down, to which rare expressions back off, are counted over both classes together. What is compared is the
+log-likelihood of either model, divided by the length: over the whole text, over its passages of ``PASSAGE`` words and over
+its words. These three figures go into a logistic scale that is fitted on labelled texts which were not counted.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ from pyspark.sql import types as T
 from ._common import flat, released, slices
 from ._text import LOWER, SPACE, mix, prefix_hash, span_hash
 
-ORDER, SHARED = 6, 1
+ORDER, SHARED = 6, 3
 PASSAGE = 4
 #: Labelled texts that are learned from, at most (those whose id has the smallest hashes), and how much text in all.
 MAX_LABELLED, MAX_LABELLED_BYTES = 16_000, 64 << 20
 #: Of so many labelled texts one serves to fit the scale.
 FOLDS = 4
+#: The probability of a byte of which nothing is known.
+BYTES = 1 / 256
 
 _PARTS = SPACE.copy()
 _PARTS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -96,40 +98,44 @@ class Model:
 
     def __init__(self, size: np.ndarray, gram: np.ndarray, counts: np.ndarray):
         """``counts``: a row of two for each n-gram."""
-        self.levels = []
         here = {n: (gram[size == n], counts[size == n]) for n in range(2, ORDER + 1)}
         key, count = here[ORDER]
+        levels = []
         for n in range(ORDER, 0, -1):
             order = np.argsort(key, kind="stable")
             key, count = key[order], count[order]
-            pooled = count.sum(1, keepdims=True) if n <= SHARED else count
-            once, twice = (pooled == 1).sum(), (pooled == 2).sum()
+            if n == SHARED == ORDER:
+                count = count.sum(1, keepdims=True)
+            once, twice = (count == 1).sum(), (count == 2).sum()
             discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
             context, first, of = np.unique(key >> 8, return_index=True, return_inverse=True)
-            total = np.add.reduceat(pooled, first) if len(first) else pooled[:0]
-            kinds = np.add.reduceat((pooled > 0).astype(np.int64), first) if len(first) else pooled[:0]
+            total = np.add.reduceat(count, first) if len(first) else count[:0]
+            kinds = np.add.reduceat((count > 0).astype(np.int64), first) if len(first) else count[:0]
             # What a class leaves of a context to the order below: all, where it has not seen the context.
             left = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            own = np.maximum(pooled - discount, 0) / np.maximum(total[of], 1)
-            self.levels.append((n, key, own, of, context, left))
+            own = np.maximum(count - discount, 0) / np.maximum(total[of], 1)
+            levels.append((n, key, own, of, context, left))
             if n > 1:
-                # Lower orders count the bytes that came before an n-gram, by class; at the start of a word, its uses.
+                # Lower orders count the bytes that came before an n-gram: by class, or in either; at the start of a word, its uses.
                 lower, at = np.unique(key & ((1 << (8 * (n - 1))) - 1), return_inverse=True)
-                follow = np.stack([np.bincount(at, count[:, c] > 0, len(lower)) for c in (0, 1)], 1).astype(np.int64)
-                starts = here.get(n - 1, (lower[:0], follow[:0]))
-                key, at = np.unique(np.concatenate([lower, starts[0]]), return_inverse=True)
-                count = np.stack([np.bincount(at, np.concatenate([follow[:, c], starts[1][:, c]]), len(key)) for c in (0, 1)], 1).astype(np.int64)
+                start, uses = here.get(n - 1, (lower[:0], np.zeros((0, 2), np.int64)))
+                before = count > 0
+                if n - 1 <= SHARED:
+                    before, uses = before.any(1, keepdims=True), uses.sum(1, keepdims=True)
+                key, to = np.unique(np.concatenate([lower, start]), return_inverse=True)
+                count = np.zeros((len(key), before.shape[1]), np.int64)
+                np.add.at(count, to[at], before)
+                np.add.at(count, to[len(lower) :], uses)
         #: From the highest order down: n-grams seen with their probabilities, contexts seen with what they leave.
-        below, known = np.full((1, 2), 1 / 257), np.zeros(1, np.int64)
-        for i in range(ORDER - 1, -1, -1):
-            n, key, own, of, context, left = self.levels[i]
+        self.levels = []
+        below, known = np.full((1, 2), BYTES), np.zeros(1, np.int64)
+        for n, key, own, of, context, left in reversed(levels):
             suffix = np.searchsorted(known, key & ((1 << (8 * (n - 1))) - 1))  # every suffix of an n-gram is an n-gram below
             known, below = key, own + left[of] * below[suffix]
-            self.levels[i] = (n, key, below, context, left)
+            self.levels.insert(0, (n, key, below, context, left))
 
-    def word_ratios(self, spelled: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word log P(toxic model) - log P(ordinary model), and the bytes it is over."""
-        owner, size, gram = _grams(spelled, where)
+    def probabilities(self, size: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """P(last byte | bytes before it) of each n-gram, in a column for each class."""
         p = np.ones((len(gram), 2))
         rest = np.arange(len(gram))
         for n, key, known, context, left in self.levels:
@@ -145,10 +151,15 @@ class Model:
             seen = context[c] == g
             p[miss[seen]] *= left[c[seen]]
             rest = np.concatenate([miss, rest[size[rest] < n]])
-        p[rest] /= 257
-        ratio = np.log(np.maximum(p[:, 1], 1e-12)) - np.log(np.maximum(p[:, 0], 1e-12))
+        p[rest] *= BYTES
+        return p
+
+    def word_ratios(self, spelled: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word log P(toxic model) - log P(ordinary model), and the bytes it is over."""
+        owner, size, gram = _grams(spelled, where)
+        p = np.log(np.maximum(self.probabilities(size, gram), 1e-12))
         n_words = len(where) - 1
-        return np.bincount(owner, ratio, n_words), np.bincount(owner, minlength=n_words)
+        return np.bincount(owner, p[:, 1] - p[:, 0], n_words), np.bincount(owner, minlength=n_words)
 
     def figures(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """For each text: the length-normalised ratio of the whole, of its most toxic passage and of its most toxic word."""
@@ -200,13 +211,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     fold = F.pmod(F.xxhash64(F.lit(3), "_rg_h"), F.lit(FOLDS))
     counted = count_grams(rows.where(fold != 0)).toArrow()
     model = Model(counted["size"].to_numpy(), counted["gram"].to_numpy(), np.stack([counted["ordinary"].to_numpy(), counted["toxic"].to_numpy()], 1))
-    shown = figures(rows.where(fold == 0).select("text", "toxic"), model).select("toxic", "figures").toArrow()
-    x = np.array(shown["figures"].to_pylist(), np.float64).reshape(-1, 3)
+    shown = figures(rows.where(fold == 0).select("text", "toxic"), model).select("toxic", "_rg_figures").toArrow()
+    x = np.array(shown["_rg_figures"].to_pylist(), np.float64).reshape(-1, 3)
     return model, fit_scale(x, shown["toxic"].to_numpy().astype(np.float64))
 
 
 def figures(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """``docs``, without the text unless ``keep_text``, with ``figures`` (three doubles)."""
+    """``docs``, without the text unless ``keep_text``, with ``_rg_figures`` (three doubles)."""
     kept = [c for c in docs.columns if keep_text or c != text]
     held = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # its size follows from the bound on labelled text
     return _map(docs, kept, held, text)
@@ -226,9 +237,9 @@ def _map(docs: DataFrame, kept: list[str], held, text: str) -> DataFrame:
             for batch in slices(whole, text):
                 found = model.figures(*flat(batch.column(text)))
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), 3).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "figures"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], [*kept, "_rg_figures"])
 
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("figures", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("_rg_figures", T.ArrayType(T.DoubleType()))])
     inner = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
     return inner.mapInArrow(released(kernel), schema)
 
@@ -239,8 +250,8 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     ``labels`` are all rows to learn from. Null and empty texts have figures of 0 and so the score of the scale's constant.
     Repeated rows score alike; without labels of both kinds all scores are below 0.5. Columns of these names are replaced.
     """
-    docs = docs.drop("score", "predicted", "figures")
+    docs = docs.drop("score", "predicted", "_rg_figures")
     model, scale = train(docs, labels, text, doc_id)
     rows = figures(docs, model, text, keep_text)
-    z = sum((F.col("figures")[k] * float(scale[k]) for k in range(3)), F.lit(float(scale[3])))
-    return rows.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("figures")
+    z = sum((F.col("_rg_figures")[k] * float(scale[k]) for k in range(3)), F.lit(float(scale[3])))
+    return rows.withColumn("score", 1 / (1 + F.exp(-z))).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("_rg_figures")

@@ -157,19 +157,94 @@ def test_keep_one(docs, rows, empty):
 # ---- toxicity -------------------------------------------------------------------------------------------------------------
 
 
+def spelled_words(rng, n):
+    """``n`` random words over four letters with a space around each, and where each starts."""
+    words = [bytes([32, *rng.integers(97, 101, rng.integers(1, 9)).tolist(), 32]) for _ in range(n)]
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
+
+
+def grams_of(rng, n):
+    spelled, where = spelled_words(rng, n)
+    owner, size, gram = toxicity._grams(spelled, where)
+    label = rng.integers(0, 3, n) == 0
+    key, back = np.unique(gram | (size << 48), return_inverse=True)
+    counts = np.stack([np.bincount(back, ~label[owner], len(key)), np.bincount(back, label[owner], len(key))], 1).astype(np.int64)
+    return key >> 48, key & ((1 << 48) - 1), counts
+
+
+class PlainSpelling:
+    """The same model from dictionaries of byte strings, by its recursive definition."""
+
+    def __init__(self, size, gram, counts):
+        grams = {int(g).to_bytes(6, "big")[-int(n) :]: tuple(c) for n, g, c in zip(size, gram, counts.tolist(), strict=True)}
+        self.level = {}
+        level = {g: c for g, c in grams.items() if len(g) == toxicity.ORDER}
+        for n in range(toxicity.ORDER, 0, -1):
+            n_classes = 1 if n <= toxicity.SHARED else 2
+            level = {g: (c if len(c) == n_classes else (sum(c),)) for g, c in level.items()}
+            flat_counts = [x for c in level.values() for x in c]
+            once, twice = flat_counts.count(1), flat_counts.count(2)
+            d = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
+            contexts = defaultdict(list)
+            for g, c in level.items():
+                contexts[g[:-1]].append(c)
+            self.level[n] = (level, contexts, d, n_classes)
+            before = defaultdict(list)
+            for g, c in level.items():
+                before[g[1:]].append(c)
+            to = 1 if n - 1 <= toxicity.SHARED else 2
+            level = {g: tuple(sum(any(c) if to == 1 else c[k] > 0 for c in cs) for k in range(to)) for g, cs in before.items()}
+            for g, c in grams.items():
+                if len(g) == n - 1:
+                    level[g] = tuple(x + y for x, y in zip(level.get(g, (0,) * to), c if to == 2 else (sum(c),), strict=True))
+
+    def p(self, gram, cls, n=None):
+        n = len(gram) if n is None else n
+        if n == 0:
+            return 1 / 256
+        g = gram[len(gram) - n :]
+        level, contexts, d, n_classes = self.level[n]
+        k = cls if n_classes == 2 else 0
+        below = self.p(gram, cls, n - 1)
+        here = [c[k] for c in contexts.get(g[:-1], [])]
+        if not sum(here):
+            return below
+        return (max(level.get(g, (0,) * n_classes)[k] - d, 0) + d * sum(x > 0 for x in here) * below) / sum(here)
+
+
 def test_probabilities_sum_to_one():
+    """Over all 256 next bytes, after contexts of every length that were seen and some that were not, in both classes."""
     rng = np.random.default_rng(4)
-    spelled = np.concatenate([np.concatenate([[32], rng.integers(97, 101, rng.integers(1, 7)), [32]]) for _ in range(50)]).astype(np.uint8)
-    where = np.concatenate([[0], np.flatnonzero(spelled == 32)[1::2] + 1])
+    model = toxicity.Model(*grams_of(rng, 300))
+    spelled, where = spelled_words(rng, 60)
     _, size, gram = toxicity._grams(spelled, where)
-    key, back = np.unique(gram | (size << 48), return_inverse=True)
-    counts = np.stack([np.bincount(back, np.arange(len(back)) % 3 > 0, len(key)), np.bincount(back, np.arange(len(back)) % 3 == 0, len(key))], 1).astype(np.int64)
-    model = toxicity.Model(key >> 48, key & ((1 << 48) - 1), counts)
-    n, keys, count, context, total, mass = model.levels[-1]
-    for c in range(2):
-        seen = total[:, c] > 0
-        direct = np.bincount(np.searchsorted(context, keys >> 8), count[:, c], len(context))
-        assert np.allclose((direct + mass[:, c])[seen], total[:, c][seen], atol=1e-6) or (direct + mass[:, c])[seen].max() <= total[:, c][seen].max() + 1
+    for n, g in {(int(n), int(g) >> 8) for n, g in zip(size, gram, strict=True)}:
+        p = model.probabilities(np.full(256, n), np.arange(256) | (g << 8))
+        assert np.allclose(p.sum(0), 1, atol=1e-9) and (p > 0).all()
+
+
+@pytest.mark.parametrize(("seed", "n"), [(5, 400), (6, 12), (7, 0)])
+def test_spelling_equals_a_plain_one(seed, n):
+    rng = np.random.default_rng(seed)
+    trained = grams_of(rng, n)
+    model, plain = toxicity.Model(*trained), PlainSpelling(*trained)
+    spelled, where = spelled_words(rng, 80)
+    owner, size, gram = toxicity._grams(spelled, where)
+    p = model.probabilities(size, gram)
+    want = np.array([[plain.p(int(g).to_bytes(6, "big")[-int(k) :], c) for c in (0, 1)] for k, g in zip(size, gram, strict=True)])
+    assert np.allclose(p, want, rtol=1e-9)
+    ratio, n_bytes = model.word_ratios(spelled, where)
+    assert np.allclose(ratio, np.bincount(owner, np.log(want[:, 1] / want[:, 0]), len(where) - 1), atol=1e-9) and (n_bytes == np.diff(where) - 1).all()
+    data, bounds = np.delete(spelled, where[1:-1]), np.array([0, len(spelled) - len(where) + 2])  # one space between words
+    figures = model.figures(data, bounds)
+    assert np.isclose(figures[0, 0], ratio.sum() / n_bytes.sum(), atol=1e-9)
+
+
+def test_labels_that_repeat_or_disagree(spark, docs):
+    """A label row that is there twice counts twice; an id with both labels is an example of both; neither breaks a score."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 1), (1, 1), (2, 0), (2, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs, labels).toPandas()
+    assert len(got) == docs.count() and got.score.between(0, 1).all() and (got.predicted == (got.score >= 0.5)).all()
 
 
 def test_toxic_words_are_learned(spark):
