@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at a time.
 SLICE_BYTES = 1 << 20
+#: Bytes of text for each part of what is gathered from it.
+PART_BYTES, PARTS, LARGE_PART_BYTES = 16 << 20, 20_000, 512 << 20
 #: Rows of an Arrow batch.
 BATCH_ROWS = 500
 
@@ -60,6 +62,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts_for(docs: DataFrame, text: str) -> int:
+    """How many parts what is gathered from texts is dealt into: one for each ``PART_BYTES`` of text, from ``PARTS`` parts on for each
+    ``LARGE_PART_BYTES``; as many as the session's shuffle partitions at least."""
+    n_bytes = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    least = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(least, min(n_bytes // PART_BYTES, PARTS), n_bytes // LARGE_PART_BYTES)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``max_bytes`` of ``column`` each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

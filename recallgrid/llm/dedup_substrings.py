@@ -5,16 +5,19 @@ Equal windows pick the same place, so only windows with the same anchor bytes ne
 times and never shuffled:
 
 1. the anchor hashes are counted; those that occur again are kept as sorted arrays in the shared folder;
-2. for those, the bytes around the anchor that its windows cover (a context) are sent by anchor hash, each once from a
-   task. Contexts that are equal are repeated as a whole. Different contexts of one hash are sorted from the anchor to the
-   right, and from it to the left, by mergesort; suffixes are compared by prefix polynomial hashes, whose binary search
-   finds the common extension in a logarithmic number of steps, and what is found is verified byte by byte. The
+2. for those, the bytes around the anchor that its windows cover (a context) are written, each once from a task, and sent by
+   anchor hash. Contexts that are equal are repeated as a whole. Different contexts of one hash are sorted from the anchor
+   to the right, and from it to the left, by mergesort; suffixes are compared by prefix polynomial hashes, whose binary
+   search finds the common extension in a logarithmic number of steps, and what is found is verified byte by byte. The
    neighbours in both orders give the repeated windows; where a third context could give more, all windows of the hash
    are compared by their hashes;
 3. the windows found repeated, kept as sorted arrays by context, are looked up and their bytes removed.
 
-An anchor hash with more than ``MANY`` occurrences (a passage that stands in a large part of the corpus) isn't sent to one task:
-its windows are counted one by one, by digests of their bytes, which tasks sum before they are shuffled.
+An anchor hash with more than ``MANY`` occurrences (a passage that stands in a large part of the corpus) isn't sorted by one
+task. Its equal contexts are first made one. The different ones are dealt out by ranges of both orders (the bytes from the
+anchor on, then those before it, and the reverse), so that no range has more than its share however many contexts agree on
+one side; each range is sorted as above, and the neighbours across the ends of ranges are compared in a step of their
+own. Windows for which a third context could give more are counted by digests of 128 bits, packed into blocks.
 
 Passages are found alike, in words: each word is a code of ``CODE`` bytes, and windows and anchors start at codes only.
 """
@@ -26,13 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrays import BLOCK, blocks, mapped, merged, save, summed
-from ._common import binary_array, flat, new_path, released, slices
+from ._common import binary_array, flat, new_path, parts_for, released, slices, written
 from ._text import mix, powers, prefix_hash, span_hash, words
 
 LENGTH, GRAM = 400, 64
@@ -42,6 +46,8 @@ MANY = 2000
 WORDS, CODE, GRAM_WORDS = 49, 8, 8
 #: Bytes of contexts that are sorted together, hashes gathered before a block is made, bytes a task remembers to send once.
 SORT_BYTES, BLOCK_HASHES, REMEMBER_BYTES = 1 << 20, 2_000_000, 16 << 20
+#: Bytes of contexts in a range of an order that is split.
+RANGE_BYTES = 4 << 20
 
 
 class Anchors:
@@ -234,6 +240,15 @@ class Contexts:
         out[differ] = self.buffer[self.at[i[differ]] + step] < self.buffer[self.at[j[differ]] + step]
         return out
 
+    def before(self, i: np.ndarray, j: np.ndarray, forward: bool) -> np.ndarray:
+        """Whether ``i`` stands before ``j`` in the order of one side and, where that side is equal, of the other."""
+        out = self.less(i, j, forward)
+        side = self.right if forward else self.left
+        tied = np.flatnonzero(~out & (side[i] == side[j]))
+        tied = tied[self.extension(i[tied], j[tied], forward) == side[i[tied]]]
+        out[tied] = self.less(i[tied], j[tied], not forward)
+        return out
+
     def sort(self, forward: bool) -> np.ndarray:
         """The contexts of each group in the order of their suffixes (or reversed prefixes): a mergesort, all groups at a
         time. Runs are merged by ranking each member of one in the other by binary search."""
@@ -252,7 +267,7 @@ class Contexts:
                 mid = np.minimum((low + high) >> 1, end - 1)
                 other, own = order[mid], order[t]
                 # The earlier run stands before equals of the later one.
-                before = np.where(later, ~self.less(own, other, forward), self.less(other, own, forward))
+                before = np.where(later, ~self.before(own, other, forward), self.before(other, own, forward))
                 going = low < high
                 low = np.where(going & before, mid + 1, low)
                 high = np.where(going & ~before, mid, high)
@@ -271,6 +286,17 @@ class Contexts:
         equal = self.buffer[np.repeat(self.at[i] - left, n) + offset] == self.buffer[np.repeat(self.at[j] - left, n) + offset]
         return np.add.reduceat(equal, base) == n if len(n) else np.zeros(0, bool)
 
+    def neighbours(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of contexts of one group that stand next to each other, and the bytes they share before and from the anchor on;
+        what is long enough to matter has been compared byte by byte."""
+        one = np.flatnonzero(self.group[order[1:]] == self.group[order[:-1]]) if len(order) > 1 else np.zeros(0, np.int64)
+        i, j = order[one], order[one + 1]
+        right, left = self.extension(i, j, True), self.extension(i, j, False)
+        use = np.flatnonzero(left + right >= self.length)
+        for k in use[~self.same_bytes(i[use], j[use], left[use], right[use])].tolist():  # different bytes with one hash
+            left[k], right[k] = self._by_bytes(i[k], j[k])
+        return i, j, left, right
+
     def repeated(self) -> list[list[tuple[int, int]]]:
         """For each context the windows that another context of its group has too, as ranges of their starts in it."""
         m, length = len(self.at), self.length
@@ -279,16 +305,9 @@ class Contexts:
         best_left, best_right = np.zeros(m, np.int64), np.zeros(m, np.int64)
         spans = []
         for forward, best in ((True, best_right), (False, best_left)):
-            order = self.sort(forward)
-            one = np.flatnonzero(self.group[order[1:]] == self.group[order[:-1]]) if m > 1 else np.zeros(0, np.int64)
-            i, j = order[one], order[one + 1]
-            right, left = self.extension(i, j, True), self.extension(i, j, False)
+            i, j, left, right = self.neighbours(self.sort(forward))
             np.maximum.at(best, i, right if forward else left)
             np.maximum.at(best, j, right if forward else left)
-            use = left + right >= length
-            i, j, left, right = i[use], j[use], left[use], right[use]
-            for k in np.flatnonzero(~self.same_bytes(i, j, left, right)):  # different bytes with one hash
-                left[k], right[k] = self._by_bytes(i[k], j[k])
             spans += [(i, left, right), (j, left, right)]
         left_over = np.zeros(m, np.int64)
         cover = [np.concatenate(x) for x in zip(*spans, strict=True)] if spans else [np.zeros(0, np.int64)] * 3
@@ -343,7 +362,7 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_CONTEXT = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor_hash", "key", "check", "anchor", "times")] + [T.StructField("data", T.BinaryType())])
+_CONTEXT = T.StructType([T.StructField(n, T.LongType()) for n in ("anchor_hash", "key", "check", "anchor", "times")] + [T.StructField("often", T.BooleanType()), T.StructField("data", T.BinaryType())])
 
 
 def _signed(x: int) -> int:
@@ -351,7 +370,7 @@ def _signed(x: int) -> int:
 
 
 def _contexts(docs: DataFrame, text: str, anchors: Shelf, length: int, gram: int, many: int, step: int) -> DataFrame:
-    """Contexts of the anchors that occur again but not very often; each once from a task, with its occurrences."""
+    """Contexts of the anchors that occur again, each once from a task, with its occurrences; ``often``: over ``many`` of the anchor."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[int, int], list] = {}
@@ -361,19 +380,18 @@ def _contexts(docs: DataFrame, text: str, anchors: Shelf, length: int, gram: int
             rows = list(seen.items())
             columns = [[_signed(v[0]) for _, v in rows], [_signed(k[0]) for k, _ in rows], [_signed(k[1]) for k, _ in rows], [v[1] for _, v in rows], [v[2] for _, v in rows]]
             seen.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), binary_array([v[3] for _, v in rows])], _CONTEXT.names)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([v[4] for _, v in rows], pa.bool_()), binary_array([v[3] for _, v in rows])], _CONTEXT.names)
 
         for whole in batches:
             for batch in slices(whole, text):
                 data, bounds = _read(batch.column(text), step)
                 a, n = _anchors_again(anchors, data, bounds, length, gram, step)
-                a.only(n <= many)
                 view = data.tobytes()
-                for key, h, s, e, p in zip(_context_keys(a, view, length), a.hash.tolist(), a.first.tolist(), a.last.tolist(), a.place.tolist(), strict=True):
+                for key, h, s, e, p, often in zip(_context_keys(a, view, length), a.hash.tolist(), a.first.tolist(), a.last.tolist(), a.place.tolist(), (n > many).tolist(), strict=True):
                     if (was := seen.get(key)) is not None:
                         was[2] += 1
                     else:
-                        seen[key] = [h, p - s, 1, view[s : e + length]]
+                        seen[key] = [h, p - s, 1, view[s : e + length], often]
                         held += e + length - s
                 if held > REMEMBER_BYTES:
                     yield out()
@@ -388,6 +406,7 @@ _RANGES = "part int, key binary, check binary, n binary, ranges binary"
 
 def _repeated_windows(contexts: DataFrame, shelf: Shelf, length: int) -> DataFrame:
     """Blocks of contexts that have repeated windows: keys, the ranges of window starts and how many each has."""
+    names = ["anchor_hash", "key", "check", "anchor", "times", "data"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows: list[tuple]) -> pa.RecordBatch:
@@ -417,7 +436,6 @@ def _repeated_windows(contexts: DataFrame, shelf: Shelf, length: int) -> DataFra
             check = np.array([unique[i][2] for i in hit], np.int64).astype(np.uint64)
             return _range_blocks(shelf, key, check, [ranges[i] for i in hit])
 
-        names = ["anchor_hash", "key", "check", "anchor", "times", "data"]
         rows, held = [], 0
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
@@ -429,7 +447,7 @@ def _repeated_windows(contexts: DataFrame, shelf: Shelf, length: int) -> DataFra
         if rows:
             yield of(rows)
 
-    ordered = contexts.repartition("anchor_hash").sortWithinPartitions("anchor_hash", "key", "check")
+    ordered = contexts.select(*names).repartition(shelf.n_parts, "anchor_hash").sortWithinPartitions("anchor_hash", "key", "check")
     return ordered.mapInArrow(released(kernel), _RANGES)
 
 
@@ -463,49 +481,222 @@ def _write_ranges(made: DataFrame, shelf: Shelf) -> None:
         shelf.sizes[p] = (n, r)
 
 
-# ---- windows of very frequent anchors --------------------------------------------------------------------------------------
+# ---- the suffix sort of very frequent anchors, over many tasks -----------------------------------------------------------------
+
+_SIDES = "forward boolean, anchor_hash long, one binary, other binary, key long, check long, times long"
+_NEIGHBOURS = "anchor_hash long, key long, check long, times long, own_left int, own_right int, left int, right int, task int, last boolean, forward boolean, one binary, other binary"
+
+
+def _sides(hot: DataFrame) -> DataFrame:
+    """Each context twice, with what an order looks at first and next: the bytes from the anchor on, and those before it
+    backwards; and the reverse."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            anchors, data = batch.column("anchor").to_pylist(), batch.column("data").to_pylist()
+            right = binary_array([d[p:] for d, p in zip(data, anchors, strict=True)])
+            left = binary_array([d[:p][::-1] for d, p in zip(data, anchors, strict=True)])
+            rest = [batch.column(c) for c in ("key", "check", "times")]
+            for forward, one, other in ((True, right, left), (False, left, right)):
+                yield pa.RecordBatch.from_arrays([pa.array([forward] * batch.num_rows, pa.bool_()), batch.column("anchor_hash"), one, other, *rest], [n.split()[0] for n in _SIDES.split(", ")])
+
+    return hot.select("anchor_hash", "key", "check", "anchor", "times", "data").mapInArrow(released(kernel), _SIDES)
 
 
-def _window_keys(a: Anchors, view: bytes, length: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of all windows of the anchors, and the two halves of their digests."""
-    n = (a.last - a.first) // step + 1
-    start = np.repeat(a.first, n) + step * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
-    made = [xxhash.xxh3_128_digest(view[s : s + length]) for s in start.tolist()]
-    pair = np.frombuffer(b"".join(made), ">u8").reshape(-1, 2).astype(np.uint64)
-    return start, pair[:, 0], pair[:, 1]
+def _sided(forward: bool, one: list[bytes], other: list[bytes], anchor: list[int], length: int) -> Contexts:
+    """Contexts of one direction; ``anchor`` in ascending order of groups."""
+    data = [o[::-1] + x if forward else x[::-1] + o for x, o in zip(one, other, strict=True)]
+    size = np.array([len(d) for d in data], np.int64)
+    left = np.array([len(o if forward else x) for x, o in zip(one, other, strict=True)], np.int64)
+    group = np.unique(np.array(anchor, np.int64), return_inverse=True)[1]
+    return Contexts(np.frombuffer(b"".join(data), np.uint8), np.cumsum(size) - size, size, left, group, length)
 
 
-def _frequent_windows(docs: DataFrame, text: str, anchors: Shelf, shelf: Shelf, length: int, gram: int, many: int, step: int) -> None:
-    """Write the digests of the windows of frequent anchors that stand twice or more."""
+def _neighbours(hot: DataFrame, length: int, n_ranges: int) -> DataFrame:
+    """Rows of contexts and what they share with a neighbour in either order, one row with nothing for each; with a ``task``,
+    the first and the last context of a range in its order."""
+    names = [n.split()[0] for n in _NEIGHBOURS.split(", ")]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            keys, checks = [], []
-            for batch in slices(whole, text):
-                data, bounds = _read(batch.column(text), step)
-                a, n = _anchors_again(anchors, data, bounds, length, gram, step)
-                _, k, c = _window_keys(a.only(n > many), data.tobytes(), length, step)
-                keys.append(k)
-                checks.append(c)
-            both = np.stack([np.concatenate(keys), np.concatenate(checks)], 1) if keys else np.zeros((0, 2), np.uint64)
-            pairs, times = np.unique(both, axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64)), pa.array(times)], ["key", "check", "times"])
+        from pyspark import TaskContext
 
-    counted = docs.select(text).mapInArrow(released(kernel), "key long, check long, times long").groupBy("key", "check").agg(F.sum("times").alias("times")).where("times > 1")
+        task = TaskContext.get().partitionId()
+        table = pa.Table.from_batches(list(batches))  # a range has about RANGE_BYTES
+        for forward in (True, False):
+            part = table.filter(pa.compute.equal(table["forward"], forward)).sort_by("anchor_hash") if len(table) else table
+            if not len(part):
+                continue
+            made = _sided(forward, part["one"].to_pylist(), part["other"].to_pylist(), part["anchor_hash"].to_pylist(), length)
+            order = made.sort(forward)
+            i, j, left, right = made.neighbours(order)
+            ends = order[[0, -1]]
+            alone = np.arange(len(order)) if forward else order[:0]
+            who = np.concatenate([i, j, alone, ends])
+            n = len(who) - 2
+            zero = np.zeros(len(alone) + 2, np.int64)
+            rows = part.take(pa.array(who)).combine_chunks()
+            nothing = [None] * n
+            columns = [
+                *(rows[c] for c in ("anchor_hash", "key", "check", "times")),
+                *(pa.array(x, pa.int32()) for x in (made.left[who], made.right[who], np.concatenate([left, left, zero]), np.concatenate([right, right, zero]))),
+                pa.array([*nothing, task, task], pa.int32()),
+                pa.array([*nothing, False, True], pa.bool_()),
+                pa.array([*nothing, forward, forward], pa.bool_()),
+                *(pa.concat_arrays([pa.nulls(n, pa.binary()), rows[c].combine_chunks().slice(n)]) for c in ("one", "other")),
+            ]
+            yield from pa.table(columns, names).combine_chunks().to_batches()
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Four rows at most for each range, in order; compares the last of one with the first of the next."""
+        before = None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if before is not None and not r["last"] and (before["forward"], before["anchor_hash"]) == (r["forward"], r["anchor_hash"]):
+                    both = (before, r)
+                    made = _sided(r["forward"], [x["one"] for x in both], [x["other"] for x in both], [0, 0], length)
+                    _, _, left, right = made.neighbours(np.arange(2))
+                    out += [x | {"left": int(left[0]), "right": int(right[0]), "task": None, "last": None, "forward": None, "one": None, "other": None} for x in both]
+                before = r if r["last"] else None
+            yield pa.RecordBatch.from_pylist(out, schema)
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(n.split()[0], kinds[n.split()[1]]) for n in _NEIGHBOURS.split(", ")])
+    ranged = _sides(hot).repartitionByRange(n_ranges, "forward", "anchor_hash", "one", "other")
+    found = written(ranged.mapInArrow(released(kernel), _NEIGHBOURS), "neighbours")
+    # Ranges go up with forward: all of one direction stand before those of the other, and a task may hold both.
+    ends = found.where("task IS NOT NULL").coalesce(1).sortWithinPartitions("task", "forward", "last")
+    return found.where("task IS NULL").unionByName(ends.mapInArrow(released(across), _NEIGHBOURS))
+
+
+_SPANS = "anchor_hash long, key long, check long, high int, low int, best int, found array<int>, open array<int>"
+
+
+def _spans(neighbours: DataFrame, length: int) -> DataFrame:
+    """For each context the offsets (bytes before the anchor) of windows found repeated, and of those a third context might
+    have: flat lists of first and last. ``low`` and ``best`` are the least and greatest offset that any other could share."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            columns = (batch.column(c).to_pylist() for c in ("times", "own_left", "own_right", "shared"))
+            for times, own_left, own_right, shared in zip(*columns, strict=True):
+                least, most = length - own_right, own_left
+                low = max(length - max(x["right"] for x in shared), least)
+                best = min(max(x["left"] for x in shared), most)
+                spans = [(max(length - x["right"], least), min(x["left"], most)) for x in shared]
+                found = [(least, most)] if times > 1 else _joined([s for s in spans if s[0] <= s[1]])
+                still, at = [], low
+                for a, b in found:
+                    if at < a:
+                        still += [at, min(a - 1, best)] if at <= best else []
+                    at = max(at, b + 1)
+                if at <= best:
+                    still += [at, best]
+                for o, v in zip(out, (most, low, best, [x for s in found for x in s], still), strict=True):
+                    o.append(v)
+            kinds = [pa.int32()] * 3 + [pa.list_(pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("anchor_hash", "key", "check")), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], [n.split()[0] for n in _SPANS.split(", ")])
+
+    # A context has two neighbours in each order.
+    grouped = neighbours.groupBy("anchor_hash", "key", "check", "times", "own_left", "own_right").agg(F.collect_list(F.struct("left", "right")).alias("shared"))
+    return grouped.mapInArrow(released(kernel), _SPANS)
+
+
+def _window_keys(view: bytes, starts: list[int], length: int, more: bytes) -> np.ndarray:
+    """The two halves of the digests of windows, in two columns; ``more`` counts too."""
+    made = [xxhash.xxh3_128_digest(view[s : s + length] + more) for s in starts]
+    return np.frombuffer(b"".join(made), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
+def _third_contexts(hot: DataFrame, spans: DataFrame, shelf: Shelf, length: int, step: int) -> DataFrame:
+    """``spans`` with all repeated windows in ``found``: those still open are compared by digest with all of their anchor."""
+    asked = spans.where("size(open) > 0").groupBy("anchor_hash").agg(F.min("low").alias("ask_low"), F.max("best").alias("ask_high"))
+    rows = spans.join(asked, "anchor_hash").join(hot.select("key", "check", "data"), ["key", "check"])
+    rows = written(rows.select("anchor_hash", "key", "check", "high", "low", "best", "found", "open", "ask_low", "ask_high", "data"), "open")
+
+    def windows(batch: pa.RecordBatch, opens: bool) -> Iterator[tuple[int, list[int], np.ndarray]]:
+        """For each row the offsets of its windows, all that others could ask for or only those open, and their digests."""
+        columns = (batch.column(c).to_pylist() for c in ("anchor_hash", "high", "low", "best", "open", "ask_low", "ask_high", "data"))
+        for k, (anchor, high, low, best, still, ask_low, ask_high, data) in enumerate(zip(*columns, strict=True)):
+            pairs = zip(still[::2], still[1::2], strict=True) if opens else [(max(low, ask_low), min(best, ask_high))]
+            offsets = [o for a, b in pairs for o in range(a, b + 1) if (high - o) % step == 0]
+            if offsets:
+                keys = np.concatenate([_window_keys(data, [high - o], length, anchor.to_bytes(8, "little", signed=True) + o.to_bytes(4, "little", signed=True)) for o in offsets])
+                yield k, offsets, keys
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [keys for _, _, keys in windows(batch, False)]
+            both = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
+            part = shelf.part_of(both[:, 0])
+            rows = [(p, both[part == p].tobytes()) for p in np.unique(part).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), binary_array([b for _, b in rows])], ["part", "keys"])
+
+    def write(table: pa.Table) -> pa.Table:
+        p = table["part"][0].as_py()
+        both = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64).reshape(-1, 2)
+        pairs, times = np.unique(both, axis=0, return_counts=True)  # contexts are different, so each has a window once
+        pairs = pairs[times > 1]
+        save(shelf.path(p, "key"), pairs[:, 0].astype("<u8"))
+        save(shelf.path(p, "check"), pairs[:, 1].astype("<u8"))
+        return pa.table({"part": pa.array([p], pa.int32()), "n": [len(pairs)]})
+
+    for p, n in rows.mapInArrow(released(packed), "part int, keys binary").groupBy("part").applyInArrow(write, "part int, n long").collect():
+        shelf.sizes[p] = (n,)
+
+    def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [list(zip(f[::2], f[1::2], strict=True)) for f in batch.column("found").to_pylist()]
+            asked = list(windows(batch, True))
+            if asked:
+                owner = np.repeat([k for k, _, _ in asked], [len(o) for _, o, _ in asked])
+                offset = np.concatenate([o for _, o, _ in asked])
+                keys = np.concatenate([x for _, _, x in asked])
+                for p, i, at in shelf.find(keys[:, 0]):
+                    n = shelf.sizes[p][0]
+                    key, check = shelf.array(p, "key", "<u8", n), shelf.array(p, "check", "<u8", n)
+                    while len(i):
+                        hit = check[at] == keys[i, 1]
+                        for k, o in zip(owner[i[hit]].tolist(), offset[i[hit]].tolist(), strict=True):
+                            found[k].append((o, o))
+                        i, at = i[~hit], at[~hit] + 1
+                        again = (at < n) & (key[np.minimum(at, n - 1)] == keys[i, 0])
+                        i, at = i[again], at[again]
+            lists = pa.array([[x for s in _joined(f) for x in s] for f in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "check", "high")), lists], ["key", "check", "high", "found"])
+
+    settled = spans.join(asked.select("anchor_hash"), "anchor_hash", "left_anti").select("key", "check", "high", "found")
+    return settled.unionByName(rows.mapInArrow(released(more), "key long, check long, high int, found array<int>"))
+
+
+def _often_repeated(contexts: DataFrame, shelf: Shelf, windows: Shelf, length: int, step: int) -> DataFrame | None:
+    """What ``_repeated_windows`` makes, for the contexts of very frequent anchors; None if there are none."""
+    hot = contexts.where("often").groupBy("anchor_hash", "key", "check", "anchor", "data").agg(F.sum("times").alias("times"))
+    hot = written(hot, "often")
+    n_bytes = hot.agg(F.sum(F.octet_length("data"))).first()[0]
+    if not n_bytes:
+        return None
+    spans = written(_spans(_neighbours(hot, length, max(1, -(-2 * n_bytes // RANGE_BYTES))), length), "spans")
+    if spans.where("size(open) > 0").isEmpty():
+        done = spans.select("key", "check", "high", "found")
+    else:
+        done = _third_contexts(hot, spans, windows, length, step)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, check = (batch.column(c).to_numpy().astype(np.uint64) for c in ("key", "check"))
-            yield _range_blocks(shelf, key, check, [[(0, 0)]] * len(key))
+            lists = [[(h - b, h - a) for a, b in zip(f[::2], f[1::2], strict=True)] for h, f in zip(batch.column("high").to_pylist(), batch.column("found").to_pylist(), strict=True)]
+            yield _range_blocks(shelf, key, check, lists)
 
-    _write_ranges(counted.select("key", "check").mapInArrow(released(parts), _RANGES), shelf)
+    return done.where("size(found) > 0").mapInArrow(released(kernel), _RANGES)
 
 
 # ---- pass 3 ----------------------------------------------------------------------------------------------------------------
 
 
 def _lookup(shelf: Shelf, key: np.ndarray, check: np.ndarray, start: np.ndarray, length: int, delta: np.ndarray) -> None:
-    """Add the byte ranges of the contexts (or windows) found on the shelf to ``delta``."""
+    """Add the byte ranges of the contexts found on the shelf to ``delta``."""
     for p, i, at in shelf.find(key):
         n, r = shelf.sizes[p]
         checks, to, ranges = shelf.array(p, "check", "<u8", n), shelf.array(p, "to", "<u8", n), shelf.array(p, "ranges", "<u2", 2 * r).reshape(-1, 2)
@@ -557,11 +748,13 @@ def remove_passages(docs: DataFrame, text: str = "text", n_words: int = WORDS, g
 def _removed(docs: DataFrame, text: str, length: int, gram: int, many: int, step: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_bytes")
-    folder, n_parts = new_path(spark, "repeats"), max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder, n_parts = new_path(spark, "repeats"), parts_for(docs, text)
     anchors = _repeated_anchors(docs, text, folder, n_parts, length, gram, step)
     contexts, windows = Shelf(folder, "context", n_parts), Shelf(folder, "window", n_parts)
-    _write_ranges(_repeated_windows(_contexts(docs, text, anchors, length, gram, many, step), contexts, length), contexts)
-    _frequent_windows(docs, text, anchors, windows, length, gram, many, step)
+    around = written(_contexts(docs, text, anchors, length, gram, many, step), "contexts")
+    found = _repeated_windows(around.where("NOT often"), contexts, length)
+    often = _often_repeated(around, contexts, windows, length, step)
+    _write_ranges(found if often is None else found.unionByName(often), contexts)
     names = docs.columns
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -570,15 +763,7 @@ def _removed(docs: DataFrame, text: str, length: int, gram: int, many: int, step
                 data, bounds = _read(batch.column(text), step)
                 view = data.tobytes()
                 delta = np.zeros(len(data) + 1, np.int64)
-                a, n = _anchors_again(anchors, data, bounds, length, gram, step)
-                often = n > many
-                if often.any():
-                    f = Anchors.__new__(Anchors)
-                    for name in ("doc", "place", "first", "last", "hash"):
-                        setattr(f, name, getattr(a, name)[often])
-                    start, key, check = _window_keys(f, view, length, step)
-                    _lookup(windows, key, check, start, length, delta)
-                a.only(~often)
+                a, _ = _anchors_again(anchors, data, bounds, length, gram, step)
                 keys = np.array(_context_keys(a, view, length), np.uint64).reshape(-1, 2)
                 _lookup(contexts, keys[:, 0], keys[:, 1], a.first, length, delta)
                 gone = np.cumsum(delta[:-1]) > 0
