@@ -1,11 +1,16 @@
 """Near duplicates by b-bit MinHash.
 
 A document is the set of its distinct word shingles. Equal sets are one node. Each node has bands of ``ROWS`` minima; nodes
-that share the minima of a band are candidates for each other. Candidates are brought together by the components of
-the graph of shared bands, once each, in blocks of bounded size. In a block the minima are kept by their low ``BITS`` bits,
+that share the minima of a band (a bucket) are candidates for each other. All minima are kept by their low ``BITS`` bits,
 packed into words; the number of equal fields, counted by bit operations and corrected for equality by chance, estimates
-the similarity. What is not clearly below the threshold is confirmed on the full sets. Links are reduced to a
-spanning forest within a block, and components of these are the classes of near duplicates.
+the similarity. What is not clearly below the threshold is confirmed on the full sets.
+
+1. The nodes of a bucket are compared with the least of them. Components of these links are classes, so that a group of
+   copies of any size is one class after as many comparisons as it has nodes.
+2. Only buckets with several classes are left. Their nodes are dealt into blocks of bounded size, those of a large class
+   apart, and blocks are compared with each other but for those of one class, first by signatures alone; the sets of
+   nodes with a pair that passes are then sent to the same blocks. Links are reduced to a spanning forest within a
+   block, and components of all links are the classes of near duplicates.
 
 The bands are as many as the threshold needs for a pair at it to share none with probability below ``MISS``: 24 bands of 5
 rows at a similarity of 0.85 (7.7e-7), 36 at 0.80 (6.2e-7). The estimate discards a pair at the threshold with probability
@@ -110,30 +115,32 @@ def least_fields(percent: int) -> int:
     return int(np.floor(n * q - DEVIATIONS * np.sqrt(n * q * (1 - q))))
 
 
-def block_links(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def _rest(i: int, root: np.ndarray, side: np.ndarray, size: np.ndarray, signature: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows after ``i`` of another class, and another side if there are two, that may be similar enough, and their fields."""
+    rest = np.arange(i + 1, len(root))
+    rest = rest[(root[rest] != root[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
+    if side.min() != side.max():
+        rest = rest[side[rest] != side[i]]
+    fields = equal_fields(signature[i], signature[rest], bands_for(percent) * ROWS)
+    return rest[fields >= least_fields(percent)], fields[fields >= least_fields(percent)]
+
+
+def block_links(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int, root: np.ndarray | None = None, signature: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among the rows of a block.
 
-    ``side``: 0 or 1; only rows on different sides are compared, unless all are on one.
+    ``side``: 0 or 1; only rows on different sides are compared, unless all are on one. ``root``: classes known before.
     """
     m = len(node)
+    if m < 2:
+        return []
     size = np.array([len(s) for s in sets], np.int64)
-    bands = bands_for(percent)
-    found = minima(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), bands) if m else np.zeros((0, bands * ROWS), np.uint64)
-    keys, signature, least = band_keys(found), signatures(found), least_fields(percent)
-    crossed = bool(side.min() != side.max())
-    root = np.arange(m)
+    if signature is None:
+        signature = signatures(minima(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), bands_for(percent)))
+    root = np.arange(m) if root is None else np.unique(root, return_inverse=True)[1]
     links = []
     for i in range(m - 1):
-        rest = np.arange(i + 1, m)
-        rest = rest[(root[rest] != root[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
-        if crossed:
-            rest = rest[side[rest] != side[i]]
-        rest = rest[(keys[rest] == keys[i]).any(1)]
-        if not len(rest):
-            continue
-        fields = equal_fields(signature[i], signature[rest], bands * ROWS)
-        order = np.argsort(-fields, kind="stable")
-        rest = rest[order][fields[order] >= least]
+        rest, fields = _rest(i, root, side, size, signature, percent)
+        rest = rest[np.argsort(-fields, kind="stable")]
         while len(rest):
             now, rest = rest[:32], rest[32:]
             both = np.array([_common(sets[i], sets[j]) for j in now], np.int64)
@@ -145,6 +152,23 @@ def block_links(node: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perc
     return links
 
 
+def passing(side: np.ndarray, size: np.ndarray, root: np.ndarray, signature: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a block have another, of another class, that their signatures don't rule out."""
+    out = np.zeros(len(size), bool)
+    for i in range(len(size) - 1):
+        rest, _ = _rest(i, root, side, size, signature, percent)
+        out[rest] = True
+        out[i] |= len(rest) > 0
+    return out
+
+
+def star_links(size: np.ndarray, sets: list[np.ndarray], signature: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of a block are linked to its first."""
+    rest, _ = _rest(0, np.arange(len(size)), np.zeros(len(size), int), size, signature, percent)
+    both = np.array([_common(sets[0], sets[j]) for j in rest], np.int64)
+    return rest[100 * both >= percent * (size[rest] + size[0] - both)]
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> int:
     """How many values two sorted arrays of distinct values share."""
     if len(a) > len(b):
@@ -156,10 +180,10 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 def shingle_sets(docs: DataFrame, text: str = "text", with_sets: bool = False, bands: int = BANDS) -> DataFrame:
     """``docs`` without the text, with ``n_shingles``, ``set_key`` (digest; null if empty) and ``bands`` (array<long>), or with
-    the sets themselves (binary, sorted 64-bit hashes) in place of the bands."""
+    ``signature`` (binary) and the sets themselves (binary, sorted 64-bit hashes) in place of the bands."""
     kept = [c for c in docs.columns if c != text]
     added = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType())]
-    added.append(T.StructField("shingles", T.BinaryType()) if with_sets else T.StructField("bands", T.ArrayType(T.LongType())))
+    added += [T.StructField("signature", T.BinaryType()), T.StructField("shingles", T.BinaryType())] if with_sets else [T.StructField("bands", T.ArrayType(T.LongType()))]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,44 +193,105 @@ def shingle_sets(docs: DataFrame, text: str = "text", with_sets: bool = False, b
                 raw = found.astype("<u8").tobytes()
                 parts = [raw[8 * a : 8 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 key = pa.array([xxhash.xxh3_128_digest(p) if p else None for p in parts], pa.binary())
+                full = size > 0
+                least = minima(found, np.concatenate([starts[:-1][full], starts[-1:]]), bands) if full.any() else np.zeros((0, bands * ROWS), np.uint64)
                 if with_sets:
-                    last = binary_array(parts)
+                    signed = iter(signatures(least).astype("<u8"))
+                    last = [binary_array([next(signed).tobytes() if f else b"" for f in full.tolist()]), binary_array(parts)]
                 else:
-                    full = size > 0
-                    keys = band_keys(minima(found, np.concatenate([starts[:-1][full], starts[-1:]]), bands)) if full.any() else np.zeros((0, bands), np.uint64)
                     offsets = np.concatenate([[0], np.cumsum(full * bands)]).astype(np.int32)
-                    last = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.astype(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(size), key, last], [*kept, *(f.name for f in added)])
+                    last = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(least).astype(np.int64).ravel()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(size), key, *last], [*kept, *(f.name for f in added)])
 
     schema = T.StructType([*(docs.schema[c] for c in kept), *added])
     return docs.select(*[F.col(f"`{c}`") for c in kept], text).mapInArrow(released(kernel), schema)
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) among ``members`` (``root``, ``left``, ``right``, ``block``, ``node``, ``shingles``) of one task each."""
+def _by_task(batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """The rows of each key, one after another; the batches are sorted by the keys."""
+    open_key, rows = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in (*keys, *values)]
+        for r in zip(*columns, strict=True):
+            if r[: len(keys)] != open_key:
+                if len(rows) > 1:
+                    yield open_key, rows
+                open_key, rows = r[: len(keys)], []
+            rows.append(r[len(keys) :])
+    if len(rows) > 1:
+        yield open_key, rows
+
+
+def _signed(rows: list[tuple], k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[k] for r in rows), "<u8").reshape(len(rows), -1)
+
+
+def _star(buckets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) between the least node of a bucket and others of it. A leader of many is sent to several tasks."""
+    leaders = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    pairs = buckets.join(leaders, "key").where("node <> a").select("a", "node").distinct()
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    followers = pairs.join(blocks, "a").select("a", "node", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.lit(1).alias("place"))
+    leading = blocks.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("place"))
+    rows = followers.unionByName(leading).join(members.select("node", "n_shingles", "signature", "shingles"), "node")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(rows: list[tuple]) -> pa.RecordBatch:
-            unique = {r[4]: r for r in rows}  # rows repeated in full come more than once
-            rows = [unique[k] for k in sorted(unique)]
-            sets = [np.frombuffer(r[5], "<u8") for r in rows]
-            links = block_links(np.array([r[4] for r in rows]), np.array([r[3] != r[1] for r in rows]), sets, percent)
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
-
-        open_key, rows = None, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("root", "left", "right", "block", "node", "shingles")]
-            for r in zip(*columns, strict=True):
-                if r[:3] != open_key:
-                    if len(rows) > 1:
-                        yield of(rows)
-                    open_key, rows = r[:3], []
-                rows.append(r)
-        if len(rows) > 1:
-            yield of(rows)
-
-    ordered = members.repartition("root", "left", "right").sortWithinPartitions("root", "left", "right", "node")
-    return ordered.select("root", "left", "right", "block", "node", "shingles").mapInArrow(released(kernel), "a long, b long")
+        for (a, _), rows in _by_task(batches, ["a", "block"], ["place", "node", "n_shingles", "signature", "shingles"]):
+            if rows[0][0] != 0:
+                continue
+            hit = star_links(np.array([r[2] for r in rows]), [np.frombuffer(r[4], "<u8") for r in rows], _signed(rows, 3), percent).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([a] * len(hit), pa.int64()), pa.array([rows[j][1] for j in hit], pa.int64())], ["a", "b"])
+
+    ordered = rows.repartition("a", "block").sortWithinPartitions("a", "block", "place", "node")
+    return ordered.select("a", "block", "place", "node", "n_shingles", "signature", "shingles").mapInArrow(released(kernel), "a long, b long")
+
+
+def _blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(``key``, ``left``, ``right``, ``side``, ``node``, ``root``): the nodes of buckets that have several classes, once for
+    each pair of blocks they are compared in."""
+    placed = buckets.join(classes, "node").select("key", "node", "root")
+    per_class = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    small = F.col("c") <= BLOCK
+    per_key = per_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum(F.when(small, F.col("c")).otherwise(0)).alias("few")).where("classes > 1")
+    large = per_class.where(~small)
+    placed = placed.join(per_key.select("key", "few"), "key").join(large, ["key", "root"], "left")
+    # A block is (0, its number) where it has several classes, and (1 + class, its number) for a part of a large one.
+    own = F.when(F.col("c").isNull(), F.struct(F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("few") / BLOCK))).cast("long").alias("no")))
+    own = own.otherwise(F.struct(F.col("root").alias("of"), F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)).cast("long").alias("no")))
+    placed = written(placed.select("key", "node", "root", own.alias("own")), "placed")
+    lists = placed.groupBy("key").agg(F.collect_set("own").alias("all"))
+    others = F.filter("all", lambda q: q["of"].isNull() | F.col("own.of").isNull() | (q["of"] != F.col("own.of")))
+    rows = placed.join(lists, "key").select("key", "node", "root", "own", F.explode(others).alias("other"))
+    left, right = F.least("own", "other"), F.greatest("own", "other")
+    return rows.select("key", left.alias("left"), right.alias("right"), (F.col("own") != left).cast("int").alias("side"), "node", "root")
+
+
+def _across(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) between classes in the blocks of ``rows``."""
+    task = ["key", "left_of", "left_no", "right_of", "right_no"]
+    flatter = rows.select("key", "left.of", "left.no", F.col("right.of").alias("right_of"), F.col("right.no").alias("right_no"), "side", "node", "root")
+    flatter = flatter.withColumnRenamed("of", "left_of").withColumnRenamed("no", "left_no")
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([(c, pa.int64()) for c in task] + [("side", pa.int32()), ("node", pa.int64()), ("root", pa.int64())])
+        for key, found in _by_task(batches, task, ["side", "node", "root", "n_shingles", "signature"]):
+            side, node, root, size = (np.array([r[k] for r in found]) for k in range(4))
+            keep = np.flatnonzero(passing(side, size, root, _signed(found, 4), percent)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([x] * len(keep), pa.int64()) for x in key] + [pa.array([found[j][k] for j in keep], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], schema=kinds)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in _by_task(batches, task, ["side", "node", "root", "signature", "shingles"]):
+            side, node, root = (np.array([r[k] for r in found]) for k in range(3))
+            links = block_links(node, side, [np.frombuffer(r[4], "<u8") for r in found], percent, root, _signed(found, 3))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+
+    def dealt(rows: DataFrame, more: list[str]) -> DataFrame:
+        rows = rows.join(members.select("node", *more), "node").repartition(*task).sortWithinPartitions(*task, "node")
+        return rows.select(*task, "side", "node", "root", *more)
+
+    schema = "key long, left_of long, left_no long, right_of long, right_no long, side int, node long, root long"
+    kept = written(dealt(flatter, ["n_shingles", "signature"]).mapInArrow(released(passed), schema), "passing")
+    return dealt(kept, ["signature", "shingles"]).mapInArrow(released(kernel), "a long, b long")
 
 
 def near_classes(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -223,16 +308,20 @@ def near_classes(docs: DataFrame, percent: int = 80, text: str = "text", doc_id:
     sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
 
     buckets = sets.select("node", F.explode("bands").alias("key"))
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    near = components(buckets.join(leaders, "key").where("node <> a").select("a", F.col("node").alias("b")))
-    near = written(near, "near")
-    sized = near.join(near.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "root")
-    placed = sized.join(sets.select("node", "rep._rg_id", "rep._rg_th"), "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    texts = keyed.select("_rg_id", "_rg_th", F.col(text).alias("text")).join(placed, ["_rg_id", "_rg_th"])
-    made = shingle_sets(texts.select("root", "node", "block", "blocks", "text"), with_sets=True)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = made.select("root", "node", "block", "shingles", other).select("root", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "node", "shingles")
-    classes = components(_links(tasks, percent))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = written(buckets.join(shared, "key").select("key", "node"), "buckets")
+    near = sets.join(buckets.select("node").distinct(), "node").select("node", "rep._rg_id", "rep._rg_th")
+    texts = keyed.select("_rg_id", "_rg_th", F.col(text).alias("text")).join(near, ["_rg_id", "_rg_th"]).select("node", "text")
+    # Rows repeated in full give a node more than once.
+    members = written(shingle_sets(texts, with_sets=True, bands=bands_for(percent)).dropDuplicates(["node"]), "members")
+    links = written(_star(buckets, members, percent), "links")
+    first = written(components(links), "first")
+    classes = members.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    more = written(_across(_blocks(buckets, classes), members, percent), "links")
+    if not more.isEmpty():
+        classes = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    else:
+        classes = first
 
     ids = sets.select("set_key", "node", "rep._rg_id").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = written(ids, "classes")
