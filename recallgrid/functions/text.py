@@ -17,13 +17,16 @@ LICENSE = (
     r"(?im)^\s*MIT License\s*$",
     r"(?i)\ball rights reserved\b\.?\s*$",
 )
-REQUIREMENT = r"\b(?:hard rules|hard rule|constraints|constraint|requirement|mandatory|required|requires|hard cap|require|must)\b(?!\.[a-z0-9])"
+REQUIREMENT_WORDS = ("must", "require", "requires", "required", "requirement", "mandatory", "hard cap", "constraint", "constraints", "hard rule", "hard rules")
 PREFERENCE = ("prefer", "favorite", "always use", "never use", "i like", "i hate", "i want")
 TYPE_PRIORS = {"requirement": (9.0, 0.5), "correction": (9.0, 0.5), "preference": (7.0, 1.0), "factual": (3.0, 1.0)}
 DEFLATION, DEFLATED_FLOOR = 0.2, 0.5
 MIN_WORDS = 4
 MIN_SENTENCE = 10
 
+#: The longer of two words that begin alike comes first; a dot between letters is part of a name.
+REQUIREMENT = r"\b(?:" + "|".join(sorted(REQUIREMENT_WORDS, key=len, reverse=True)) + r")\b(?!\.[a-z0-9])"
+
 
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\r\n|\r|\n"), lambda line: F.trim(line) != "")

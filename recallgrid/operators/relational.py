@@ -58,11 +58,14 @@ def core(store: Store, corroborations: DataFrame, least_times: int = 2, least_ma
     return seen.where(is_locked | borne).select("id", F.when(is_locked, 0).otherwise(1).alias("tier"), F.round(mean, 6).alias("mean"))
 
 
-def phantom_gc(store: Store, cutoff: int, resolved: str = "RESOLVES") -> DataFrame:
-    """Speculative beliefs older than ``cutoff`` that no feedback but exposure touched and no edge resolved."""
-    old = store.active.where("type = 'speculative'").where(F.col("created_at") < cutoff)
-    touched = store.feedback.where("valence <> 0").select(F.col("belief_id").alias("id"))
-    settled = store.edges.where(F.col("type") == resolved).select(F.col("dst").alias("id"))
+def phantom_gc(store: Store, cutoff: int, alpha: float = 0.3, beta: float = 1.0, passive: str = "view") -> DataFrame:
+    """Phantoms older than ``cutoff`` that still have the evidence they began with, without feedback but exposure, and that no
+    RESOLVES edge touches at either end."""
+    old = store.active.where("type = 'speculative' AND origin = 'speculative'").where(F.col("created_at") < cutoff)
+    old = old.where((F.col("alpha") <= alpha + 1e-9) & (F.col("beta") <= beta + 1e-9))
+    touched = store.feedback.where(F.col("source") != passive).select(F.col("belief_id").alias("id"))
+    ends = store.edges.where("type = 'RESOLVES'")
+    settled = ends.select(F.col("src").alias("id")).unionByName(ends.select(F.col("dst").alias("id")))
     return old.join(touched, "id", "left_anti").join(settled, "id", "left_anti").select("id")
 
 
@@ -113,19 +116,23 @@ def unresolved_contradictions(store: Store) -> DataFrame:
     return contradicting_pairs(store).join(done, ["a", "b"], "left_anti")
 
 
-#: Precedence of origins when two beliefs contradict each other; a lock goes before all.
-_CLASS = {"user_stated": 1, "user_corrected": 2, "user_validated": 3, "user_transcript": 4}
+#: Precedence of origins when two beliefs contradict each other.
+_CLASS = {"user_stated": 6, "user_corrected": 5, "user_validated": 4, "user_transcript": 3, "agent_inferred": 1}
+
+
+def precedence() -> Column:
+    """The class of a belief in a contradiction: a lock counts as stated by the user; of other origins a correction is 5, the rest 2."""
+    rank = F.when(F.col("type") == "correction", 5).otherwise(2)
+    for origin, r in _CLASS.items():
+        rank = F.when(F.col("origin") == origin, r).otherwise(rank)
+    return F.when(F.col("lock_level") == "user", 6).otherwise(rank)
 
 
 def contradiction_winners(store: Store) -> DataFrame:
-    """Of each unresolved pair the belief that stays: by lock, class of origin, the later one, then the lesser id."""
+    """Of each unresolved pair the belief that stays: by class, then the later one, then the lesser id."""
 
     def side(name: str) -> DataFrame:
-        rank = F.lit(5)
-        for origin, r in _CLASS.items():
-            rank = F.when(F.col("origin") == origin, r).otherwise(rank)
-        rank = F.when(F.col("lock_level") != "none", 0).otherwise(rank)
-        return store.active.select(F.col("id").alias(name), F.struct(rank.alias("rank"), (-F.col("created_at")).alias("age"), "id").alias(f"_{name}"))
+        return store.active.select(F.col("id").alias(name), F.struct((-precedence()).alias("rank"), (-F.col("created_at")).alias("age"), "id").alias(f"_{name}"))
 
     rows = unresolved_contradictions(store).join(side("a"), "a").join(side("b"), "b")
     best, worst = F.least("_a", "_b"), F.greatest("_a", "_b")
@@ -232,7 +239,7 @@ def duplicate_groups(store: Store) -> DataFrame:
         F.min(F.struct("created_at", "id"))["id"].alias("survivor"),
         F.sum("alpha").alias("alpha"),
         F.sum("beta").alias("beta"),
-        F.max("lock_level").alias("lock_level"),
+        F.when(F.bool_or(F.col("lock_level") == "user"), "user").otherwise("none").alias("lock_level"),
         F.max(origin_rank(F.col("origin"))).alias("origin_rank"),
         F.max("last_retrieved_at").alias("last_retrieved_at"),
     )

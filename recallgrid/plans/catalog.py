@@ -2,53 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import graph, metrics, ordered, relational, retrieval, similarity
-from ..sources.model import Store, load, oracle_tables, table
+from ..sources.model import Store, oracle_tables, table
 from ..streaming import feedback as streams
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-BASE = 1704067200  # the time that the projected store's times count from
-MEAN = "CASE WHEN alpha + beta > 0 THEN alpha / (alpha + beta) ELSE 0.5 END"
-ASKED = (("q1", "the heation of thing"), ("q2", "de la eau que"), ("q3", "erst thand the idiot"), ("q4", "die der enpf"), ("q5", "los mente que"))
-
-
-def on_store(tables: str, sql: str | None):
-    """Register a query over the projected store. ``tables``: those that the SQL reads."""
-
-    def add(f: Callable[[Store], DataFrame]) -> Callable[[Store], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(load(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[f.__name__] = oracle_tables(*tables.split()) + "\n" + sql if tables else sql
-        return f
-
-    return add
-
-
-def on_tables(sql: str | None):
-    """Register a query over the test tables as they are."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def asked(store: Store) -> DataFrame:
-    return store.beliefs.sparkSession.createDataFrame(list(ASKED), "query_id string, query string")
-
-
-ASKED_SQL = "(VALUES " + ", ".join(f"('{i}', '{q}')" for i, q in ASKED) + ") AS asked(query_id, query)"
+from .registry import ASKED_SQL, BASE, MEAN, ORACLE_SQL, QUERIES, asked, on_store, on_tables
 
 # ---- listings -----------------------------------------------------------------------------------------------------------
 
@@ -100,11 +61,12 @@ def core_beliefs(s):
 
 @on_store(
     "beliefs edges feedback",
-    f"""SELECT id FROM beliefs WHERE valid_to IS NULL AND type = 'speculative' AND created_at < {BASE + 40000}
-    AND id NOT IN (SELECT belief_id FROM feedback WHERE valence <> 0) AND id NOT IN (SELECT dst FROM edges WHERE type = 'IMPLEMENTS')""",
+    f"""SELECT id FROM beliefs WHERE valid_to IS NULL AND type = 'speculative' AND origin = 'speculative' AND created_at < {BASE + 40000}
+    AND alpha <= 0.3 + 1e-9 AND beta <= 1.0 + 1e-9 AND id NOT IN (SELECT belief_id FROM feedback WHERE source <> 'view')
+    AND id NOT IN (SELECT src FROM edges WHERE type = 'RESOLVES' UNION SELECT dst FROM edges WHERE type = 'RESOLVES')""",
 )
 def phantom_gc(s):
-    return relational.phantom_gc(s, BASE + 40000, "IMPLEMENTS")
+    return relational.phantom_gc(s, BASE + 40000)
 
 
 @on_store("beliefs", "SELECT id, scope, project_context FROM beliefs WHERE valid_to IS NULL AND (coalesce(scope, 'project') <> 'project' OR project_context IN ('', 'p1'))")
@@ -159,7 +121,7 @@ def unresolved_contradictions(s):
     return relational.unresolved_contradictions(s)
 
 
-RANK = "CASE WHEN {0}.lock_level <> 'none' THEN 0 WHEN {0}.origin = 'user_stated' THEN 1 WHEN {0}.origin = 'user_corrected' THEN 2 WHEN {0}.origin = 'user_validated' THEN 3 WHEN {0}.origin = 'user_transcript' THEN 4 ELSE 5 END"
+RANK = "-(CASE WHEN {0}.lock_level = 'user' OR {0}.origin = 'user_stated' THEN 6 WHEN {0}.origin = 'user_corrected' THEN 5 WHEN {0}.origin = 'user_validated' THEN 4 WHEN {0}.origin = 'user_transcript' THEN 3 WHEN {0}.origin = 'agent_inferred' THEN 1 WHEN {0}.type = 'correction' THEN 5 ELSE 2 END)"
 
 
 @on_store(
@@ -303,7 +265,7 @@ def confidence_buckets(s):
 
 @on_store(
     "beliefs",
-    """SELECT content_hash, count(*) AS n, (min((created_at, id)))[2] AS survivor, sum(alpha) AS alpha, sum(beta) AS beta, max(lock_level) AS lock_level,
+    """SELECT content_hash, count(*) AS n, (min((created_at, id)))[2] AS survivor, sum(alpha) AS alpha, sum(beta) AS beta, CASE WHEN bool_or(lock_level = 'user') THEN 'user' ELSE 'none' END AS lock_level,
     max(CASE origin WHEN 'user_stated' THEN 6 WHEN 'user_corrected' THEN 5 WHEN 'user_validated' THEN 4 WHEN 'user_transcript' THEN 3 WHEN 'agent_inferred' THEN 1 ELSE 2 END) AS origin_rank,
     max(last_retrieved_at) AS last_retrieved_at FROM beliefs GROUP BY content_hash HAVING count(*) > 1""".replace("(min((created_at, id)))[2]", "arg_min(id, (created_at, id))"),
 )
@@ -583,7 +545,7 @@ def conversation_overlap(s):
 
 # ---- graph ------------------------------------------------------------------------------------------------------------------
 
-WALK_SQL = "CASE type WHEN 'SUPERSEDES' THEN 0.90 WHEN 'CONTRADICTS' THEN 0.85 WHEN 'DERIVED_FROM' THEN 0.70 WHEN 'IMPLEMENTS' THEN 0.65 WHEN 'SUPPORTS' THEN 0.60 WHEN 'CITES' THEN 0.40 WHEN 'RELATES_TO' THEN 0.30 ELSE 0 END"
+WALK_SQL = "CASE type WHEN 'SUPERSEDES' THEN 0.90 WHEN 'CONTRADICTS' THEN 0.85 WHEN 'DERIVED_FROM' THEN 0.70 WHEN 'IMPLEMENTS' THEN 0.65 WHEN 'SUPPORTS' THEN 0.60 WHEN 'TESTS' THEN 0.55 WHEN 'CITES' THEN 0.40 WHEN 'RELATES_TO' THEN 0.30 WHEN 'TEMPORAL_NEXT' THEN 0.25 ELSE 0 END"
 REACH = f""", e AS (SELECT CASE WHEN type = 'SUPERSEDES' THEN dst ELSE src END AS src, CASE WHEN type = 'SUPERSEDES' THEN src ELSE dst END AS dst, CAST({WALK_SQL} AS DOUBLE) AS w FROM edges),
     g AS (SELECT src, dst, w FROM e JOIN beliefs ON id = dst WHERE valid_to IS NULL AND w > 0), s AS (SELECT id AS seed FROM beliefs WHERE seq % 50 = 0),
     h1 AS (SELECT seed, dst AS node, w AS score FROM s JOIN g ON src = seed WHERE w >= 0.1), h2 AS (SELECT seed, dst AS node, score * w AS score FROM h1 JOIN g ON src = node WHERE score * w >= 0.1),
@@ -606,8 +568,8 @@ def multi_hop_top(s):
 
 @on_store(
     "edges feedback",
-    """SELECT dst AS id, round(sum(v * CASE type WHEN 'SUPPORTS' THEN 1.0 WHEN 'CITES' THEN 0.5 WHEN 'CONTRADICTS' THEN -0.5 WHEN 'RELATES_TO' THEN 0.3 WHEN 'DERIVED_FROM' THEN 0.5 WHEN 'IMPLEMENTS' THEN 0.65 END * 0.5), 6) AS delta
-    FROM edges JOIN (SELECT belief_id, sum(valence) AS v FROM feedback GROUP BY 1) f ON belief_id = src WHERE type <> 'SUPERSEDES' GROUP BY 1""",
+    """SELECT dst AS id, round(sum(v * CASE type WHEN 'SUPPORTS' THEN 1.0 WHEN 'CITES' THEN 0.5 WHEN 'CONTRADICTS' THEN -0.5 WHEN 'RELATES_TO' THEN 0.3 WHEN 'DERIVED_FROM' THEN 0.5 WHEN 'IMPLEMENTS' THEN 0.65 WHEN 'TEMPORAL_NEXT' THEN 0.2 WHEN 'TESTS' THEN 0.55 END * 0.5), 6) AS delta
+    FROM edges JOIN (SELECT belief_id, sum(valence) AS v FROM feedback GROUP BY 1) f ON belief_id = src WHERE type NOT IN ('SUPERSEDES', 'RESOLVES', 'POTENTIALLY_STALE') GROUP BY 1""",
 )
 def valence_propagation(s):
     return graph.propagate(s)
@@ -622,7 +584,7 @@ def marker_rerank(s):
     return graph.marker_rerank(s, graph.reachable(s, _seeds(s)), {"SUPERSEDES": 0.5, "CONTRADICTS": 0.8})
 
 
-LAPLACE = """, z AS (SELECT src, dst, weight * CASE type WHEN 'CONTRADICTS' THEN -1.0 WHEN 'SUPERSEDES' THEN -0.5 ELSE 1.0 END AS w FROM edges WHERE type <> 'IMPLEMENTS' AND src <> dst),
+LAPLACE = """, z AS (SELECT src, dst, weight * CASE type WHEN 'CONTRADICTS' THEN -1.0 WHEN 'SUPERSEDES' THEN -0.5 ELSE 1.0 END AS w FROM edges WHERE type IN ('SUPPORTS', 'CITES', 'RELATES_TO', 'DERIVED_FROM', 'CONTRADICTS', 'SUPERSEDES') AND src <> dst),
     w AS (SELECT i, j, sum(w) AS w FROM (SELECT src AS i, dst AS j, w FROM z UNION ALL SELECT dst, src, w FROM z) u GROUP BY 1, 2), d AS (SELECT i, sum(abs(w)) AS d FROM w GROUP BY 1),
     l AS (SELECT w.i, w.j, round(-w.w / sqrt(a.d * b.d), 6) AS v FROM w JOIN d a ON a.i = w.i JOIN d b ON b.i = w.j WHERE a.d > 0 AND b.d > 0)"""
 
@@ -802,10 +764,23 @@ def cohens_kappa(s):
     return metrics.kappa(s.beliefs.select("session_id", (F.col("alpha") >= 3).alias("x"), (F.col("seq") % 3 == 0).alias("y")), "session_id", "x", "y")
 
 
-@on_store("", None)
+ANSWER = r"""list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda w: w <> '')"""
+
+
+@on_store(
+    "turns",
+    f""", x AS (SELECT conv_id * 100 + turn AS id, {ANSWER.format("text")} AS p, {ANSWER.format("lead(text) OVER (PARTITION BY conv_id ORDER BY turn)")} AS t FROM turns QUALIFY lead(text) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL),
+    w AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(p) AS w FROM x) a GROUP BY 1, 2), v AS (SELECT id, w, count(*) AS n FROM (SELECT id, unnest(t) AS w FROM x) a GROUP BY 1, 2),
+    c AS (SELECT id, sum(least(w.n, v.n)) AS same FROM w JOIN v USING (id, w) GROUP BY 1)
+    SELECT id, array_to_string(p, ' ') = array_to_string(t, ' ') AS exact, contains(array_to_string(p, ' '), array_to_string(t, ' ')) AS contains,
+    round(CASE WHEN len(p) + len(t) > 0 THEN 2.0 * coalesce(same, 0) / (len(p) + len(t)) ELSE 1.0 END, 6) AS f1 FROM x LEFT JOIN c USING (id)""",
+)
 def answer_scores(s):
-    first = s.turns.where("turn = 0").select("conv_id", F.col("text").alias("a"))
-    return metrics.answers(first.join(s.turns.where("turn = 1").select("conv_id", F.col("text").alias("b")), "conv_id"), "conv_id", "a", "b")
+    """Every turn held against the one after it."""
+    from pyspark.sql import Window
+
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return metrics.answers(s.turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("text").alias("a"), after.alias("b")).where("b IS NOT NULL"), "id", "a", "b")
 
 
 # ---- streams ------------------------------------------------------------------------------------------------------------
@@ -831,9 +806,11 @@ def stream_answered_exposures(spark, sf_dir):
     return streams.run_available(streams.answered_exposures(streams.read(spark, sf_dir), streams.read(spark, sf_dir), 300_000, 7200), "answers")
 
 
-@on_tables(FEEDBACK + " SELECT * FROM feedback")
+@on_tables(FEEDBACK + " SELECT DISTINCT * FROM (SELECT * FROM feedback UNION ALL SELECT * FROM feedback WHERE valence <> 0) q")
 def stream_first_in_window(spark, sf_dir):
-    return streams.run_available(streams.first_in_window(streams.read(spark, sf_dir), 7200), "first")
+    """A log in which every row with a valence was delivered twice."""
+    log = streams.read(spark, sf_dir)
+    return streams.run_available(streams.first_in_window(log.unionByName(streams.read(spark, sf_dir).where("valence <> 0")), 7200), "first")
 
 
 @on_tables(FEEDBACK + " SELECT session_id, feedback_id, row_number() OVER (PARTITION BY session_id ORDER BY feedback_id) AS fire_idx FROM feedback")

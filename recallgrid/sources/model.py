@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 PROJECTION = {
     "beliefs": """
         SELECT 'd' || d.doc_id AS id, d.doc_id AS seq, d.text AS content, {sha} AS content_hash,
-               CAST(1.0 + 2.0 * coalesce(l.quality, 0) + (d.doc_id % 7) * 0.5 AS DOUBLE) AS alpha,
-               CAST(1.0 + 2.0 * coalesce(l.toxic, 0) + (d.doc_id % 5) * 0.5 AS DOUBLE) AS beta,
+               CAST(CASE WHEN d.doc_id % 40 = 9 THEN 0.3 ELSE 1.0 + 2.0 * coalesce(l.quality, 0) + (d.doc_id % 7) * 0.5 END AS DOUBLE) AS alpha,
+               CAST(CASE WHEN d.doc_id % 40 = 9 THEN 1.0 ELSE 1.0 + 2.0 * coalesce(l.toxic, 0) + (d.doc_id % 5) * 0.5 END AS DOUBLE) AS beta,
                CASE WHEN d.doc_id % 10 < 5 THEN 'factual' WHEN d.doc_id % 10 = 5 THEN 'correction'
                     WHEN d.doc_id % 10 < 8 THEN 'preference' WHEN d.doc_id % 10 = 8 THEN 'requirement' ELSE 'speculative' END AS type,
                CASE WHEN d.doc_id % 29 = 0 THEN 'user' ELSE 'none' END AS lock_level,
@@ -31,20 +31,43 @@ PROJECTION = {
                CASE WHEN d.doc_id % 4 = 0 THEN '' ELSE 'p' || (d.doc_id % 3) END AS project_context,
                CASE WHEN d.doc_id % 53 = 0 THEN 1704067200 + d.doc_id * 60 + 86400 END AS valid_to,
                CASE WHEN d.doc_id % 3 > 0 THEN 1704067200 + d.doc_id * 60 + (d.doc_id % 1000) * 600 END AS last_retrieved_at,
-               CASE WHEN d.doc_id % 4 > 0 THEN 1704067200 + d.doc_id * 60 + (d.doc_id % 500) * 900 END AS last_confirmed_at
+               CASE WHEN d.doc_id % 4 > 0 THEN 1704067200 + d.doc_id * 60 + (d.doc_id % 500) * 900 END AS last_confirmed_at,
+               CASE d.doc_id % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'snapshot' WHEN 2 THEN 'transient' ELSE 'unknown' END AS retention_class
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "edges": """
-        SELECT 'd' || d.doc_id AS src, 'd' || ((d.doc_id * (29 + 2 * k.k) + 7 * k.k) % 1013) AS dst,
-               CASE (d.doc_id + k.k) % 8 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'CITES' WHEN 2 THEN 'CONTRADICTS' WHEN 3 THEN 'SUPERSEDES'
-                    WHEN 4 THEN 'RELATES_TO' WHEN 5 THEN 'DERIVED_FROM' WHEN 6 THEN 'IMPLEMENTS' ELSE 'CONTRADICTS' END AS type,
-               CAST(0.3 + ((d.doc_id + k.k) % 8) * 0.1 AS DOUBLE) AS weight
+        SELECT 'd' || d.doc_id AS src, 'd' || ((d.doc_id * (29 + 2 * k.k) + 7 * k.k) % (SELECT count(*) + 13 FROM documents)) AS dst,
+               CASE (d.doc_id + k.k) % 12 WHEN 0 THEN 'SUPPORTS' WHEN 1 THEN 'CITES' WHEN 2 THEN 'CONTRADICTS' WHEN 3 THEN 'SUPERSEDES'
+                    WHEN 4 THEN 'RELATES_TO' WHEN 5 THEN 'DERIVED_FROM' WHEN 6 THEN 'IMPLEMENTS' WHEN 7 THEN 'TESTS'
+                    WHEN 8 THEN 'TEMPORAL_NEXT' WHEN 9 THEN 'RESOLVES' WHEN 10 THEN 'POTENTIALLY_STALE' ELSE 'CONTRADICTS' END AS type,
+               CAST(0.3 + ((d.doc_id + k.k) % 8) * 0.1 AS DOUBLE) AS weight,
+               CASE WHEN (d.doc_id + k.k) % 3 = 0 THEN substr(d.text, 1, 60) ELSE '' END AS anchor_text
         FROM documents d CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) k
         WHERE d.doc_id % 2 < k.k""",
     "feedback": """
-        SELECT event_id AS feedback_id, 'd' || (event_id % 1100) AS belief_id, event_type AS source, user_id AS session_id,
+        SELECT event_id AS feedback_id, 'd' || CASE WHEN x % 5 = 4 THEN x - 1 ELSE x END AS belief_id, event_type AS source, user_id AS session_id,
                CAST(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.5 WHEN 'error' THEN -1.0 WHEN 'signup' THEN 0.25 ELSE 0.0 END AS DOUBLE) AS valence,
                1704067200 + event_id * 90 AS created_at
+        FROM (SELECT *, event_id % (SELECT CAST(count(*) * 1.1 AS BIGINT) FROM documents) AS x FROM events) e""",
+    "corroborations": """
+        SELECT 'd' || (event_id % (SELECT count(*) FROM documents)) AS belief_id, 1704067200 + event_id * 45 AS ingested_at,
+               CASE event_type WHEN 'purchase' THEN 'commit_ingest' WHEN 'click' THEN 'transcript_ingest' ELSE 'filesystem_ingest' END AS source_type,
+               CASE WHEN user_id % 7 > 0 THEN user_id % 40 END AS session_id, CASE WHEN event_id % 3 > 0 THEN 'p' || (event_id % 9) END AS source_path_hash
         FROM events""",
+    "injections": """
+        SELECT event_id, user_id AS session_id, event_id // 10 AS turn_id, 'd' || (event_id % (SELECT count(*) FROM documents)) AS belief_id, 1704067200 + event_id * 90 AS injected_at,
+               CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 1 WHEN 'error' THEN 0 END AS referenced, CASE WHEN event_id % 2 = 0 THEN 'l1' ELSE 'l25' END AS lane
+        FROM events""",
+    "log": """
+        SELECT conv_id * 100 + turn AS log_id, CASE (conv_id + turn) % 4 WHEN 0 THEN 'transcript' WHEN 1 THEN 'filesystem' WHEN 2 THEN 'git' ELSE 'legacy_unknown' END AS source_kind,
+               text AS raw_text, 's' || conv_id AS session_id, CASE WHEN turn > 0 THEN '{"prior":' || (conv_id * 100 + turn - 1) || '}' END AS raw_meta,
+               CASE WHEN (conv_id + turn) % 3 > 0 THEN '["d' || (conv_id * 8 + turn) || '","d' || (conv_id * 8 + turn + 1) || '"]' END AS derived_ids,
+               1704067200 + conv_id * 3600 + turn * 60 AS created_at
+        FROM conversations""",
+    "entities": """
+        SELECT 'd' || doc_id AS belief_id, lower(split_part(text, ' ', k)) AS entity_lower, k AS span_start,
+               CASE length(split_part(text, ' ', k)) % 6 WHEN 0 THEN 'file_path' WHEN 1 THEN 'error_code' WHEN 2 THEN 'identifier' WHEN 3 THEN 'version' WHEN 4 THEN 'branch' ELSE 'noun_phrase' END AS kind
+        FROM documents CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) w
+        WHERE split_part(text, ' ', k) <> ''""",
     "turns": "SELECT conv_id, turn, role, text FROM conversations",
 }
 
@@ -57,6 +80,10 @@ class Store:
     edges: DataFrame
     feedback: DataFrame
     turns: DataFrame
+    corroborations: DataFrame
+    injections: DataFrame
+    log: DataFrame
+    entities: DataFrame
 
     @property
     def active(self) -> DataFrame:
@@ -72,7 +99,7 @@ def load(spark: SparkSession, sf_dir: str) -> Store:
     made = {}
     for name, sql in PROJECTION.items():
         frames = {t: table(spark, sf_dir, t) for t in ("documents", "labels", "events", "conversations") if t in sql}
-        text = sql.replace("{sha}", "sha2(d.text, 256)")
+        text = sql.replace("{", "{{").replace("}", "}}").replace("{{sha}}", "sha2(d.text, 256)").replace("event_id // 10", "event_id DIV 10")
         for t in frames:
             text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
         made[name] = spark.sql(text, **frames)
