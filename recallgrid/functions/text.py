@@ -118,3 +118,8 @@ def answer_tokens(text: Column) -> Column:
     """Words of an answer for scoring: lower case, without punctuation and articles."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
     return F.filter(F.split(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+"), lambda w: w != "")
+
+
+def title_tokens(text: Column) -> Column:
+    """The distinct words of letters, digits and underscores, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}_]+"), lambda t: t != ""))

@@ -816,3 +816,6 @@ def stream_first_in_window(spark, sf_dir):
 @on_tables(FEEDBACK + " SELECT session_id, feedback_id, row_number() OVER (PARTITION BY session_id ORDER BY feedback_id) AS fire_idx FROM feedback")
 def stream_session_counters(spark, sf_dir):
     return streams.run_available(streams.session_counters(streams.read(spark, sf_dir)), "counters")
+
+
+from . import catalog_ledger  # noqa: E402, F401  registers its queries
