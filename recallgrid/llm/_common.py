@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -25,11 +26,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode one of our own where that is unset."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="recallgrid-")
         atexit.register(__import__("shutil").rmtree, _own_dir.removeprefix("file://"), True)
@@ -82,8 +85,9 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         at = to
 
 
-def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``kernel``, after whose last batch the worker gives memory back, as it stays for tasks of other operators.
+def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``kernel``, around which the worker gives memory back, as it stays for tasks of other operators: tables kept by those before
+    it begins, and what the allocators hold after its last batch.
 
     Where the session has Spark's usual 10,000 rows to an Arrow batch, batches become ``BATCH_ROWS``: texts are long.
     """
@@ -92,15 +96,52 @@ def released(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatc
         session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         try:
             yield from kernel(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 
 
+def released_group(write: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a function of the rows of one key."""
+
+    def run(table: pa.Table) -> pa.Table:
+        forget("")
+        try:
+            return write(table)
+        finally:
+            give_back()
+
+    return run
+
+
+#: What operators keep in a worker from task to task, by operator, and how it is dropped.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def kept(operator: str, drop: Callable[[], None]) -> None:
+    _kept[operator] = drop
+
+
+def forget(besides: str) -> None:
+    """Drop what operators but one keep in this worker."""
+    for operator, drop in _kept.items():
+        if operator != besides:
+            drop()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: of reference cycles, of Arrow, and of the C library where it can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all values one after another, nulls as empty, and where each value starts and the last ends."""
     column = pc.fill_null(column, "" if pa.types.is_string(column.type) else b"")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from ._arrays import by_part
+
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random 64-bit value for each byte, and the odd base of polynomial hashes modulo 2**64.
 BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
@@ -98,7 +100,8 @@ def shingles(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.n
         else:
             out[inside] += h[at[inside] + k] * _PLACE[k]
     out = mix(out)
-    order = np.lexsort((out, owner))
+    order = np.argsort(out)
+    order = order[by_part(owner[order])]
     out, owner = out[order], owner[order]
     fresh = np.ones(len(out), bool)
     fresh[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])

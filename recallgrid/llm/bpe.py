@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import released, slices
+from ._common import kept, released, slices
 
 #: Words whose ids are kept; the table is emptied when it is full.
 CACHE_WORDS = 400_000
@@ -152,6 +152,9 @@ def load(path: str) -> WordBPE:
     return WordBPE(path)
 
 
+kept("bpe", load.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>), the tokens of the whole text by the file at ``path``; null counts as empty.
 
@@ -167,7 +170,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 ids = pa.array([bpe.encode(t or "") for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*names, "ids"])
 
-    return docs.mapInArrow(released(kernel), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(released(kernel, "bpe"), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -183,4 +186,4 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
                 texts = pa.array([bpe.decode(x or []) for x in part.column(ids).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*names, "decoded"])
 
-    return docs.mapInArrow(released(kernel), T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())]))
+    return docs.mapInArrow(released(kernel, "bpe"), T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -36,11 +36,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrays import BLOCK, blocks, mapped, merged, save, summed
-from ._common import binary_array, flat, new_path, parts_for, released, slices, written
+from ._common import binary_array, flat, new_path, parts_for, released, released_group, slices, written
 from ._text import mix, powers, prefix_hash, span_hash, words
 
 LENGTH, GRAM = 400, 64
-MANY = 2000
+MANY = 500
 #: Words of a passage, the bytes of a word's code, and the codes of a gram. 49 words of a passage of over 50 are whole wherever
 #: it stands, even if its first and last word run into their neighbours.
 WORDS, CODE, GRAM_WORDS = 49, 8, 8
@@ -182,7 +182,7 @@ def _repeated_anchors(docs: DataFrame, text: str, folder: str, n_parts: int, len
         save(shelf.path(p, "count"), np.minimum(c, 2**32 - 1).astype("<u4"))
         return pa.table({"part": pa.array([p], pa.int32()), "n": [len(k)]})
 
-    for p, n in docs.select(text).mapInArrow(released(count), BLOCK).groupBy("part").applyInArrow(write, "part int, n long").collect():
+    for p, n in docs.select(text).mapInArrow(released(count, "arrays"), BLOCK).groupBy("part").applyInArrow(released_group(write), "part int, n long").collect():
         shelf.sizes[p] = (n,)
     return shelf
 
@@ -398,7 +398,7 @@ def _contexts(docs: DataFrame, text: str, anchors: Shelf, length: int, gram: int
                     held = 0
         yield out()
 
-    return docs.select(text).mapInArrow(released(kernel), _CONTEXT)
+    return docs.select(text).mapInArrow(released(kernel, "arrays"), _CONTEXT)
 
 
 _RANGES = "part int, key binary, check binary, n binary, ranges binary"
@@ -448,7 +448,7 @@ def _repeated_windows(contexts: DataFrame, shelf: Shelf, length: int) -> DataFra
             yield of(rows)
 
     ordered = contexts.select(*names).repartition(shelf.n_parts, "anchor_hash").sortWithinPartitions("anchor_hash", "key", "check")
-    return ordered.mapInArrow(released(kernel), _RANGES)
+    return ordered.mapInArrow(released(kernel, "arrays"), _RANGES)
 
 
 def _range_blocks(shelf: Shelf, key: np.ndarray, check: np.ndarray, ranges: list[list[tuple[int, int]]]) -> pa.RecordBatch:
@@ -477,7 +477,7 @@ def _write_ranges(made: DataFrame, shelf: Shelf) -> None:
         save(shelf.path(p, "ranges"), ranges.reshape(-1, 2)[pick])
         return pa.table({"part": pa.array([p], pa.int32()), "n": [len(key)], "ranges": [int(n.sum())]})
 
-    for p, n, r in made.groupBy("part").applyInArrow(write, "part int, n long, ranges long").collect():
+    for p, n, r in made.groupBy("part").applyInArrow(released_group(write), "part int, n long, ranges long").collect():
         shelf.sizes[p] = (n, r)
 
 
@@ -500,7 +500,7 @@ def _sides(hot: DataFrame) -> DataFrame:
             for forward, one, other in ((True, right, left), (False, left, right)):
                 yield pa.RecordBatch.from_arrays([pa.array([forward] * batch.num_rows, pa.bool_()), batch.column("anchor_hash"), one, other, *rest], [n.split()[0] for n in _SIDES.split(", ")])
 
-    return hot.select("anchor_hash", "key", "check", "anchor", "times", "data").mapInArrow(released(kernel), _SIDES)
+    return hot.select("anchor_hash", "key", "check", "anchor", "times", "data").mapInArrow(released(kernel, "arrays"), _SIDES)
 
 
 def _sided(forward: bool, one: list[bytes], other: list[bytes], anchor: list[int], length: int) -> Contexts:
@@ -563,7 +563,7 @@ def _neighbours(hot: DataFrame, length: int, n_ranges: int) -> DataFrame:
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     schema = pa.schema([(n.split()[0], kinds[n.split()[1]]) for n in _NEIGHBOURS.split(", ")])
     ranged = _sides(hot).repartitionByRange(n_ranges, "forward", "anchor_hash", "one", "other")
-    found = written(ranged.mapInArrow(released(kernel), _NEIGHBOURS), "neighbours")
+    found = written(ranged.mapInArrow(released(kernel, "arrays"), _NEIGHBOURS), "neighbours")
     # Ranges go up with forward: all of one direction stand before those of the other, and a task may hold both.
     ends = found.where("task IS NOT NULL").coalesce(1).sortWithinPartitions("task", "forward", "last")
     return found.where("task IS NULL").unionByName(ends.mapInArrow(released(across), _NEIGHBOURS))
@@ -600,7 +600,7 @@ def _spans(neighbours: DataFrame, length: int) -> DataFrame:
 
     # A context has two neighbours in each order.
     grouped = neighbours.groupBy("anchor_hash", "key", "check", "times", "own_left", "own_right").agg(F.collect_list(F.struct("left", "right")).alias("shared"))
-    return grouped.mapInArrow(released(kernel), _SPANS)
+    return grouped.mapInArrow(released(kernel, "arrays"), _SPANS)
 
 
 def _window_keys(view: bytes, starts: list[int], length: int, more: bytes) -> np.ndarray:
@@ -642,7 +642,7 @@ def _third_contexts(hot: DataFrame, spans: DataFrame, shelf: Shelf, length: int,
         save(shelf.path(p, "check"), pairs[:, 1].astype("<u8"))
         return pa.table({"part": pa.array([p], pa.int32()), "n": [len(pairs)]})
 
-    for p, n in rows.mapInArrow(released(packed), "part int, keys binary").groupBy("part").applyInArrow(write, "part int, n long").collect():
+    for p, n in rows.mapInArrow(released(packed), "part int, keys binary").groupBy("part").applyInArrow(released_group(write), "part int, n long").collect():
         shelf.sizes[p] = (n,)
 
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -667,7 +667,7 @@ def _third_contexts(hot: DataFrame, spans: DataFrame, shelf: Shelf, length: int,
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "check", "high")), lists], ["key", "check", "high", "found"])
 
     settled = spans.join(asked.select("anchor_hash"), "anchor_hash", "left_anti").select("key", "check", "high", "found")
-    return settled.unionByName(rows.mapInArrow(released(more), "key long, check long, high int, found array<int>"))
+    return settled.unionByName(rows.mapInArrow(released(more, "arrays"), "key long, check long, high int, found array<int>"))
 
 
 def _often_repeated(contexts: DataFrame, shelf: Shelf, windows: Shelf, length: int, step: int) -> DataFrame | None:
@@ -689,7 +689,7 @@ def _often_repeated(contexts: DataFrame, shelf: Shelf, windows: Shelf, length: i
             lists = [[(h - b, h - a) for a, b in zip(f[::2], f[1::2], strict=True)] for h, f in zip(batch.column("high").to_pylist(), batch.column("found").to_pylist(), strict=True)]
             yield _range_blocks(shelf, key, check, lists)
 
-    return done.where("size(found) > 0").mapInArrow(released(kernel), _RANGES)
+    return done.where("size(found) > 0").mapInArrow(released(kernel, "arrays"), _RANGES)
 
 
 # ---- pass 3 ----------------------------------------------------------------------------------------------------------------
@@ -781,4 +781,4 @@ def _removed(docs: DataFrame, text: str, length: int, gram: int, many: int, step
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "n_bytes", "n_removed", "n_spans", "kept_bytes"])
 
     added = [*(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_bytes", T.BinaryType())]
-    return docs.mapInArrow(released(kernel), T.StructType([*docs.schema.fields, *added]))
+    return docs.mapInArrow(released(kernel, "arrays"), T.StructType([*docs.schema.fields, *added]))

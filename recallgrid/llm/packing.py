@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import binary_array, released, slices
+from ._common import binary_array, kept, released, slices
 
 #: Tokens that a cut at the end of a sentence, and one elsewhere, count like.
 SENTENCE_PENALTY, CUT_PENALTY = 4, 48
@@ -59,6 +59,9 @@ def encoder(ranks_path: str, pattern: str, special: tuple, end: int) -> Encoder:
     return Encoder(ranks_path, pattern, special, end)
 
 
+kept("packing", encoder.cache_clear)
+
+
 def candidates(sentence_ends: np.ndarray, document_ends: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Where windows may end, ascending and ``total`` last, and the penalty of each. Gaps are ``FILL_EVERY`` at most."""
     known = np.unique(np.concatenate([sentence_ends, document_ends, [total]]))
@@ -193,4 +196,4 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, special: tuple[tuple[st
         if (rest := emit(True)) is not None:
             yield rest
 
-    return docs.select(doc_id, text).mapInArrow(released(kernel), T.StructType(fields))
+    return docs.select(doc_id, text).mapInArrow(released(kernel, "packing"), T.StructType(fields))

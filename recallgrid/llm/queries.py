@@ -70,7 +70,8 @@ PACKING = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PA
 def op7_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the 400-byte strings that stand elsewhere."""
     rows = dedup_substrings.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    kept_text = F.make_valid_utf8(F.col("kept_bytes").cast("string"))  # cuts can fall inside a character
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), kept_text.alias("kept_text"))
 
 
 def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

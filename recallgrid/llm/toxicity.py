@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._arrays import distinct
 from ._common import flat, released, slices
 from ._text import LOWER, SPACE, mix, prefix_hash, span_hash
 
@@ -52,7 +53,7 @@ def _words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(start):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.int64), first
     h = mix(span_hash(prefix_hash(low), start, end) + (end - start).astype(np.uint64))
-    _, at, which = np.unique(h, return_index=True, return_inverse=True)
+    _, at, which = distinct(h)
     size = end[at] - start[at] + 2
     where = np.concatenate([[0], np.cumsum(size)])
     spelled = np.full(where[-1], 32, np.uint8)

@@ -576,19 +576,29 @@ def test_line_dedup_runs_no_python(docs, capsys):
 # ---- language model ---------------------------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_equals_a_plain_one(docs, rows):
-    train = docs.where("doc_id IS NULL OR doc_id % 10 > 0")
-    model = ngram_lm.train(train)
-    got = ngram_lm.score(docs, model).select("doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity").toPandas()
-    texts = [[*words(t), None] for i, t in rows if i is None or i % 10]
-    c = Counter(w for t in texts for w in t)
-    pairs = Counter(p for t in texts for p in zip(["<start>", *t], t, strict=False))
-    total, kinds, before = Counter(), defaultdict(lambda: [0] * 4), Counter()
-    for (u, w), n in pairs.items():
-        total[u] += n
-        kinds[u][min(n, 3)] += 1
-        before[w] += 1
-
+class PlainKneserNey:
+    """Interpolated modified Kneser-Ney from dictionaries; triples that occur once have the discount 1."""
+
+    def __init__(self, texts, order):
+        self.words = Counter(w for t in texts for w in t)
+        grams = Counter(g for t in texts for g in zip(*(["<start>"] * k + t for k in range(order - 1, -1, -1)), strict=False))
+        self.levels = {}
+        for n in range(order, 1, -1):
+            total, kinds = Counter(), defaultdict(lambda: [0] * 4)
+            for g, c in grams.items():
+                total[g[:-1]] += c
+                kinds[g[:-1]][min(c, 3)] += 1
+            d = self.discounts(grams.values())
+            if n == 3:
+                d[1] = 1.0
+            self.levels[n] = grams, total, kinds, d
+            self.n_pairs = len(grams)
+            grams = Counter(g[1:] for g in grams)
+        self.before = {g[0]: c for g, c in grams.items()}
+        self.d = self.discounts(self.before.values())
+        self.mass = sum(self.d[min(x, 3)] for x in self.before.values())
+
+    @staticmethod
     def discounts(values):
         n = Counter(values)
         if min(n[1], n[2], n[3]) == 0:
@@ -596,28 +606,40 @@ def test_kneser_ney_equals_a_plain_one(docs, rows):
         y = n[1] / (n[1] + 2 * n[2])
         return [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) for k in (1, 2, 3))]
 
-    d2, d1 = discounts(pairs.values()), discounts(before.values())
-    mass, n_all = sum(d1[min(x, 3)] for x in before.values()), sum(c.values())
-
-    def p(u, w):
-        low = (max(before[w] - d1[min(before[w], 3)], 0) + mass / (len(c) + 1)) / len(pairs)
-        if u not in total:
+    def p(self, gram):
+        if len(gram) == 1:
+            c = self.before.get(gram[0], 0)
+            return (max(c - self.d[min(c, 3)], 0) + self.mass / (len(self.words) + 1)) / self.n_pairs
+        grams, total, kinds, d = self.levels[len(gram)]
+        low = self.p(gram[1:])
+        if gram[:-1] not in total:
             return low
-        n = pairs[u, w]
-        return (max(n - d2[min(n, 3)], 0) + sum(d2[k] * kinds[u][k] for k in (1, 2, 3)) * low) / total[u]
+        n = grams[gram]
+        return (max(n - d[min(n, 3)], 0) + sum(d[k] * kinds[gram[:-1]][k] for k in (1, 2, 3)) * low) / total[gram[:-1]]
+
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_equals_a_plain_one(docs, rows, order, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "BLOCK_WORDS", 20_000)  # several blocks a task
+    model = ngram_lm.train(docs.where("doc_id IS NULL OR doc_id % 10 > 0"), order=order)
+    got = ngram_lm.score(docs, model).select("doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity").toPandas()
+    plain = PlainKneserNey([[*words(t), None] for i, t in rows if i is None or i % 10], order)
+    c, n_all = plain.words, sum(plain.words.values())
     assert model.n_tokens == n_all and len(got) == len(rows)
-    assert abs(sum(p("<start>", w) for w in [*c, "never seen"]) - 1) < 1e-9
+    for context in (["<start>"] * (order - 1), list(plain.levels[order][0])[7][:-1]):
+        assert abs(sum(plain.p((*context, w)) for w in [*c, "never seen"]) - 1) < 1e-9
     want = {i: [*words(t), None] for i, t in rows if i is not None}
     for r in got[got.doc_id.notna()].itertuples():
         t = want[r.doc_id]
         assert r.n_tokens == len(t) and r.n_known == sum(w in c for w in t)
-        assert math.isclose(r.score, sum(math.log10(p(u, w)) for u, w in zip(["<start>", *t], t, strict=False)), rel_tol=1e-9)
+        grams = zip(*(["<start>"] * k + t for k in range(order - 1, -1, -1)), strict=False)
+        assert math.isclose(r.score, sum(math.log10(plain.p(g)) for g in grams), rel_tol=1e-9)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n_all + 0.1 * (len(c) + 1))) for w in t), rel_tol=1e-9)
         assert math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens), rel_tol=1e-9)
 
 
 def test_model_of_nothing(docs, empty, rows):
-    model = ngram_lm.train(empty)
-    assert ngram_lm.score(docs, model).count() == len(rows)
-    assert ngram_lm.score(empty, model).count() == 0
+    for order in (2, 3):
+        model = ngram_lm.train(empty, order=order)
+        assert ngram_lm.score(docs, model).count() == len(rows)
+        assert ngram_lm.score(empty, model).count() == 0
