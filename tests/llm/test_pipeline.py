@@ -47,7 +47,42 @@ def test_stages(spark, folder):
 
 
 def test_run_equals_the_stages(spark, folder):
-    assert corpus_pipeline.run(spark, folder).count() > 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def pieces(df):
+        """Each document's tokens by checksum of its pieces in order; where windows end depends on the order of rows."""
+        out = {}
+        for r in df.select(*columns).collect():
+            out.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+        return {i: (sum(n for _, n, _ in p), p[0][2]) for i, p in out.items()}
+
+    got, want = pieces(corpus_pipeline.run(spark, folder)), pieces(docs)
+    assert got == want and len(got) > 200 and all(a == b for a, b in got.values())
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_edges_of_each_stage(spark, folder, name):
+    """Columns with the operators' own names, repeated rows, nulls, and no rows at all."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    clashing = ("figures", "score", "predicted", "kept", "n_removed", "n_spans", "n_bytes", "kept_bytes", "node", "root", "component_id", "size")
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in clashing)
+    text = "one two three four five six seven " * 9
+    rows = [(1, text), (1, text), (2, None), (None, "a text without an id"), (None, None), (3, ""), (4, "word " * 3000), (5, text.upper())]
+    docs = spark.createDataFrame([(i, t, "xx", *(f"own {c}" for c in clashing)) for i, t in rows], schema)
+    got = stage(spark, docs, folder)
+    if name == "packing":
+        tokens = {r.doc_id: r.doc_tokens for r in got.collect()}
+        assert set(tokens) == {1, 2, 3, 4, 5, None} and tokens[2] == tokens[3] == 1
+    else:
+        assert got.columns == docs.columns
+        kept = got.collect()
+        assert kept and all(r[c] == f"own {c}" for r in kept for c in clashing)
+        count = {"toxicity": len(rows), "exact dedup": 4, "MinHash near-dedup": 6, "suffix-array dedup": len(rows)}[name]
+        assert len(kept) == count, [(r.doc_id, (r.text or "")[:20]) for r in kept]
+    assert stage(spark, docs.limit(0), folder).count() == 0
 
 
 def test_passages_of_over_50_words_go(spark, folder):
