@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.session import new_folder
 from ..sources.model import Store
 
 #: The weight of an edge type on a walk, its valence, and its sign in the Laplacian.
@@ -50,7 +51,7 @@ def top_reached(store: Store, seeds: DataFrame, per_seed: int, **more) -> DataFr
 
 
 def propagate(store: Store, hop_decay: float = 0.5) -> DataFrame:
-    """Valence of feedback spread one step: the mean valence of a belief times the valence of its edges' types, summed at the targets."""
+    """Valence of feedback spread one step: the sum of a belief's valences times the valence of its edges' types, summed at the targets."""
     own = store.feedback.groupBy(F.col("belief_id").alias("src")).agg(F.sum("valence").alias("v"))
     spread = store.edges.withColumn("f", weight_of(F.col("type"), VALENCE)).where("f <> 0").join(own, "src")
     return spread.groupBy(F.col("dst").alias("id")).agg(F.round(F.sum(F.col("v") * F.col("f") * hop_decay), 6).alias("delta"))
@@ -88,9 +89,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="recallgrid-"))
+        spark.sparkContext.setCheckpointDir(new_folder(spark, "checkpoints"))
     edges = edges.select("a", "b").distinct().checkpoint()
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
     while True:

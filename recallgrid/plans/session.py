@@ -28,6 +28,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path of its own in ``spark.checkpoint.dir``; where that is unset, in a temporary folder of this machine."""
+    """A path of its own in ``spark.checkpoint.dir``; in local mode, where that is unset, in a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='recallgrid-')}/recallgrid-{name}-{uuid.uuid4().hex}"
