@@ -818,4 +818,4 @@ def stream_session_counters(spark, sf_dir):
     return streams.run_available(streams.session_counters(streams.read(spark, sf_dir)), "counters")
 
 
-from . import catalog_ledger  # noqa: E402, F401  registers its queries
+from . import catalog_ledger, catalog_text  # noqa: E402, F401  they register their queries
