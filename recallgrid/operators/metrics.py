@@ -31,11 +31,13 @@ def roc_auc(rows: DataFrame, by: str, score: str, label: str) -> DataFrame:
 
 def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Pearson correlation of mean ranks."""
+    from .ordered import value_places
 
-    def ranked(c: str):
-        return F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2
+    def ranks(c: str, name: str) -> DataFrame:
+        return value_places(rows, by, c).select(by, c, (F.col("before") + (F.col("c") + 1) / 2).alias(name))
 
-    return rows.select(by, ranked(x).alias("rx"), ranked(y).alias("ry")).groupBy(by).agg(F.round(F.corr("rx", "ry"), 6).alias("rho"))
+    joined = rows.select(by, x, y).join(ranks(x, "rx"), [by, x]).join(ranks(y, "ry"), [by, y])
+    return joined.groupBy(by).agg(F.round(F.corr("rx", "ry"), 6).alias("rho"))
 
 
 def top_overlap(one: DataFrame, other: DataFrame, by: str, id: str, k: int) -> DataFrame:
@@ -66,3 +68,16 @@ def kappa(rows: DataFrame, by: str, one: str, other: str) -> DataFrame:
     g = rows.groupBy(by).agg(F.avg((F.col(one) == F.col(other)).cast("double")).alias("agreed"), F.avg(F.col(one).cast("double")).alias("a"), F.avg(F.col(other).cast("double")).alias("b"))
     chance = F.col("a") * F.col("b") + (1 - F.col("a")) * (1 - F.col("b"))
     return g.select(by, F.round(F.when(chance < 1, (F.col("agreed") - chance) / (1 - chance)).otherwise(1.0), 6).alias("kappa"))
+
+
+def rank_biased_overlap(one: DataFrame, other: DataFrame, by: str, id: str, p: float) -> DataFrame:
+    """Agreement of two rankings at each depth, weighted by ``p`` to the depth, the last carried on."""
+    depth = one.groupBy(by).agg(F.max("place").alias("da")).join(other.groupBy(by).agg(F.max("place").alias("db")), by).select(by, F.least("da", "db").alias("depth"))
+    met = one.join(other.select(by, id, F.col("place").alias("_p")), [by, id]).select(by, F.greatest("place", "_p").alias("at"))
+    counts = met.groupBy(by, "at").agg(F.count("*").alias("c"))
+    levels = depth.select(by, "depth", F.explode(F.sequence(F.lit(1), "depth")).alias("at"))
+    w = Window.partitionBy(by).orderBy("at")
+    rows = levels.join(counts, [by, "at"], "left").withColumn("agreement", F.sum(F.coalesce("c", F.lit(0))).over(w) / F.col("at"))
+    weighted = F.sum(F.pow(F.lit(p), F.col("at") - 1) * F.col("agreement"))
+    last = F.max(F.when(F.col("at") == F.col("depth"), F.col("agreement") * F.pow(F.lit(p), "depth")))
+    return rows.groupBy(by).agg(F.round(last + (1 - p) * weighted, 6).alias("rbo"))

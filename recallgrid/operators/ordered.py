@@ -32,11 +32,18 @@ def spine_divergence(store: Store, shipped: DataFrame) -> DataFrame:
     return a.join(b, ["src", "dst"], "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
+def value_places(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """For each group and value how many rows have it (``c``) and how many a lesser one (``before``). Rows are counted by value before any group
+    is sorted, so that a group of any size is sorted by its distinct values."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+
+
 def average_ranks(rows: DataFrame, by: str, value: str, key: str) -> DataFrame:
     """Ranks from 1; equal values share the mean of their places."""
-    w = Window.partitionBy(by)
-    same = F.count("*").over(Window.partitionBy(by, value))
-    return rows.select(by, key, value, (F.rank().over(w.orderBy(value)) + (same - 1) / 2).alias("average_rank"))
+    places = value_places(rows, by, value).select(by, value, (F.col("before") + (F.col("c") + 1) / 2).alias("average_rank"))
+    return rows.select(by, key, value).join(places, [by, value])
 
 
 def budget_prefix(rows: DataFrame, by: str, order: list[Column], text: str, budget: int) -> DataFrame:

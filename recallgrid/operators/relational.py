@@ -151,25 +151,25 @@ def superseded(store: Store) -> DataFrame:
 
 
 def explicit_feedback_in_window(store: Store, seconds: int, passive: str = "view") -> DataFrame:
-    """Exposures that explicit feedback on the same belief followed within ``seconds``, and the first such."""
-    shown = store.feedback.where(F.col("source") == passive).select("feedback_id", "belief_id", F.col("created_at").alias("at"))
-    acted = store.feedback.where(F.col("source") != passive).select("belief_id", F.col("created_at").alias("then"))
-    hits = shown.join(acted, "belief_id").where((F.col("then") >= F.col("at")) & (F.col("then") <= F.col("at") + seconds))
-    return hits.groupBy("feedback_id").agg(F.min("then").alias("first_at"))
+    """Exposures that explicit feedback on the same belief followed within ``seconds``, and the first such.
 
+    A window over the times of each belief finds the first; no pairs of events are made.
+    """
+    ahead = Window.partitionBy("belief_id").orderBy("created_at").rangeBetween(0, seconds)
+    first = F.min(F.when(F.col("source") != passive, F.col("created_at"))).over(ahead)
+    rows = store.feedback.select("feedback_id", "source", first.alias("first_at"))
+    return rows.where((F.col("source") == passive) & F.col("first_at").isNotNull()).select("feedback_id", "first_at")
 
-def federated(peers: dict[str, DataFrame], limit: int) -> DataFrame:
-    """The best rows of all peers (``id``, ``scope``, ``score``) that are shared, with the peer's name; ties by peer and id."""
-    shared = [p.where("scope = 'global' OR scope LIKE 'shared:%'").select("id", "scope", "score", F.lit(n).alias("owner")) for n, p in sorted(peers.items())]
-    out = shared[0]
-    for p in shared[1:]:
-        out = out.unionByName(p)
-    return out.orderBy(F.desc("score"), "owner", "id").limit(limit)
+
+def federated(rows: DataFrame, limit: int) -> DataFrame:
+    """The best rows of all peers (``owner``, ``id``, ``scope``, ``score``) that are shared; ties by peer and id."""
+    shared = rows.where("scope = 'global' OR scope LIKE 'shared:%'").select("id", "scope", "score", "owner")
+    return shared.orderBy(F.desc("score"), "owner", "id").limit(limit)
 
 
 def triangle_closure(store: Store, types: tuple[str, ...]) -> DataFrame:
-    """Pairs of sources that share a target. A target of many sources is salted by the source, so that its pairs are made in
-    several tasks."""
+    """Pairs of sources that share a target. A target of n sources makes n (n - 1) / 2 pairs, which are the result; adaptive execution
+    splits the join of a target that many share."""
     e = store.edges.where(F.col("type").isin(*types)).select("src", "dst").distinct()
     other = e.select(F.col("src").alias("b"), "dst")
     pairs = e.select(F.col("src").alias("a"), "dst").join(other, "dst").where("a < b")
@@ -260,9 +260,11 @@ def reference_signal(store: Store) -> DataFrame:
 
 def floor_rank_percentile(rows: DataFrame, by: str, value: str, percent: int) -> DataFrame:
     """The element at place max(1, floor(n * percent / 100)) of each group."""
-    w = Window.partitionBy(by)
-    ranked = rows.select(by, value, F.row_number().over(w.orderBy(value)).alias("r"), F.count("*").over(w).alias("n"))
-    return ranked.where(F.col("r") == F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100))).select(by, value)
+    from .ordered import value_places
+
+    places = value_places(rows, by, value)
+    place = F.greatest(F.lit(1), F.floor(F.sum("c").over(Window.partitionBy(by)) * percent / 100))
+    return places.withColumn("place", place).where((F.col("before") < F.col("place")) & (F.col("place") <= F.col("before") + F.col("c"))).select(by, value)
 
 
 def linear_percentile(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:

@@ -1,15 +1,24 @@
-"""Text search: an inverted index, BM25 over content and incoming anchors, and batches of queries."""
+"""Text search: an inverted index over content and incoming anchors, BM25, and batches of queries.
+
+An index is three tables: postings (``bucket``, ``term``, ``id``, ``tf``, ``ta``, ``dl``, ``da``: uses and lengths in content and in anchors),
+frequencies (``bucket``, ``term``, ``df``) and fingerprints of the texts it was made of. Written, they are partitioned by bucket of the
+term and sorted by term, so that a batch of queries reads the buckets and row groups of its terms only.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import length_norm, log_additive
+from ..functions.scoring import estimated_tokens, length_norm, log_additive
+from ..functions.stems import stemmed
+from ..plans.session import new_folder
 from ..sources.model import Store
-from .ordered import budget_prefix
 
-K1, B, K3 = 1.5, 0.75, 0.0
+# Fixed values.
+K1, B, K3, ANCHOR_WEIGHT = 1.5, 0.75, 0.0, 3
+#: Buckets of terms of a written index; distinct terms of a batch up to which they are put into the scan's filter.
+BUCKETS, LISTED_TERMS = 64, 2000
 
 
 def tokens(text: Column) -> Column:
@@ -17,34 +26,150 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}_]+"), lambda t: t != "")
 
 
-class Index:
-    """Postings (``id``, ``term``, ``tf``), document lengths (``id``, ``dl``) and document frequencies (``term``, ``df``) as
-    DataFrames; written as tables bucketed by term they serve many batches of queries."""
-
-    def __init__(self, docs: DataFrame, id: str = "id", text: str = "content"):
-        words = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("t"))
-        self.lengths = words.select("id", F.size("t").alias("dl"))
-        self.postings = words.select("id", F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-        self.totals = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        self.frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-
-    def idf(self) -> DataFrame:
-        """ln(1 + (n - df + 0.5) / (df + 0.5)) of each term."""
-        n, df = F.col("n"), F.col("df")
-        return self.frequencies.crossJoin(F.broadcast(self.totals.select("n"))).select("term", "df", F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
+def _bucket(term: str = "term") -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
+
 
-    def match(self, queries: DataFrame) -> DataFrame:
-        """BM25 of each query (``query_id``, ``query``) and each document that shares a term with it.
+def _stem_terms(rows: DataFrame) -> DataFrame:
+    """``rows`` (``term`` and others) with the stems of its terms; each distinct term is stemmed once."""
+    stems = rows.select("term").distinct().select("term", stemmed(F.col("term")).alias("stem"))
+    return rows.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
 
-        The terms of a batch of queries come first, so that only their postings are joined and summed.
-        """
-        asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-        wanted = self.postings.join(asked.select("term").distinct(), "term", "left_semi")
-        terms = self.idf().join(asked, "term")
-        norm = length_norm(F.col("dl"), F.col("avgdl"), B)
-        weight = F.col("idf") * ((K3 + 1) * F.col("qf") / (K3 + F.col("qf"))) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-        rows = wanted.join(terms, "term").join(self.lengths, "id").crossJoin(F.broadcast(self.totals.select("avgdl")))
-        return rows.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
+
+class Index:
+    """An index of ``docs`` (``id``, ``text``) and of ``anchors`` (``dst``, ``anchor_text``), whose words count ``ANCHOR_WEIGHT`` times."""
+
+    def __init__(self, docs: DataFrame, id: str = "id", text: str = "content", anchors: DataFrame | None = None, stem: bool = False):
+        self.stem = stem
+        rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        self.prints = rows.select("id", F.xxhash64("text").alias("print"))
+        if anchors is not None:
+            own = anchors.where("anchor_text <> ''").select(F.col("dst").alias("id"), "anchor_text")
+            self.prints = self.prints.join(own.groupBy("id").agg(F.sum(F.xxhash64("anchor_text").cast("decimal(38,0)")).alias("anchored")), "id", "left")
+        else:
+            own = None
+            self.prints = self.prints.withColumn("anchored", F.lit(None).cast("decimal(38,0)"))
+        self.postings = self._count(rows, own)
+        self.frequencies = self.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+        lengths = self._lengths(rows, own)
+        self.totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.avg("da").alias("avgda"), F.avg(F.col("dl") + ANCHOR_WEIGHT * F.col("da")).alias("avgall"))
+
+    def _count(self, rows: DataFrame, anchors: DataFrame | None) -> DataFrame:
+        """Postings of texts. The lengths are of all tokens and come with each posting, so that a probe joins no lengths."""
+        uses = rows.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        uses = uses.withColumn("ta", F.lit(0).cast("long"))
+        if anchors is not None:
+            said = anchors.select("id", F.explode(tokens(F.col("anchor_text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("ta"))
+            said = said.join(rows.select("id"), "id", "left_semi")
+            uses = uses.unionByName(said.select("id", "term", F.lit(0).cast("long").alias("tf"), "ta"))
+        if self.stem:
+            uses = _stem_terms(uses)
+        if self.stem or anchors is not None:
+            uses = uses.groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.sum("ta").alias("ta"))
+        return uses.join(self._lengths(rows, anchors), "id").select(_bucket(), "term", "id", "tf", "ta", "dl", "da")
+
+    @staticmethod
+    def _lengths(rows: DataFrame, anchors: DataFrame | None) -> DataFrame:
+        own = rows.select("id", F.size(tokens(F.col("text"))).cast("long").alias("dl"))
+        if anchors is None:
+            return own.withColumn("da", F.lit(0).cast("long"))
+        said = anchors.groupBy("id").agg(F.sum(F.size(tokens(F.col("anchor_text"))).cast("long")).alias("da"))
+        return own.join(said, "id", "left").select("id", "dl", F.coalesce("da", F.lit(0).cast("long")).alias("da"))
+
+    def written(self, folder: str | None = None) -> Index:
+        """The index in a folder; probes read it from there."""
+        spark = self.postings.sparkSession
+        folder = folder or new_folder(spark, "index")
+        for name in ("postings", "frequencies"):
+            rows: DataFrame = getattr(self, name)
+            if name == "frequencies":
+                rows = spark.read.parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+            rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}")
+        for name in ("totals", "prints"):
+            getattr(self, name).write.parquet(f"{folder}/{name}")
+        out = Index.__new__(Index)
+        out.stem = self.stem
+        for name in ("postings", "frequencies", "totals", "prints"):
+            setattr(out, name, spark.read.parquet(f"{folder}/{name}"))
+        return out
+
+    def updated(self, docs: DataFrame, id: str = "id", text: str = "content", anchors: DataFrame | None = None) -> Index:
+        """The index of ``docs`` as they are now: texts with the fingerprint they had keep their postings, the others' are made anew."""
+        now = Index(docs, id, text, anchors, self.stem)
+        same = self.prints.join(now.prints, (self.prints["id"] == now.prints["id"]) & (self.prints["print"] == now.prints["print"]) & self.prints["anchored"].eqNullSafe(now.prints["anchored"])).select(self.prints["id"])
+        changed = docs.join(same.select(F.col("id").alias(id)), id, "left_anti")
+        said = None if anchors is None else anchors.join(changed.select(F.col(id).alias("dst")), "dst", "left_semi")
+        out = Index.__new__(Index)
+        out.stem, out.prints = self.stem, now.prints
+        fresh = Index(changed, id, text, said, self.stem)
+        out.postings = self.postings.join(same, "id", "left_semi").select(fresh.postings.columns).unionByName(fresh.postings)
+        out.frequencies = out.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+        out.totals = now.totals
+        return out
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """(``query_id``, ``term``, ``qf``) of queries (``query_id``, ``query``)."""
+        rows = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
+        if self.stem:
+            rows = _stem_terms(rows)
+        return rows.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+
+    def _of_terms(self, rows: DataFrame, asked: DataFrame) -> DataFrame:
+        """The rows of the batch's terms. Few terms go into the filter of the scan; more are joined."""
+        terms = [r.term for r in asked.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+        if len(terms) <= LISTED_TERMS:
+            spark = rows.sparkSession
+            numbers = [r.bucket for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket()).distinct().collect()] if terms else []
+            return rows.where(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
+        return rows.join(asked.select("term").distinct(), "term", "left_semi")
+
+    def match(self, queries: DataFrame, per_field: bool = False) -> DataFrame:
+        """BM25 of each query and each document that shares a term with it (``query_id``, ``id``, ``score``). With ``per_field`` the uses in content
+        and in anchors are divided by the norm of their own length before they are added; else anchors are part of the text."""
+        asked = self.asked(queries)
+        n, df = F.col("n"), F.col("df")
+        frequencies = self._of_terms(self.frequencies, asked).select("term", "df")
+        weights = asked.join(frequencies, "term").crossJoin(F.broadcast(self.totals))
+        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+        weights = weights.select("query_id", "term", (idf * ((K3 + 1) * F.col("qf") / (K3 + F.col("qf")))).alias("w"), "avgdl", "avgda", "avgall")
+        rows = self._of_terms(self.postings, asked).join(weights, "term")
+        if per_field:
+            anchored = F.when(F.col("ta") > 0, ANCHOR_WEIGHT * F.col("ta") / length_norm(F.col("da"), F.col("avgda"), B)).otherwise(0.0)
+            used = F.col("tf") / length_norm(F.col("dl"), F.col("avgdl"), B) + anchored
+            gain = used * (K1 + 1) / (K1 + used)
+        else:
+            used = F.col("tf") + ANCHOR_WEIGHT * F.col("ta")
+            gain = used * (K1 + 1) / (used + K1 * length_norm(F.col("dl") + ANCHOR_WEIGHT * F.col("da"), F.col("avgall"), B))
+        return rows.groupBy("query_id", "id").agg(F.sum(F.col("w") * gain).alias("score"))
+
+
+#: Indexes of this application, by what they were made of.
+_cache: dict[tuple, Index] = {}
+
+
+def cached(name: str, generation: str, build) -> Index:
+    """The index of a generation of a store, written when it is asked for first."""
+    from pyspark import SparkContext
+
+    app = SparkContext._active_spark_context.applicationId if SparkContext._active_spark_context else ""
+    key = (app, name, generation)
+    if key not in _cache:
+        for old in [k for k in _cache if k[:2] != key[:2]]:
+            if old[0] != app:
+                del _cache[old]
+        _cache[key] = build().written()
+    return _cache[key]
+
+
+def generation(docs: DataFrame) -> str:
+    """A stamp of the files that rows come from: their names, sizes and times."""
+    jvm, conf = docs.sparkSession._jvm, docs.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    stamps = []
+    for name in sorted(docs.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        stamps.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
+    return "|".join(stamps)
 
 
 def top(matches: DataFrame, k: int) -> DataFrame:
@@ -54,28 +179,55 @@ def top(matches: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def bm25_top(docs: DataFrame, queries: DataFrame, k: int, id: str = "id", text: str = "content") -> DataFrame:
-    return top(Index(docs, id, text).match(queries), k)
-
-
-def rarest_terms(docs: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+def rarest_terms(index: Index, queries: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` terms of each query that the fewest documents have; terms of none are dropped; ties by term."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    asked = index.asked(queries)
     w = Window.partitionBy("query_id").orderBy("df", "term")
-    return asked.join(Index(docs).frequencies, "term").withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    rows = asked.join(index._of_terms(index.frequencies, asked).select("term", "df"), "term").select("query_id", "term", "df")
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def match_expression(index: Index, queries: DataFrame, k: int = 3) -> DataFrame:
+    """Queries of the rarest terms of each, which match like an OR of them."""
+    rows = rarest_terms(index, queries, k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
+    return rows.select("query_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("query"))
+
+
+def idf_clip(index: Index, queries: DataFrame, low: float = 0.25, high: float = 0.9) -> DataFrame:
+    """The terms of queries without those of an inverse frequency below a quantile of all terms', and twice those above another."""
+    n, df = F.col("n"), F.col("df")
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    every = index.frequencies.crossJoin(F.broadcast(index.totals.select("n"))).select("term", idf.alias("idf"))
+    bounds = every.agg(F.percentile("idf", F.lit(low)).alias("low"), F.percentile("idf", F.lit(high)).alias("high"))
+    rows = index.asked(queries).join(every, "term").crossJoin(F.broadcast(bounds)).where("idf >= low")
+    return rows.select("query_id", "term", F.round("idf", 6).alias("idf"), (F.col("qf") * F.when(F.col("idf") > F.col("high"), 2).otherwise(1)).alias("qf"))
+
+
+def lock_prefix(store: Store, budget: int) -> DataFrame:
+    """The active locks, latest first, as far as the budget goes. As each takes a token at least, no more than ``budget`` are looked at."""
+    cost = F.greatest(F.lit(1), estimated_tokens(F.col("content")))
+    first = store.active.where("lock_level <> 'none'").select("id", "locked_at", estimated_tokens(F.col("content")).alias("tokens"), cost.alias("least"))
+    first = first.orderBy(F.desc("locked_at"), "id").limit(budget)
+    spent = F.sum("tokens").over(Window.orderBy(F.desc("locked_at"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    return first.withColumn("spent", spent).where(F.col("spent") <= budget).select("id", "locked_at", "tokens", "spent")
 
 
-def retrieve(store: Store, queries: DataFrame, budget: int = 2400, k: int = 50) -> DataFrame:
+def retrieve(store: Store, index: Index, queries: DataFrame, budget: int = 2400, k: int = 50) -> DataFrame:
     """Beliefs for each query in order, as far as the token budget goes.
 
-    Tier 0 are the locked beliefs, latest lock first; tier 1 are the best matches, re-ranked by evidence, without those.
+    Tier 0 are the locked beliefs, latest lock first; tier 1 are the best matches, re-ranked by evidence, without those. The
+    locks that fit are found once for all queries.
     """
-    best = top(Index(store.active).match(queries), k)
-    found = best.join(store.active.select("id", "content", "alpha", "beta", "lock_level"), "id").where("lock_level = 'none'")
-    ranked = found.select("query_id", "id", "content", F.lit(1).alias("tier"), F.round(log_additive(F.col("score"), F.col("alpha"), F.col("beta")), 6).alias("key"))
-    locks = store.active.where("lock_level <> 'none'").select("id", "content", F.lit(0).alias("tier"), F.col("locked_at").cast("double").alias("key"))
-    first = F.broadcast(queries.select("query_id")).crossJoin(locks)
-    every = first.select("query_id", "id", "content", "tier", "key").unionByName(ranked)
-    order = [F.col("tier"), F.desc("key"), F.col("id")]
-    packed = budget_prefix(every, "query_id", order, "content", budget)
-    return packed.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).select("query_id", "id", "tier", "place", "tokens")
+    best = top(index.match(queries), k)
+    facts = store.active.where("lock_level = 'none'").select("id", estimated_tokens(F.col("content")).alias("tokens"), "alpha", "beta")
+    found = best.join(facts, "id")
+    ranked = found.select("query_id", "id", F.lit(1).alias("tier"), "tokens", F.round(log_additive(F.col("score"), F.col("alpha"), F.col("beta")), 6).alias("key"))
+    locks = lock_prefix(store, budget).select("id", F.lit(0).alias("tier"), "tokens", F.col("locked_at").cast("double").alias("key"))
+    overflow = store.active.where("lock_level <> 'none'").agg(F.coalesce(F.sum(estimated_tokens(F.col("content"))), F.lit(0)).alias("all_locks"))
+    every = queries.select("query_id").crossJoin(F.broadcast(locks)).select(ranked.columns).unionByName(ranked)
+    w = Window.partitionBy("query_id").orderBy("tier", F.desc("key"), "id")
+    spent = F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    packed = every.withColumn("spent", spent).withColumn("place", F.row_number().over(w)).crossJoin(F.broadcast(overflow))
+    # Where the locks alone are over the budget, the first that doesn't fit ends the pack.
+    packed = packed.where((F.col("spent") <= budget) & ((F.col("tier") == 0) | (F.col("all_locks") <= budget)))
+    return packed.select("query_id", "id", "tier", "place", "tokens")

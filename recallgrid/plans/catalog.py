@@ -164,9 +164,7 @@ def explicit_feedback_window(s):
 def federated_search(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).join(table(spark, sf_dir, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
     scope = F.when(F.col("s_suppkey") % 4 == 0, "project").when(F.col("s_suppkey") % 3 == 0, "global").otherwise(F.concat(F.lit("shared:"), "n_name"))
-    rows = rows.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), scope.alias("scope"), F.round("s_acctbal", 2).alias("score"), "r_name")
-    names = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-    return relational.federated({n: rows.where(F.col("r_name") == n) for n in names}, 20)
+    return relational.federated(rows.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), scope.alias("scope"), F.round("s_acctbal", 2).alias("score"), F.col("r_name").alias("owner")), 20)
 
 
 @on_store(
@@ -178,20 +176,6 @@ def triangle_closure(s):
     return relational.triangle_closure(s, ("SUPPORTS", "CITES"))
 
 
-@on_store(
-    "beliefs",
-    """, l AS (SELECT 'k' || (seq % 400) AS slot, type AS value FROM beliefs WHERE seq % 3 = 0),
-    r AS (SELECT slot, value AS right_value FROM (SELECT 'k' || (seq % 500) AS slot, type AS value, row_number() OVER (PARTITION BY seq % 500 ORDER BY seq) AS n FROM beliefs WHERE seq % 2 = 0) q WHERE n = 1)
-    SELECT CASE WHEN right_value IS NULL THEN 'left_only' WHEN value IS NULL THEN 'right_only' WHEN value = right_value THEN 'duplicate' ELSE 'contradiction' END AS verdict, count(*) AS n
-    FROM l FULL JOIN r ON l.slot = r.slot GROUP BY 1""",
-)
-def compare_slots(s):
-    def slots(every: int, mod: int) -> DataFrame:
-        return s.beliefs.where(F.col("seq") % every == 0).select(F.concat(F.lit("k"), F.col("seq") % mod).alias("slot"), F.col("type").alias("value"), "seq")
-
-    return relational.compare_slots(slots(3, 400), slots(2, 500))
-
-
 @on_store(
     "beliefs",
     """, l AS (SELECT 'k' || (seq % 400) AS slot, type AS value FROM beliefs),
@@ -199,8 +183,8 @@ def compare_slots(s):
     SELECT CASE WHEN right_value IS NULL THEN 'left_only' WHEN value IS NULL THEN 'right_only' WHEN value = right_value THEN 'duplicate' ELSE 'contradiction' END AS verdict, count(*) AS n
     FROM l FULL JOIN r ON l.slot = r.slot GROUP BY 1""",
 )
-def compare_slots_all(s):
-    """``compare_slots`` with every belief on both sides."""
+def compare_slots(s):
+    """Every belief on both sides, under keys of two different widths."""
 
     def slots(mod: int) -> DataFrame:
         return s.beliefs.select(F.concat(F.lit("k"), F.col("seq") % mod).alias("slot"), F.col("type").alias("value"), "seq")
@@ -451,7 +435,13 @@ def belief_scores(s):
     return s.beliefs.select("id", *(F.round(c, 6).alias(n) for n, c in made.items()), scoring.estimated_tokens(F.col("content")).alias("tokens"))
 
 
-@on_store("", None)
+PSI = "(ln({0} + 8) - 1 / (2 * ({0} + 8)) - 1 / (12 * pow({0} + 8, 2)) + 1 / (120 * pow({0} + 8, 4)) - 1 / (252 * pow({0} + 8, 6))" + "".join(f" - 1 / ({{0}} + {k})" for k in range(8)) + ")"
+
+
+@on_store(
+    "beliefs",
+    f"SELECT id, round(lgamma(alpha) + lgamma(beta) - lgamma(alpha + beta) - (alpha - 1) * {PSI.format('alpha')} - (beta - 1) * {PSI.format('beta')} + (alpha + beta - 2) * {PSI.format('(alpha + beta)')}, 6) AS entropy FROM beliefs",
+)
 def belief_entropy(s):
     return s.beliefs.select("id", F.round(scoring.beta_entropy(F.col("alpha"), F.col("beta")), 6).alias("entropy"))
 
@@ -467,14 +457,19 @@ INDEX = f""", w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(co
           FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), n GROUP BY 1, 2)"""
 
 
+def index_of(s):
+    """The index of the active beliefs, made once for each state of the files."""
+    return retrieval.cached("content", retrieval.generation(s.beliefs), lambda: retrieval.Index(s.active))
+
+
 @on_store("beliefs", INDEX + " SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM m) r WHERE place <= 10")
 def bm25_topk(s):
-    return retrieval.bm25_top(s.active, asked(s), 10)
+    return retrieval.top(index_of(s).match(asked(s)), 10)
 
 
 @on_store("beliefs", INDEX + " SELECT * FROM (SELECT query_id, term, df, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS place FROM q JOIN df USING (term)) r WHERE place <= 3")
 def rarest_terms(s):
-    return retrieval.rarest_terms(s.active, asked(s))
+    return retrieval.rarest_terms(index_of(s), asked(s))
 
 
 @on_store(
@@ -487,7 +482,119 @@ def rarest_terms(s):
     SELECT query_id, id, tier, tokens, row_number() OVER (PARTITION BY query_id ORDER BY tier, key DESC, id) AS place FROM p WHERE spent <= 60000""",
 )
 def retrieve_batch(s):
-    return retrieval.retrieve(s, asked(s), 60_000)
+    return retrieval.retrieve(s, index_of(s), asked(s), 60_000)
+
+
+@on_store("beliefs edges", """, w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS term, 1 AS c, 0 AS a FROM beliefs WHERE valid_to IS NULL
+    UNION ALL SELECT dst, unnest(list_filter(regexp_split_to_array(lower(anchor_text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')), 0, 1 FROM edges WHERE anchor_text <> '' AND dst IN (SELECT id FROM beliefs WHERE valid_to IS NULL)),
+    l AS (SELECT b.id, coalesce(sum(c), 0) AS dl, coalesce(sum(a), 0) AS da FROM beliefs b LEFT JOIN w ON w.id = b.id WHERE valid_to IS NULL GROUP BY 1)
+    SELECT id, term, CAST(sum(c) AS BIGINT) AS tf, CAST(sum(a) AS BIGINT) AS ta, CAST(any_value(dl) AS BIGINT) AS dl, CAST(any_value(da) AS BIGINT) AS da FROM w JOIN l USING (id) GROUP BY 1, 2""")
+def index_build(s):
+    """The postings of the content and incoming anchors of all active beliefs, as they are written."""
+    return retrieval.Index(s.active, anchors=s.edges).written().postings.select("id", "term", "tf", "ta", "dl", "da")
+
+
+ORACLE_SQL["index_update"] = ORACLE_SQL["index_build"]
+
+
+@on_store("", None)
+def index_update(s):
+    """The postings after an update from an index of older beliefs and texts, which are those of one made anew."""
+    old = s.active.where("seq % 7 > 0").withColumn("content", F.when(F.col("seq") % 11 == 0, "an older text").otherwise(F.col("content")))
+    base = anchored(s, old)
+    return base.updated(s.active, anchors=s.edges).written().postings.select("id", "term", "tf", "ta", "dl", "da")
+
+
+def anchored(s, docs=None):
+    """An index of beliefs and their incoming anchors, made once for each state of the files."""
+    if docs is not None:
+        return retrieval.cached("older", retrieval.generation(s.beliefs), lambda: retrieval.Index(docs, anchors=s.edges))
+    return retrieval.cached("anchored", retrieval.generation(s.beliefs), lambda: retrieval.Index(s.active, anchors=s.edges))
+
+
+FIELDS = """, w AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS term, 1 AS c, 0 AS a FROM beliefs WHERE valid_to IS NULL
+    UNION ALL SELECT dst, unnest(list_filter(regexp_split_to_array(lower(anchor_text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')), 0, 1 FROM edges WHERE anchor_text <> '' AND dst IN (SELECT id FROM beliefs WHERE valid_to IS NULL)),
+    tf AS (SELECT id, term, sum(c) AS tf, sum(a) AS ta FROM w GROUP BY 1, 2), l AS (SELECT b.id, coalesce(sum(c), 0) AS dl, coalesce(sum(a), 0) AS da FROM beliefs b LEFT JOIN w ON w.id = b.id WHERE valid_to IS NULL GROUP BY 1),
+    n AS (SELECT count(*) AS n, avg(dl) AS avgdl, avg(da) AS avgda, avg(dl + 3 * da) AS avgall FROM l), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    q AS (SELECT query_id, term, count(*) AS qf FROM (SELECT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_]+')) AS term FROM """ + ASKED_SQL + """) z GROUP BY 1, 2),
+    x AS (SELECT query_id, id, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf, tf, ta, 0.25 + 0.75 * dl / avgdl AS nc, 0.25 + 0.75 * da / avgda AS na, 0.25 + 0.75 * (dl + 3 * da) / avgall AS nall FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l USING (id), n),
+    m AS (SELECT query_id, id, round(sum(idf * {0}), 6) AS score FROM x GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM m) r WHERE place <= 10"""
+TOGETHER = "((tf + 3 * ta) * 2.5 / (tf + 3 * ta + 1.5 * nall))"
+APART = "((tf / nc + CASE WHEN ta > 0 THEN 3 * ta / na ELSE 0 END) * 2.5 / (1.5 + tf / nc + CASE WHEN ta > 0 THEN 3 * ta / na ELSE 0 END))"
+
+
+@on_store("beliefs edges", FIELDS.replace("{0}", TOGETHER))
+def bm25_anchored(s):
+    """Incoming anchors are part of a belief's text, three times each."""
+    return retrieval.top(anchored(s).match(asked(s)), 10)
+
+
+@on_store("beliefs edges", FIELDS.replace("{0}", APART))
+def bm25_per_field(s):
+    """Content and anchors are divided by the norms of their own lengths."""
+    return retrieval.top(anchored(s).match(asked(s), per_field=True), 10)
+
+
+@on_store("", None)
+def bm25_stemmed(s):
+    """Stems without diacritics in place of words; tests hold it against a plain version."""
+    index = retrieval.cached("stemmed", retrieval.generation(s.beliefs), lambda: retrieval.Index(s.active, anchors=s.edges, stem=True))
+    return retrieval.top(index.match(asked(s)), 10)
+
+
+MANY_SQL = """, a AS (SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS query_id, text AS query FROM turns WHERE (conv_id * 100 + turn) % 20 = 0),
+    qa AS (SELECT DISTINCT query_id, unnest(list_filter(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS term FROM a),
+    qr AS (SELECT * FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY df, term) AS place FROM qa JOIN df USING (term)) r WHERE place <= 3),
+    mm AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qr JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), n GROUP BY 1, 2)"""
+
+
+def turn_queries(s):
+    """Every turn whose id is divisible by 20, as a query."""
+    key = F.col("conv_id") * 100 + F.col("turn")
+    return s.turns.where(key % 20 == 0).select(key.cast("string").alias("query_id"), F.col("text").alias("query"))
+
+
+@on_store("beliefs turns", INDEX + MANY_SQL + " SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM mm) r WHERE place <= 20")
+def search_turns(s):
+    """A batch of as many queries as every twentieth turn, each by its three rarest terms."""
+    index = index_of(s)
+    return retrieval.top(index.match(retrieval.match_expression(index, turn_queries(s))), 20)
+
+
+@on_store("beliefs turns", INDEX + MANY_SQL + " SELECT query_id, string_agg(term, ' ' ORDER BY place) AS query FROM qr GROUP BY 1")
+def match_expressions(s):
+    return retrieval.match_expression(index_of(s), turn_queries(s))
+
+
+@on_store(
+    "beliefs turns",
+    INDEX
+    + MANY_SQL
+    + f""", best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM mm) r WHERE k <= 50),
+    e AS (SELECT query_id, id, content, 0 AS tier, CAST(locked_at AS DOUBLE) AS key FROM beliefs, (SELECT DISTINCT query_id FROM qr) z WHERE valid_to IS NULL AND lock_level <> 'none'
+          UNION ALL SELECT query_id, b.id, content, 1, round(ln(score) + 0.5 * ln({MEAN}), 6) FROM best JOIN beliefs b ON b.id = best.id WHERE lock_level = 'none'),
+    p AS (SELECT *, CAST(ceil(length(content) / 4.0) AS BIGINT) AS tokens, sum(ceil(length(content) / 4.0)) OVER (PARTITION BY query_id ORDER BY tier, key DESC, id ROWS UNBOUNDED PRECEDING) AS spent FROM e)
+    SELECT query_id, id, tier, tokens, row_number() OVER (PARTITION BY query_id ORDER BY tier, key DESC, id) AS place FROM p WHERE spent <= 60000""",
+)
+def retrieve_turns(s):
+    """Retrieval for as many queries as every twentieth turn."""
+    index = index_of(s)
+    return retrieval.retrieve(s, index, retrieval.match_expression(index, turn_queries(s)), 60_000)
+
+
+@on_store("beliefs", INDEX + """, i AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM df, n), b AS (SELECT quantile_cont(idf, 0.001) AS low, quantile_cont(idf, 0.01) AS high FROM i)
+    SELECT query_id, term, round(idf, 6) AS idf, qf * CASE WHEN idf > high THEN 2 ELSE 1 END AS qf FROM q JOIN i USING (term), b WHERE idf >= low""")
+def idf_clip(s):
+    return retrieval.idf_clip(index_of(s), asked(s), 0.001, 0.01)
+
+
+@on_store("beliefs feedback injections", INDEX + """ SELECT query_id, id FROM m WHERE id IN (SELECT id FROM beliefs WHERE valid_to IS NULL AND lock_level <> 'user')
+    AND id NOT IN (SELECT belief_id FROM feedback) AND id NOT IN (SELECT belief_id FROM injections WHERE lane = 'l25')""")
+def exploration_pool(s):
+    """Matches that were never shown and never judged."""
+    hits = index_of(s).match(asked(s)).join(s.active.where("lock_level <> 'user'").select("id"), "id", "left_semi")
+    hits = hits.join(s.feedback.select(F.col("belief_id").alias("id")), "id", "left_anti").join(s.injections.where("lane = 'l25'").select(F.col("belief_id").alias("id")), "id", "left_anti")
+    return hits.select("query_id", "id")
 
 
 # ---- similarity -----------------------------------------------------------------------------------------------------------
@@ -498,30 +605,43 @@ SHINGLE = "CASE WHEN len(t) >= {0} THEN list_distinct([array_to_string(t[i:i + {
 
 @on_store(
     "turns",
-    f""", t AS (SELECT conv_id * 100 + turn AS id, {TOK.format("text")} AS t FROM turns), s AS (SELECT id, {SHINGLE.format(4)} AS s FROM t),
+    f""", t AS (SELECT conv_id * 100 + turn AS id, {TOK.format("text")} AS t FROM turns UNION ALL SELECT 900000000 + conv_id * 100 + turn, {TOK.format("text || ' and one more'")} FROM turns WHERE role = 'user'), s AS (SELECT id, {SHINGLE.format(4)} AS s FROM t),
     x AS (SELECT id, unnest(s) AS g FROM s), n AS (SELECT id, len(s) AS n FROM s),
     p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
     SELECT a, b, round(c * 1.0 / (na.n + nb.n - c), 6) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c * 1.0 / (na.n + nb.n - c) >= 0.8""",
 )
 def jaccard_pairs(s):
-    return similarity.jaccard_pairs(s.turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text"), "id", "text", 0.8)
+    """The turns, and those of users once more with three words at their end."""
+    rows = s.turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", "role")
+    again = rows.where("role = 'user'").select((F.col("id") + 900_000_000).alias("id"), F.concat("text", F.lit(" and one more")).alias("text"))
+    return similarity.jaccard_pairs(rows.select("id", "text").unionByName(again), "id", "text", 0.8)
 
 
-@on_tables(
-    """SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.n_name, b.n_name) * 1.0 / greatest(length(a.n_name), length(b.n_name)), 6) AS ratio
-    FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_name < b.n_name"""
+def _printable(s):
+    return s.turns.select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("text"))
+
+
+@on_store(
+    "turns",
+    """, u AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM turns) SELECT a.conv_id, a.turn, levenshtein(a.text, b.text) AS distance, round(1 - levenshtein(a.text, b.text) * 1.0 / greatest(length(a.text), length(b.text)), 6) AS ratio
+    FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
 )
-def edit_ratio(spark, sf_dir):
-    names = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("a"))
-    return names.join(names.withColumnRenamed("a", "b"), "n_regionkey").where("a < b").select("a", "b", F.round(similarity.edit_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+def edit_ratio(s):
+    """Each turn beside the next. The SQL engine counts bytes, so both look at printable ASCII characters only."""
+    turns = _printable(s)
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    rows = turns.select("conv_id", "turn", F.col("text").alias("a")).join(after, ["conv_id", "turn"])
+    return rows.select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(similarity.edit_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@on_tables(
-    """WITH d AS (SELECT a.n_regionkey, a.n_name, CAST(sum(levenshtein(a.n_name, b.n_name)) AS BIGINT) AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey GROUP BY 1, 2)
-    SELECT n_regionkey, n_name AS medoid, distance FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY distance, n_name) AS n FROM d) q WHERE n = 1"""
+@on_store(
+    "turns",
+    """, u AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM turns), d AS (SELECT a.conv_id, a.turn, CAST(sum(levenshtein(a.text, b.text)) AS BIGINT) AS distance FROM u a JOIN u b ON a.conv_id = b.conv_id GROUP BY 1, 2)
+    SELECT conv_id, turn AS medoid, distance FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY distance, turn) AS n FROM d) q WHERE n = 1""",
 )
-def group_medoids(spark, sf_dir):
-    return similarity.medoids(table(spark, sf_dir, "nation").select("n_regionkey", "n_name"), "n_regionkey", "n_name", "n_name")
+def group_medoids(s):
+    """The turn of each conversation that is nearest to all its others."""
+    return similarity.medoids(_printable(s), "conv_id", "turn", "text")
 
 
 @on_tables(
@@ -547,23 +667,23 @@ def conversation_overlap(s):
 
 WALK_SQL = "CASE type WHEN 'SUPERSEDES' THEN 0.90 WHEN 'CONTRADICTS' THEN 0.85 WHEN 'DERIVED_FROM' THEN 0.70 WHEN 'IMPLEMENTS' THEN 0.65 WHEN 'SUPPORTS' THEN 0.60 WHEN 'TESTS' THEN 0.55 WHEN 'CITES' THEN 0.40 WHEN 'RELATES_TO' THEN 0.30 WHEN 'TEMPORAL_NEXT' THEN 0.25 ELSE 0 END"
 REACH = f""", e AS (SELECT CASE WHEN type = 'SUPERSEDES' THEN dst ELSE src END AS src, CASE WHEN type = 'SUPERSEDES' THEN src ELSE dst END AS dst, CAST({WALK_SQL} AS DOUBLE) AS w FROM edges),
-    g AS (SELECT src, dst, w FROM e JOIN beliefs ON id = dst WHERE valid_to IS NULL AND w > 0), s AS (SELECT id AS seed FROM beliefs WHERE seq % 50 = 0),
+    g AS (SELECT src, dst, w FROM e JOIN beliefs ON id = dst WHERE valid_to IS NULL AND w > 0), s AS (SELECT id AS seed FROM beliefs WHERE valid_to IS NULL),
     h1 AS (SELECT seed, dst AS node, w AS score FROM s JOIN g ON src = seed WHERE w >= 0.1), h2 AS (SELECT seed, dst AS node, score * w AS score FROM h1 JOIN g ON src = node WHERE score * w >= 0.1),
     r AS (SELECT seed, node, round(max(score), 6) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) u WHERE seed <> node GROUP BY 1, 2)"""
 
 
-def _seeds(s):
-    return s.beliefs.where("seq % 50 = 0").select(F.col("id").alias("seed"))
+def _active_seeds(s):
+    return s.active.select(F.col("id").alias("seed"))
 
 
 @on_store("beliefs edges", REACH + " SELECT * FROM r")
 def multi_hop_reach(s):
-    return graph.reachable(s, _seeds(s))
+    return graph.reachable(s, _active_seeds(s))
 
 
 @on_store("beliefs edges", REACH + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, node) AS place FROM r) q WHERE place <= 3")
 def multi_hop_top(s):
-    return graph.top_reached(s, _seeds(s), 3)
+    return graph.top_reached(s, _active_seeds(s), 3)
 
 
 @on_store(
@@ -581,7 +701,7 @@ def valence_propagation(s):
     SELECT seed, node, round(score * coalesce(factor, 1.0), 6) AS score FROM r LEFT JOIN f ON dst = node""",
 )
 def marker_rerank(s):
-    return graph.marker_rerank(s, graph.reachable(s, _seeds(s)), {"SUPERSEDES": 0.5, "CONTRADICTS": 0.8})
+    return graph.marker_rerank(s, graph.reachable(s, _active_seeds(s)), {"SUPERSEDES": 0.5, "CONTRADICTS": 0.8})
 
 
 LAPLACE = """, z AS (SELECT src, dst, weight * CASE type WHEN 'CONTRADICTS' THEN -1.0 WHEN 'SUPERSEDES' THEN -0.5 ELSE 1.0 END AS w FROM edges WHERE type IN ('SUPPORTS', 'CITES', 'RELATES_TO', 'DERIVED_FROM', 'CONTRADICTS', 'SUPERSEDES') AND src <> dst),
@@ -594,42 +714,9 @@ def signed_laplacian(s):
     return graph.signed_laplacian(s)
 
 
-@on_store("beliefs edges", LAPLACE + """, h AS (SELECT id AS i, 1.0 AS s FROM beliefs WHERE seq % 50 = 0), f AS (SELECT l.i, sum(v * s) AS x FROM l JOIN h ON h.i = l.j GROUP BY 1)
-    SELECT coalesce(h.i, f.i) AS i, round(coalesce(s, 0.0) - 0.2 * (coalesce(s, 0.0) + coalesce(x, 0.0)), 6) AS s FROM h FULL JOIN f ON h.i = f.i""")
-def heat_step(s):
-    return graph.heat_step(s, s.beliefs.where("seq % 50 = 0").select(F.col("id").alias("i"), F.lit(1.0).alias("s")), 0.2)
-
-
-# The queries above start from one belief in 50; these from every active belief.
-FROM_ALL = REACH.replace("WHERE seq % 50 = 0", "WHERE valid_to IS NULL")
-
-
-def _all_seeds(s):
-    return s.active.select(F.col("id").alias("seed"))
-
-
-@on_store("beliefs edges", FROM_ALL + " SELECT * FROM r")
-def multi_hop_reach_all(s):
-    return graph.reachable(s, _all_seeds(s))
-
-
-@on_store("beliefs edges", FROM_ALL + " SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, node) AS place FROM r) q WHERE place <= 3")
-def multi_hop_top_all(s):
-    return graph.top_reached(s, _all_seeds(s), 3)
-
-
-@on_store(
-    "beliefs edges",
-    FROM_ALL + """, k AS (SELECT DISTINCT dst, type FROM edges WHERE type IN ('SUPERSEDES', 'CONTRADICTS')), f AS (SELECT dst, product(CASE type WHEN 'SUPERSEDES' THEN 0.5 ELSE 0.8 END) AS factor FROM k GROUP BY 1)
-    SELECT seed, node, round(score * coalesce(factor, 1.0), 6) AS score FROM r LEFT JOIN f ON dst = node""",
-)
-def marker_rerank_all(s):
-    return graph.marker_rerank(s, graph.reachable(s, _all_seeds(s)), {"SUPERSEDES": 0.5, "CONTRADICTS": 0.8})
-
-
 @on_store("beliefs edges", LAPLACE + """, h AS (SELECT id AS i, 1.0 AS s FROM beliefs WHERE valid_to IS NULL), f AS (SELECT l.i, sum(v * s) AS x FROM l JOIN h ON h.i = l.j GROUP BY 1)
     SELECT coalesce(h.i, f.i) AS i, round(coalesce(s, 0.0) - 0.2 * (coalesce(s, 0.0) + coalesce(x, 0.0)), 6) AS s FROM h FULL JOIN f ON h.i = f.i""")
-def heat_step_all(s):
+def heat_step(s):
     return graph.heat_step(s, s.active.select(F.col("id").alias("i"), F.lit(1.0).alias("s")), 0.2)
 
 
@@ -727,7 +814,7 @@ def content_ids(s):
     round(CASE WHEN sum(rel) > 0 THEN sum(CASE WHEN place <= 10 THEN rel / log2(place + 1) ELSE 0 END) / sum(CASE WHEN best <= 10 THEN rel / log2(best + 1) ELSE 0 END) ELSE 0 END, 6) AS ndcg FROM y GROUP BY 1""",
 )
 def ranking_metrics(s):
-    rows = retrieval.bm25_top(s.active, asked(s), 20).join(s.beliefs.select("id", (F.col("alpha") >= 3).alias("relevant")), "id")
+    rows = retrieval.top(index_of(s).match(asked(s)), 20).join(s.beliefs.select("id", (F.col("alpha") >= 3).alias("relevant")), "id")
     return metrics.ranking(rows, "query_id", 10)
 
 
@@ -818,4 +905,4 @@ def stream_session_counters(spark, sf_dir):
     return streams.run_available(streams.session_counters(streams.read(spark, sf_dir)), "counters")
 
 
-from . import catalog_ledger, catalog_text  # noqa: E402, F401  they register their queries
+from . import catalog_graph, catalog_ledger, catalog_text  # noqa: E402, F401  they register their queries

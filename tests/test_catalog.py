@@ -70,10 +70,10 @@ def test_walks_start_from_every_active_belief(spark):
             for b, x in front:
                 if b != seed:
                     want[seed, b] = max(want.get((seed, b), 0.0), x)
-    got = {(r.seed, r.node): r.score for r in catalog.QUERIES["multi_hop_reach_all"](spark, SF_DIR).collect()}
+    got = {(r.seed, r.node): r.score for r in catalog.QUERIES["multi_hop_reach"](spark, SF_DIR).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in want)
     assert any(int(s[1:]) % 50 for s, _ in got)
-    assert sum(r.n for r in catalog.QUERIES["compare_slots_all"](spark, SF_DIR).collect()) >= store.beliefs.count()
+    assert sum(r.n for r in catalog.QUERIES["compare_slots"](spark, SF_DIR).collect()) >= store.beliefs.count()
 
 
 def test_long_chains_are_one_component(spark):
