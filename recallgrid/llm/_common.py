@@ -55,12 +55,15 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, files: int = 0) -> DataFrame:
     """Cut the lineage: write the rows as Parquet in the shared folder and read them again.
 
-    Unlike a cached or locally checkpointed frame this survives the loss of any executor.
+    Unlike a cached or locally checkpointed frame this survives the loss of any executor. With ``files`` the rows are
+    dealt into so many where the session has several times as many partitions: a file costs the same however little is in it.
     """
     path = new_path(df.sparkSession, name)
+    if files and 4 * files <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.repartition(files)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -68,9 +71,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def parts_for(docs: DataFrame, text: str) -> int:
     """How many parts what is gathered from texts is dealt into: one for each ``PART_BYTES`` of text, from ``PARTS`` parts on for each
     ``LARGE_PART_BYTES``; as many as the session's shuffle partitions at least."""
-    n_bytes = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     least = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return max(least, min(n_bytes // PART_BYTES, PARTS), n_bytes // LARGE_PART_BYTES)
+    return max(least, files_for(docs, text))
+
+
+def files_for(docs: DataFrame, text: str) -> int:
+    """The same by the size of the text alone."""
+    n_bytes = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    return max(1, min(n_bytes // PART_BYTES, PARTS), n_bytes // LARGE_PART_BYTES)
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ._common import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int = 0) -> DataFrame:
     """(``node``, ``root``) for the nodes of ``edges`` (``a``, ``b``): the least node that each can reach.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) hang every node below smaller ones until all hang below
     the least; the number of rounds grows with the logarithm of the longest path. Each round is written to the shared
-    folder. Edges with a null end and loops are left out.
+    folder, in ``files`` files at most. Edges with a null end and loops are left out.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", files)
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -27,4 +27,4 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges", files)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import binary_array, flat, keep_rows, released, row_keys, slices, written
+from ._common import binary_array, files_for, flat, keep_rows, released, row_keys, slices, written
 from ._text import BYTE, LOWER
 
 #: Least, usual and greatest bytes of a chunk.
@@ -136,7 +136,7 @@ def identified(docs: DataFrame, text: str = "text", hash_bytes: int = 16) -> Dat
     mean equal bytes.
     """
     made = recipes(docs, text, hash_bytes).drop(text)
-    made = written(made.withColumn("_rg_row", F.monotonically_increasing_id()), "recipes")
+    made = written(made.withColumn("_rg_row", F.monotonically_increasing_id()), "recipes", files_for(docs, text))
     ambiguous = _ambiguous(docs, text, hash_bytes)
     if ambiguous.isEmpty():
         return made
@@ -187,7 +187,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", has
     docs = docs.drop("text_sha", "recipe", "keep_id", "group_size", "kept", "_rg_row")
     made = identified(docs, text, hash_bytes)
     best = F.max(F.struct(F.col(doc_id).alias("id"), F.col("_rg_row").alias("row"))).alias("_rg_best")
-    groups = written(made.groupBy("recipe").agg(best, F.count("*").alias("group_size")), "groups")
+    groups = written(made.groupBy("recipe").agg(best, F.count("*").alias("group_size")), "groups", files_for(docs, text))
     joined = made.join(groups, "recipe", "left")
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
     return joined.select(*rest, "text_sha", F.col("_rg_best.id").alias("keep_id"), "group_size", (F.col("_rg_best.row") == F.col("_rg_row")).alias("kept"))

@@ -55,7 +55,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """``docs`` with ``n_lines``, ``n_chunks``, ``n_removed`` (chunks) and ``kept_text``.
 
     The first occurrence is that with the least id, then the earliest in the text; a null id is the least. Rows repeated with
-    one id and text keep or lose alike. Chunks of white space only stay. A text loses its removed chunks with one line
+    one id and text keep or lose alike; rows of one id with different texts count as one place, so that a chunk at the same
+    number in both is first in both. Chunks of spaces and line breaks only stay. A text loses its removed chunks with one line
     break each; one that loses all is empty. Columns of these names that ``docs`` brings along are replaced.
     """
     docs = docs.drop("n_lines", "n_chunks", "n_removed", "kept_text")

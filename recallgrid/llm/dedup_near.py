@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import binary_array, flat, keep_rows, released, row_keys, slices, written
+from ._common import binary_array, files_for, flat, keep_rows, released, row_keys, slices, written
 from ._graph import components
 from ._text import mix, shingles, word_hashes
 
@@ -246,7 +246,7 @@ def _star(buckets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return ordered.select("a", "block", "place", "node", "n_shingles", "signature", "shingles").mapInArrow(released(kernel), "a long, b long")
 
 
-def _blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+def _blocks(buckets: DataFrame, classes: DataFrame, files: int) -> DataFrame:
     """(``key``, ``left``, ``right``, ``side``, ``node``, ``root``): the nodes of buckets that have several classes, once for
     each pair of blocks they are compared in."""
     placed = buckets.join(classes, "node").select("key", "node", "root")
@@ -258,7 +258,7 @@ def _blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     # A block is (0, its number) where it has several classes, and (1 + class, its number) for a part of a large one.
     own = F.when(F.col("c").isNull(), F.struct(F.lit(None).cast("long").alias("of"), F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("few") / BLOCK))).cast("long").alias("no")))
     own = own.otherwise(F.struct(F.col("root").alias("of"), F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / BLOCK)).cast("long").alias("no")))
-    placed = written(placed.select("key", "node", "root", own.alias("own")), "placed")
+    placed = written(placed.select("key", "node", "root", own.alias("own")), "placed", files)
     lists = placed.groupBy("key").agg(F.collect_set("own").alias("all"))
     others = F.filter("all", lambda q: q["of"].isNull() | F.col("own.of").isNull() | (q["of"] != F.col("own.of")))
     rows = placed.join(lists, "key").select("key", "node", "root", "own", F.explode(others).alias("other"))
@@ -266,7 +266,7 @@ def _blocks(buckets: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.select("key", left.alias("left"), right.alias("right"), (F.col("own") != left).cast("int").alias("side"), "node", "root")
 
 
-def _across(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _across(rows: DataFrame, members: DataFrame, percent: int, files: int) -> DataFrame:
     """Links (``a``, ``b``) between classes in the blocks of ``rows``."""
     task = ["key", "left_of", "left_no", "right_of", "right_no"]
     flatter = rows.select("key", "left.of", "left.no", F.col("right.of").alias("right_of"), F.col("right.no").alias("right_no"), "side", "node", "root")
@@ -290,7 +290,7 @@ def _across(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
         return rows.select(*task, "side", "node", "root", *more)
 
     schema = "key long, left_of long, left_no long, right_of long, right_no long, side int, node long, root long"
-    kept = written(dealt(flatter, ["n_shingles", "signature"]).mapInArrow(released(passed), schema), "passing")
+    kept = written(dealt(flatter, ["n_shingles", "signature"]).mapInArrow(released(passed), schema), "passing", files)
     return dealt(kept, ["signature", "shingles"]).mapInArrow(released(kernel), "a long, b long")
 
 
@@ -302,31 +302,32 @@ def near_classes(docs: DataFrame, percent: int = 80, text: str = "text", doc_id:
     included. A null id counts as the least long. Rows repeated with one id are kept alike (``keep_rows`` leaves one).
     An empty table gives no rows; other columns of ``docs`` are left out.
     """
+    files = files_for(docs, text)
     keyed = docs.withColumns(row_keys(doc_id, text))
-    rows = written(shingle_sets(keyed.select(F.col(doc_id).alias("doc_id"), "_rg_id", "_rg_th", F.col(text).alias("text")), bands=bands_for(percent)), "rows")
+    rows = written(shingle_sets(keyed.select(F.col(doc_id).alias("doc_id"), "_rg_id", "_rg_th", F.col(text).alias("text")), bands=bands_for(percent)), "rows", files)
     sets = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct("_rg_id", "_rg_th")).alias("rep"), F.first("bands").alias("bands"))
-    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets")
+    sets = written(sets.withColumn("node", F.monotonically_increasing_id()), "sets", files)
 
     buckets = sets.select("node", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = written(buckets.join(shared, "key").select("key", "node"), "buckets")
+    buckets = written(buckets.join(shared, "key").select("key", "node"), "buckets", files)
     near = sets.join(buckets.select("node").distinct(), "node").select("node", "rep._rg_id", "rep._rg_th")
     texts = keyed.select("_rg_id", "_rg_th", F.col(text).alias("text")).join(near, ["_rg_id", "_rg_th"]).select("node", "text")
     # Rows repeated in full give a node more than once.
-    members = written(shingle_sets(texts, with_sets=True, bands=bands_for(percent)).dropDuplicates(["node"]), "members")
-    links = written(_star(buckets, members, percent), "links")
-    first = written(components(links), "first")
+    members = written(shingle_sets(texts, with_sets=True, bands=bands_for(percent)).dropDuplicates(["node"]), "members", files)
+    links = written(_star(buckets, members, percent), "links", files)
+    first = written(components(links, files), "first", files)
     classes = members.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    more = written(_across(_blocks(buckets, classes), members, percent), "links")
+    more = written(_across(_blocks(buckets, classes, files), members, percent, files), "links", files)
     if not more.isEmpty():
-        classes = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        classes = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), files)
     else:
         classes = first
 
     ids = sets.select("set_key", "node", "rep._rg_id").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = written(ids, "classes")
+    ids = written(ids, "classes", files)
     least = ids.groupBy("root").agg(F.min("_rg_id").alias("component_id"))
-    ids = written(ids.join(least, "root").select("set_key", "component_id"), "classes")
+    ids = written(ids.join(least, "root").select("set_key", "component_id"), "classes", files)
     out = rows.drop("bands").join(ids, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id", "_rg_id"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("_rg_id") == F.col("component_id")).alias("kept"), "_rg_id", "_rg_th")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrays import BLOCK, blocks, mapped, merged, save, summed
-from ._common import binary_array, flat, new_path, parts_for, released, released_group, slices, written
+from ._common import binary_array, files_for, flat, new_path, released, released_group, slices, written
 from ._text import mix, powers, prefix_hash, span_hash, words
 
 LENGTH, GRAM = 400, 64
@@ -512,7 +512,7 @@ def _sided(forward: bool, one: list[bytes], other: list[bytes], anchor: list[int
     return Contexts(np.frombuffer(b"".join(data), np.uint8), np.cumsum(size) - size, size, left, group, length)
 
 
-def _neighbours(hot: DataFrame, length: int, n_ranges: int) -> DataFrame:
+def _neighbours(hot: DataFrame, length: int, n_ranges: int, files: int) -> DataFrame:
     """Rows of contexts and what they share with a neighbour in either order, one row with nothing for each; with a ``task``,
     the first and the last context of a range in its order."""
     names = [n.split()[0] for n in _NEIGHBOURS.split(", ")]
@@ -563,7 +563,7 @@ def _neighbours(hot: DataFrame, length: int, n_ranges: int) -> DataFrame:
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     schema = pa.schema([(n.split()[0], kinds[n.split()[1]]) for n in _NEIGHBOURS.split(", ")])
     ranged = _sides(hot).repartitionByRange(n_ranges, "forward", "anchor_hash", "one", "other")
-    found = written(ranged.mapInArrow(released(kernel, "arrays"), _NEIGHBOURS), "neighbours")
+    found = written(ranged.mapInArrow(released(kernel, "arrays"), _NEIGHBOURS), "neighbours", files)
     # Ranges go up with forward: all of one direction stand before those of the other, and a task may hold both.
     ends = found.where("task IS NOT NULL").coalesce(1).sortWithinPartitions("task", "forward", "last")
     return found.where("task IS NULL").unionByName(ends.mapInArrow(released(across), _NEIGHBOURS))
@@ -609,11 +609,11 @@ def _window_keys(view: bytes, starts: list[int], length: int, more: bytes) -> np
     return np.frombuffer(b"".join(made), ">u8").reshape(-1, 2).astype(np.uint64)
 
 
-def _third_contexts(hot: DataFrame, spans: DataFrame, shelf: Shelf, length: int, step: int) -> DataFrame:
+def _third_contexts(hot: DataFrame, spans: DataFrame, shelf: Shelf, length: int, step: int, files: int) -> DataFrame:
     """``spans`` with all repeated windows in ``found``: those still open are compared by digest with all of their anchor."""
     asked = spans.where("size(open) > 0").groupBy("anchor_hash").agg(F.min("low").alias("ask_low"), F.max("best").alias("ask_high"))
     rows = spans.join(asked, "anchor_hash").join(hot.select("key", "check", "data"), ["key", "check"])
-    rows = written(rows.select("anchor_hash", "key", "check", "high", "low", "best", "found", "open", "ask_low", "ask_high", "data"), "open")
+    rows = written(rows.select("anchor_hash", "key", "check", "high", "low", "best", "found", "open", "ask_low", "ask_high", "data"), "open", files)
 
     def windows(batch: pa.RecordBatch, opens: bool) -> Iterator[tuple[int, list[int], np.ndarray]]:
         """For each row the offsets of its windows, all that others could ask for or only those open, and their digests."""
@@ -670,18 +670,18 @@ def _third_contexts(hot: DataFrame, spans: DataFrame, shelf: Shelf, length: int,
     return settled.unionByName(rows.mapInArrow(released(more, "arrays"), "key long, check long, high int, found array<int>"))
 
 
-def _often_repeated(contexts: DataFrame, shelf: Shelf, windows: Shelf, length: int, step: int) -> DataFrame | None:
+def _often_repeated(contexts: DataFrame, shelf: Shelf, windows: Shelf, length: int, step: int, files: int) -> DataFrame | None:
     """What ``_repeated_windows`` makes, for the contexts of very frequent anchors; None if there are none."""
     hot = contexts.where("often").groupBy("anchor_hash", "key", "check", "anchor", "data").agg(F.sum("times").alias("times"))
-    hot = written(hot, "often")
+    hot = written(hot, "often", files)
     n_bytes = hot.agg(F.sum(F.octet_length("data"))).first()[0]
     if not n_bytes:
         return None
-    spans = written(_spans(_neighbours(hot, length, max(1, -(-2 * n_bytes // RANGE_BYTES))), length), "spans")
+    spans = written(_spans(_neighbours(hot, length, max(1, -(-2 * n_bytes // RANGE_BYTES)), files), length), "spans", files)
     if spans.where("size(open) > 0").isEmpty():
         done = spans.select("key", "check", "high", "found")
     else:
-        done = _third_contexts(hot, spans, windows, length, step)
+        done = _third_contexts(hot, spans, windows, length, step, files)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -748,12 +748,13 @@ def remove_passages(docs: DataFrame, text: str = "text", n_words: int = WORDS, g
 def _removed(docs: DataFrame, text: str, length: int, gram: int, many: int, step: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_bytes")
-    folder, n_parts = new_path(spark, "repeats"), parts_for(docs, text)
+    folder, files = new_path(spark, "repeats"), files_for(docs, text)
+    n_parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), files)
     anchors = _repeated_anchors(docs, text, folder, n_parts, length, gram, step)
     contexts, windows = Shelf(folder, "context", n_parts), Shelf(folder, "window", n_parts)
-    around = written(_contexts(docs, text, anchors, length, gram, many, step), "contexts")
+    around = written(_contexts(docs, text, anchors, length, gram, many, step), "contexts", files)
     found = _repeated_windows(around.where("NOT often"), contexts, length)
-    often = _often_repeated(around, contexts, windows, length, step)
+    often = _often_repeated(around, contexts, windows, length, step, files)
     _write_ranges(found if often is None else found.unionByName(often), contexts)
     names = docs.columns
 
