@@ -117,7 +117,7 @@ def headline(text: Column) -> Column:
 def answer_tokens(text: Column) -> Column:
     """Words of an answer for scoring: lower case, without punctuation and articles."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return F.filter(F.split(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "), r"\s+"), lambda w: w != "")
 
 
 def title_tokens(text: Column) -> Column:

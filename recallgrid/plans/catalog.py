@@ -851,7 +851,7 @@ def cohens_kappa(s):
     return metrics.kappa(s.beliefs.select("session_id", (F.col("alpha") >= 3).alias("x"), (F.col("seq") % 3 == 0).alias("y")), "session_id", "x", "y")
 
 
-ANSWER = r"""list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda w: w <> '')"""
+ANSWER = r"""list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the'))"""
 
 
 @on_store(
