@@ -54,10 +54,11 @@ def budget_prefix(rows: DataFrame, by: str, order: list[Column], text: str, budg
     return rows.withColumn("tokens", cost).withColumn("spent", spent).where(F.col("spent") <= budget)
 
 
-def ring(rows: DataFrame, by: str, order: list[Column], size: int) -> DataFrame:
-    """The latest ``size`` rows of each group."""
+def ring(rows: DataFrame, by: str, order: list[Column], size: int, place: bool = False) -> DataFrame:
+    """The latest ``size`` rows of each group, with their ``place`` if that is asked for."""
     w = Window.partitionBy(by).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).drop("_n")
+    kept = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size)
+    return kept.withColumnRenamed("_n", "place") if place else kept.drop("_n")
 
 
 def correction_frequency(store: Store, window: int = 5, share: float = 0.4) -> DataFrame:

@@ -199,3 +199,52 @@ def test_an_updated_index_is_the_new_one(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     columns = fresh.postings.columns
     assert rows(updated.postings.select(columns)) == rows(fresh.postings) and rows(updated.frequencies) == rows(fresh.frequencies) and rows(updated.totals) == rows(fresh.totals)
+
+
+def test_entities_yield_to_earlier_patterns():
+    from recallgrid.functions.extract import find_entities
+
+    got = [(e["kind"], e["raw"]) for e in find_entities("See src/app/main.py at https://x.org/a, v1.2.3 fails with ValueError on feat/new-lane in my_var")]
+    assert ("file_path", "src/app/main.py") in got and ("url", "https://x.org/a,") in got and ("version", "v1.2.3") in got
+    assert ("error_code", "ValueError") in got and ("branch", "feat/new-lane") in got and ("identifier", "my_var") in got
+    spans = sorted((e["start"], e["end"]) for e in find_entities("the quick brown fox jumps over a lazy dog named foo.bar today"))
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    assert find_entities("") == [] and len(find_entities("a1 2 b 3 c 4 d", 2)) == 2
+
+
+def test_triples():
+    from recallgrid.functions.extract import find_triples
+
+    t = find_triples("The cache is supported by the disk layer. New index supersedes old index.")
+    assert {"subject": "the disk layer", "relation": "SUPPORTS", "object": "The cache"}.items() <= t[0].items()
+    assert any(x["relation"] == "SUPERSEDES" and x["subject"] == "New index" for x in t)
+    assert find_triples("nothing here") == []
+
+
+def test_docstrings_and_exports(spark, store):
+    import json
+
+    from recallgrid.sources import files
+
+    code = spark.createDataFrame([("class A:\n    '''Of A.'''\n    def f(self):\n        'Of f.'\n",), ("not python (",), (None,)], "c string")
+    got = [{d["name"]: d["text"] for d in r[0]} for r in code.select(files.docstrings(F.col("c"))).collect()]
+    assert got == [{"A": "Of A.", "f": "Of f."}, {}, {}]
+    nodes = spark.createDataFrame([("d1", 'say "hi"\n twice', 0.9, "none"), ("d2", "x" * 200, 0.1, "user")], "id string, content string, mean double, lock_level string")
+    edges = spark.createDataFrame([("d1", "d2", "CITES"), ("d1", "d9", "CITES")], "src string, dst string, type string")
+    objects = [json.loads(r.json) for r in files.graph_json(nodes, edges).collect()]
+    assert {"src": "d1", "dst": "d2", "type": "CITES"} in objects and len(objects) == 3
+    assert next(o for o in objects if o.get("id") == "d2")["label"] == "x" * 79 + "…"
+
+
+def test_documents_and_transcripts_of_a_folder(spark, tmp_path):
+    from recallgrid.sources import files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.md").write_text("A first paragraph that is long enough.\n\nshort\n\n```\ncode that is long enough to be one\n```\n\nA second one, which is long enough too.")
+    (tmp_path / "sub" / "b.txt").write_text("Another paragraph in another folder.")
+    (tmp_path / "c.py").write_text("x = 'not a document, but long enough to be one'")
+    (tmp_path / "t.jsonl").write_text('{"role": "user", "text": "hello", "session_id": "", "ts": "1"}\nbroken\n{"type": "assistant", "message": {"content": [{"type": "text", "text": "a"}, {"type": "tool"}, {"type": "text", "text": "b"}]}, "sessionId": "s"}\n')
+    got = {(r.path.rsplit("/", 1)[-1], r.n, r.paragraph) for r in files.document_paragraphs(spark, str(tmp_path)).collect()}
+    assert got == {("a.md", 0, "A first paragraph that is long enough."), ("a.md", 1, "A second one, which is long enough too."), ("b.txt", 0, "Another paragraph in another folder.")}
+    turns = {(r.role, r.text, r.session_id, r.ts) for r in files.transcripts(spark, str(tmp_path)).collect()}
+    assert turns == {("user", "hello", None, "1"), ("assistant", "a\nb", "s", None)}
