@@ -248,3 +248,17 @@ def test_documents_and_transcripts_of_a_folder(spark, tmp_path):
     assert got == {("a.md", 0, "A first paragraph that is long enough."), ("a.md", 1, "A second one, which is long enough too."), ("b.txt", 0, "Another paragraph in another folder.")}
     turns = {(r.role, r.text, r.session_id, r.ts) for r in files.transcripts(spark, str(tmp_path)).collect()}
     assert turns == {("user", "hello", None, "1"), ("assistant", "a\nb", "s", None)}
+
+
+def test_capped_pairs(spark):
+    from recallgrid.operators.reports import capped_pairs
+
+    rng = random.Random(2)
+    pairs = sorted({tuple(sorted(rng.sample([f"n{k:02d}" for k in range(30)], 2))) for _ in range(160)})
+    used, want = {}, []
+    for a, b in pairs:
+        if max(used.get(a, 0), used.get(b, 0)) < 3:
+            want.append((a, b))
+            used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+    got = capped_pairs(spark.createDataFrame(pairs, "a string, b string"), 3).collect()
+    assert sorted(map(tuple, got)) == want and len(want) < len(pairs)
