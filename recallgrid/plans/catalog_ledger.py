@@ -443,9 +443,7 @@ def session_delta(s):
     AND id NOT IN (SELECT belief_id FROM feedback) AND id NOT IN (SELECT belief_id FROM corroborations WHERE source_type = 'commit_ingest')""",
 )
 def ghost_alphas(s):
-    from dataclasses import replace
-
-    return ledger.ghost_alphas(replace(s, corroborations=s.corroborations.where("source_type = 'commit_ingest'")), 2.0, 1.0, ("user_stated",))
+    return ledger.ghost_alphas(s.replaced(corroborations=s.corroborations.where("source_type = 'commit_ingest'")), 2.0, 1.0, ("user_stated",))
 
 
 @on_store(

@@ -7,7 +7,7 @@ active; a row whose ``lock_level`` isn't ``none`` is locked.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,23 +72,27 @@ PROJECTION = {
 }
 
 
-@dataclass
 class Store:
-    """The tables of one store."""
+    """The tables of one store, by the names of ``PROJECTION``; each is made when it is asked for first."""
 
-    beliefs: DataFrame
-    edges: DataFrame
-    feedback: DataFrame
-    turns: DataFrame
-    corroborations: DataFrame
-    injections: DataFrame
-    log: DataFrame
-    entities: DataFrame
+    def __init__(self, make: Callable[[str], DataFrame], **given: DataFrame):
+        self._make, self._made = make, dict(given)
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in PROJECTION:
+            raise AttributeError(name)
+        if name not in self._made:
+            self._made[name] = self._make(name)
+        return self._made[name]
 
     @property
     def active(self) -> DataFrame:
         return self.beliefs.where("valid_to IS NULL")
 
+    def replaced(self, **given: DataFrame) -> Store:
+        """The store with other tables in place of some."""
+        return Store(self._make, **(self._made | given))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -96,14 +100,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str) -> Store:
     """The store projected from the tables in a folder."""
-    made = {}
-    for name, sql in PROJECTION.items():
+
+    def make(name: str) -> DataFrame:
+        sql = PROJECTION[name]
         frames = {t: table(spark, sf_dir, t) for t in ("documents", "labels", "events", "conversations") if t in sql}
         text = sql.replace("{", "{{").replace("}", "}}").replace("{{sha}}", "sha2(d.text, 256)").replace("event_id // 10", "event_id DIV 10")
         for t in frames:
             text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
-        made[name] = spark.sql(text, **frames)
-    return Store(**made)
+        return spark.sql(text, **frames)
+
+    return Store(make)
 
 
 def oracle_tables(*names: str) -> str:

@@ -2,8 +2,6 @@
 
 import math
 import random
-from dataclasses import replace
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +26,7 @@ def dense(spark, store):
     kinds = [*WALK, "POTENTIALLY_STALE"]
     rows = {(f"d{rng.randrange(40)}", f"d{rng.randrange(60)}", rng.choice(kinds)) for _ in range(1500)}
     edges = spark.createDataFrame([(a, b, t, round(rng.random(), 2), "") for a, b, t in sorted(rows)], "src string, dst string, type string, weight double, anchor_text string")
-    return replace(store, edges=edges)
+    return store.replaced(edges=edges)
 
 
 def plain_walk(store, seed, depth=2, per_node=16, total=32, least=0.1):
