@@ -18,18 +18,24 @@ from ..sources.model import Store
 # Fixed values.
 K1, B, K3, ANCHOR_WEIGHT = 1.5, 0.75, 0.0, 3
 #: Buckets of terms of a written index; distinct terms of a batch up to which they are put into the scan's filter.
-BUCKETS, LISTED_TERMS = 64, 2000
+BUCKETS, LISTED_TERMS = 16, 2000
 
 
 def tokens(text: Column) -> Column:
     """Words of letters, digits and underscores, in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}_]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}_]+"), "")
 
 
 def _bucket(term: str = "term") -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer partitions than there are cores, dealt over all: a small table is one file and would be cut into words by one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _stem_terms(rows: DataFrame) -> DataFrame:
     """``rows`` (``term`` and others) with the stems of its terms; each distinct term is stemmed once."""
     stems = rows.select("term").distinct().select("term", stemmed(F.col("term")).alias("stem"))
@@ -41,7 +47,7 @@ class Index:
 
     def __init__(self, docs: DataFrame, id: str = "id", text: str = "content", anchors: DataFrame | None = None, stem: bool = False):
         self.stem = stem
-        rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        rows = _spread(docs.select(F.col(id).alias("id"), F.col(text).alias("text")))
         self.prints = rows.select("id", F.xxhash64("text").alias("print"))
         if anchors is not None:
             own = anchors.where("anchor_text <> ''").select(F.col("dst").alias("id"), "anchor_text")
@@ -56,6 +62,10 @@ class Index:
 
     def _count(self, rows: DataFrame, anchors: DataFrame | None) -> DataFrame:
         """Postings of texts. The lengths are of all tokens and come with each posting, so that a probe joins no lengths."""
+        if anchors is None and not self.stem:
+            words = rows.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
+            nothing = F.lit(0).cast("long")
+            return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select(_bucket(), "term", "id", "tf", nothing.alias("ta"), "dl", nothing.alias("da"))
         uses = rows.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
         uses = uses.withColumn("ta", F.lit(0).cast("long"))
         if anchors is not None:
@@ -85,8 +95,12 @@ class Index:
             if name == "frequencies":
                 rows = spark.read.parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
             rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}")
-        for name in ("totals", "prints"):
-            getattr(self, name).write.parquet(f"{folder}/{name}")
+        self.prints.write.parquet(f"{folder}/prints")
+        # Every token is in a posting, so that texts needn't be cut into words again for the totals.
+        uses = spark.read.parquet(f"{folder}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("c"), F.coalesce(F.sum("ta"), F.lit(0)).alias("a"))
+        n = spark.read.parquet(f"{folder}/prints").agg(F.count("*").alias("n"))
+        means = {"avgdl": F.col("c"), "avgda": F.col("a"), "avgall": F.col("c") + ANCHOR_WEIGHT * F.col("a")}
+        n.crossJoin(uses).select("n", *((x / F.col("n")).alias(k) for k, x in means.items())).write.parquet(f"{folder}/totals")
         out = Index.__new__(Index)
         out.stem = self.stem
         for name in ("postings", "frequencies", "totals", "prints"):
