@@ -9,7 +9,6 @@ from ..functions import scoring
 from ..operators import reports, retrieval
 from ..sources.model import Store
 from .catalog import INDEX, TOK, index_of
-from .catalog_text import SAID, SAYINGS
 from .registry import MEAN, ORACLE_SQL, asked, on_store, on_tables
 
 # ---- duplicates -----------------------------------------------------------------------------------------------------------
@@ -86,13 +85,14 @@ def entity_lane(s):
 
 @on_store(
     "edges beliefs",
-    f""", {SAID.split(", both_ AS")[0]}, m AS (SELECT k, regexp_extract(trim(text), '^([A-Z][A-Z_]*):(\\S.*)$', 1) AS kind, trim(regexp_extract(trim(text), '^([A-Z][A-Z_]*):(\\S.*)$', 2)) AS target FROM said)
-    SELECT k AS prompt, src AS id, row_number() OVER (PARTITION BY k ORDER BY src) AS place FROM m JOIN edges ON type = kind AND dst = target WHERE src IN (SELECT id FROM beliefs WHERE valid_to IS NULL)""",
+    """, m AS (SELECT DISTINCT type || ':' || dst AS prompt, type, dst FROM edges WHERE CAST(substr(src, 2) AS BIGINT) % 20 = 0 AND type <> 'POTENTIALLY_STALE')
+    SELECT prompt, src AS id, row_number() OVER (PARTITION BY prompt ORDER BY src) AS place FROM m JOIN edges USING (type, dst) WHERE src IN (SELECT id FROM beliefs WHERE valid_to IS NULL)""",
 )
 def structural_routing(s):
-    """Prompts of the form KIND:target are answered by the edges themselves."""
-    said = s.edges.sparkSession.createDataFrame([(k, t) for k, t in enumerate((*SAYINGS,))], "prompt int, text string")
-    return reports.structural(s, said)
+    """Prompts of the form KIND:target (here the edges of every twentieth belief, and a few other texts) are answered by the edges themselves."""
+    marks = s.edges.where(F.substring("src", 2, 20).cast("long") % 20 == 0).select(F.concat("type", F.lit(":"), "dst").alias("text")).distinct()
+    other = s.edges.sparkSession.createDataFrame([("NOPE:d1",), ("no marker",), ("SUPPORTS:",), ("",)], "text string")
+    return reports.structural(s, marks.unionByName(other).select(F.col("text").alias("prompt"), "text"))
 
 
 @on_store("turns", "SELECT DISTINCT term, '\"' || replace(term, '\"', '\"\"') || '\"' AS quoted FROM (SELECT unnest(string_split(text, ' ')) AS term FROM turns) q WHERE term <> ''")
