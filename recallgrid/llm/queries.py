@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup_exact, dedup_lines, dedup_near, dedup_substrings, ngram_lm, packing, sharding, toxicity, video
+from . import bpe, dedup_exact, dedup_lines, dedup_near, dedup_substrings, ngram_lm, packing, periodic, sharding, topk, toxicity, turn_repair, video
+from ._common import written
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,65 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after damage by its numbers, its faults and its cheapest repair."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    segments = turn_repair.repair(_damaged(rows))
+    reports = turn_repair.conversation_reports(segments).withColumnRenamed("conv_id", "_conv")
+    every = rows.select("conv_id").distinct().join(reports, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Turns after the damage that the contract states; nulls count as one space."""
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    rows = rows.withColumn("damage", F.crc32(key) % 20).where("damage <> 0")
+    role = F.when(F.col("damage") == 4, "user").otherwise(role)
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    times = F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("time")).drop("time")
+
+
+def op12_threshold_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of all vectors for every fiftieth."""
+    vectors = written(topk.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")), "vectors")
+    return topk.top_k(vectors, vectors.where("id % 50 = 0"), 5)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, after every tenth was made periodic from some word on."""
+    rows = periodic.collapse_runs(_documents(spark, sf_dir).select("doc_id", _made_periodic().alias("text")))
+
+    def better(best, r):
+        return F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+
+    best = F.aggregate("runs", F.lit(None).cast(periodic.RUN), better)
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    rows = rows.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_words", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def _made_periodic() -> Column:
+    """The text of a tenth of the documents with words from the a-th on replaced by those a whole number of periods before."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+    def planted(x: Column) -> Column:
+        def word(i: Column) -> Column:
+            return F.get(x["words"], F.when(i < x["a"], i).otherwise(x["a"] + F.pmod(i - x["a"], x["p"])).cast("int"))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), x["n"] - 1), word), " ")
+
+    g = F.floor(h / 10)
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    # Each step stands in an array of one element, so that its value is made once.
+    with_n = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), F.size(w).cast("long").alias("n"), (g % F.size(w)).alias("a")))
+    with_p = F.transform(with_n, lambda x: F.struct(x["words"].alias("words"), x["n"].alias("n"), x["a"].alias("a"), (1 + F.floor((x["n"] - x["a"]) / (3 + g % 8))).alias("p")))
+    some = F.get(F.transform(F.filter(with_p, lambda x: x["n"] > 0), planted), F.lit(0))
+    return F.when(h % 10 == 0, F.coalesce(some, F.lit(""))).otherwise(F.col("text"))
+
+
 QUERIES = {
     "op1_minimax_shards": op1_minimax_shards,
     "op2_avi_motion_jpeg": op2_avi_motion_jpeg,
@@ -113,9 +173,85 @@ QUERIES = {
     "op9_line_chunks": op9_line_chunks,
     "op9_line_runs": op9_line_runs,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_threshold_top": op12_threshold_top,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    rounds = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"xor(list_reduce(list_prepend(4294967295, [ascii(({text})[i])::BIGINT FOR i IN range(1, len({text}) + 1)]), lambda c, b: {rounds}), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """The cheapest edits as a fold over each conversation's turns: for each grammar state the least text of cost and audit."""
+
+    def more(key: str, cost: str, letter: str) -> str:
+        return f"(lpad((substr({key}, 1, 6)::INT + {cost})::VARCHAR, 6, '0') || substr({key}, 7) || '{letter}')"
+
+    def role(states: str, initial: str) -> str:
+        keeps = ", ".join(f"CASE WHEN NOT gone AND initial = '{initial}' THEN {more(k, 'late', 'K')} END" for k in states.split())
+        given = ", ".join(f"CASE WHEN NOT gone THEN {more(k, '2 + late', 'R')} END" for k in states.split())
+        return keeps if initial == "s" else f"{keeps}, {given}"
+
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+        WITH RECURSIVE k AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+        h AS (SELECT *, {_crc32_sql('k')} % 20 AS h FROM k),
+        d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+                     unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, {spaces}) AS seen FROM d),
+        f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS two FROM o),
+        g AS (SELECT *, left(role, 1) AS initial, CASE WHEN seen = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(seen, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM f),
+        t AS (SELECT *, fault IS NOT NULL AND fault <> 'truncated' AS gone, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late FROM g),
+        n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM t GROUP BY conv_id),
+        r AS (SELECT conv_id, 0::BIGINT AS i, '000000' AS k0, NULL::VARCHAR AS ks, '000002I' AS ku, '000004II' AS ka FROM n
+              UNION ALL
+              SELECT conv_id, i, k0, ks, ku2, least(ka1, {more('ku2', '2', 'I')}) FROM (
+              SELECT *, least(ku1, {more('k0', '2', 'I')}, {more('ks', '2', 'I')}, {more('ka1', '2', 'I')}) AS ku2 FROM (
+              SELECT r.conv_id, t.i, {more('k0', '3', 'D')} AS k0, least({more('ks', '3', 'D')}, {role('k0', 's')}) AS ks, least({more('ku', '3', 'D')}, {role('k0 ks ka', 'u')}) AS ku1, least({more('ka', '3', 'D')}, {role('ku', 'a')}) AS ka1
+              FROM r JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id AND t.i = r.i + 1))),
+        e AS (SELECT r.conv_id, least(k0, ka) AS k FROM r JOIN n ON n.conv_id IS NOT DISTINCT FROM r.conv_id AND n.n = r.i),
+        a AS (SELECT conv_id, substr(k, 7) AS audit, unnest(range(1, length(substr(k, 7)) + 1)) AS j FROM e),
+        b AS (SELECT conv_id, j, audit[j] AS edit, sum(CASE WHEN audit[j] = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) AS i FROM a),
+        c AS (SELECT b.conv_id, b.j, b.edit, t.initial, t.role, coalesce(CASE WHEN b.edit <> 'I' THEN t.text END, '') AS text FROM b LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i WHERE b.edit <> 'D'),
+        p AS (SELECT *, row_number() OVER w AS pos, first_value(edit = 'K' AND initial = 's') OVER w AS system FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+        s AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (pos + CASE WHEN system THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS whole FROM p GROUP BY conv_id)
+        SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(substr(e.k, 1, 6)::BIGINT, 0) AS cost, coalesce(substr(e.k, 7), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM v.conv_id"""
+
+
+def _runs_sql() -> str:
+    """Runs from all pairs of equal words that a lag of a fourth of the text or less parts."""
+    return f"""
+        WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
+        h AS (SELECT doc_id, w, len(w) AS n, {_crc32_sql('k')} AS h FROM t),
+        g AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM h),
+        p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+        x AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(CASE WHEN h % 10 = 0 THEN [w[1 + CASE WHEN j < a THEN j ELSE a + (j - a) % p END] FOR j IN range(n)] ELSE w END) AS word FROM p),
+        m AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+        s AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS stretch FROM m),
+        r AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, stretch HAVING count(*) + q >= greatest(6, 4 * q)),
+        u AS (SELECT doc_id, start, length, min(q) AS period FROM r GROUP BY doc_id, start, length),
+        best AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length * 1.0 / period DESC, start, period) = 1),
+        l AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM u GROUP BY doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM u),
+        kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY x.doc_id)
+        SELECT d.doc_id, d.n AS n_words, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+        FROM h d LEFT JOIN best USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 ORACLE_SQL = {
+    "op11_turn_repair": _repair_sql(),
+    "op12_threshold_top": """
+        WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op13_periodic_runs": _runs_sql(),
     "op3_chunk_recipes": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
