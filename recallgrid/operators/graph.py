@@ -64,14 +64,16 @@ def marker_rerank(store: Store, hops: DataFrame, penalties: dict[str, float]) ->
     return hops.join(factor, "node", "left").withColumn("score", F.round(F.col("score") * F.coalesce("factor", F.lit(1.0)), 6)).drop("factor")
 
 
-def signed_laplacian(store: Store) -> DataFrame:
-    """Entries (``i``, ``j``, ``v``) off the diagonal of I - D^-1/2 W D^-1/2, where W is symmetric and D has absolute row sums."""
+def signed_laplacian(store: Store, places: int | None = 6) -> DataFrame:
+    """Entries (``i``, ``j``, ``v``) off the diagonal of I - D^-1/2 W D^-1/2, where W is symmetric and D has absolute row sums; rounded to so many
+    places, or not at all."""
     e = store.edges.withColumn("w", weight_of(F.col("type"), LAPLACIAN) * F.col("weight")).where("w <> 0 AND src <> dst")
     both = e.select(F.col("src").alias("i"), F.col("dst").alias("j"), "w").unionByName(e.select(F.col("dst").alias("i"), F.col("src").alias("j"), "w"))
     w = both.groupBy("i", "j").agg(F.sum("w").alias("w"))
     degree = w.groupBy("i").agg(F.sum(F.abs("w")).alias("d"))
     out = w.join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j").where("d > 0 AND dj > 0")
-    return out.select("i", "j", F.round(-F.col("w") / F.sqrt(F.col("d") * F.col("dj")), 6).alias("v"))
+    value = -F.col("w") / F.sqrt(F.col("d") * F.col("dj"))
+    return out.select("i", "j", (value if places is None else F.round(value, places)).alias("v"))
 
 
 def heat_step(store: Store, heat: DataFrame, time: float) -> DataFrame:

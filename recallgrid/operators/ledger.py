@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import title_tokens
 from ..sources.model import Store
+from .scan import Ranges
 
 # ---- scans --------------------------------------------------------------------------------------------------------------
 
@@ -26,20 +27,7 @@ def newest(store: Store, limit: int) -> DataFrame:
 
 def ids_newest_first(store: Store) -> DataFrame:
     """All ids, retired ones too, with their place from the newest."""
-    n = store.beliefs.agg(F.count("*").alias("n"))
-    ranked = store.beliefs.select("id", "seq")
-    return ranked.join(_running_count(ranked, "seq"), "seq").crossJoin(F.broadcast(n)).select("id", (F.col("n") - F.col("before")).alias("place"))
-
-
-def _running_count(rows: DataFrame, key: str) -> DataFrame:
-    """How many rows have a lesser value of a numeric ``key``, by counts of ranges of it: no task sorts all rows."""
-    width = 4096
-    block = F.floor(F.col(key) / width)
-    blocks = rows.groupBy(block.alias("b")).agg(F.count("*").alias("c"))
-    base = blocks.select("b", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = rows.select(key, block.alias("b")).groupBy("b", key).agg(F.count("*").alias("c"))
-    within = F.coalesce(F.sum("c").over(Window.partitionBy("b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return inside.withColumn("w", within).join(base, "b").select(key, (F.col("base") + F.col("w")).alias("before"))
+    return Ranges(store.beliefs.select("id", "seq"), [], [F.desc("seq")]).places().select("id", "place")
 
 
 def anchor_texts(store: Store) -> DataFrame:
@@ -106,7 +94,7 @@ def reachability(store: Store) -> DataFrame:
 def replay_diff(store: Store) -> DataFrame:
     """The edges that the log gives (each belief of a row DERIVED_FROM the first) beside those of the store, by how they compare."""
     ids = F.from_json("derived_ids", "array<string>")
-    made = store.log.where("derived_ids IS NOT NULL").select(F.explode(F.slice(ids, 2, 100)).alias("src"), ids[0].alias("dst")).distinct().withColumn("r", F.lit(1))
+    made = store.log.where("derived_ids IS NOT NULL").select(F.explode(F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0)))).alias("src"), ids[0].alias("dst")).distinct().withColumn("r", F.lit(1))
     own = store.edges.where("type = 'DERIVED_FROM'").select("src", "dst").distinct().withColumn("s", F.lit(1))
     side = F.when(F.col("s").isNull(), "log_only").when(F.col("r").isNull(), "store_only").otherwise("both")
     return own.join(made, ["src", "dst"], "full_outer").groupBy(side.alias("side")).agg(F.count("*").alias("n"))

@@ -7,20 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import estimated_tokens
 from ..sources.model import Store
+from .scan import Ranges
 
 SPINE_TYPE, SPINE_WEIGHT = "TEMPORAL_NEXT", 0.8
 
 
 def session_order(store: Store) -> DataFrame:
     """Each belief with its place in its session."""
-    w = Window.partitionBy("session_id").orderBy("created_at", "seq")
-    return store.beliefs.where("session_id IS NOT NULL").select("session_id", "id", F.row_number().over(w).alias("place"))
+    return _in_session(store).places().select("session_id", "id", "place")
+
+
+def _in_session(store: Store) -> Ranges:
+    rows = store.beliefs.where("session_id IS NOT NULL").select("session_id", "id", "created_at", "seq")
+    return Ranges(rows, ["session_id"], [F.col("created_at"), F.col("seq")])
 
 
 def spine(store: Store) -> DataFrame:
     """An edge from each belief to the one before it in its session."""
-    w = Window.partitionBy("session_id").orderBy("created_at", "seq")
-    linked = store.beliefs.where("session_id IS NOT NULL").select(F.col("id").alias("src"), F.lag("id").over(w).alias("dst"))
+    linked = _in_session(store).previous(dst="id").select(F.col("id").alias("src"), "dst")
     return linked.where("dst IS NOT NULL").withColumns({"type": F.lit(SPINE_TYPE), "weight": F.lit(SPINE_WEIGHT)})
 
 
@@ -47,11 +51,9 @@ def average_ranks(rows: DataFrame, by: str, value: str, key: str) -> DataFrame:
 
 
 def budget_prefix(rows: DataFrame, by: str, order: list[Column], text: str, budget: int) -> DataFrame:
-    """Rows of each group, in order, until the first that the token budget doesn't hold."""
-    w = Window.partitionBy(by).orderBy(*order)
-    cost = estimated_tokens(F.col(text))
-    spent = F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("tokens", cost).withColumn("spent", spent).where(F.col("spent") <= budget)
+    """Rows of each group, in order, until the first that the token budget doesn't hold, without the text that they are priced by."""
+    priced = rows.withColumn("tokens", estimated_tokens(F.col(text))).drop(text)
+    return Ranges(priced, [by], order).running_sums(spent=F.col("tokens")).where(F.col("spent") <= budget)
 
 
 def ring(rows: DataFrame, by: str, order: list[Column], size: int, place: bool = False) -> DataFrame:
@@ -71,7 +73,7 @@ def correction_frequency(store: Store, window: int = 5, share: float = 0.4) -> D
 def temporal_decay_rerank(rows: DataFrame, by: str, rank: str, age: str, half_life: float, locked: str) -> DataFrame:
     """New places: locked rows first as they were, the others by 1 / (rank + 1) * 2 ** (-age / half life)."""
     key = F.when(F.col(locked), F.lit(float("inf"))).otherwise(1 / (F.col(rank) + 1) * F.pow(F.lit(2.0), -F.col(age) / half_life))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(key.desc(), rank)))
+    return Ranges(rows.withColumn("_key", key), [by], [F.desc("_key"), F.col(rank)]).places().drop("_key")
 
 
 def consecutive_duplicates(turns: DataFrame) -> DataFrame:
@@ -83,17 +85,20 @@ def consecutive_duplicates(turns: DataFrame) -> DataFrame:
 
 def cadence(store: Store, every: int) -> DataFrame:
     """Feedback events of a session at which something falls due: each ``every``-th."""
-    w = Window.partitionBy("session_id").orderBy("feedback_id")
-    return store.feedback.select("session_id", "feedback_id", F.row_number().over(w).alias("fire_idx")).where(F.col("fire_idx") % every == 0)
+    return _events(store, "feedback_id").where(F.col("fire_idx") % every == 0).select("session_id", "feedback_id", "fire_idx")
+
+
+def _events(store: Store, *columns: str) -> DataFrame:
+    """Feedback with its number in its session."""
+    return Ranges(store.feedback.select("session_id", *columns), ["session_id"], [F.col("feedback_id")]).places("fire_idx")
 
 
 def touches(store: Store, kinds: dict[str, int]) -> DataFrame:
     """State of each belief in each session: last touch (number of the event in the session), times, kinds as bits."""
-    w = Window.partitionBy("session_id").orderBy("feedback_id")
     bit = F.lit(0)
     for name, b in kinds.items():
         bit = F.when(F.col("source") == name, b).otherwise(bit)
-    rows = store.feedback.select("session_id", "belief_id", F.row_number().over(w).alias("fire_idx"), bit.alias("kind"))
+    rows = _events(store, "feedback_id", "belief_id", "source").select("session_id", "belief_id", "fire_idx", bit.alias("kind"))
     return rows.groupBy("session_id", "belief_id").agg(F.max("fire_idx").alias("last_fire"), F.count("*").alias("times"), F.bit_or("kind").alias("kinds"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import graph, metrics, ordered, relational, retrieval, similarity
+from ..operators.scan import Ranges
 from ..sources.model import Store, oracle_tables, table
 from ..streaming import feedback as streams
 from .registry import ASKED_SQL, BASE, MEAN, ORACLE_SQL, QUERIES, asked, on_store, on_tables
@@ -350,10 +351,8 @@ def correction_frequency(s):
     (SELECT session_id, id, lock_level, seq % 40 AS age0, row_number() OVER (PARTITION BY session_id ORDER BY alpha DESC, id) - 1 AS r, CAST(2000000 - seq * 60 AS DOUBLE) AS age FROM beliefs) q""",
 )
 def temporal_decay_rerank(s):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("session_id").orderBy(F.desc("alpha"), "id")
-    rows = s.beliefs.select("session_id", "id", (F.col("lock_level") != "none").alias("is_locked"), (F.row_number().over(w) - 1).alias("r"), (2_000_000.0 - F.col("seq") * 60).alias("age"))
+    rows = s.beliefs.select("session_id", "id", (F.col("lock_level") != "none").alias("is_locked"), (2_000_000.0 - F.col("seq") * 60).alias("age"), "alpha")
+    rows = Ranges(rows, ["session_id"], [F.desc("alpha"), F.col("id")]).places().withColumn("r", F.col("place") - 1).drop("place", "alpha")
     return ordered.temporal_decay_rerank(rows, "session_id", "r", "age", 100_000.0, "is_locked").select("session_id", "id", "place")
 
 
@@ -905,4 +904,4 @@ def stream_session_counters(spark, sf_dir):
     return streams.run_available(streams.session_counters(streams.read(spark, sf_dir)), "counters")
 
 
-from . import catalog_graph, catalog_ingest, catalog_ledger, catalog_reports, catalog_text  # noqa: E402, F401  they register their queries
+from . import catalog_draws, catalog_graph, catalog_ingest, catalog_ledger, catalog_reports, catalog_text  # noqa: E402, F401  they register their queries
