@@ -108,25 +108,6 @@ def components(edges: DataFrame) -> DataFrame:
     return ids.join(now.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
-def cosine_top(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """For each query vector the ``k`` nearest rows (``vec_id``, ``embedding``) by cosine, itself left out; ties by id.
-
-    ``queries`` are a stated set, held against all rows.
-    """
-
-    def norm(x: Column) -> Column:
-        return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
-
-    def ready(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col("vec_id").alias(name), F.col("embedding").alias(f"{name}_e"), norm(F.col("embedding")).alias(f"{name}_n"))
-
-    dot = F.aggregate(F.zip_with("q_e", "r_e", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, v: a + v)
-    pairs = ready(queries, "q").join(ready(rows, "r"), F.col("q") != F.col("r"))
-    scored = pairs.select("q", "r", F.round(F.when((F.col("q_n") > 0) & (F.col("r_n") > 0), dot / (F.col("q_n") * F.col("r_n"))).otherwise(0.0), 6).alias("cosine"))
-    w = Window.partitionBy("q").orderBy(F.desc("cosine"), "r")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-
-
 def superposition(rows: DataFrame, by: str, vector: str) -> DataFrame:
     """The element-wise sum of the vectors of each group: (``by``, ``k``, ``v``)."""
     return rows.select(by, F.posexplode(vector).alias("k", "x")).groupBy(by, "k").agg(F.round(F.sum(F.col("x").cast("double")), 4).alias("v"))

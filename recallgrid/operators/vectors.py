@@ -7,13 +7,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import new_folder
 from ..sources.model import Store
 from .graph import signed_laplacian
+from .recall import VectorIndex
 
 # Fixed values.
 DIMENSIONS, HEAT_TIME, SEEDS, HEAT_FLOOR = 512, 8.0, 25, 1e-9
@@ -104,40 +105,140 @@ def unbind(key: np.ndarray, made: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.conj(np.fft.rfft(key)) * np.fft.rfft(made), made.shape[-1])
 
 
+def name_vectors(names: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(``id``, ``vector``) of distinct names (``id``)."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [vector_of(x, dimensions) for x in batch.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(np.array(made).reshape(-1, dimensions))], ["id", "vector"])
+
+    return names.select("id").where("id IS NOT NULL").distinct().mapInArrow(make, "id string, vector array<double>")
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(values).ravel()))
+
+
+def _matrix(values: pa.Array, width: int) -> np.ndarray:
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), width)
+
+
 def edge_vectors(store: Store, dimensions: int = DIMENSIONS) -> DataFrame:
     """(``id``, ``vector``): for each belief the sum over its edges of the type's vector bound with the target's.
 
-    Sums are made in the tasks first and then by belief, so that a belief of many edges moves one vector from each task.
+    A target's vector is made once and joined; edges are bound a batch at a time. Sums are made in the tasks first, so that a
+    belief of many edges moves one vector from each batch; those are added as they stream by.
     """
+    types = [r.type for r in store.edges.select("type").distinct().collect()]
+    roles = np.fft.rfft(np.array([vector_of("role:" + t, dimensions) for t in types]).reshape(-1, dimensions))
+
+    def summed(ids: list[str], values: np.ndarray) -> pa.RecordBatch:
+        """Sums over equal ids that stand together."""
+        starts = [n for n, x in enumerate(ids) if n == 0 or x != ids[n - 1]]
+        return pa.RecordBatch.from_arrays([pa.array([ids[n] for n in starts], pa.string()), _lists(np.add.reduceat(values, starts))], ["id", "vector"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column("src").to_pylist()
+                order = sorted(range(len(ids)), key=ids.__getitem__)
+                of = np.array([types.index(t) for t in batch.column("type").to_pylist()])[order]
+                made = np.fft.irfft(roles[of] * np.fft.rfft(_matrix(batch.column("vector"), dimensions)[order]), dimensions)
+                yield summed([ids[n] for n in order], made)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, value = None, np.zeros((0, dimensions))
+        for batch in batches:
+            if batch.num_rows:
+                ids, values = batch.column("id").to_pylist(), _matrix(batch.column("vector"), dimensions)
+                if last is not None:
+                    ids, values = [last, *ids], np.vstack([value, values])
+                done = summed(ids, values)
+                last, value = done["id"][-1].as_py(), _matrix(done["vector"].slice(done.num_rows - 1), dimensions)
+                yield done.slice(0, done.num_rows - 1)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], pa.string()), _lists(value)], ["id", "vector"])
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            made = [bind(vector_of("role:" + t, dimensions), vector_of(d, dimensions)) for t, d in zip(f.type, f.dst, strict=True)]
-            sums = pd.Series(made, index=f.src).groupby(level=0).agg(lambda x: np.sum(np.stack(x.tolist()), axis=0))
-            yield pd.DataFrame({"id": sums.index, "vector": [v.tolist() for v in sums]})
+    schema = "id string, vector array<double>"
+    made = store.edges.select("src", "type", "dst").join(name_vectors(store.edges.select(F.col("dst").alias("id")), dimensions).withColumnRenamed("id", "dst"), "dst")
+    return made.select("src", "type", "vector").mapInArrow(partial, schema).repartition("id").sortWithinPartitions("id").mapInArrow(total, schema)
 
-    def total(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": [frame.id.iloc[0]], "vector": [np.sum(np.stack(frame.vector.tolist()), axis=0).tolist()]})
 
-    schema = "id string, vector array<double>"
-    return store.edges.select("src", "type", "dst").mapInPandas(partial, schema).groupBy("id").applyInPandas(total, schema)
+def turned(rows: DataFrame, by: dict[str, np.ndarray], undo: bool) -> DataFrame:
+    """``rows`` (``id``, ``kind``, ``vector``) with vectors bound with, or unbound by, their kind's: (``probe``, ``vector``), the probe being kind and id."""
+    kinds = list(by)
+    keys = np.fft.rfft(np.array([by[k] for k in kinds]))
+    dimensions = len(by[kinds[0]])
 
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kind = batch.column("kind").to_pylist()
+                key = keys[[kinds.index(k) for k in kind]]
+                made = np.fft.irfft((np.conj(key) if undo else key) * np.fft.rfft(_matrix(batch.column("vector"), dimensions)), dimensions)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{k} {i}" for k, i in zip(kind, batch.column("id").to_pylist(), strict=True)], pa.string()), _lists(made)], ["probe", "vector"])
 
-def probe(vectors: DataFrame, wanted: DataFrame, k: int, floor: float = SIMILARITY_FLOOR, dimensions: int = DIMENSIONS) -> DataFrame:
-    """For each (``kind``, ``target``) the beliefs that most likely have such an edge: the product of their vector with the probe's.
+    return rows.select("id", "kind", "vector").mapInArrow(kernel, "probe string, vector array<double>")
 
-    Probes are a small batch; they go with the tasks, which keep those above the floor.
-    """
-    asked = [(r.kind, r.target) for r in wanted.select("kind", "target").distinct().collect()]
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        probes = np.stack([bind(vector_of("role:" + kind, dimensions), vector_of(t, dimensions)) for kind, t in asked]) if asked else np.zeros((0, dimensions))
-        for f in frames:
-            if len(f) and len(asked):
-                s = np.stack(f.vector.tolist()) @ probes.T
-                row, col = np.nonzero(s >= floor)
-                yield pd.DataFrame({"kind": [asked[c][0] for c in col], "target": [asked[c][1] for c in col], "id": f.id.to_numpy()[row], "similarity": s[row, col]})
-
-    rows = vectors.mapInPandas(score, "kind string, target string, id string, similarity double")
-    w = Window.partitionBy("kind", "target").orderBy(F.desc("similarity"), "id")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select(F.substring_index("probe", " ", 1).alias("kind"), F.expr("substring(probe, instr(probe, ' ') + 1)").alias("target"), "id", F.col("score").alias("similarity"))
+
+
+def probe(vectors: DataFrame, wanted: DataFrame, k: int, floor: float = SIMILARITY_FLOOR, dimensions: int = DIMENSIONS) -> DataFrame:
+    """For each (``kind``, ``target``) the beliefs that most likely have such an edge (``kind``, ``target``, ``id``, ``similarity``): those whose vectors have the
+    greatest products, ``floor`` at least, with the kind's vector bound with the target's."""
+    kinds = [r.kind for r in wanted.select("kind").distinct().collect()]
+    if not kinds:
+        return _found(wanted.select(F.lit("").alias("probe"), F.lit("").alias("id"), F.lit(0.0).alias("score")).limit(0))
+    asked = wanted.select("kind", F.col("target").alias("id")).distinct()
+    asked = asked.join(name_vectors(asked, dimensions), "id")
+    return _found(VectorIndex(vectors).search(turned(asked, {k: vector_of("role:" + k, dimensions) for k in kinds}, False), k, floor))
+
+
+def cleaned(memory: DataFrame, noisy: DataFrame, k: int = 10) -> DataFrame:
+    """(``probe``, ``id``, ``score``): for each noisy vector (``probe``, ``vector``) the ``k`` names of a memory (``id``, ``vector``) with the greatest cosine, ties by id. A probe
+    without length recovers nothing; a name without length has a cosine of 0."""
+
+    def unit(rows: DataFrame) -> DataFrame:
+        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
+        return rows.withColumn("_norm", norm).withColumn("vector", F.transform("vector", lambda v: F.when(F.col("_norm") > 0, v / F.col("_norm")).otherwise(0.0)))
+
+    return VectorIndex(unit(memory).drop("_norm")).search(unit(noisy).where("_norm > 0").drop("_norm"), k)
+
+
+# Kinds of edges that an expansion follows.
+EXPANDED = ("CITES", "CONTRADICTS", "IMPLEMENTS", "SUPERSEDES", "SUPPORTS", "TESTS")
+PER_PROBE, SEED_CAP, EXPANSION = 3, 5, 5
+
+
+def neighbours(store: Store, seeds: DataFrame, per_probe: int = PER_PROBE, floor: float = SIMILARITY_FLOOR, dimensions: int = DIMENSIONS) -> DataFrame:
+    """(``seed``, ``id``, ``kind``, ``direction``, ``similarity``) for the beliefs of ``seeds`` (``id``): what their vectors give back for each kind (forward), and whose vectors
+    hold the kind bound with them (reverse); the ``per_probe`` best of each at ``floor`` or above, without the seed."""
+    roles = {k: vector_of("role:" + k, dimensions) for k in EXPANDED}
+    folder = new_folder(store.edges.sparkSession, "structures")
+    edge_vectors(store, dimensions).write.parquet(f"{folder}/edges")
+    name_vectors(store.beliefs.select("id"), dimensions).write.parquet(f"{folder}/names")
+    structures, names = (store.edges.sparkSession.read.parquet(f"{folder}/{x}") for x in ("edges", "names"))
+    kinds = F.explode(F.array(*(F.lit(k) for k in EXPANDED))).alias("kind")
+    wanted = seeds.select("id").distinct()
+    # One more than asked for, as the seed itself may be among them.
+    ahead = VectorIndex(names).search(turned(structures.join(wanted, "id", "left_semi").select("id", kinds, "vector"), roles, True), per_probe + 1, floor)
+    back = VectorIndex(structures).search(turned(names.join(wanted, "id", "left_semi").select("id", kinds, "vector"), roles, False), per_probe + 1, floor)
+    rows = _found(ahead).withColumn("direction", F.lit("forward")).unionByName(_found(back).withColumn("direction", F.lit("reverse"))).where("id <> target")
+    place = F.row_number().over(Window.partitionBy("target", "kind", "direction").orderBy(F.desc("similarity"), "id"))
+    return rows.withColumn("place", place).where(F.col("place") <= per_probe).select(F.col("target").alias("seed"), "id", "kind", "direction", "similarity")
+
+
+def expanded_seeds(store: Store, hits: DataFrame, table: DataFrame | None = None, seed_cap: int = SEED_CAP, k: int = EXPANSION, per_probe: int = PER_PROBE, floor: float = SIMILARITY_FLOOR) -> DataFrame:
+    """(``query_id``, ``id``, ``similarity``, ``place``): for the first ``seed_cap`` hits of each query (``query_id``, ``id``, ``place``) the ``k`` active beliefs nearest to any of them, each by its
+    greatest similarity, without the seeds. ``table``: neighbours made before; else they are found now for the seeds of all queries at once."""
+    seeds = hits.where(F.col("place") <= seed_cap).select("query_id", F.col("id").alias("seed"))
+    if table is None:
+        table = neighbours(store, seeds.select(F.col("seed").alias("id")), per_probe, floor)
+    near = seeds.join(table.where(F.col("similarity") >= floor), "seed").groupBy("query_id", "id").agg(F.max("similarity").alias("similarity"))
+    near = near.join(seeds.withColumnRenamed("seed", "id"), ["query_id", "id"], "left_anti").join(store.active.select("id"), "id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return near.withColumn("place", place).where(F.col("place") <= k).select("query_id", "id", "similarity", "place")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import graph, metrics, ordered, relational, retrieval, similarity
+from ..operators import graph, metrics, ordered, recall, relational, retrieval, similarity
 from ..operators.scan import Ranges
 from ..sources.model import Store, oracle_tables, table
 from ..streaming import feedback as streams
@@ -738,7 +738,7 @@ ORACLE_SQL["connected_components"] = ORACLE_SQL["connected_components"].replace(
 )
 def cosine_top(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return graph.cosine_top(rows.where("vec_id % 20 = 0"), rows, 5).select("q", "r", "cosine", "place")
+    return recall.cosine_top(rows.where("vec_id % 20 = 0"), rows, 5).select("q", "r", "cosine", "place")
 
 
 @on_tables("SELECT label, k - 1 AS k, round(sum(x), 4) AS v FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings) q GROUP BY 1, 2")
