@@ -84,7 +84,7 @@ def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of lines that stand elsewhere before."""
     rows = dedup_lines.line_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("doc_id", "n_lines", "n_chunks", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,14 +268,10 @@ ORACLE_SQL = {
     "op9_line_chunks": """
         WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         l AS (SELECT doc_id, len(lines) AS n_lines, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
-        h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
-        e AS (SELECT *, CASE WHEN i = n_lines - 1 OR (h + 3 * coalesce(lag(h) OVER w, 0) + 7 * coalesce(lag(h, 2) OVER w, 0)) % 4 = 0
-                             THEN 1 ELSE 0 END AS last FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-        k AS (SELECT *, sum(last) OVER (PARTITION BY doc_id ORDER BY i) - last AS no FROM e),
-        c AS (SELECT doc_id, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body FROM k GROUP BY doc_id, no),
-        f AS (SELECT *, n >= 2 AND trim(replace(body, chr(10), ' ')) <> ''
-                        AND row_number() OVER (PARTITION BY n >= 2, body ORDER BY doc_id, no) > 1 AS gone FROM c)
-        SELECT doc_id, sum(n)::BIGINT AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed,
-               sha256(coalesce(string_agg(body, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_sha256
-        FROM f GROUP BY doc_id""",
+        p AS (SELECT a.doc_id, a.i, a.line || chr(10) || b.line AS two FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.i = a.i + 1 WHERE trim(a.line) <> '' OR trim(b.line) <> ''),
+        r AS (SELECT doc_id, i FROM p QUALIFY row_number() OVER (PARTITION BY two ORDER BY doc_id, i) > 1),
+        g AS (SELECT doc_id, i FROM r UNION SELECT doc_id, i + 1 FROM r),
+        k AS (SELECT l.*, g.i IS NOT NULL AS gone FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i)
+        SELECT doc_id, any_value(n_lines)::BIGINT AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM k GROUP BY doc_id""",
 }

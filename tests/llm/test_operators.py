@@ -503,40 +503,11 @@ def test_near_dedup_keeps_one(docs, empty):
 # ---- lines ----------------------------------------------------------------------------------------------------------------------
 
 
-def test_line_dedup(docs, rows, empty):
-    got = dedup_lines.line_dedup(docs).select("doc_id", "text", "n_lines", "n_chunks", "n_removed", "kept_text").toPandas()
-    least = -(2**63)
-
-    def chunks(t):
-        lines, out, now = (t or "").split("\n"), [], []
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-        for i, x in enumerate(lines):
-            now.append(x)
-            if i == len(lines) - 1 or sum(f * (h[i - k] if i >= k else 0) for k, f in enumerate((1, 3, 7))) % 4 == 0:
-                out.append(now)
-                now = []
-        return out
-
-    first = {}
-    for i, t in rows:
-        for k, c in enumerate(chunks(t)):
-            key = (least if i is None else i, k)
-            first["\n".join(c)] = min(first.get("\n".join(c), key), key)
-    assert len(got) == len(rows)
-    for r in got.itertuples():
-        c = chunks(r.text)
-        i = least if np.isnan(r.doc_id) else int(r.doc_id)
-        keep = [x for k, x in enumerate(c) if len(x) < 2 or not "".join(x).strip(" ") or first["\n".join(x)] == (i, k)]
-        assert (r.n_lines, r.n_chunks, r.n_removed) == (sum(map(len, c)), len(c), len(c) - len(keep))
-        assert r.kept_text == "\n".join("\n".join(x) for x in keep)
-    assert dedup_lines.line_dedup(empty).count() == 0
-
-
-def without_runs(rows):
+def without_runs(rows, long_lines=True):
     """Lines to keep of each (id, text), by a plain rule over all windows of lines."""
     def windows(t):
         ls = (t or "").split("\n")
-        found = [(i, 2, (ls[i], ls[i + 1])) for i in range(len(ls) - 1)] + [(i, 1, (x,)) for i, x in enumerate(ls) if len(x.split()) > 50]
+        found = [(i, 2, (ls[i], ls[i + 1])) for i in range(len(ls) - 1)] + [(i, 1, (x,)) for i, x in enumerate(ls) if long_lines and len(x.split()) > 50]
         return ls, [w for w in found if " ".join(w[2]).strip(" ")]
 
     first = {}
@@ -568,6 +539,35 @@ def test_line_runs(spark, docs, rows, empty):
     assert dedup_lines.line_runs(docs).count() == len(rows) and dedup_lines.line_runs(empty).count() == 0
 
 
+def test_line_dedup_finds_every_run(spark, docs, rows, empty):
+    """Runs of two lines and more between lines of their own, at the ends of texts, in repeated rows and in rows without an id."""
+    import random
+
+    rng = random.Random(5)
+    pool = [f"w{k} of the pool" for k in range(40)] + ["", " ", "  \t"]
+    own = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.5 else f"line {k} {j}" for j in range(rng.randrange(1, 12)))) for k in range(150)]
+    own += [(200 + k, f"before {k}\nrun a\nrun b\nafter {k}") for k in range(20)] + [(300 + k, "run b\nrun c" if k % 2 else "x\nx\nx\nx") for k in range(4)]
+    got = dedup_lines.line_dedup(spark.createDataFrame(own, "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_removed, r.kept_text) for r in got] == without_runs(own, False)
+    least = -(2**63)
+    rows = [(least if i is None else i, t) for i, t in rows]
+    want = Counter((i, t, *x) for (i, t), x in zip(rows, without_runs(rows, False), strict=True))
+    found = dedup_lines.line_dedup(docs).select("doc_id", "text", "n_lines", "n_removed", "kept_text", "shard").collect()
+    assert Counter((least if r.doc_id is None else r.doc_id, r.text, r.n_lines, r.n_removed, r.kept_text) for r in found) == want and {r.shard for r in found} == {"clash"}
+    assert dedup_lines.line_dedup(empty).count() == 0
+
+
+def test_lines_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With a hash of few values many chunks collide; bytes tell them apart."""
+    from pyspark.sql import functions as F
+
+    whole = F.xxhash64
+    monkeypatch.setattr(dedup_lines.F, "xxhash64", lambda *c: F.pmod(whole(*c), F.lit(3)))
+    own = [(k, "\n".join(f"l{(k * j) % 7}" for j in range(6))) for k in range(40)]
+    got = dedup_lines.line_dedup(spark.createDataFrame(own, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_lines, r.n_removed, r.kept_text) for r in got] == without_runs(own, False)
+
+
 def test_line_dedup_runs_no_python(docs, capsys):
     dedup_lines.line_dedup(docs).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
