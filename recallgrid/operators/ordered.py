@@ -139,6 +139,41 @@ def meta_decay(store: Store, now: int, half_life: float) -> DataFrame:
     return store.feedback.where(F.col("created_at") <= now).groupBy("source").agg(F.round(0.5 + F.sum(e * weight), 6).alias("alpha"), F.round(0.5 + F.sum((1 - e) * weight), 6).alias("beta"))
 
 
+# Fixed value: what a meta-belief's prior weighs.
+PRIOR_MASS = 1.0
+
+
+def meta_events(events: DataFrame) -> DataFrame:
+    """Events (``at``, ``evidence`` and others) as segments of one event each."""
+    e = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("evidence")))
+    return events.withColumns({"first_at": F.col("at"), "last_at": F.col("at"), "faded": F.lit(0.0), "up": e, "down": 1 - e}).drop("at", "evidence")
+
+
+def joined_segments(segments: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The segments of each key (``keys``, ``half_life``, ``first_at``, ``last_at``, ``faded``, ``up``, ``down``), in the order in which they came, as one.
+
+    An event halves the evidence beyond the prior for every half-life since the event before it, which may have a later time (then
+    nothing fades), and adds its own. That is an affine map of the evidence, and the maps of a stretch of events are one map again:
+    ``faded`` are the half-lives from its first event to its last. So a log may be cut anywhere; neighbours and sums are carried
+    over ranges, and a key's events are never in one task. A half-life that isn't positive fades nothing.
+    """
+    ordered = Ranges(segments, keys, order).previous(_before="last_at")
+    gap = F.greatest(F.lit(0.0), F.col("first_at") - F.coalesce("_before", F.col("first_at"))) / F.col("half_life")
+    step = F.when(F.col("half_life") > 0, gap).otherwise(0.0) + F.col("faded")
+    timed = Ranges(ordered.withColumn("_step", step).drop("_before"), keys, order).running_sums(_age=F.col("_step"), _n=F.lit(1))
+    # The first segment's own length is in its age, but what the whole fades begins with its first event.
+    whole = timed.groupBy(*keys).agg(F.max("_age").alias("_all"), F.max("half_life").alias("half_life"), F.min_by("first_at", "_n").alias("first_at"), F.max_by("last_at", "_n").alias("last_at"))
+    aged = timed.drop("half_life", "first_at", "last_at").join(whole, keys).withColumn("_w", F.pow(F.lit(2.0), F.col("_age") - F.col("_all")))
+    sums = aged.groupBy(*keys, "half_life", "first_at", "last_at", F.col("_all").alias("faded"))
+    return sums.agg(F.sum(F.col("up") * F.col("_w")).alias("up"), F.sum(F.col("down") * F.col("_w")).alias("down"))
+
+
+def meta_posteriors(segments: DataFrame, keys: list[str], default: Column) -> DataFrame:
+    """(``keys``, ``alpha``, ``beta``, ``last_at``) of joined segments over the prior whose mean is ``default``."""
+    mean = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), default))
+    return segments.select(*keys, (PRIOR_MASS * mean + F.col("up")).alias("alpha"), (PRIOR_MASS * (1 - mean) + F.col("down")).alias("beta"), "last_at")
+
+
 def latest_state(events: DataFrame, key: str, order: str) -> DataFrame:
     """The last event of each key: an upsert table folded from its log."""
     last = F.max_by(F.struct(*[c for c in events.columns if c != key]), F.col(order))

@@ -10,7 +10,7 @@ from ..operators import graph, metrics, ordered, recall, relational, retrieval,
 from ..operators.scan import Ranges
 from ..sources.model import Store, oracle_tables, table
 from ..streaming import feedback as streams
-from .registry import ASKED_SQL, BASE, MEAN, ORACLE_SQL, QUERIES, asked, on_store, on_tables
+from .registry import ASKED_SQL, BASE, MEAN, ORACLE_SQL, QUERIES, asked, on_store, on_tables, one_byte
 
 # ---- listings -----------------------------------------------------------------------------------------------------------
 
@@ -616,18 +616,14 @@ def jaccard_pairs(s):
     return similarity.jaccard_pairs(rows.select("id", "text").unionByName(again), "id", "text", 0.8)
 
 
-def _printable(s):
-    return s.turns.select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("text"))
-
-
 @on_store(
     "turns",
-    """, u AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM turns) SELECT a.conv_id, a.turn, levenshtein(a.text, b.text) AS distance, round(1 - levenshtein(a.text, b.text) * 1.0 / greatest(length(a.text), length(b.text)), 6) AS ratio
+    ", " + one_byte("turns", "text") + """, u AS (SELECT conv_id, turn, translate(text, f, t) AS text FROM turns, ab) SELECT a.conv_id, a.turn, levenshtein(a.text, b.text) AS distance, round(1 - levenshtein(a.text, b.text) * 1.0 / greatest(length(a.text), length(b.text)), 6) AS ratio
     FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
 )
 def edit_ratio(s):
-    """Each turn beside the next. The SQL engine counts bytes, so both look at printable ASCII characters only."""
-    turns = _printable(s)
+    """Each turn beside the next."""
+    turns = s.turns
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
     rows = turns.select("conv_id", "turn", F.col("text").alias("a")).join(after, ["conv_id", "turn"])
     return rows.select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"), F.round(similarity.edit_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
@@ -635,12 +631,12 @@ def edit_ratio(s):
 
 @on_store(
     "turns",
-    """, u AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM turns), d AS (SELECT a.conv_id, a.turn, CAST(sum(levenshtein(a.text, b.text)) AS BIGINT) AS distance FROM u a JOIN u b ON a.conv_id = b.conv_id GROUP BY 1, 2)
+    ", " + one_byte("turns", "text") + """, u AS (SELECT conv_id, turn, translate(text, f, t) AS text FROM turns, ab), d AS (SELECT a.conv_id, a.turn, CAST(sum(levenshtein(a.text, b.text)) AS BIGINT) AS distance FROM u a JOIN u b ON a.conv_id = b.conv_id GROUP BY 1, 2)
     SELECT conv_id, turn AS medoid, distance FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY distance, turn) AS n FROM d) q WHERE n = 1""",
 )
 def group_medoids(s):
     """The turn of each conversation that is nearest to all its others."""
-    return similarity.medoids(_printable(s), "conv_id", "turn", "text")
+    return similarity.medoids(s.turns.select("conv_id", "turn", "text"), "conv_id", "turn", "text")
 
 
 @on_tables(

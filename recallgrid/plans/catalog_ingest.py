@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import text as texts
 from ..operators import ingest, ordered, relational
 from ..sources import files
 from ..sources.model import Store, table
+from ..streaming import worker
 from .catalog_text import HEDGED, KIND, QUESTION, _sayings
 from .registry import MEAN, on_store, on_tables
 
@@ -98,6 +101,26 @@ def derived_chain(s):
     return ingest.chain_edges(log, ingest.derive(log))
 
 
+TEXT_HASH = r"CASE WHEN g.source_kind = 'git' THEN sha256(trim(regexp_replace(lower(g.raw_text), '\s+', ' ', 'g'))) ELSE sha256(g.raw_text) END"
+
+
+@on_store(
+    "log",
+    LOGGED
+    + f""", x AS (SELECT d.*, g.source_kind, {TEXT_HASH} AS h FROM d JOIN g USING (log_id)), f AS (SELECT h, arg_min(id, created_at * 1000000 + log_id) AS belief_id, arg_min(log_id, created_at * 1000000 + log_id) AS own FROM x WHERE kept GROUP BY 1),
+    s AS (SELECT x.log_id, session_id, created_at, source_kind, x.id, x.type, origin, CASE WHEN kept THEN belief_id END AS belief_id, CASE WHEN NOT kept THEN 'skipped' WHEN x.log_id = own THEN 'inserted' ELSE 'corroborated' END AS action FROM x LEFT JOIN f USING (h)),
+    c AS (SELECT belief_id AS src, lag(belief_id) OVER (PARTITION BY session_id ORDER BY created_at, log_id) AS dst FROM s WHERE belief_id IS NOT NULL)
+    SELECT 'stamp' AS what, log_id::VARCHAR AS a, belief_id AS b, action AS c FROM s UNION ALL SELECT 'belief', id, type, origin FROM s WHERE action = 'inserted'
+    UNION ALL SELECT DISTINCT 'corroboration', belief_id, session_id, source_kind FROM s WHERE action = 'corroborated' UNION ALL SELECT DISTINCT 'edge', src, dst, 'DERIVED_FROM' FROM c WHERE dst <> src""",
+)
+def derivation_worker(s):
+    """All that the derivation stream leaves of the log: stamps, beliefs, corroborations and edges."""
+    made = worker.run(worker.log_stream(s.log.sparkSession, s.folder))
+    tables = {"stamp": ("stamps", "log_id", "belief_id", "action"), "belief": ("beliefs", "id", "type", "origin"), "corroboration": ("corroborations", "belief_id", "session_id", "source_type"), "edge": ("edges", "src", "dst", "type")}
+    rows = [made.table(t).select(F.lit(what).alias("what"), F.col(a).cast("string").alias("a"), F.col(b).alias("b"), F.col(c).alias("c")) for what, (t, a, b, c) in tables.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @on_store("turns", None)
 def turn_sentences(s):
     """The sentences of turns that aren't noise, which derivation starts from."""

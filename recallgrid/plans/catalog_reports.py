@@ -9,21 +9,21 @@ from ..functions import scoring
 from ..operators import reports, retrieval
 from ..sources.model import Store
 from .catalog import INDEX, TOK, index_of
-from .registry import MEAN, ORACLE_SQL, asked, on_store, on_tables
+from .registry import MEAN, ORACLE_SQL, asked, on_store, on_tables, one_byte
 
 # ---- duplicates -----------------------------------------------------------------------------------------------------------
 
-COPIES = f""", c AS (SELECT conv_id * 100 + turn AS id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM turns UNION ALL SELECT 900000000 + conv_id * 100 + turn, regexp_replace(text, '[^ -~]', '', 'g') || ' and more' FROM turns WHERE role = 'user'
-      UNION ALL SELECT 950000000 + conv_id * 100 + turn, 'so ' || regexp_replace(text, '[^ -~]', '', 'g') FROM turns WHERE turn = 0),
-    t AS (SELECT id, text, list_distinct({TOK.format("text")}) AS t FROM c), w AS (SELECT id, unnest(t) AS g FROM t), d AS (SELECT g FROM w GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12),
-    p AS (SELECT DISTINCT x.id AS a, y.id AS b FROM w x JOIN d USING (g) JOIN w y ON x.g = y.g AND x.id < y.id),
-    j AS (SELECT a, b, round(len(list_intersect(x.t, y.t)) * 1.0 / len(list_distinct(list_concat(x.t, y.t))), 6) AS jaccard, round(1 - levenshtein(x.text, y.text) * 1.0 / greatest(length(x.text), length(y.text)), 6) AS ratio FROM p JOIN t x ON x.id = a JOIN t y ON y.id = b
-      WHERE round(len(list_intersect(x.t, y.t)) * 1.0 / len(list_distinct(list_concat(x.t, y.t))), 6) >= 0.8), k AS (SELECT * FROM j WHERE ratio >= 0.85)"""
+COPIES = ", " + one_byte("turns", "text") + f""", c AS (SELECT conv_id * 100 + turn AS id, text FROM turns UNION ALL SELECT 900000000 + conv_id * 100 + turn, text || ' and more' FROM turns WHERE role = 'user'
+      UNION ALL SELECT 950000000 + conv_id * 100 + turn, 'so ' || text FROM turns WHERE turn = 0),
+    w AS (SELECT id, translate(text, f, ab.t) AS e, list_distinct({TOK.format("text")}) AS t FROM c, ab),
+    p AS (SELECT x.id AS a, y.id AS b, x.t AS xt, y.t AS yt, x.e AS xe, y.e AS ye FROM w x JOIN w y ON x.id < y.id AND len(x.t) * 0.8 <= len(y.t) AND len(y.t) * 0.8 <= len(x.t)),
+    j AS (SELECT a, b, round(len(list_intersect(xt, yt)) * 1.0 / len(list_distinct(list_concat(xt, yt))), 6) AS jaccard, xe, ye FROM p WHERE len(list_intersect(xt, yt)) * 1.0 / len(list_distinct(list_concat(xt, yt))) >= 0.7999),
+    k AS (SELECT a, b, jaccard, round(1 - levenshtein(xe, ye) * 1.0 / greatest(length(xe), length(ye)), 6) AS ratio FROM j WHERE jaccard >= 0.8 AND round(1 - levenshtein(xe, ye) * 1.0 / greatest(length(xe), length(ye)), 6) >= 0.85)"""
 
 
 def _copies(s: Store) -> DataFrame:
-    """Turns in printable ASCII, those of users once more with words at their end, and the first of each with one before it."""
-    rows = s.turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.regexp_replace("text", "[^ -~]", "").alias("text"), "role", "turn")
+    """Turns, those of users once more with words at their end, and the first of each with one before it."""
+    rows = s.turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", "role", "turn")
     more = rows.where("role = 'user'").select((F.col("id") + 900_000_000).alias("id"), F.concat("text", F.lit(" and more")).alias("text"))
     first = rows.where("turn = 0").select((F.col("id") + 950_000_000).alias("id"), F.concat(F.lit("so "), "text").alias("text"))
     return rows.select("id", "text").unionByName(more).unionByName(first)
@@ -31,7 +31,7 @@ def _copies(s: Store) -> DataFrame:
 
 @on_store("turns", COPIES + " SELECT a, b, jaccard, ratio FROM k")
 def dedup_audit(s):
-    """Pairs that are alike by words and by edit distance. Pairs of a Jaccard similarity of 0.8 share one of their rare words here."""
+    """Pairs that are alike by words and by edit distance."""
     return reports.near_pairs(_copies(s), 0.8, 0.85)
 
 
@@ -39,7 +39,7 @@ def dedup_audit(s):
     "turns",
     COPIES
     + """, n AS (SELECT a AS x, b AS y FROM k UNION SELECT b, a FROM k), r AS (SELECT DISTINCT x AS id, x AS root FROM n UNION SELECT n.y, r.root FROM r JOIN n ON n.x = r.id), g AS (SELECT id, min(root) AS root FROM r GROUP BY 1),
-    m AS (SELECT root, id, text FROM g JOIN c USING (id)), e AS (SELECT x.root, x.id, CAST(sum(levenshtein(x.text, y.text)) AS BIGINT) AS distance FROM m x JOIN m y USING (root) GROUP BY 1, 2)
+    m AS (SELECT root, id, w.e AS said FROM g JOIN w USING (id)), e AS (SELECT x.root, x.id, CAST(sum(levenshtein(x.said, y.said)) AS BIGINT) AS distance FROM m x JOIN m y USING (root) GROUP BY 1, 2)
     SELECT root AS cluster, arg_min(id, (distance, id)) AS medoid, count(*) AS members, count(*) - 1 AS would_remove FROM e GROUP BY 1 HAVING count(*) >= 3""",
 )
 def consolidation_report(s):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import detect
 from ..functions import text as texts
 from ..operators import similarity
-from .registry import on_store, on_tables, statements
+from .registry import on_store, on_tables, one_byte, statements
 
 SAYINGS = (
     "cd /srv/app and run it", "git push origin main", "git is a tool that we use daily.", "pytest -q", "⏺ Bash(ls)", "<task-notification> done", "</summary>", "│ cell │", "Building.", "Ready", "Ready when you are.",
@@ -404,14 +404,14 @@ def phantom_lock_matches(s):
 
 @on_store(
     "beliefs",
-    f""", l AS (SELECT id, regexp_replace(content, '[^ -~]', '', 'g') AS content, {TITLE.format("content")} AS t FROM beliefs WHERE valid_to IS NULL AND lock_level <> 'none'), n AS (SELECT id, regexp_replace(content, '[^ -~]', '', 'g') AS content, {TITLE.format("content")} AS t FROM beliefs WHERE type = 'correction')
+    ", " + one_byte("beliefs", "content") + f""", l AS (SELECT id, translate(content, f, ab.t) AS content, {TITLE.format("content")} AS t FROM beliefs, ab WHERE valid_to IS NULL AND lock_level <> 'none'), n AS (SELECT id, translate(content, f, ab.t) AS content, {TITLE.format("content")} AS t FROM beliefs, ab WHERE type = 'correction')
     SELECT n.id AS text_id, l.id AS lock_id, round(len(list_intersect(l.t, n.t)) * 1.0 / len(list_distinct(list_concat(l.t, n.t))), 6) AS jaccard, round(1 - levenshtein(l.content, n.content) * 1.0 / greatest(length(l.content), length(n.content)), 6) AS ratio
     FROM n JOIN l ON n.id <> l.id WHERE len(l.t) > 0 AND len(n.t) > 0 AND round(len(list_intersect(l.t, n.t)) * 1.0 / len(list_distinct(list_concat(l.t, n.t))), 6) >= 0.12
     AND round(1 - levenshtein(l.content, n.content) * 1.0 / greatest(length(l.content), length(n.content)), 6) >= 0.2""",
 )
 def near_duplicate_locks(s):
-    """Locks that corrections nearly repeat, by words and by the edit distance of printable ASCII characters."""
-    rows = s.beliefs.select("id", F.regexp_replace("content", "[^ -~]", "").alias("content"), texts.title_tokens(F.col("content")).alias("t"), "type", "lock_level", "valid_to")
+    """Locks that corrections nearly repeat, by words and by edit distance."""
+    rows = s.beliefs.select("id", "content", texts.title_tokens(F.col("content")).alias("t"), "type", "lock_level", "valid_to")
     new = rows.where("type = 'correction'").select(F.col("id").alias("text_id"), "t")
     locks = rows.where("valid_to IS NULL AND lock_level <> 'none'").select(F.col("id").alias("lock_id"), "t")
     near = similarity.similar_to(new, locks, "text_id", "lock_id", 0.12).where("text_id <> lock_id")

@@ -51,3 +51,13 @@ def asked(store: Store) -> DataFrame:
 
 
 ASKED_SQL = "(VALUES " + ", ".join(f"('{i}', '{q}')" for i, q in ASKED) + ") AS asked(query_id, query)"
+
+
+def one_byte(table: str, column: str) -> str:
+    """Tables for a WITH clause that end in ``ab`` (``f``, ``t``): the characters beyond ASCII of a column, and for each a character of ASCII that isn't in it.
+
+    DuckDB's edit distance counts bytes; with ``translate(x, f, t)`` it counts characters.
+    """
+    return f"""used AS (SELECT DISTINCT unnest(string_split({column}, '')) AS c FROM {table}), far AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM used WHERE ascii(c) > 127),
+    spare AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM (SELECT unnest(range(1, 128))::INTEGER AS x) q WHERE chr(x) NOT IN (SELECT c FROM used)),
+    ab AS (SELECT coalesce(string_agg(c, '' ORDER BY k), '') AS f, coalesce(string_agg(chr(x), '' ORDER BY k), '') AS t FROM far JOIN spare USING (k))"""

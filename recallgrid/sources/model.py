@@ -75,8 +75,8 @@ PROJECTION = {
 class Store:
     """The tables of one store, by the names of ``PROJECTION``; each is made when it is asked for first."""
 
-    def __init__(self, make: Callable[[str], DataFrame], **given: DataFrame):
-        self._make, self._made = make, dict(given)
+    def __init__(self, make: Callable[[str], DataFrame], folder: str = "", **given: DataFrame):
+        self._make, self.folder, self._made = make, folder, dict(given)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in PROJECTION:
@@ -91,7 +91,7 @@ class Store:
 
     def replaced(self, **given: DataFrame) -> Store:
         """The store with other tables in place of some."""
-        return Store(self._make, **(self._made | given))
+        return Store(self._make, self.folder, **(self._made | given))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,7 +109,7 @@ def load(spark: SparkSession, sf_dir: str) -> Store:
             text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}}")
         return spark.sql(text, **frames)
 
-    return Store(make)
+    return Store(make, sf_dir)
 
 
 def oracle_tables(*names: str) -> str:
