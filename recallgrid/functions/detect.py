@@ -39,7 +39,7 @@ INNER_HEDGES = ("maybe we ", "maybe there ", "maybe it would ", "we probably nee
 IMPERATIVE = r"^(use|add|remove|update|follow|convert|make|do|try|run|keep|leave|report|copy|stop|always|never|we are|calls|5k)\b"
 CORRECTION_ANCHOR = r"\b(supersedes|no longer|the previous|instead|actually)\b"
 REQUIREMENT_ANCHOR = r"\b(must not|cannot|fails if)\b"
-DECLARATIVE = r"(is|are|needs to be|should be|must be) (the|a|an|\d|only|always)"
+DECLARATIVE = r"(?:is|are|needs to be|should be|must be) (?:the|a|an|\d|only|always)"
 ALWAYS_NEVER = ("always", "never", "every time", "every single", "from now on", "permanently", "period")
 NEGATIONS = ("do not", "don't", "dont", "not", "no more", "no")
 EMPHASIS = ("!", "hate", "ever again", "zero question", "100 times")
@@ -62,7 +62,7 @@ POSITIVE = (
     ("great", r"\bgreat\b"),
     ("nice", r"\bnice\b"),
     ("thanks", r"\bthanks?\b"),
-    ("correct", r"\b(that'?s|that is|this is|it'?s|it is|you'?re|you are)\s+correct\b|^\s*correct[\s.!]*$"),
+    ("correct", r"\b(?:that'?s|that is|this is|it'?s|it is|you'?re|you are)\s+correct\b|^\s*correct[\s.!]*$"),
     ("right", r"\bthat'?s right\b"),
     ("works", r"\b(it|that) works?\b"),
     ("looks_good", r"\blooks? good\b"),
@@ -86,11 +86,11 @@ STRONG_POSITIVE, STRONG_NEGATIVE = ("perfect", "correct", "right", "good_job"),
 LONGEST_SENTIMENT, BASE_VALENCE, STRONG_VALENCE, ESCALATED_VALENCE = 200, 1.0, 1.5, 2.0
 
 NEGATION_TOKENS = ("not", "no", "never", "none", "nothing", "nobody", "nowhere", "neither", "nor", "without", "avoid", "refuse", "prohibit", "prohibited", "disallow", "disallowed", "forbid", "forbidden", "deny", "denied")
-CONTRACTION = r"(?i)\b\w+n['’]t\b|\b(dont|doesnt|didnt|isnt|arent|wasnt|werent|hasnt|havent|hadnt|shouldnt|wouldnt|couldnt|mustnt|mightnt|wont|cant|shant|aint)\b"
+CONTRACTION = r"(?i)\b\w+n['’]t\b|\b(?:dont|doesnt|didnt|isnt|arent|wasnt|werent|hasnt|havent|hadnt|shouldnt|wouldnt|couldnt|mustnt|mightnt|wont|cant|shant|aint)\b"
 QUANTIFIERS = {"always": 1.0, "every": 1.0, "all": 1.0, "must": 1.0, "usually": 0.6, "often": 0.6, "mostly": 0.6, "frequently": 0.6, "sometimes": 0.0, "occasionally": 0.0, "rarely": -0.6, "seldom": -0.6, "never": -1.0}
-STOPWORDS = tuple(
-    "a an the is are was were be been being to of in on for with by and or but if then than as at from this that these those it its i you we they he she him her them us me my your our their his hers do does did have has had will would should could can into about over under out up down use used using uses any some t s don won doesn didn isn aren wasn weren shouldn wouldn couldn hasn haven hadn cant wont dont isnt".split()
-)
+STOPWORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "to", "of", "in", "on", "for", "with", "by", "and", "or", "but", "if", "then", "than", "as", "at", "from", "this", "that", "these", "those", "it", "its", "i", "you", "we", "they", "he", "she", "him", "her", "them", "us", "me", "my", "your", "our", "their", "his", "hers", "do", "does", "did", "have", "has", "had", "will", "would", "should", "could", "can", "into", "about", "over", "under", "out", "up", "down", "use", "used", "using", "uses", "any", "some", "t", "s", "don", "won", "doesn", "didn", "isn", "aren", "wasn", "weren", "shouldn", "wouldn", "couldn", "hasn", "haven", "hadn", "cant", "wont", "dont", "isnt",
+)
 
 NUMERIC_DROP = "is are was were be of to at on in as by for with the a an this that and or but equals equal".split()
 NUMERIC = r"([A-Za-z][A-Za-z0-9_]{0,31})\s*(=|:|\bis\b|\bof\b|\bto\b|\bequals?\b)?\s*([+-]?\d+(\.\d+)?([eE][+-]?\d+)?)\b"

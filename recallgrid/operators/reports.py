@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import estimated_tokens, normalised_uncertainty, posterior_mean
 from ..functions.text import title_tokens
+from ..plans.session import new_folder
 from ..sources.model import Store
 from . import ledger, similarity
 from .graph import VALENCE, components
 from .retrieval import Index, top
+from .scan import Ranges
 
 # Fixed values.
 RING_STEP, FULL_ANGLE = 480, 4294967295.0
@@ -58,9 +59,9 @@ def covered_terms(index: Index, queries: DataFrame, hits: DataFrame) -> DataFram
     """(``query_id``, ``id``, ``term``, ``weight``): the query's terms that each hit has, and their inverse frequency."""
     asked = index.asked(queries)
     n, df = F.col("n"), F.col("df")
-    weights = asked.join(index._of_terms(index.frequencies, asked).select("term", "df"), "term").crossJoin(F.broadcast(index.totals.select("n")))
+    weights = asked.join(index.frequencies_of(asked), "term").crossJoin(F.broadcast(index.totals.select("n")))
     weights = weights.select("query_id", "term", F.round(F.log(1 + (n - df + 0.5) / (df + 0.5)), 6).alias("weight"))
-    return index._of_terms(index.postings, asked).select("id", "term").join(weights, "term").join(hits.select("query_id", "id"), ["query_id", "id"])
+    return index.postings_of(asked).select("id", "term").join(weights, "term").join(hits.select("query_id", "id"), ["query_id", "id"])
 
 
 def gaps(store: Store, index: Index, queries: DataFrame, k: int) -> DataFrame:
@@ -101,23 +102,39 @@ def adoption(rates: DataFrame, null_rate: float, clears: float, junk: float) ->
 
 
 def capped_pairs(pairs: DataFrame, most: int) -> DataFrame:
-    """Of pairs (``a`` < ``b``) in order those whose ends both have fewer than ``most`` before them. A pair waits for none outside its component, so that
-    components are worked through apart from each other."""
-    found = components(pairs).select(F.col("id").alias("a"), "root")
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        used: dict = {}
-        kept = []
-        for a, b in sorted(zip(rows.a, rows.b, strict=True)):
-            if max(used.get(a, 0), used.get(b, 0)) < most:
-                kept.append((a, b))
-                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
-        return pd.DataFrame(kept, columns=["a", "b"])
-
-    return pairs.join(found, "a").groupBy("root").applyInPandas(take, "a string, b string")
-
-
-def synthetic(spark: SparkSession, topics: int, atoms: int, sessions: int) -> DataFrame:
-    i = F.col("id")
-    topic = F.concat(F.lit("t"), i % topics)
-    return spark.range(topics * atoms).select("id", topic.alias("topic"), F.concat(F.lit("s"), i % sessions).alias("session"), F.concat(topic, F.lit(" atom "), F.floor(i / topics)).alias("content"))
+    """Of pairs (``a`` < ``b``) in order those whose ends both have fewer than ``most`` before them that are taken.
+
+    All pairs are settled in rounds at once. A pair is taken when, at both ends, it and all pairs before it that are still open would
+    fit; an end that is full drops what it has left, which all comes after what it took. The first open pair of a component is
+    settled in each round, so that rounds end. Of an end's open pairs only the first ``most`` are looked at, which tasks pick
+    before anything moves; a round is written to the shared folder.
+    """
+    spark, folder = pairs.sparkSession, new_folder(pairs.sparkSession, "pairs")
+    open_pairs = pairs.select("a", "b").distinct()
+    taken, n = None, 0
+    while True:
+        open_pairs.write.parquet(f"{folder}/open{n}")
+        open_pairs = spark.read.parquet(f"{folder}/open{n}")
+        if open_pairs.isEmpty():
+            return taken if taken is not None else open_pairs
+        ends = open_pairs.select(F.explode(F.array("a", "b")).alias("end"), "a", "b")
+        if taken is not None:
+            used = taken.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("used"))
+            ends = ends.join(used, "end", "left")
+        else:
+            ends = ends.withColumn("used", F.lit(0).cast("long"))
+        place = F.row_number().over(Window.partitionBy("end").orderBy("a", "b"))
+        first = ends.withColumn("place", place).where(F.col("place") <= most)
+        fits = first.where(F.col("place") <= most - F.coalesce("used", F.lit(0))).groupBy("a", "b").agg(F.count("*").alias("ends")).where("ends = 2").select("a", "b")
+        fits.write.parquet(f"{folder}/taken/round={n}")
+        taken = spark.read.parquet(f"{folder}/taken").select("a", "b")
+        full = taken.select(F.explode(F.array("a", "b")).alias("end")).groupBy("end").agg(F.count("*").alias("used")).where(F.col("used") >= most).select("end")
+        left = open_pairs.join(taken, ["a", "b"], "left_anti")
+        open_pairs = left.join(full.withColumnRenamed("end", "a"), "a", "left_anti").join(full.withColumnRenamed("end", "b"), "b", "left_anti").select("a", "b")
+        n += 1
+
+
+def atoms(store: Store) -> DataFrame:
+    """Beliefs as numbered atoms of their type: (``id``, ``topic``, ``session``, ``content``)."""
+    rows = Ranges(store.beliefs.select("type", "id", "session_id"), ["type"], [F.col("id")]).places()
+    return rows.select("id", F.col("type").alias("topic"), F.col("session_id").alias("session"), F.concat("type", F.lit(" atom "), F.col("place") - 1).alias("content"))

@@ -1,12 +1,21 @@
 """Text search: an inverted index over content and incoming anchors, BM25, and batches of queries.
 
-An index is three tables: postings (``bucket``, ``term``, ``id``, ``tf``, ``ta``, ``dl``, ``da``: uses and lengths in content and in anchors),
-frequencies (``bucket``, ``term``, ``df``) and fingerprints of the texts it was made of. Written, they are partitioned by bucket of the
-term and sorted by term, so that a batch of queries reads the buckets and row groups of its terms only.
+An index is a list of segments and the fingerprints of the texts it was made of. A segment has postings (``term``, ``id``, ``tf``, ``ta``, ``dl``, ``da``: uses and
+lengths in content and in anchors) and frequencies (``term``, ``df``). Written, both lie in buckets of the term's hash, as many as the
+texts' size asks for, sorted by term; postings are cut over ranges of (bucket, term, id), so that a term that a third of all texts
+have is written by as many tasks as its postings need. A batch of queries reads the buckets and row groups of its terms only.
+
+An update adds a segment of the texts that changed and the ids that are dead in the segments before it. Frequencies and totals
+change by differences; no posting is written again until segments are merged.
 """
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+from functools import reduce
+
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +26,9 @@ from ..sources.model import Store
 
 # Fixed values.
 K1, B, K3, ANCHOR_WEIGHT = 1.5, 0.75, 0.0, 3
-#: Buckets of terms of a written index; distinct terms of a batch up to which they are put into the scan's filter.
-BUCKETS, LISTED_TERMS = 16, 2000
+#: Bytes of text for each range that postings are cut into, ranges for each bucket; distinct terms of a batch up to which they are put into
+#: the scan's filter; segments from which on an update merges them.
+RANGE_BYTES, RANGES_A_BUCKET, LISTED_TERMS, MOST_SEGMENTS = 16 << 20, 8, 2000, 8
 
 
 def tokens(text: Column) -> Column:
@@ -26,10 +36,6 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}_]+"), "")
 
 
-def _bucket(term: str = "term") -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-
 def _spread(rows: DataFrame) -> DataFrame:
     """Rows of fewer partitions than there are cores, dealt over all: a small table is one file and would be cut into words by one task."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
@@ -42,30 +48,127 @@ def _stem_terms(rows: DataFrame) -> DataFrame:
     return rows.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
 
 
+def _in_bucket(term: str, buckets: int) -> int:
+    """What ``pmod(xxhash64(term), buckets)`` gives."""
+    h = xxhash.xxh64_intdigest(term.encode(), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
+@dataclass
+class Segment:
+    """Postings and frequencies of some texts. ``buckets``: how many a written one has; ``dead``: the ids whose postings no longer count."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    buckets: int = 0
+    dead: DataFrame | None = None
+
+    def of(self, name: str, terms: list[str] | None, asked: DataFrame | None) -> DataFrame:
+        """The live rows of some terms: of a list, of a table (``term``) or, without both, of all. Frequencies of a segment stay as they were made; what
+        its dead ids take from them is in a later one's."""
+        rows: DataFrame = getattr(self, name)
+        if terms is not None:
+            rows = rows.where(F.col("term").isin(terms))
+            if self.buckets:
+                rows = rows.where(F.col("bucket").isin(sorted({_in_bucket(t, self.buckets) for t in terms})))
+        elif asked is not None:
+            rows = rows.join(asked.select("term").distinct(), "term", "left_semi")
+        if name == "postings" and self.dead is not None:
+            rows = rows.join(self.dead, "id", "left_anti")
+        return rows.select(*(("term", "id", "tf", "ta", "dl", "da") if name == "postings" else ("term", "df")))
+
+
+def _prints(rows: DataFrame, anchors: DataFrame | None) -> DataFrame:
+    """(``id``, ``print``, ``bytes``, ``anchored``): fingerprints of texts and of their anchors."""
+    made = rows.select("id", F.xxhash64("text").alias("print"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    if anchors is None:
+        return made.withColumn("anchored", F.lit(None).cast("decimal(38,0)"))
+    return made.join(anchors.groupBy("id").agg(F.sum(F.xxhash64("anchor_text").cast("decimal(38,0)")).alias("anchored")), "id", "left")
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _written(postings: DataFrame, folder: str, n_bytes: int, less: DataFrame | None = None) -> Segment:
+    """A segment in a folder; ``less``: differences of frequencies (``term``, ``df``) that it holds besides its own."""
+    spark = postings.sparkSession
+    ranges = max(spark.sparkContext.defaultParallelism, n_bytes // RANGE_BYTES)
+    buckets = max(1, n_bytes // RANGE_BYTES // RANGES_A_BUCKET)
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+    cut = postings.withColumn("bucket", bucket).repartitionByRange(ranges, "bucket", "term", F.xxhash64("id")).sortWithinPartitions("bucket", "term")
+    cut.write.partitionBy("bucket").parquet(f"{folder}/postings")
+    kept = spark.read.schema(cut.schema).parquet(f"{folder}/postings")
+    counts = kept.groupBy("term").agg(F.count("*").alias("df"))
+    if less is not None:
+        counts = counts.unionByName(less).groupBy("term").agg(F.sum("df").alias("df"))
+    counts = counts.withColumn("bucket", bucket).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term")
+    counts.write.partitionBy("bucket").parquet(f"{folder}/frequencies")
+    return Segment(kept, spark.read.schema(counts.schema).parquet(f"{folder}/frequencies"), buckets)
+
+
 class Index:
-    """An index of ``docs`` (``id``, ``text``) and of ``anchors`` (``dst``, ``anchor_text``), whose words count ``ANCHOR_WEIGHT`` times."""
+    """An index of ``docs`` (``id``, ``text``) and of ``anchors`` (``dst``, ``anchor_text``), whose words count ``ANCHOR_WEIGHT`` times. An id has one text."""
 
     def __init__(self, docs: DataFrame, id: str = "id", text: str = "content", anchors: DataFrame | None = None, stem: bool = False):
-        self.stem = stem
+        self.stem, self._stored, self._numbers = stem, False, None
         rows = _spread(docs.select(F.col(id).alias("id"), F.col(text).alias("text")))
-        self.prints = rows.select("id", F.xxhash64("text").alias("print"))
-        if anchors is not None:
-            own = anchors.where("anchor_text <> ''").select(F.col("dst").alias("id"), "anchor_text")
-            self.prints = self.prints.join(own.groupBy("id").agg(F.sum(F.xxhash64("anchor_text").cast("decimal(38,0)")).alias("anchored")), "id", "left")
-        else:
-            own = None
-            self.prints = self.prints.withColumn("anchored", F.lit(None).cast("decimal(38,0)"))
-        self.postings = self._count(rows, own)
-        self.frequencies = self.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
+        own = None if anchors is None else anchors.where("anchor_text <> ''").select(F.col("dst").alias("id"), "anchor_text")
+        self.prints = _prints(rows, own)
+        postings = self._count(rows, own)
+        self.segments = [Segment(postings, postings.groupBy("term").agg(F.count("*").alias("df")))]
         lengths = self._lengths(rows, own)
-        self.totals = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.avg("da").alias("avgda"), F.avg(F.col("dl") + ANCHOR_WEIGHT * F.col("da")).alias("avgall"))
+        self._sums = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("c"), F.coalesce(F.sum("da"), F.lit(0)).alias("a"))
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.postings_of(None)
+
+    @property
+    def frequencies(self) -> DataFrame:
+        return self.frequencies_of(None)
+
+    def _beside_totals(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the totals as columns: as numbers, which a written index has once they were asked for, else joined."""
+        if not self._stored:
+            return rows.crossJoin(F.broadcast(self.totals))
+        if self._numbers is None:
+            self._numbers = self.totals.first()
+        return rows.withColumns({k: F.lit(v) for k, v in self._numbers.asDict().items()})
+
+    @property
+    def totals(self) -> DataFrame:
+        """How many texts there are, and their mean lengths."""
+        n = F.nullif("n", F.lit(0))
+        return self._sums.select("n", (F.col("c") / n).alias("avgdl"), (F.col("a") / n).alias("avgda"), ((F.col("c") + ANCHOR_WEIGHT * F.col("a")) / n).alias("avgall"))
+
+    def postings_of(self, asked: DataFrame | None, terms: list[str] | None = None) -> DataFrame:
+        """The live postings of the terms that are asked for (``term``), or of all."""
+        return self._of("postings", asked, terms)
+
+    def frequencies_of(self, asked: DataFrame | None, terms: list[str] | None = None) -> DataFrame:
+        """(``term``, ``df``) of the terms that are asked for, or of all."""
+        rows = self._of("frequencies", asked, terms)
+        return rows if len(self.segments) == 1 else rows.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+
+    def _of(self, name: str, asked: DataFrame | None, terms: list[str] | None) -> DataFrame:
+        if asked is not None and terms is None:
+            terms = self.listed(asked)
+        return reduce(DataFrame.unionByName, [x.of(name, terms, asked) for x in self.segments])
+
+    @staticmethod
+    def listed(asked: DataFrame) -> list[str] | None:
+        """The distinct terms of a batch, if they are few enough for a filter."""
+        terms = sorted({r.term for r in asked.select("term").distinct().limit(LISTED_TERMS + 1).collect()})
+        return terms if len(terms) <= LISTED_TERMS else None
 
     def _count(self, rows: DataFrame, anchors: DataFrame | None) -> DataFrame:
         """Postings of texts. The lengths are of all tokens and come with each posting, so that a probe joins no lengths."""
         if anchors is None and not self.stem:
             words = rows.select("id", tokens(F.col("text")).alias("t")).select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("term"))
             nothing = F.lit(0).cast("long")
-            return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select(_bucket(), "term", "id", "tf", nothing.alias("ta"), "dl", nothing.alias("da"))
+            return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "id", "tf", nothing.alias("ta"), "dl", nothing.alias("da"))
         uses = rows.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
         uses = uses.withColumn("ta", F.lit(0).cast("long"))
         if anchors is not None:
@@ -76,7 +179,7 @@ class Index:
             uses = _stem_terms(uses)
         if self.stem or anchors is not None:
             uses = uses.groupBy("id", "term").agg(F.sum("tf").alias("tf"), F.sum("ta").alias("ta"))
-        return uses.join(self._lengths(rows, anchors), "id").select(_bucket(), "term", "id", "tf", "ta", "dl", "da")
+        return uses.join(self._lengths(rows, anchors), "id").select("term", "id", "tf", "ta", "dl", "da")
 
     @staticmethod
     def _lengths(rows: DataFrame, anchors: DataFrame | None) -> DataFrame:
@@ -87,39 +190,53 @@ class Index:
         return own.join(said, "id", "left").select("id", "dl", F.coalesce("da", F.lit(0).cast("long")).alias("da"))
 
     def written(self, folder: str | None = None) -> Index:
-        """The index in a folder; probes read it from there."""
-        spark = self.postings.sparkSession
+        """The index in a folder, as one segment; probes read it from there."""
+        spark = self.prints.sparkSession
         folder = folder or new_folder(spark, "index")
-        for name in ("postings", "frequencies"):
-            rows: DataFrame = getattr(self, name)
-            if name == "frequencies":
-                rows = spark.read.parquet(f"{folder}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"))
-            rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/{name}")
         self.prints.write.parquet(f"{folder}/prints")
+        prints = spark.read.parquet(f"{folder}/prints")
+        size = prints.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+        segment = _written(self.postings, f"{folder}/segment", size.bytes)
         # Every token is in a posting, so that texts needn't be cut into words again for the totals.
-        uses = spark.read.parquet(f"{folder}/postings").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("c"), F.coalesce(F.sum("ta"), F.lit(0)).alias("a"))
-        n = spark.read.parquet(f"{folder}/prints").agg(F.count("*").alias("n"))
-        means = {"avgdl": F.col("c"), "avgda": F.col("a"), "avgall": F.col("c") + ANCHOR_WEIGHT * F.col("a")}
-        n.crossJoin(uses).select("n", *((x / F.col("n")).alias(k) for k, x in means.items())).write.parquet(f"{folder}/totals")
+        sums = segment.postings.agg(F.lit(size.n).alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("c"), F.coalesce(F.sum("ta"), F.lit(0)).alias("a"))
+        return self._with([segment], prints, _stored(sums, f"{folder}/sums"))
+
+    def _with(self, segments: list[Segment], prints: DataFrame, sums: DataFrame) -> Index:
         out = Index.__new__(Index)
-        out.stem = self.stem
-        for name in ("postings", "frequencies", "totals", "prints"):
-            setattr(out, name, spark.read.parquet(f"{folder}/{name}"))
+        out.stem, out.segments, out.prints, out._sums, out._stored, out._numbers = self.stem, segments, prints, sums, True, None
         return out
 
     def updated(self, docs: DataFrame, id: str = "id", text: str = "content", anchors: DataFrame | None = None) -> Index:
-        """The index of ``docs`` as they are now: texts with the fingerprint they had keep their postings, the others' are made anew."""
-        now = Index(docs, id, text, anchors, self.stem)
-        same = self.prints.join(now.prints, (self.prints["id"] == now.prints["id"]) & (self.prints["print"] == now.prints["print"]) & self.prints["anchored"].eqNullSafe(now.prints["anchored"])).select(self.prints["id"])
-        changed = docs.join(same.select(F.col("id").alias(id)), id, "left_anti")
-        said = None if anchors is None else anchors.join(changed.select(F.col(id).alias("dst")), "dst", "left_semi")
-        out = Index.__new__(Index)
-        out.stem, out.prints = self.stem, now.prints
+        """The index of ``docs`` as they are now. Texts with the fingerprint they had keep their postings; the others' are cut into words and make a
+        segment. What the dead ids had is taken off frequencies and totals, for which the old segments' postings are read once."""
+        spark = docs.sparkSession
+        folder = new_folder(spark, "index")
+        rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+        own = None if anchors is None else anchors.where("anchor_text <> ''").select(F.col("dst").alias("id"), "anchor_text")
+        prints = _stored(_prints(rows, own), f"{folder}/prints")
+        keys = [F.col("a.id") == F.col("b.id"), F.col("a.print") == F.col("b.print"), F.col("a.anchored").eqNullSafe(F.col("b.anchored"))]
+        dead = _stored(self.prints.alias("a").join(prints.alias("b"), reduce(Column.__and__, keys), "left_anti").select("id"), f"{folder}/dead")
+        new = _stored(prints.alias("a").join(self.prints.alias("b"), reduce(Column.__and__, keys), "left_anti").select("id", "bytes"), f"{folder}/new")
+        changed = docs.join(new.select(F.col("id").alias(id)), id, "left_semi")
+        said = None if anchors is None else anchors.join(new.select(F.col("id").alias("dst")), "dst", "left_semi")
         fresh = Index(changed, id, text, said, self.stem)
-        out.postings = self.postings.join(same, "id", "left_semi").select(fresh.postings.columns).unionByName(fresh.postings)
-        out.frequencies = out.postings.groupBy("bucket", "term").agg(F.count("*").alias("df"))
-        out.totals = now.totals
-        return out
+        gone = _stored(self.postings.join(dead, "id", "left_semi").select("term", "tf", "ta"), f"{folder}/gone")
+        less = gone.groupBy("term").agg((-F.count("*")).alias("df"))
+        segment = _written(fresh.postings, f"{folder}/segment", new.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0], less)
+        added = segment.postings.agg(F.lit(0).cast("long").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("c"), F.coalesce(F.sum("ta"), F.lit(0)).alias("a"))
+        taken = gone.agg(F.lit(0).cast("long").alias("n"), (-F.coalesce(F.sum("tf"), F.lit(0))).alias("c"), (-F.coalesce(F.sum("ta"), F.lit(0))).alias("a"))
+        n = prints.agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("a"))
+        before = self._sums.select(F.lit(0).cast("long").alias("n"), "c", "a")
+        sums = reduce(DataFrame.unionByName, [before, added, taken, n]).agg(*(F.sum(x).alias(x) for x in ("n", "c", "a")))
+        older = [Segment(x.postings, x.frequencies, x.buckets, dead if x.dead is None else x.dead.unionByName(dead)) for x in self.segments]
+        out = self._with([*older, segment], prints, _stored(sums, f"{folder}/sums"))
+        return out if len(out.segments) <= MOST_SEGMENTS else out.merged()
+
+    def merged(self) -> Index:
+        """The index as one segment, without what is dead."""
+        folder = new_folder(self.prints.sparkSession, "index")
+        size = self.prints.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        return self._with([_written(self.postings, f"{folder}/segment", size)], self.prints, self._sums)
 
     def asked(self, queries: DataFrame) -> DataFrame:
         """(``query_id``, ``term``, ``qf``) of queries (``query_id``, ``query``)."""
@@ -128,25 +245,16 @@ class Index:
             rows = _stem_terms(rows)
         return rows.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
-    def _of_terms(self, rows: DataFrame, asked: DataFrame) -> DataFrame:
-        """The rows of the batch's terms. Few terms go into the filter of the scan; more are joined."""
-        terms = [r.term for r in asked.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
-        if len(terms) <= LISTED_TERMS:
-            spark = rows.sparkSession
-            numbers = [r.bucket for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket()).distinct().collect()] if terms else []
-            return rows.where(F.col("bucket").isin(numbers) & F.col("term").isin(terms))
-        return rows.join(asked.select("term").distinct(), "term", "left_semi")
-
     def match(self, queries: DataFrame, per_field: bool = False) -> DataFrame:
         """BM25 of each query and each document that shares a term with it (``query_id``, ``id``, ``score``). With ``per_field`` the uses in content
         and in anchors are divided by the norm of their own length before they are added; else anchors are part of the text."""
         asked = self.asked(queries)
+        terms = self.listed(asked)
         n, df = F.col("n"), F.col("df")
-        frequencies = self._of_terms(self.frequencies, asked).select("term", "df")
-        weights = asked.join(frequencies, "term").crossJoin(F.broadcast(self.totals))
+        weights = self._beside_totals(asked.join(self.frequencies_of(asked, terms), "term"))
         idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
         weights = weights.select("query_id", "term", (idf * ((K3 + 1) * F.col("qf") / (K3 + F.col("qf")))).alias("w"), "avgdl", "avgda", "avgall")
-        rows = self._of_terms(self.postings, asked).join(weights, "term")
+        rows = self.postings_of(asked, terms).join(weights, "term")
         if per_field:
             anchored = F.when(F.col("ta") > 0, ANCHOR_WEIGHT * F.col("ta") / length_norm(F.col("da"), F.col("avgda"), B)).otherwise(0.0)
             used = F.col("tf") / length_norm(F.col("dl"), F.col("avgdl"), B) + anchored
@@ -176,14 +284,15 @@ def cached(name: str, generation: str, build) -> Index:
 
 
 def generation(docs: DataFrame) -> str:
-    """A stamp of the files that rows come from: their names, sizes and times."""
+    """A stamp of the files that rows come from: their names, sizes and times. A folder is listed at once."""
     jvm, conf = docs.sparkSession._jvm, docs.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    stamps = []
-    for name in sorted(docs.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        stamps.append(f"{name}:{status.getLen()}:{status.getModificationTime()}")
-    return "|".join(stamps)
+    names, stamps = set(docs.inputFiles()), []
+    for folder in sorted({name.rpartition("/")[0] for name in names}):
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        for status in path.getFileSystem(conf).listStatus(path):
+            stamps.append(f"{status.getPath().getName()}:{status.getLen()}:{status.getModificationTime()}")
+        stamps.append(folder)
+    return hashlib.sha256("|".join(stamps).encode()).hexdigest()
 
 
 def top(matches: DataFrame, k: int) -> DataFrame:
@@ -197,7 +306,7 @@ def rarest_terms(index: Index, queries: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` terms of each query that the fewest documents have; terms of none are dropped; ties by term."""
     asked = index.asked(queries)
     w = Window.partitionBy("query_id").orderBy("df", "term")
-    rows = asked.join(index._of_terms(index.frequencies, asked).select("term", "df"), "term").select("query_id", "term", "df")
+    rows = asked.join(index.frequencies_of(asked), "term").select("query_id", "term", "df")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 

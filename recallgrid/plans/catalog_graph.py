@@ -261,14 +261,15 @@ def holographic_probe(s):
 # ---- scores and policies ------------------------------------------------------------------------------------------------
 
 
-@on_tables(
-    """SELECT CAST(k AS INTEGER) AS k, round(exp(ln(259200.0) + k / 10.0 * (ln(1209600.0) - ln(259200.0))), 4) AS half_life, CAST(round_even(exp(ln(1.0) + k / 10.0 * (ln(10.0) - ln(1.0))), 0) AS BIGINT) AS anchor_weight,
-    CAST(round_even(exp(ln(1.0) + k / 10.0 * (ln(6.0) - ln(1.0))), 0) AS BIGINT) AS depth, CAST(round_even(exp(ln(20.0) + k / 10.0 * (ln(320.0) - ln(20.0))), 0) AS BIGINT) AS threshold FROM (SELECT unnest(range(11)) AS k) q"""
+@on_store(
+    "beliefs",
+    f"""SELECT id, round(exp(ln(259200.0) + v * (ln(1209600.0) - ln(259200.0))), 2) AS half_life, CAST(round_even(exp(ln(1.0) + v * (ln(10.0) - ln(1.0))), 0) AS BIGINT) AS anchor_weight,
+    CAST(round_even(exp(ln(1.0) + v * (ln(6.0) - ln(1.0))), 0) AS BIGINT) AS depth, CAST(round_even(exp(ln(20.0) + v * (ln(320.0) - ln(20.0))), 0) AS BIGINT) AS threshold FROM (SELECT id, {MEAN} AS v FROM beliefs) q""",
 )
-def meta_decodes(spark, sf_dir):
-    """What values of the tuning knobs between 0 and 1 stand for."""
-    v = F.col("k") / 10.0
-    return spark.range(11).select(F.col("id").cast("int").alias("k")).select("k", F.round(policy.half_life(v), 4).alias("half_life"), policy.anchor_weight(v).alias("anchor_weight"), policy.depth(v).alias("depth"), policy.gate_threshold(v).alias("threshold"))
+def meta_decodes(s):
+    """What the mean of each belief stands for as the value of a tuning knob."""
+    v = scoring.posterior_mean(F.col("alpha"), F.col("beta"))
+    return s.beliefs.select("id", F.round(policy.half_life(v), 2).alias("half_life"), policy.anchor_weight(v).alias("anchor_weight"), policy.depth(v).alias("depth"), policy.gate_threshold(v).alias("threshold"))
 
 
 @on_store(

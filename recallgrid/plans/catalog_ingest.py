@@ -19,10 +19,16 @@ from .registry import MEAN, on_store, on_tables
 # ---- sources ------------------------------------------------------------------------------------------------------------
 
 
-@on_tables("SELECT doc_id, list_position(ps, p) - 1 AS n, p AS paragraph FROM (SELECT doc_id, ps, unnest(list_distinct(ps)) AS p FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda p: trim(p)), lambda p: length(p) >= 24) AS ps FROM documents WHERE NOT contains(text, '```')) a) b")
+FENCED = "CASE WHEN doc_id % 5 = 0 THEN replace(text, chr(10), chr(10) || chr(10)) || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || text ELSE text END"
+
+
+@on_tables(
+    f"SELECT doc_id, list_position(ps, p) - 1 AS n, p AS paragraph FROM (SELECT doc_id, ps, unnest(list_distinct(ps)) AS p FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({FENCED}, '{files.FENCE}', ' ', 'g'), chr(10) || chr(10)), lambda p: trim(p)), lambda p: length(p) >= 24) AS ps FROM documents) a) b"
+)
 def document_paragraphs(spark, sf_dir):
-    """The paragraphs of documents, each at its first place."""
-    rows = table(spark, sf_dir, "documents").where("NOT contains(text, '```')").select("doc_id", F.posexplode(files.paragraphs(F.col("text"))).alias("n", "paragraph"))
+    """The paragraphs of documents, each at its first place; every fifth document has its text again as fenced code."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(FENCED.replace("chr(10)", "char(10)")).alias("text"))
+    rows = rows.select("doc_id", F.posexplode(files.paragraphs(F.col("text"))).alias("n", "paragraph"))
     return rows.groupBy("doc_id", "paragraph").agg(F.min("n").cast("long").alias("n"))
 
 
@@ -65,11 +71,16 @@ def review_parse(s):
     return text.select(F.explode(files.decisions(F.col("t"))).alias("d")).select("d.*")
 
 
-@on_tables(None)
+@on_tables(
+    """WITH t AS (SELECT doc_id, trim(translate(text, chr(92) || '"', '  '), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents WHERE NOT regexp_matches(text, '[\\x00\\r]'))
+    SELECT doc_id, '<module>' AS name, 'Module ' || doc_id || '.' AS text FROM t UNION ALL SELECT doc_id, 'f' || doc_id, t FROM t WHERE t <> ''"""
+)
 def python_docstrings(spark, sf_dir):
-    """The docstrings of sources; tests hold it against known ones."""
-    code = spark.createDataFrame([(k, f'"""Module {k}."""\n\n\ndef f{k}():\n    """Does {k}."""\n') for k in range(20)], "k int, code string")
-    return code.select("k", F.explode(files.docstrings(F.col("code"))).alias("d")).select("k", "d.*")
+    """The docstrings of sources that hold the texts of documents, of a module and of a function each."""
+    text = F.translate("text", '\\"', "  ")
+    rows = table(spark, sf_dir, "documents").where("NOT text rlike '[\\\\x00\\\\r]'").select("doc_id", F.concat(F.lit('"""Module '), "doc_id", F.lit('."""\n\n\ndef f'), "doc_id", F.lit('():\n    """'), text, F.lit('"""\n')).alias("code"))
+    found = rows.select("doc_id", F.explode(files.docstrings(F.col("code"))).alias("d"))
+    return found.select("doc_id", "d.name", F.trim("d.text", F.lit(" \t\n\x0b\x0c\r")).alias("text")).where("text <> ''")
 
 
 # ---- derivation -----------------------------------------------------------------------------------------------------------
@@ -135,9 +146,11 @@ def extracted_entities(spark, sf_dir):
 
 @on_tables(None)
 def triple_graph(spark, sf_dir):
-    """Edges between the phrases of sentences; tests hold the kernel against known ones."""
-    rows = spark.createDataFrame([(f"The {a} module {v} the {b} layer.",) for a in ("cache", "index", "log") for b in ("disk", "net") for v in ("supports", "is based on", "is supported by", "contradicts")], "text string")
-    return ingest.triple_beliefs(rows)[1]
+    """Edges between the phrases of documents, each with a sentence of two of its words before it; tests hold the kernel against known ones."""
+    words = F.split(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), " ")
+    verbs = F.array(*(F.lit(v) for v in ("supports", "is based on", "is supported by", "contradicts")))
+    sentence = F.concat(F.lit("The "), F.lower(F.get(words, F.lit(0))), F.lit(" module "), F.get(verbs, F.pmod("doc_id", F.lit(4)).cast("int")), F.lit(" the "), F.lower(F.coalesce(F.get(words, F.lit(1)), F.lit("disk"))), F.lit(" layer. "))
+    return ingest.triple_beliefs(table(spark, sf_dir, "documents").select(F.concat(sentence, "text").alias("text")))[1]
 
 
 # ---- ledgers ----------------------------------------------------------------------------------------------------------------
@@ -276,10 +289,16 @@ def export_dot(s):
     return files.dot_lines(_nodes(s), s.edges)
 
 
-@on_store("beliefs edges", NODES + " SELECT 'node' AS part, id FROM n UNION ALL SELECT 'edge', src || '>' || type || '>' || dst FROM e")
+@on_store(
+    "beliefs edges",
+    NODES
+    + f""" SELECT 'node' AS part, id, label, CAST(lock_level = 'user' AS VARCHAR) AS locked, CAST(round(mean, 6) AS DOUBLE) AS posterior_mean, NULL AS src, NULL AS dst, NULL AS type FROM {LABEL} x
+    UNION ALL SELECT 'edge', src || '>' || type || '>' || dst, NULL, NULL, NULL, src, dst, type FROM e""",
+)
 def export_json(s):
-    """The objects of a JSON export; the text of each is checked by the tests."""
-    return files.graph_json(_nodes(s), s.edges).where("json IS NOT NULL").select("part", "id")
+    """The objects of a JSON export, read again."""
+    kind = "label string, locked string, posterior_mean double, src string, dst string, type string"
+    return files.graph_json(_nodes(s), s.edges).select("part", "id", F.from_json("json", kind, {"mode": "FAILFAST"}).alias("x")).select("part", "id", "x.*")
 
 
 @on_store(

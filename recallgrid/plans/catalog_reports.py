@@ -179,11 +179,10 @@ def adoption_verdicts(s):
 def contradiction_edges(s):
     """CONTRADICTS edges of pairs in order, eight at most at each end; tests hold it against a plain pass."""
     a = s.edges.where("type IN ('SUPPORTS', 'CITES', 'RELATES_TO', 'CONTRADICTS', 'IMPLEMENTS')")
-    return reports.capped_pairs(a.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct(), 2)
+    return reports.capped_pairs(a.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct(), 8)
 
 
-@on_tables("SELECT CAST(i AS BIGINT) AS id, 't' || (i % 8) AS topic, 's' || (i % 5) AS session, 't' || (i % 8) || ' atom ' || (i // 8) AS content FROM (SELECT unnest(range(200)) AS i) q")
-def synthetic_corpus(spark, sf_dir):
-    """Atoms of topics dealt over sessions, for trials of strategies."""
-    return reports.synthetic(spark, 8, 25, 5)
-
+@on_store("beliefs", "SELECT id, type AS topic, session_id AS session, type || ' atom ' || (row_number() OVER (PARTITION BY type ORDER BY id) - 1) AS content FROM beliefs")
+def synthetic_corpus(s):
+    """Beliefs as numbered atoms of topics, for trials of strategies."""
+    return reports.atoms(s)

@@ -182,6 +182,41 @@ def test_stemmed_search(spark, store):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("segments", [8, 2])
+def test_updates_of_updates(spark, segments, monkeypatch):
+    """Texts that come, go, change and change back, with anchors; many small segments, and some that are merged."""
+    monkeypatch.setattr(retrieval, "MOST_SEGMENTS", segments)
+    rng = random.Random(segments)
+
+    def text():
+        return rng.choice([None, ""]) if rng.random() < 0.1 else " ".join(rng.choice("alpha beta gamma delta eps zeta".split()) for _ in range(rng.randrange(1, 9)))
+
+    now = {f"d{k}": text() for k in range(40)}
+    links = [("x", f"d{k}", "eps anchor") for k in range(0, 40, 3)]
+    index, old = None, dict(now)
+    for step in range(4):
+        docs = spark.createDataFrame(list(now.items()), "id string, content string").repartition(3)
+        anchors = spark.createDataFrame(links, "src string, dst string, anchor_text string")
+        index = retrieval.Index(docs, anchors=anchors).written() if index is None else index.updated(docs, anchors=anchors)
+        fresh = retrieval.Index(docs, anchors=anchors)
+        rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        assert rows(index.postings) == rows(fresh.postings) and rows(index.frequencies) == rows(fresh.frequencies) and rows(index.totals) == rows(fresh.totals)
+        asked = spark.createDataFrame([("q", "alpha eps anchor"), ("r", "zeta"), ("s", "none")], "query_id string, query string")
+        assert rows(retrieval.top(index.match(asked), 50)) == rows(retrieval.top(fresh.match(asked), 50))
+        for k in rng.sample(sorted(now), 8):
+            now[k] = old.get(k) if rng.random() < 0.4 else text()
+        del now[rng.choice(sorted(now))]
+        now[f"n{step}"] = text()
+        links = links[1:] + [("y", f"n{step}", "gamma")]
+    assert len(index.segments) <= segments
+
+
+def test_buckets_of_terms(spark):
+    terms = ["alpha", "é", "文字", "", "x" * 70]
+    got = {r.term: r.b for r in spark.createDataFrame([(t,) for t in terms], "term string").selectExpr("term", "pmod(xxhash64(term), 37) AS b").collect()}
+    assert got == {t: retrieval._in_bucket(t, 37) for t in terms}
+
+
 def test_an_updated_index_is_the_new_one(spark):
     rng = random.Random(1)
 
