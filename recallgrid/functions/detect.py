@@ -289,16 +289,13 @@ def numeric_slots(text: Column) -> Column:
 
 
 def enum_slots(text: Column) -> Column:
-    """(``category``, ``group_id``) of known words of state. The longest of overlapping words counts."""
-    low = F.lower(text)
-    members = sorted(((m, c, sorted(g)[0]) for c, groups in ENUMS.items() for g in groups for m in g), key=lambda x: (-len(x[0]), x[0]))
-    rest, hits = low, []
-    for m, c, g in members:
-        p = r"(?:^|[^A-Za-z0-9_])" + m + r"(?:$|[^A-Za-z0-9_])"
-        hits.append(F.when(rest.rlike(p), F.struct(F.lit(c).alias("category"), F.lit(g).alias("group_id"))))
-        if any(m in other and m != other for other, _, _ in members) or "-" in m:
-            rest = F.regexp_replace(rest, m, " ")
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    """(``category``, ``group_id``) of known words of state. The longest of overlapping words counts: none begins before a longer one that it overlaps, so that
+    one pass from the left, longest first, finds them."""
+    members = {m: (c, sorted(g)[0]) for c, groups in ENUMS.items() for g in groups for m in g}
+    words = "|".join(sorted(members, key=lambda m: (-len(m), m)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![A-Za-z0-9_])({words})(?![A-Za-z0-9_])"), F.lit(1)))
+    known = F.create_map(*(x for m, (c, g) in members.items() for x in (F.lit(m), F.struct(F.lit(c).alias("category"), F.lit(g).alias("group_id")))))
+    return F.array_distinct(F.transform(found, lambda m: F.element_at(known, m)))
 
 
 def slot(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and phrases.
@@ -123,3 +123,27 @@ def answer_tokens(text: Column) -> Column:
 def title_tokens(text: Column) -> Column:
     """The distinct words of letters, digits and underscores, in lower case."""
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}_]+"), lambda t: t != ""))
+
+
+# Fixed value: characters that count as spaces between words whose overlap is measured.
+OVERLAP_DROPPED = ",.;:!?\"'()[]{}"
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """The Jaccard similarity of the words of two texts; 0 where one has none."""
+
+    def words(x: Column) -> Column:
+        spaced = F.translate(F.lower(x), OVERLAP_DROPPED, " " * len(OVERLAP_DROPPED))
+        return F.array_distinct(F.array_remove(F.split(spaced, r"\s+"), ""))
+
+    def scored(x: Column) -> Column:
+        both = F.size(F.array_union(x["a"], x["b"]))
+        return F.when((F.size(x["a"]) > 0) & (F.size(x["b"]) > 0), F.size(F.array_intersect(x["a"], x["b"])) / both).otherwise(0.0)
+
+    # The step stands in an array of one element, so that words are made once.
+    return F.get(F.transform(F.array(F.struct(words(a).alias("a"), words(b).alias("b"))), scored), F.lit(0))
+
+
+def overlap_scores(pairs: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """The mean overlap of each seed (``key``) with its neighbours, and how many it has."""
+    return pairs.groupBy(key).agg(F.count("*").alias("neighbours"), F.avg(overlap(F.coalesce(own, F.lit("")), F.coalesce(other, F.lit("")))).alias("score"))

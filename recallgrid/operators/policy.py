@@ -11,7 +11,7 @@ from ..functions.scoring import estimated_tokens, posterior_mean
 from ..sources.model import Store
 
 # Fixed values.
-HALF_LIFE, ANCHORS, DEPTHS, GATE = (3 * 86400.0, 14 * 86400.0), (1, 10), (1, 6), (20, 320)
+HALF_LIFE, ANCHORS, DEPTHS, GATE, TEMPERATURES = (3 * 86400.0, 14 * 86400.0), (1, 10), (1, 6), (20, 320), (0.5, 2.0)
 HEADLINE_LENGTH, TOPIC_LENGTH = 240, 80
 RECENCY, SUPERSESSION_FLOOR, PERSISTENCE_FLOOR = 1 / 180, 1e-6, 1e-3
 BOUNDARY_PHRASES = (
@@ -32,6 +32,11 @@ def half_life(value: Column) -> Column:
     return _between(value, HALF_LIFE)
 
 
+def temperature(value: Column) -> Column:
+    """The temperature of the posterior term; 1 where the knob isn't installed (null)."""
+    return F.when(value.isNull(), 1.0).otherwise(_between(value, TEMPERATURES))
+
+
 def anchor_weight(value: Column) -> Column:
     return F.bround(_between(value, ANCHORS), 0).cast("long")
 

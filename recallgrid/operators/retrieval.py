@@ -326,6 +326,35 @@ def idf_clip(index: Index, queries: DataFrame, low: float = 0.25, high: float =
     return rows.select("query_id", "term", F.round("idf", 6).alias("idf"), (F.col("qf") * F.when(F.col("idf") > F.col("high"), 2).otherwise(1)).alias("qf"))
 
 
+# Strategies of queries, and how often an expanded or rare term stands in a rewritten one.
+STRATEGIES, COPIES = ("legacy-bm25", "stack-r1-r3"), 2
+
+
+def rewritten(index: Index, queries: DataFrame, strategy: str = "legacy-bm25", low: float = 0.25, high: float = 0.75) -> DataFrame:
+    """Queries (``query_id``, ``query``) by a strategy: as they are, or as their terms and then their capitalised words in lower case, twice each, without the terms
+    whose inverse frequency is below a quantile of all terms' and with those above another twice. Terms that no document has stay.
+    Blank queries become empty."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy: {strategy!r}")
+    query = F.coalesce("query", F.lit(""))
+    if strategy == STRATEGIES[0]:
+        return queries.select("query_id", F.when(F.trim(F.regexp_replace(query, r"\s+", " ")) == "", "").otherwise(query).alias("query"))
+    words = F.regexp_extract_all(query, F.lit(r"(?<![\p{L}\p{N}_])[A-Z][a-z]+(?![\p{L}\p{N}_])"), F.lit(0))
+    more = F.flatten(F.transform(words, lambda w: F.array_repeat(F.lower(w), COPIES)))
+    terms = queries.select("query_id", F.posexplode(F.concat(tokens(query), more)).alias("k", "term"))
+    n, df = F.col("n"), F.col("df")
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    # Few frequencies are distinct: quantiles are taken of them by how many terms have each.
+    counts = index._beside_totals(index.frequencies.groupBy("df").agg(F.count("*").alias("terms")))
+    bounds = counts.agg(F.percentile(idf, F.lit(low), F.col("terms")).alias("low"), F.percentile(idf, F.lit(high), F.col("terms")).alias("high"))
+    known = index._beside_totals(index.frequencies_of(terms)).select("term", idf.alias("idf"))
+    rows = terms.join(known, "term", "left").crossJoin(F.broadcast(bounds)).where("idf IS NULL OR idf >= low")
+    said = F.when(F.col("idf") > F.col("high"), F.array_repeat("term", COPIES)).otherwise(F.array("term"))
+    made = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("k", said.alias("said")))).alias("t"))
+    joined = F.array_join(F.flatten(F.transform("t", lambda x: x["said"])), " ")
+    return queries.select("query_id").join(made.select("query_id", joined.alias("query")), "query_id", "left").select("query_id", F.coalesce("query", F.lit("")).alias("query"))
+
+
 def lock_prefix(store: Store, budget: int) -> DataFrame:
     """The active locks, latest first, as far as the budget goes. As each takes a token at least, no more than ``budget`` are looked at."""
     cost = F.greatest(F.lit(1), estimated_tokens(F.col("content")))

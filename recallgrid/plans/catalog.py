@@ -900,4 +900,4 @@ def stream_session_counters(spark, sf_dir):
     return streams.run_available(streams.session_counters(streams.read(spark, sf_dir)), "counters")
 
 
-from . import catalog_draws, catalog_graph, catalog_ingest, catalog_ledger, catalog_reports, catalog_text  # noqa: E402, F401  they register their queries
+from . import catalog_draws, catalog_graph, catalog_ingest, catalog_ledger, catalog_locks, catalog_reports, catalog_text  # noqa: E402, F401  they register their queries
