@@ -17,7 +17,8 @@ An anchor hash with more than ``MANY`` occurrences (a passage that stands in a l
 task. Its equal contexts are first made one. The different ones are dealt out by ranges of both orders (the bytes from the
 anchor on, then those before it, and the reverse), so that no range has more than its share however many contexts agree on
 one side; each range is sorted as above, and the neighbours across the ends of ranges are compared in a step of their
-own. Windows for which a third context could give more are counted by digests of 128 bits, packed into blocks.
+own. Windows for which a third context could give more are counted by digests of 128 bits, packed into blocks; the bytes of
+those that stand more than once are compared.
 
 Passages are found alike, in words: each word is a code of ``CODE`` bytes, and windows and anchors start at codes only.
 """
@@ -27,11 +28,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -547,26 +547,28 @@ def _neighbours(hot: DataFrame, length: int, n_ranges: int, files: int) -> DataF
             yield from pa.table(columns, names).combine_chunks().to_batches()
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Four rows at most for each range, in order; compares the last of one with the first of the next."""
-        before = None
+        """Compares the last context of a range with the first of the next, of the same anchor."""
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                if before is not None and not r["last"] and (before["forward"], before["anchor_hash"]) == (r["forward"], r["anchor_hash"]):
-                    both = (before, r)
-                    made = _sided(r["forward"], [x["one"] for x in both], [x["other"] for x in both], [0, 0], length)
-                    _, _, left, right = made.neighbours(np.arange(2))
-                    out += [x | {"left": int(left[0]), "right": int(right[0]), "task": None, "last": None, "forward": None, "one": None, "other": None} for x in both]
-                before = r if r["last"] else None
+            for pair in batch.to_pylist():
+                both = (pair["before"], pair["after"])
+                made = _sided(pair["forward"], [x["one"] for x in both], [x["other"] for x in both], [0, 0], length)
+                _, _, left, right = made.neighbours(np.arange(2))
+                out += [x | {"left": int(left[0]), "right": int(right[0]), "task": None, "last": None, "forward": None, "one": None, "other": None} for x in both]
             yield pa.RecordBatch.from_pylist(out, schema)
 
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     schema = pa.schema([(n.split()[0], kinds[n.split()[1]]) for n in _NEIGHBOURS.split(", ")])
     ranged = _sides(hot).repartitionByRange(n_ranges, "forward", "anchor_hash", "one", "other")
     found = written(ranged.mapInArrow(released(kernel, "arrays"), _NEIGHBOURS), "neighbours", files)
-    # Ranges go up with forward: all of one direction stand before those of the other, and a task may hold both.
-    ends = found.where("task IS NOT NULL").coalesce(1).sortWithinPartitions("task", "forward", "last")
-    return found.where("task IS NULL").unionByName(ends.mapInArrow(released(across), _NEIGHBOURS))
+    # Each range is joined with the next that has rows of its direction; only the numbers of ranges stand in one window.
+    ends = found.where("task IS NOT NULL")
+    following = F.lead("task").over(Window.partitionBy("forward").orderBy("task"))
+    chain = ends.select("forward", "task").distinct().withColumn("next", following).where("next IS NOT NULL")
+    before = ends.where("last").join(chain, ["forward", "task"]).select("forward", "anchor_hash", "next", F.struct(*names).alias("before"))
+    after = ends.where("NOT last").select("forward", "anchor_hash", F.col("task").alias("next"), F.struct(*names).alias("after"))
+    pairs = before.join(after, ["forward", "anchor_hash", "next"]).select("forward", "before", "after")
+    return found.where("task IS NULL").unionByName(pairs.mapInArrow(released(across), _NEIGHBOURS))
 
 
 _SPANS = "anchor_hash long, key long, check long, high int, low int, best int, found array<int>, open array<int>"
@@ -610,7 +612,7 @@ def _window_keys(view: bytes, starts: list[int], length: int, more: bytes) -> np
 
 
 def _third_contexts(hot: DataFrame, spans: DataFrame, shelf: Shelf, length: int, step: int, files: int) -> DataFrame:
-    """``spans`` with all repeated windows in ``found``: those still open are compared by digest with all of their anchor."""
+    """``spans`` with all repeated windows in ``found``: those still open are compared with all of their anchor, by digest and then by their bytes."""
     asked = spans.where("size(open) > 0").groupBy("anchor_hash").agg(F.min("low").alias("ask_low"), F.max("best").alias("ask_high"))
     rows = spans.join(asked, "anchor_hash").join(hot.select("key", "check", "data"), ["key", "check"])
     rows = written(rows.select("anchor_hash", "key", "check", "high", "low", "best", "found", "open", "ask_low", "ask_high", "data"), "open", files)
@@ -645,24 +647,45 @@ def _third_contexts(hot: DataFrame, spans: DataFrame, shelf: Shelf, length: int,
     for p, n in rows.mapInArrow(released(packed), "part int, keys binary").groupBy("part").applyInArrow(released_group(write), "part int, n long").collect():
         shelf.sizes[p] = (n,)
 
+    def repeated(keys: np.ndarray) -> np.ndarray:
+        """Which digests stand more than once."""
+        out = np.zeros(len(keys), bool)
+        for p, i, at in shelf.find(keys[:, 0]):
+            n = shelf.sizes[p][0]
+            key, check = shelf.array(p, "key", "<u8", n), shelf.array(p, "check", "<u8", n)
+            while len(i):
+                hit = check[at] == keys[i, 1]
+                out[i[hit]] = True
+                i, at = i[~hit], at[~hit] + 1
+                again = (at < n) & (key[np.minimum(at, n - 1)] == keys[i, 0])
+                i, at = i[again], at[again]
+        return out
+
+    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of the windows whose digests stand more than once, each digest once from a batch after its bytes were compared."""
+        for batch in batches:
+            own: dict[tuple[int, int], bytes] = {}
+            columns = [batch.column(c).to_pylist() for c in ("anchor_hash", "high", "data")]
+            for k, offsets, keys in windows(batch, False):
+                anchor, high, data = (c[k] for c in columns)
+                for n in np.flatnonzero(repeated(keys)).tolist():
+                    at = high - offsets[n]
+                    body = data[at : at + length] + anchor.to_bytes(8, "little", signed=True) + offsets[n].to_bytes(4, "little", signed=True)
+                    if own.setdefault((int(keys[n, 0]), int(keys[n, 1])), body) != body:
+                        raise ValueError("two windows with one digest")
+            key = np.array(list(own), np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), binary_array(list(own.values()))], ["key", "check", "body"])
+
+    # Bytes are compared for every digest: a task's first, then those of all tasks.
+    seen = rows.mapInArrow(released(bodies, "arrays"), "key long, check long, body binary").groupBy("key", "check").agg(F.min("body").alias("least"), F.max("body").alias("most"))
+    if not seen.where("least <> most").isEmpty():
+        raise ValueError("two windows with one digest")
+
     def more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [list(zip(f[::2], f[1::2], strict=True)) for f in batch.column("found").to_pylist()]
-            asked = list(windows(batch, True))
-            if asked:
-                owner = np.repeat([k for k, _, _ in asked], [len(o) for _, o, _ in asked])
-                offset = np.concatenate([o for _, o, _ in asked])
-                keys = np.concatenate([x for _, _, x in asked])
-                for p, i, at in shelf.find(keys[:, 0]):
-                    n = shelf.sizes[p][0]
-                    key, check = shelf.array(p, "key", "<u8", n), shelf.array(p, "check", "<u8", n)
-                    while len(i):
-                        hit = check[at] == keys[i, 1]
-                        for k, o in zip(owner[i[hit]].tolist(), offset[i[hit]].tolist(), strict=True):
-                            found[k].append((o, o))
-                        i, at = i[~hit], at[~hit] + 1
-                        again = (at < n) & (key[np.minimum(at, n - 1)] == keys[i, 0])
-                        i, at = i[again], at[again]
+            for k, offsets, keys in windows(batch, True):
+                found[k] += [(offsets[n], offsets[n]) for n in np.flatnonzero(repeated(keys)).tolist()]
             lists = pa.array([[x for s in _joined(f) for x in s] for f in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "check", "high")), lists], ["key", "check", "high", "found"])
 
@@ -715,16 +738,6 @@ def _lookup(shelf: Shelf, key: np.ndarray, check: np.ndarray, start: np.ndarray,
             i, at = i[more], at[more]
 
 
-def whole_characters(kept: Column) -> Column:
-    """Bytes as text, without those that are no whole UTF-8 character (cuts can fall inside one)."""
-
-    @F.pandas_udf("string")
-    def read(values: pd.Series) -> pd.Series:
-        return values.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return read(kept)
-
-
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, many: int = MANY) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_bytes`` (binary).
 
