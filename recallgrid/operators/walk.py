@@ -139,7 +139,7 @@ def _means(store: Store) -> DataFrame:
 def paths(store: Store, hops: DataFrame) -> DataFrame:
     """For each hop (``seed``, ``node``, ``trail``, ``kinds``) the product of means along its trail, its weakest belief (the last of equals) and the belief it forks from."""
     each = hops.select("seed", "node", F.posexplode("trail").alias("pos", "id")).join(_means(store).select("id", "mean"), "id")
-    g = each.groupBy("seed", "node").agg(F.exp(F.sum(F.log("mean"))).alias("compound"), F.min_by("id", F.struct("mean", -F.col("pos"))).alias("weakest"))
+    g = each.groupBy("seed", "node").agg(F.product("mean").alias("compound"), F.min_by("id", F.struct("mean", -F.col("pos"))).alias("weakest"))
     forks = F.when(F.element_at("kinds", -1) == "CONTRADICTS", F.element_at("trail", -2))
     return hops.select("seed", "node", F.size("kinds").alias("depth"), forks.alias("fork_from")).join(g, ["seed", "node"]).select("seed", "node", "depth", F.round("compound", 6).alias("compound"), "weakest", "fork_from")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detect, scoring
 from ..operators import graph, metrics, packs, policy, retrieval, similarity, vectors, walk
+from ..plans.session import new_folder
 from ..sources.model import Store
 from .registry import BASE, MEAN, ORACLE_SQL, asked, on_store, on_tables
 
@@ -131,6 +132,66 @@ def suggested_updates(s):
     return walk.suggestions(s, walk.verdicts(s, _every(s), hops, stuck), hops, stuck)
 
 
+# ---- conclusions over two steps -----------------------------------------------------------------------------------------
+
+_WALK_SQL = "CASE type " + " ".join(f"WHEN '{k}' THEN CAST({v} AS DOUBLE)" for k, v in graph.WALK.items()) + " ELSE 0 END"
+#: The walk of two steps: nodes are claimed in order of the first step, then of the second; budgets never bind here.
+DEEP_HOPS = (
+    f""", live AS (SELECT id FROM beliefs WHERE valid_to IS NULL), es AS (SELECT CASE WHEN type = 'SUPERSEDES' THEN dst ELSE src END AS node, CASE WHEN type = 'SUPERSEDES' THEN src ELSE dst END AS t, type, weight, {_WALK_SQL} AS w FROM edges),
+    st AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY w DESC, weight DESC, t) AS n FROM (SELECT * FROM es QUALIFY row_number() OVER (PARTITION BY node, t ORDER BY w DESC, weight DESC, type DESC) = 1) q),
+    g1 AS (SELECT node AS seed, t, w, type, n FROM st WHERE node IN (SELECT id FROM live) AND t <> node AND w >= 0.1),
+    g2 AS (SELECT g1.seed, g1.t AS mid, st.t, st.type FROM g1 JOIN st ON st.node = g1.t WHERE g1.t IN (SELECT id FROM live) AND st.t <> g1.seed AND st.w > 0 AND g1.w * st.w >= 0.1 AND NOT EXISTS (SELECT 1 FROM g1 o WHERE o.seed = g1.seed AND o.t = st.t)
+      QUALIFY row_number() OVER (PARTITION BY g1.seed, st.t ORDER BY g1.n, st.n) = 1),
+    h AS (SELECT seed, t AS node, type AS kind, 1 AS depth, NULL AS mid FROM g1 WHERE t IN (SELECT id FROM live) UNION ALL SELECT seed, t, type, 2, mid FROM g2 WHERE t IN (SELECT id FROM live)),"""
+    + FIRST_HOPS[FIRST_HOPS.index("m AS (SELECT id, ") : FIRST_HOPS.index("p AS (SELECT seed, node, kind,")]
+    + """p AS (SELECT seed, node, kind, depth, round(a.mean * coalesce(x.mean, 1.0) * b.mean, 6) AS compound, CASE WHEN b.mean <= a.mean AND b.mean <= coalesce(x.mean, b.mean) THEN node WHEN x.mean <= a.mean THEN mid ELSE seed END AS weakest,
+      CASE WHEN kind = 'CONTRADICTS' THEN coalesce(mid, seed) END AS fork_from FROM h JOIN m a ON a.id = seed JOIN m b ON b.id = node LEFT JOIN m x ON x.id = mid),"""
+    + FIRST_HOPS[FIRST_HOPS.index("c AS (SELECT h.seed, node, mean, locked") - 4 :].lstrip()
+)
+_deep: dict[tuple[str, str], DataFrame] = {}
+
+
+def _deep_hops(s: Store) -> DataFrame:
+    """The hops of two steps from every active belief, walked once for each state of the files."""
+    spark = s.edges.sparkSession
+    key = spark.sparkContext.applicationId, retrieval.generation(s.beliefs)
+    if key not in _deep:
+        folder = new_folder(spark, "hops")
+        walk.expand(s, _every(s)).write.parquet(folder)
+        _deep[key] = spark.read.parquet(folder)
+    return _deep[key]
+
+
+@on_store("beliefs edges", DEEP_HOPS + " SELECT seed, node, depth, compound, weakest, fork_from FROM p")
+def deep_paths(s):
+    return walk.paths(s, _deep_hops(s))
+
+
+@on_store("beliefs edges", DEEP_HOPS + " SELECT * FROM i")
+def deep_impasses(s):
+    return walk.impasses(s, _every(s), _deep_hops(s))
+
+
+@on_store("beliefs edges", DEEP_HOPS + " SELECT * FROM v")
+def deep_verdicts(s):
+    hops = _deep_hops(s)
+    return walk.verdicts(s, _every(s), hops, walk.impasses(s, _every(s), hops))
+
+
+@on_store("beliefs edges", DEEP_HOPS + " SELECT seed, kind, ids, CASE WHEN kind IN ('GAP', 'NO_CHANGE') THEN 'Gap-filler' WHEN kind = 'TIE' THEN 'Fork-resolver' ELSE 'Verifier' END AS role FROM i WHERE seed IN (SELECT seed FROM v WHERE verdict <> 'SUFFICIENT')")
+def deep_dispatch(s):
+    hops = _deep_hops(s)
+    stuck = walk.impasses(s, _every(s), hops)
+    return walk.dispatch(walk.verdicts(s, _every(s), hops, stuck), stuck)
+
+
+@on_store("beliefs edges", DEEP_HOPS + ORACLE_SQL["suggested_updates"][ORACLE_SQL["suggested_updates"].index(", a AS (SELECT DISTINCT seed, unnest") :])
+def deep_updates(s):
+    hops = _deep_hops(s)
+    stuck = walk.impasses(s, _every(s), hops)
+    return walk.suggestions(s, walk.verdicts(s, _every(s), hops, stuck), hops, stuck)
+
+
 # ---- packs --------------------------------------------------------------------------------------------------------------
 
 
