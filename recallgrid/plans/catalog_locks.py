@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..operators import locks, policy, retrieval
+from ..plans.session import new_folder
 from ..streaming import feedback as streams
 from ..streaming import opportunities
+from ..streaming import ring as rings
 from .catalog import INDEX, MANY_SQL, index_of, turn_queries
 from .catalog_text import NUMBERS, _enum_sql
-from .registry import MEAN, on_store
+from .registry import BASE, MEAN, on_store
 
 # ---- conflicts ------------------------------------------------------------------------------------------------------------
 
@@ -99,3 +101,40 @@ def stream_opportunities(s):
     log = streams.read(s.feedback.sparkSession, s.folder)
     rows = opportunities.candidates(log, F.expr(REASON), (F.col("feedback_id") % 4).cast("string"))
     return opportunities.run_available(opportunities.opportunities(rows, 9000, 7200), "opportunities")
+
+
+# ---- rings --------------------------------------------------------------------------------------------------------------------
+
+RECORD = "ts long, key long, n long, session string, hook string"
+
+
+def _audit_files(s):
+    """The feedback as an audit log of JSON lines in a folder, some lines blank or broken."""
+    folder = new_folder(s.feedback.sparkSession, "audit")
+    n = F.col("feedback_id")
+    record = F.to_json(F.struct(F.col("created_at").alias("ts"), F.col("session_id").alias("key"), n.alias("n"), F.floor(F.col("created_at") / 30000).cast("string").alias("session"), F.col("source").alias("hook")))
+    line = F.when(n % 17 == 0, F.substring(record, F.lit(1), F.length(record) - 1)).when(n % 19 == 0, "").when(n % 23 == 0, "[1]").otherwise(record)
+    s.feedback.select(line.alias("value")).write.text(folder)
+    return folder
+
+
+BASE_AUDIT = ", r AS (SELECT session_id AS key, feedback_id AS n, CAST(created_at // 30000 AS VARCHAR) AS session FROM feedback WHERE feedback_id % 17 > 0 AND feedback_id % 19 > 0 AND feedback_id % 23 > 0 AND created_at >= {since} {more})"
+
+
+@on_store(
+    "feedback",
+    BASE_AUDIT.format(since=BASE + 100_000, more="")
+    + """, e AS (SELECT *, CASE WHEN session IS DISTINCT FROM lag(session) OVER (PARTITION BY key ORDER BY n) THEN 1 ELSE 0 END AS fresh FROM r), g AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY n) AS spell FROM e),
+    k AS (SELECT *, row_number() OVER (PARTITION BY key, spell ORDER BY n) AS place FROM g) SELECT key, n, session, place - 1 AS fire_idx, least(place, 4) AS held, greatest(place - 4, 0) AS evicted FROM k""",
+)
+def stream_rings(s):
+    """The ring of each key as an audit log is followed from some time on."""
+    log = rings.followed(s.feedback.sparkSession, _audit_files(s), RECORD, BASE + 100_000)
+    return streams.run_available(rings.rings(log, F.col("key"), F.col("session"), F.col("n"), 4), "rings")
+
+
+@on_store("feedback", BASE_AUDIT.format(since=BASE, more="AND source = 'click'") + " SELECT * FROM r")
+def stream_audit_tail(s):
+    """The records of one kind, as an audit log is followed."""
+    log = rings.followed(s.feedback.sparkSession, _audit_files(s), RECORD, BASE, {"hook": "click"})
+    return streams.run_available(log.select("key", "n", "session"), "tail")

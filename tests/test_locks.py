@@ -84,3 +84,31 @@ def test_opportunities_over_batches(spark):
     want = plain_opportunities(rows, 1500, 3)
     assert run() == want and len(want) > 20 and {r[2] for r in want} == set(opportunities.REASONS)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_a_rotated_log_is_followed(spark):
+    """Three files of lines, read one a batch in two runs: the stream's rings are those of all lines at once."""
+    from recallgrid.streaming import feedback, ring
+
+    rng = random.Random(8)
+    kind = "ts long, key long, n long, session string"
+    events = [(n * 10, rng.randrange(4), n, f"s{(n + rng.randrange(2)) // 40}") for n in range(300)]
+    lines = [f'{{"ts": {t}, "key": {k}, "n": {n}, "session": "{s}"}}' for t, k, n, s in events]
+    lines = [x if i % 31 else x[: len(x) // 2] for i, x in enumerate(lines)]
+    folder = new_folder(spark, "audit")
+
+    def run(parts):
+        for part in parts:
+            spark.createDataFrame([(x,) for x in (*part, "", "[]")], "value string").coalesce(1).write.mode("append").text(folder)
+        log = ring.followed(spark, folder, kind, 500, None, 1)
+        return feedback.run_available(ring.rings(log, F.col("key"), F.col("session"), F.col("n"), 5), "rings")
+
+    got = {(r.key, r.n): (r.fire_idx, r.held, r.evicted) for r in run([lines[:100], lines[100:200], lines[200:]]).collect()}
+    batch = ring.parsed(spark.read.text(folder), kind, 500)
+    want, last = {}, {}
+    for r in sorted(batch.collect(), key=lambda r: r.n):
+        session, seen = last.get(r.key, (None, 0))
+        seen = seen + 1 if session == r.session else 1
+        last[r.key] = r.session, seen
+        want[r.key, r.n] = seen - 1, min(seen, 5), max(0, seen - 5)
+    assert got == want and len(want) == sum(1 for i, e in enumerate(events) if i % 31 and e[0] >= 500)
