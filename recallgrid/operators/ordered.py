@@ -37,11 +37,10 @@ def spine_divergence(store: Store, shipped: DataFrame) -> DataFrame:
 
 
 def value_places(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """For each group and value how many rows have it (``c``) and how many a lesser one (``before``). Rows are counted by value before any group
-    is sorted, so that a group of any size is sorted by its distinct values."""
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    """For each group and value how many rows have it (``c``) and how many a lesser one (``before``). Rows are counted by value first, and the
+    counts are summed over ranges, so that no task holds a group. Null values don't count."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    return Ranges(counts, [by], [F.col(value)]).running_sums(before=F.col("c")).withColumn("before", F.col("before") - F.col("c"))
 
 
 def average_ranks(rows: DataFrame, by: str, value: str, key: str) -> DataFrame:

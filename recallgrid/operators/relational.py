@@ -206,12 +206,14 @@ def phantom_lifecycle(store: Store) -> DataFrame:
 def health(store: Store) -> DataFrame:
     """Numeric state of a store: mean and median confidence, mean evidence, locks per 1000, edges per belief."""
     mean = posterior_mean(F.col("alpha"), F.col("beta"))
-    b = store.active.agg(
-        F.count("*").alias("n_beliefs"),
-        F.avg(mean).alias("confidence_mean"),
-        F.percentile(mean, F.lit(0.5)).alias("confidence_median"),
-        F.avg(F.col("alpha") + F.col("beta")).alias("mass_mean"),
-        (1000 * F.count_if(F.col("lock_level") != "none") / F.count("*")).alias("lock_per_1000"),
+    # Beliefs are counted by their mean first, so that the median is sought among distinct means.
+    by_mean = store.active.groupBy(mean.alias("mean")).agg(F.count("*").alias("n"), F.sum(F.col("alpha") + F.col("beta")).alias("mass"), F.count_if(F.col("lock_level") != "none").alias("locks"))
+    b = by_mean.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_beliefs"),
+        (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("confidence_mean"),
+        F.percentile("mean", F.lit(0.5), F.col("n")).alias("confidence_median"),
+        (F.sum("mass") / F.sum("n")).alias("mass_mean"),
+        (1000 * F.sum("locks") / F.sum("n")).alias("lock_per_1000"),
     )
     return b.crossJoin(F.broadcast(store.edges.agg(F.count("*").alias("n_edges")))).withColumn("edge_per_belief", F.col("n_edges") / F.col("n_beliefs"))
 
@@ -263,12 +265,22 @@ def floor_rank_percentile(rows: DataFrame, by: str, value: str, percent: int) ->
     from .ordered import value_places
 
     places = value_places(rows, by, value)
-    place = F.greatest(F.lit(1), F.floor(F.sum("c").over(Window.partitionBy(by)) * percent / 100))
-    return places.withColumn("place", place).where((F.col("before") < F.col("place")) & (F.col("place") <= F.col("before") + F.col("c"))).select(by, value)
+    size = places.groupBy(by).agg(F.max(F.col("before") + F.col("c")).alias("n"))
+    place = F.greatest(F.lit(1), F.floor(F.col("n") * percent / 100))
+    return places.join(size, by).where((F.col("before") < place) & (place <= F.col("before") + F.col("c"))).select(by, value)
 
 
 def linear_percentile(rows: DataFrame, by: str, value: str, share: float) -> DataFrame:
-    return rows.groupBy(by).agg(F.round(F.percentile(value, F.lit(share)), 6).alias(value))
+    """The value at place (n - 1) * share of each group, from 0, between its neighbours in proportion; 6 decimal places."""
+    from .ordered import value_places
+
+    places = value_places(rows, by, value)
+    size = places.groupBy(by).agg(F.max(F.col("before") + F.col("c")).alias("n"))
+    at = (F.col("n") - 1) * share
+    holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("c"))
+    found = places.join(size, by).where(holds(F.floor(at)) | holds(F.ceil(at)))
+    ends = found.groupBy(by, "n").agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    return ends.select(by, F.round(F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at)), 6).alias(value))
 
 
 def utterance_logodds(rows: DataFrame, text: str, flag: str, least: int) -> DataFrame:

@@ -316,13 +316,21 @@ def match_expression(index: Index, queries: DataFrame, k: int = 3) -> DataFrame:
     return rows.select("query_id", F.array_join(F.transform("t", lambda x: x["term"]), " ").alias("query"))
 
 
+def _idf_quantiles(index: Index, low: float, high: float) -> DataFrame:
+    """Two quantiles of all terms' inverse frequencies. Few frequencies are distinct: terms are counted by theirs first."""
+    n, df = F.col("n"), F.col("df")
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    counts = index._beside_totals(index.frequencies.groupBy("df").agg(F.count("*").alias("terms")))
+    return counts.agg(F.percentile(idf, F.lit(low), F.col("terms")).alias("low"), F.percentile(idf, F.lit(high), F.col("terms")).alias("high"))
+
+
 def idf_clip(index: Index, queries: DataFrame, low: float = 0.25, high: float = 0.9) -> DataFrame:
     """The terms of queries without those of an inverse frequency below a quantile of all terms', and twice those above another."""
     n, df = F.col("n"), F.col("df")
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    every = index.frequencies.crossJoin(F.broadcast(index.totals.select("n"))).select("term", idf.alias("idf"))
-    bounds = every.agg(F.percentile("idf", F.lit(low)).alias("low"), F.percentile("idf", F.lit(high)).alias("high"))
-    rows = index.asked(queries).join(every, "term").crossJoin(F.broadcast(bounds)).where("idf >= low")
+    asked = index.asked(queries)
+    known = index._beside_totals(index.frequencies_of(asked)).select("term", idf.alias("idf"))
+    rows = asked.join(known, "term").crossJoin(F.broadcast(_idf_quantiles(index, low, high))).where("idf >= low")
     return rows.select("query_id", "term", F.round("idf", 6).alias("idf"), (F.col("qf") * F.when(F.col("idf") > F.col("high"), 2).otherwise(1)).alias("qf"))
 
 
@@ -344,9 +352,7 @@ def rewritten(index: Index, queries: DataFrame, strategy: str = "legacy-bm25", l
     terms = queries.select("query_id", F.posexplode(F.concat(tokens(query), more)).alias("k", "term"))
     n, df = F.col("n"), F.col("df")
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    # Few frequencies are distinct: quantiles are taken of them by how many terms have each.
-    counts = index._beside_totals(index.frequencies.groupBy("df").agg(F.count("*").alias("terms")))
-    bounds = counts.agg(F.percentile(idf, F.lit(low), F.col("terms")).alias("low"), F.percentile(idf, F.lit(high), F.col("terms")).alias("high"))
+    bounds = _idf_quantiles(index, low, high)
     known = index._beside_totals(index.frequencies_of(terms)).select("term", idf.alias("idf"))
     rows = terms.join(known, "term", "left").crossJoin(F.broadcast(bounds)).where("idf IS NULL OR idf >= low")
     said = F.when(F.col("idf") > F.col("high"), F.array_repeat("term", COPIES)).otherwise(F.array("term"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as texts
 from ..operators import locks, policy, retrieval
 from ..plans.session import new_folder
+from ..sources import history
 from ..streaming import feedback as streams
 from ..streaming import opportunities
 from ..streaming import ring as rings
@@ -138,3 +139,48 @@ def stream_audit_tail(s):
     """The records of one kind, as an audit log is followed."""
     log = rings.followed(s.feedback.sparkSession, _audit_files(s), RECORD, BASE, {"hook": "click"})
     return streams.run_available(log.select("key", "n", "session"), "tail")
+
+
+# ---- history ------------------------------------------------------------------------------------------------------------------
+
+COMMITS = """, c AS (SELECT md5('commit ' || feedback_id) AS sha, created_at AS t, CASE WHEN feedback_id % 13 = 0 THEN '' ELSE source || ' ' || belief_id || ' #' || feedback_id % 50 END AS subject,
+    CASE WHEN feedback_id % 11 = 0 THEN [] ELSE ['src/f' || feedback_id % 97 || '.py', 'docs/d' || feedback_id % 31 || '.md'] END AS files FROM feedback)"""
+
+
+def _history(s):
+    """The feedback as an exported log of commits, in as many files as it has partitions."""
+    folder = new_folder(s.feedback.sparkSession, "history")
+    n = F.col("feedback_id")
+    at = F.date_format(F.timestamp_seconds("created_at"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    subject = F.when(n % 13 == 0, "").otherwise(F.concat("source", F.lit(" "), "belief_id", F.lit(" #"), (n % 50).cast("string")))
+    files = F.when(n % 11 == 0, "").otherwise(F.concat(F.lit("\n\nsrc/f"), (n % 97).cast("string"), F.lit(".py\ndocs/d"), (n % 31).cast("string"), F.lit(".md\n")))
+    rows = s.feedback.select(F.concat(F.md5(F.concat(F.lit("commit "), n.cast("string"))), F.lit("\t"), at, F.lit("\t"), subject, files).alias("value"))
+    rows.repartition(3).write.option("lineSep", history.SEPARATOR).text(folder)
+    return history.commits(s.feedback.sparkSession, folder)
+
+
+@on_store("feedback", COMMITS + " SELECT subject AS text, 'git:commit:' || substr(sha, 1, 7) AS source, t AS at FROM c WHERE subject <> ''")
+def commit_subjects(s):
+    """Every commit of an exported history as a candidate."""
+    return history.commit_candidates(_history(s)).select("text", "source", F.unix_timestamp("at").alias("at"))
+
+
+@on_store("feedback", COMMITS + " SELECT path, max(t) AS at FROM (SELECT unnest(files) AS path, t FROM c) q GROUP BY 1")
+def file_recency(s):
+    return history.file_recency(_history(s)).select("path", F.unix_timestamp("at").alias("at"))
+
+
+@on_store(
+    "feedback beliefs",
+    COMMITS
+    + """, r AS (SELECT path, max(t) AS t FROM (SELECT unnest(files) AS path, t FROM c) q GROUP BY 1), d AS (SELECT 'docs/d' || seq || '.md' AS path, list_filter([trim(p) FOR p IN string_split(replace(content, chr(10), chr(10) || chr(10)), chr(10) || chr(10))], lambda p: length(p) >= 24) AS ps FROM beliefs),
+    p AS (SELECT path, unnest(ps) AS text, unnest(range(len(ps))) AS n FROM d), x AS (SELECT text, 'doc:' || path || ':p' || n AS source, t FROM p LEFT JOIN r USING (path) UNION ALL SELECT subject, 'git:commit:' || substr(sha, 1, 7), t FROM c WHERE subject <> '')
+    SELECT sha256(text) AS content_hash, min(source) AS source, list(t ORDER BY source)[1] AS at, count(*) AS seen FROM x WHERE length(text) % 5 > 0 AND sha256(text) NOT IN (SELECT content_hash FROM beliefs) GROUP BY 1""",
+)
+def repository_scan(s):
+    """What a scan of commits and documents adds to the store; some texts aren't to be kept."""
+    log = _history(s)
+    texts = s.beliefs.select(F.concat(F.lit("docs/d"), "seq", F.lit(".md")).alias("path"), F.replace("content", F.lit("\n"), F.lit("\n\n")).alias("text"))
+    found = history.paragraph_candidates(texts, history.file_recency(log)).unionByName(history.commit_candidates(log))
+    rows = history.scanned(found, s.beliefs, F.length("text") % 5 > 0)
+    return rows.select("content_hash", "source", F.unix_timestamp("at").alias("at"), "seen")
