@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import detect, extract, text
+from ..plans.session import new_folder
 from ..sources.model import Store
 
 # Fixed values.
@@ -52,6 +53,15 @@ def turn_sentences(turns: DataFrame) -> DataFrame:
     return rows.where(~detect.is_transcript_noise(s) & ~detect.is_subfloor(s) & text.noise_kind(s).isNull())
 
 
+def entity_table(texts: DataFrame) -> DataFrame:
+    """(``belief_id``, ``entity_lower``, ``kind``, ``span_start``) of the entities of texts (``id``, ``content``), written to the shared folder, as extraction runs nine patterns over
+    each text."""
+    folder = new_folder(texts.sparkSession, "entities")
+    found = texts.select(F.col("id").alias("belief_id"), F.explode(extract.entities(F.col("content"))).alias("e"))
+    found.select("belief_id", F.col("e.lower").alias("entity_lower"), "e.kind", F.col("e.start").alias("span_start")).write.parquet(folder)
+    return texts.sparkSession.read.parquet(folder)
+
+
 def triple_beliefs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Beliefs of the phrases of triples (``id`` by their normal form) and the edges between them; each once."""
     t = texts.select(F.explode(extract.triples(F.col("text"))).alias("t")).select("t.*")

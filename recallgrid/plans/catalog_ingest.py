@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, scoring
 from ..functions import text as texts
-from ..operators import ingest, ordered, relational
+from ..operators import ingest, ledger, ordered, relational, reports, retrieval
 from ..sources import files
 from ..sources.model import Store, table
 from ..streaming import worker
@@ -144,6 +144,54 @@ def extracted_entities(spark, sf_dir):
     return _sayings(spark, sf_dir).select("id", F.explode(extract.entities(F.col("text"))).alias("e")).select("id", "e.*")
 
 
+_extracted: dict[tuple[str, str], Store] = {}
+
+
+def _with_entities(s: Store) -> Store:
+    """The store with the entities of its beliefs' texts, extracted once for each state of the files."""
+    key = s.beliefs.sparkSession.sparkContext.applicationId, retrieval.generation(s.beliefs)
+    if key not in _extracted:
+        _extracted[key] = s.replaced(entities=ingest.entity_table(s.beliefs.select("id", "content")))
+    return _extracted[key]
+
+
+def _asked_entities(s: Store) -> DataFrame:
+    """The entities of every turn whose id is divisible by 20, as queries."""
+    turns = s.turns.where((F.col("conv_id") * 100 + F.col("turn")) % 20 == 0)
+    rows = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.explode(extract.entities(F.col("text"))).alias("e"))
+    return rows.select("query_id", F.col("e.lower").alias("entity_lower"), "e.kind")
+
+
+@on_store("beliefs turns", None)
+def extracted_overlap(s):
+    """The beliefs that share most entities with each turn; tests hold it against plain sets."""
+    return ledger.entity_overlap(_with_entities(s), _asked_entities(s), 20)
+
+
+@on_store("beliefs turns", None)
+def extracted_fan_effect(s):
+    """The same, entities of many beliefs counting less."""
+    return ledger.entity_overlap(_with_entities(s), _asked_entities(s), 20, fan=True)
+
+
+@on_store("beliefs turns", None)
+def extracted_lane(s):
+    """The same without locks, as far as a budget of its own goes."""
+    return reports.entity_lane(_with_entities(s), _asked_entities(s), 20, 4000)
+
+
+@on_store("beliefs turns", None)
+def extracted_novelties(s):
+    """Entities of turns that no belief has."""
+    return ledger.novel_entities(_with_entities(s), _asked_entities(s))
+
+
+@on_store("beliefs", None)
+def extracted_persistence(s):
+    """How durable the named entities of each belief are."""
+    return ledger.entity_persistence(_with_entities(s))
+
+
 @on_tables(None)
 def triple_graph(spark, sf_dir):
     """Edges between the phrases of documents, each with a sentence of two of its words before it; tests hold the kernel against known ones."""
