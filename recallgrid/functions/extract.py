@@ -91,3 +91,33 @@ def triples(text: Column) -> Column:
         return values.map(lambda t: find_triples(t or ""))
 
     return found(text)
+
+
+# Entities of a query that is rebuilt, and the shortest word that stands for a text without any.
+QUERY_ENTITIES, SHORTEST_WORD = 32, 4
+
+
+def query_of(turns: list[str]) -> str:
+    """A query from turns: their entities, then subjects and objects of their triples, or else their longer words; each once, as it stands first."""
+    text = "\n".join(t for t in turns if t)
+    if not text.strip():
+        return ""
+    parts = [e["raw"] for e in find_entities(text, QUERY_ENTITIES)]
+    parts += [phrase for t in find_triples(text) for phrase in (t["subject"], t["object"])]
+    if not parts:
+        parts = [w for t in turns for w in (t or "").split() if len(w) >= SHORTEST_WORD]
+    first: dict[str, str] = {}
+    for part in parts:
+        if part:
+            first.setdefault(part.lower(), part)
+    return " ".join(first.values())
+
+
+def rebuilt_query(turns: Column) -> Column:
+    """``query_of`` for arrays of turns."""
+
+    @F.pandas_udf("string")
+    def made(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: query_of(list(t) if t is not None else []))
+
+    return made(turns)

@@ -53,6 +53,14 @@ def turn_sentences(turns: DataFrame) -> DataFrame:
     return rows.where(~detect.is_transcript_noise(s) & ~detect.is_subfloor(s) & text.noise_kind(s).isNull())
 
 
+def rebuilt_queries(turns: DataFrame, most: int = 4) -> DataFrame:
+    """(``conv_id``, ``query``): a query from the latest ``most`` turns of each conversation."""
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    last = turns.select("conv_id", "turn", "text", F.row_number().over(w).alias("n")).where(F.col("n") <= most)
+    said = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return said.select("conv_id", extract.rebuilt_query(F.transform("t", lambda x: x["text"])).alias("query"))
+
+
 def entity_table(texts: DataFrame) -> DataFrame:
     """(``belief_id``, ``entity_lower``, ``kind``, ``span_start``) of the entities of texts (``id``, ``content``), written to the shared folder, as extraction runs nine patterns over
     each text."""

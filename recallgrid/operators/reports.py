@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import estimated_tokens, normalised_uncertainty, posterior_mean
@@ -78,6 +78,33 @@ def gaps(store: Store, index: Index, queries: DataFrame, k: int) -> DataFrame:
     return rows.select("query_id", F.round(F.col("covered") / F.col("terms"), 6).alias("coverage"), (F.col("terms") - F.col("covered")).alias("uncovered"), "uncertainty", "contradictions")
 
 
+# Below which coverage is low, above which a belief is uncertain, and how many axes there are at most.
+LOW_COVERAGE, UNCERTAIN, MOST_AXES = 0.5, 0.7, 6
+
+
+def research_axes(store: Store, index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """(``query_id``, ``place``, ``axis``, ``context``): what to look for where a query's best ``k`` hits leave gaps. Two axes always; one each for contradictions among the hits, for
+    uncertain hits, and for terms that no hit has."""
+    hits = top(index.match(queries), k)
+    unsure = hits.join(store.beliefs.where(normalised_uncertainty(F.col("alpha"), F.col("beta")) > UNCERTAIN).select("id"), "id").groupBy("query_id").agg(F.count("*").alias("unsure"))
+    rows = gaps(store, index, queries, k).join(unsure, "query_id", "left").na.fill(0, ["unsure"])
+
+    def axis(name: str, context: Column | str, where: Column | None = None) -> Column:
+        made = F.struct(F.lit(name).alias("axis"), (F.lit(context) if isinstance(context, str) else context).alias("context"))
+        return made if where is None else F.when(where, made)
+
+    made = F.array_compact(
+        F.array(
+            axis("domain_research", "always-on"),
+            axis("internal_gap_analysis", "always-on"),
+            axis("contradiction_resolution", F.concat(F.lit("unresolved_contradicts_pairs="), "contradictions"), F.col("contradictions") > 0),
+            axis("uncertainty_deep_dive", F.concat(F.lit("high_uncertainty_count="), "unsure"), F.col("unsure") > 0),
+            axis("coverage_extension", F.concat(F.lit("query_term_coverage="), F.format_number("coverage", 2)), (F.col("coverage") < LOW_COVERAGE) | (F.col("uncovered") > 0)),
+        )
+    )
+    return rows.select("query_id", F.posexplode(F.slice(made, 1, MOST_AXES)).alias("at", "a")).select("query_id", (F.col("at") + 1).alias("place"), "a.axis", "a.context")
+
+
 def onboarding(store: Store, found: DataFrame, rejected: DataFrame) -> DataFrame:
     """How many of the texts found (``content_hash``) are beliefs, were rejected, or are new."""
     own = store.beliefs.select("content_hash").distinct().withColumn("own", F.lit(True))

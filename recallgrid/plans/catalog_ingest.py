@@ -192,6 +192,20 @@ def extracted_persistence(s):
     return ledger.entity_persistence(_with_entities(s))
 
 
+@on_store("turns", None)
+def rebuilt_queries(s):
+    """A query from the last four turns of each conversation; tests hold it against the kernel."""
+    return ingest.rebuilt_queries(s.turns)
+
+
+@on_store("turns beliefs", None)
+def rebuilt_context(s):
+    """What is retrieved for the query that each conversation's last turns make."""
+    index = retrieval.cached("content", retrieval.generation(s.beliefs), lambda: retrieval.Index(s.active))
+    queries = ingest.rebuilt_queries(s.turns).select(F.col("conv_id").cast("string").alias("query_id"), "query")
+    return retrieval.retrieve(s, index, retrieval.match_expression(index, queries), 60_000)
+
+
 @on_tables(None)
 def triple_graph(spark, sf_dir):
     """Edges between the phrases of documents, each with a sentence of two of its words before it; tests hold the kernel against known ones."""

@@ -101,21 +101,40 @@ def quoted_tokens(s):
     return s.turns.select(F.explode(F.split("text", " ")).alias("term")).where("term <> ''").distinct().select("term", F.concat(F.lit('"'), F.replace("term", F.lit('"'), F.lit('""')), F.lit('"')).alias("quoted"))
 
 
-@on_store(
-    "beliefs edges",
+GAPS = (
     INDEX
     + f""", h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM m) r WHERE place <= 24), t AS (SELECT query_id, count(DISTINCT term) AS terms FROM q WHERE term <> '' GROUP BY 1),
     c AS (SELECT h.query_id, count(DISTINCT q.term) AS covered FROM h JOIN tf ON tf.id = h.id JOIN q ON q.term = tf.term AND q.query_id = h.query_id GROUP BY 1),
     u AS (SELECT query_id, round(avg(least(1.0, 12 * alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1)))), 6) AS uncertainty FROM h JOIN beliefs USING (id) GROUP BY 1),
     x AS (SELECT a.query_id, count(DISTINCT (least(src, dst), greatest(src, dst))) AS n FROM edges JOIN h a ON a.id = src JOIN h b ON b.id = dst AND a.query_id = b.query_id WHERE type = 'CONTRADICTS' GROUP BY 1)
-    SELECT query_id, round(coalesce(covered, 0) * 1.0 / terms, 6) AS coverage, terms - coalesce(covered, 0) AS uncovered, uncertainty, coalesce(n, 0) AS contradictions FROM t LEFT JOIN c USING (query_id) LEFT JOIN u USING (query_id) LEFT JOIN x USING (query_id)""",
+    SELECT query_id, round(coalesce(covered, 0) * 1.0 / terms, 6) AS coverage, terms - coalesce(covered, 0) AS uncovered, uncertainty, coalesce(n, 0) AS contradictions FROM t LEFT JOIN c USING (query_id) LEFT JOIN u USING (query_id) LEFT JOIN x USING (query_id)"""
 )
+
+
+@on_store("beliefs edges", GAPS)
 def gap_analysis(s):
     """How much of each query its hits cover, how uncertain those are, and how many contradict each other."""
     index = index_of(s)
     return reports.gaps(s, index, asked(s), 24)
 
 
+
+@on_store(
+    "beliefs edges",
+    GAPS[: GAPS.rindex("SELECT query_id, round(coalesce(covered")].rstrip()
+    + ", y AS ("
+    + GAPS[GAPS.rindex("SELECT query_id, round(coalesce(covered") :]
+    + """), z AS (SELECT query_id, count(*) AS unsure FROM h JOIN beliefs USING (id) WHERE least(1.0, 12 * alpha * beta / ((alpha + beta) * (alpha + beta) * (alpha + beta + 1))) > 0.7 GROUP BY 1),
+    a AS (SELECT query_id, list_filter([{'axis': 'domain_research', 'context': 'always-on'}, {'axis': 'internal_gap_analysis', 'context': 'always-on'},
+      CASE WHEN contradictions > 0 THEN {'axis': 'contradiction_resolution', 'context': 'unresolved_contradicts_pairs=' || contradictions} END, CASE WHEN coalesce(unsure, 0) > 0 THEN {'axis': 'uncertainty_deep_dive', 'context': 'high_uncertainty_count=' || unsure} END,
+      CASE WHEN coverage < 0.5 OR uncovered > 0 THEN {'axis': 'coverage_extension', 'context': 'query_term_coverage=' || format('{:.2f}', coverage)} END], lambda x: x IS NOT NULL) AS l FROM y LEFT JOIN z USING (query_id))
+    SELECT query_id, place, l[place].axis AS axis, l[place].context AS context FROM (SELECT query_id, l, unnest(range(1, len(l) + 1)) AS place FROM a) q""",
+)
+def research_axes(s):
+    """What to look for where the hits of each query leave gaps."""
+    return reports.research_axes(s, index_of(s), asked(s), 24)
+
+
 @on_store(
     "beliefs",
     INDEX

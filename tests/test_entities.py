@@ -56,3 +56,16 @@ def test_operators_over_extracted_entities(spark):
         if d + t:
             scores[i] = round(d / (d + t + 1), 6)
     assert {r.belief_id: r.score for r in catalog.QUERIES["extracted_persistence"](spark, SF).collect()} == scores
+
+
+def test_rebuilt_queries(spark):
+    """Entities and phrases once each, in order; longer words where there are none; blank turns give nothing."""
+    from recallgrid.functions.extract import query_of
+    from recallgrid.operators.ingest import rebuilt_queries
+
+    turns = [(1, k, "user", t) for k, t in enumerate(["old words", "see src/app/main.py and fooBar", "The cache supports the index.", "see SRC/app/main.py", "v1.2.3 then"])]
+    turns += [(2, 0, "user", ""), (2, 1, "assistant", None), (3, 0, "user", "123 4567 12345 4567")]
+    got = {r.conv_id: r.query for r in rebuilt_queries(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1] == query_of([t for _, _, _, t in turns[1:5]]) and "src/app/main.py" in got[1] and "SRC/app/main.py" not in got[1] and "v1.2.3" in got[1]
+    assert "old words" not in got[1] and got[2] == "" and got[3] == "4567 12345"
+    assert catalog.QUERIES["rebuilt_context"](spark, SF).count() > 0
