@@ -63,11 +63,11 @@ def memory_files(s):
 
 @on_store("beliefs", "SELECT id, CASE seq % 5 WHEN 0 THEN 'keep' WHEN 1 THEN 'remove' WHEN 2 THEN 'lock' WHEN 3 THEN 'skip' ELSE 'ambiguous' END AS verdict FROM beliefs WHERE valid_to IS NULL")
 def review_parse(s):
-    """A review's lines, one for each active belief, parsed again."""
+    """Reviews' lines, one for each active belief and 500 at most in a text, parsed again."""
     k = F.col("seq") % 5
     box = lambda on: F.when(on, "x").otherwise(" ")
     line = F.concat(F.lit("- ["), box(k.isin(0, 4)), F.lit("] keep ["), box(k == 1), F.lit("] remove ["), box(k.isin(2, 4)), F.lit("] lock | "), F.col("id"), F.lit("  a snippet"))
-    text = s.active.groupBy("session_id").agg(F.array_join(F.collect_list(F.when(F.lit(True), line)), "\n").alias("t"))
+    text = s.active.groupBy("session_id", F.floor(F.col("seq") / 500)).agg(F.array_join(F.collect_list(line), "\n").alias("t"))
     return text.select(F.explode(files.decisions(F.col("t"))).alias("d")).select("d.*")
 
 

@@ -163,12 +163,12 @@ def onboard_counts(s):
 
 @on_store(
     "beliefs",
-    """SELECT session_id AS drawn_for, 20 AS fire_idx, '[' || string_agg('"' || id || '"', ',' ORDER BY id) || ']' AS candidate_ids FROM beliefs WHERE valid_to IS NULL AND lock_level = 'none' GROUP BY 1""",
+    """SELECT session_id AS drawn_for, 20 * (seq // 500) AS fire_idx, '[' || string_agg('"' || id || '"', ',' ORDER BY id) || ']' AS candidate_ids FROM beliefs WHERE valid_to IS NULL AND lock_level = 'none' GROUP BY 1, 2""",
 )
 def exploration_record(s):
-    """The ledger rows of draws, with their candidates as JSON."""
+    """The ledger rows of draws, a draw for each 500 beliefs, with their candidates as JSON."""
     rows = s.active.where("lock_level = 'none'")
-    return rows.groupBy(F.col("session_id").alias("drawn_for")).agg(F.lit(20).alias("fire_idx"), F.to_json(F.array_sort(F.collect_list("id"))).alias("candidate_ids"))
+    return rows.groupBy(F.col("session_id").alias("drawn_for"), (20 * F.floor(F.col("seq") / 500)).alias("fire_idx")).agg(F.to_json(F.array_sort(F.collect_list("id"))).alias("candidate_ids"))
 
 
 @on_store(
