@@ -12,6 +12,7 @@ change by differences; no posting is written again until segments are merged.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,8 +28,8 @@ from ..sources.model import Store
 # Fixed values.
 K1, B, K3, ANCHOR_WEIGHT = 1.5, 0.75, 0.0, 3
 #: Bytes of text for each range that postings are cut into, ranges for each bucket; distinct terms of a batch up to which they are put into
-#: the scan's filter; segments from which on an update merges them.
-RANGE_BYTES, RANGES_A_BUCKET, LISTED_TERMS, MOST_SEGMENTS = 16 << 20, 8, 2000, 8
+#: the scan's filter, and pairs of query and term up to which weights are made on the driver; segments from which on an update merges them.
+RANGE_BYTES, RANGES_A_BUCKET, LISTED_TERMS, LISTED_PAIRS, MOST_SEGMENTS = 16 << 20, 8, 2000, 20_000, 8
 
 
 def tokens(text: Column) -> Column:
@@ -133,9 +134,7 @@ class Index:
         """``rows`` with the totals as columns: as numbers, which a written index has once they were asked for, else joined."""
         if not self._stored:
             return rows.crossJoin(F.broadcast(self.totals))
-        if self._numbers is None:
-            self._numbers = self.totals.first()
-        return rows.withColumns({k: F.lit(v) for k, v in self._numbers.asDict().items()})
+        return rows.withColumns({k: F.lit(v) for k, v in self._known().items()})
 
     @property
     def totals(self) -> DataFrame:
@@ -245,23 +244,45 @@ class Index:
             rows = _stem_terms(rows)
         return rows.groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
-    def match(self, queries: DataFrame, per_field: bool = False) -> DataFrame:
-        """BM25 of each query and each document that shares a term with it (``query_id``, ``id``, ``score``). With ``per_field`` the uses in content
-        and in anchors are divided by the norm of their own length before they are added; else anchors are part of the text."""
+    def _weighted(self, queries: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+        """The postings of a batch's terms with ``query_id`` and the weight ``w`` of the term in the query, and the mean lengths.
+
+        The weights of a small batch (``LISTED_PAIRS`` of query and term, ``LISTED_TERMS`` terms) are made on the driver and go with the plan; those of a larger one are joined.
+        """
         asked = self.asked(queries)
-        terms = self.listed(asked)
+        pairs = asked.limit(LISTED_PAIRS + 1).collect()
+        terms = sorted({r.term for r in pairs})
+        if len(pairs) <= LISTED_PAIRS and len(terms) <= LISTED_TERMS:
+            df = {r.term: r.df for r in self.frequencies_of(asked, terms).collect()}
+            known = self._known()
+            rare = {t: math.log(1 + (known["n"] - x + 0.5) / (x + 0.5)) for t, x in df.items()}
+            weights = [(r.query_id, r.term, rare[r.term] * ((K3 + 1) * r.qf / (K3 + r.qf))) for r in pairs if r.term in rare]
+            made = queries.sparkSession.createDataFrame(weights, f"query_id {queries.schema['query_id'].dataType.simpleString()}, term string, w double")
+            return self.postings_of(asked, terms).join(F.broadcast(made), "term"), *(F.lit(known[k] or 0.0) for k in ("avgdl", "avgda", "avgall"))
+        terms = None if len(terms) > LISTED_TERMS else self.listed(asked)
         n, df = F.col("n"), F.col("df")
         weights = self._beside_totals(asked.join(self.frequencies_of(asked, terms), "term"))
         idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
         weights = weights.select("query_id", "term", (idf * ((K3 + 1) * F.col("qf") / (K3 + F.col("qf")))).alias("w"), "avgdl", "avgda", "avgall")
-        rows = self.postings_of(asked, terms).join(weights, "term")
+        return self.postings_of(asked, terms).join(weights, "term"), F.col("avgdl"), F.col("avgda"), F.col("avgall")
+
+    def _known(self) -> dict:
+        """The totals as numbers; a written index keeps them."""
+        if self._numbers is None or not self._stored:
+            self._numbers = self.totals.first()
+        return self._numbers.asDict()
+
+    def match(self, queries: DataFrame, per_field: bool = False) -> DataFrame:
+        """BM25 of each query and each document that shares a term with it (``query_id``, ``id``, ``score``). With ``per_field`` the uses in content
+        and in anchors are divided by the norm of their own length before they are added; else anchors are part of the text."""
+        rows, avgdl, avgda, avgall = self._weighted(queries)
         if per_field:
-            anchored = F.when(F.col("ta") > 0, ANCHOR_WEIGHT * F.col("ta") / length_norm(F.col("da"), F.col("avgda"), B)).otherwise(0.0)
-            used = F.col("tf") / length_norm(F.col("dl"), F.col("avgdl"), B) + anchored
+            anchored = F.when(F.col("ta") > 0, ANCHOR_WEIGHT * F.col("ta") / length_norm(F.col("da"), avgda, B)).otherwise(0.0)
+            used = F.col("tf") / length_norm(F.col("dl"), avgdl, B) + anchored
             gain = used * (K1 + 1) / (K1 + used)
         else:
             used = F.col("tf") + ANCHOR_WEIGHT * F.col("ta")
-            gain = used * (K1 + 1) / (used + K1 * length_norm(F.col("dl") + ANCHOR_WEIGHT * F.col("da"), F.col("avgall"), B))
+            gain = used * (K1 + 1) / (used + K1 * length_norm(F.col("dl") + ANCHOR_WEIGHT * F.col("da"), avgall, B))
         return rows.groupBy("query_id", "id").agg(F.sum(F.col("w") * gain).alias("score"))
 
 

@@ -295,3 +295,19 @@ def test_capped_pairs(spark):
             used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
     got = capped_pairs(spark.createDataFrame(pairs, "a string, b string"), 3).collect()
     assert sorted(map(tuple, got)) == want and len(want) < len(pairs)
+
+
+def test_large_batches_score_alike(spark, monkeypatch):
+    """Weights made on the driver, joined with listed terms, and joined with all terms give the same scores."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(f"d{k}", " ".join(rng.choice("alpha beta gamma delta eps".split()) for _ in range(rng.randrange(0, 12)))) for k in range(80)], "id string, content string")
+    links = spark.createDataFrame([("x", f"d{k}", "beta anchor") for k in range(0, 80, 7)], "src string, dst string, anchor_text string")
+    asked = spark.createDataFrame([("q", "alpha beta alpha"), ("r", "anchor nothing"), ("s", "")], "query_id string, query string")
+    index = retrieval.Index(docs, anchors=links).written()
+    found = []
+    for pairs, terms in ((20_000, 2000), (0, 2000), (0, 1)):
+        monkeypatch.setattr(retrieval, "LISTED_PAIRS", pairs)
+        monkeypatch.setattr(retrieval, "LISTED_TERMS", terms)
+        for per_field in (False, True):
+            found.append({(r.query_id, r.id): round(r.score, 9) for r in index.match(asked, per_field).collect()})
+    assert found[0] and found[0] == found[2] == found[4] and found[1] == found[3] == found[5] and found[0] != found[1]
