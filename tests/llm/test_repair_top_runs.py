@@ -342,3 +342,16 @@ def test_op13(spark):
         assert (r.n_runs, r.start, r.length, r.period) == (len(runs), *best)
         assert r.exponent_milli == (1000 * best[1] // best[2] if runs else None)
         assert r.runs_sha256 == sha("".join(f"{a},{m},{q}\n" for a, m, q in runs)) and r.collapsed_sha256 == sha(plain_collapse(words, runs))
+
+
+def test_a_text_of_megabytes(spark):
+    """Six megabytes in one row, whose lags are compared by several tasks, beside short rows."""
+    block = [f"b{i}" for i in range(40_000)]
+    text = " ".join([f"u{i}" for i in range(500_000)] + block * 5 + ["end"])
+    assert len(text) > 2 * periodic.RANGE_LAGS * periodic.BYTES_PER_LAG
+    df = spark.createDataFrame([(1, text), (2, "a b a b a b a b"), (3, text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in periodic.collapse_runs(df).select("doc_id", "n_words", "runs", "collapsed").collect()}
+    for i in (1, 3):
+        assert got[i].n_words == 700_001 and [tuple(r) for r in got[i].runs] == [(500_000, 200_000, 40_000)]
+        assert got[i].collapsed == " ".join([f"u{k}" for k in range(500_000)] + block + ["end"])
+    assert got[2].collapsed == "a b" and [tuple(r) for r in got[2].runs] == [(0, 8, 2)]
