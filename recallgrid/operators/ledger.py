@@ -153,6 +153,28 @@ def audit_rows(ids: DataFrame, source: str | Column, at: int) -> DataFrame:
     return ids.select(F.col("id").alias("belief_id"), F.lit(0.0).alias("valence"), (F.lit(source) if isinstance(source, str) else source).alias("source"), F.lit(at).cast("long").alias("created_at"))
 
 
+# What a log row may come from.
+SOURCE_KINDS = ("filesystem", "git", "python_ast", "mcp_remember", "cli_remember", "transcript", "feedback_loop_synthesis", "claude_memory", "legacy_unknown")
+
+
+def log_rows(rows: DataFrame) -> DataFrame:
+    """Raw texts (``source_kind``, ``source_path``, ``raw_text``, ``raw_meta`` as a map or struct, ``derived_ids`` as an array, ``session_id``, ``created_at``) as rows of the log. An id is a digest of
+    what the row says, so that a row that is written again is the same row. Kinds that the log doesn't know are an error."""
+    unknown = rows.where(F.col("source_kind").isNull() | ~F.col("source_kind").isin(*SOURCE_KINDS)).select("source_kind").limit(1).collect()
+    if unknown:
+        raise ValueError(f"unknown source kind: {unknown[0].source_kind!r}")
+    said = F.concat_ws("\0", "source_kind", F.coalesce("source_path", F.lit("")), "raw_text", F.coalesce("session_id", F.lit("")), F.col("created_at").cast("string"))
+    return rows.select(
+        F.substring(F.sha2(said, 256), 1, 26).alias("log_id"), "source_kind", "source_path", "raw_text", "session_id", F.to_json("raw_meta").alias("raw_meta"), F.to_json("derived_ids").alias("derived_ids"), "created_at"
+    )
+
+
+def append_log(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """``log`` with the rows of ``rows`` (as ``log_rows`` makes them) whose ids it doesn't have, each once."""
+    fresh = rows.dropDuplicates(["log_id"]).join(log.select("log_id"), "log_id", "left_anti")
+    return log.unionByName(fresh.select(*log.columns))
+
+
 # ---- mutations ------------------------------------------------------------------------------------------------------------
 
 

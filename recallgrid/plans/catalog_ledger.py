@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ledger, relational
+from ..plans.session import new_folder
+from ..sources import files
 from ..sources.model import Store
 from .registry import BASE, MEAN, on_store
 
@@ -164,6 +166,33 @@ def append_feedback(s):
     return s.feedback.select("belief_id", "valence", "source", "created_at").unionByName(ledger.audit_rows(_hit(s), "seen", NOW))
 
 
+@on_store(
+    "log",
+    """, o AS (SELECT log_id::VARCHAR AS log_id, source_kind, CAST(NULL AS VARCHAR) AS source_path, raw_text, session_id, raw_meta, derived_ids, created_at FROM log),
+    n AS (SELECT DISTINCT substr(sha256('transcript' || chr(0) || 'p' || log_id % 5 || chr(0) || raw_text || chr(0) || session_id || chr(0) || (created_at + 60)), 1, 26) AS log_id, 'transcript' AS source_kind, 'p' || log_id % 5 AS source_path, raw_text, session_id,
+      '{"row":' || log_id || '}' AS raw_meta, '["d' || log_id || '"]' AS derived_ids, created_at + 60 AS created_at FROM log WHERE log_id % 2 = 0)
+    SELECT * FROM o UNION ALL SELECT * FROM n""",
+)
+def append_log(s):
+    """The log with rows of raw texts added, each of which comes twice."""
+    n = F.col("log_id")
+    log = s.log.select(n.cast("string").alias("log_id"), "source_kind", F.lit(None).cast("string").alias("source_path"), "raw_text", "session_id", "raw_meta", "derived_ids", "created_at")
+    raw = s.log.where(n % 2 == 0).select(
+        F.lit("transcript").alias("source_kind"), F.concat(F.lit("p"), n % 5).alias("source_path"), "raw_text", F.struct(n.alias("row")).alias("raw_meta"), F.array(F.concat(F.lit("d"), n)).alias("derived_ids"), "session_id", (F.col("created_at") + 60).alias("created_at")
+    )
+    rows = ledger.log_rows(raw)
+    return ledger.append_log(log, rows.unionByName(rows))
+
+
+@on_store("feedback", "SELECT created_at AS ts, source AS event, belief_id, CASE WHEN valence <> 0 THEN valence END AS valence FROM feedback UNION ALL SELECT created_at + 1, 'lock', belief_id, NULL FROM feedback WHERE source = 'purchase'")
+def feed_log(s):
+    """Events written to a feed log in two calls, and read again."""
+    folder = new_folder(s.feedback.sparkSession, "feed")
+    files.append_feed(s.feedback.select(F.col("created_at").alias("ts"), F.col("source").alias("event"), "belief_id", F.when(F.col("valence") != 0, F.col("valence")).alias("valence")), folder)
+    files.append_feed(s.feedback.where("source = 'purchase'").select((F.col("created_at") + 1).alias("ts"), F.lit("lock").alias("event"), "belief_id"), folder)
+    return files.read_feed(s.feedback.sparkSession, folder, "ts long, event string, belief_id string, valence double")
+
+
 @on_store(
     "injections",
     "SELECT event_id, session_id, turn_id, belief_id, injected_at FROM injections UNION ALL SELECT 1000000 + event_id, session_id, turn_id + 1, belief_id, injected_at + 60 FROM injections WHERE lane = 'l25'",

@@ -157,3 +157,16 @@ def vault_notes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = nodes.join(links, "id", "left")
     head = F.concat(F.lit("---\nid: "), "id", F.lit("\nlock: "), "lock_level", F.lit("\n---\n"))
     return rows.select(F.concat("id", F.lit(".md")).alias("file"), F.concat(head, "content", F.coalesce(F.concat(F.lit("\n\n"), F.array_join("links", "\n")), F.lit(""))).alias("note"))
+
+
+def append_feed(events: DataFrame, folder: str) -> None:
+    """Add events (``ts``, ``event`` and any other fields) to a feed log, a JSON object a line; null fields are left out. Each call adds files of its own, so that
+    nothing that is there is written again."""
+    events.select(F.to_json(F.struct("ts", "event", *(c for c in events.columns if c not in ("ts", "event"))))).write.mode("append").text(folder)
+
+
+def read_feed(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """The rows of a feed log by a schema; lines that are no JSON object are left out, and fields that a row doesn't have are null."""
+    rows = spark.read.text(folder).where(F.trim("value").startswith("{"))
+    found = rows.select(F.from_json("value", f"{kind}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r"))
+    return found.where("r._broken IS NULL").select("r.*").drop("_broken")

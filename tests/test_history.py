@@ -45,3 +45,33 @@ def test_an_empty_history(spark, tmp_path):
     (tmp_path / "log").write_text("")
     log = history.commits(spark, f"{tmp_path}/log")
     assert log.isEmpty() and history.file_recency(log).isEmpty() and history.commit_candidates(log).isEmpty()
+
+
+def test_log_rows(spark):
+    """The same row twice is one; kinds that aren't known are an error; a row that is there stays as it is."""
+    import pytest
+
+    from recallgrid.operators import ledger
+
+    schema = "source_kind string, source_path string, raw_text string, raw_meta map<string,string>, derived_ids array<string>, session_id string, created_at long"
+    rows = [("git", None, "a", None, None, None, 1), ("git", "", "a", {"k": "v"}, ["b"], "", 1), ("transcript", "p", "t", {"x": "é"}, [], "s", 2)]
+    made = ledger.log_rows(spark.createDataFrame(rows, schema))
+    assert made.select("log_id").distinct().count() == 2
+    log = made.limit(0)
+    once = ledger.append_log(log, made)
+    assert once.count() == 2 and ledger.append_log(once, made).count() == 2
+    got = once.where("source_kind = 'transcript'").first()
+    assert (got.raw_meta, got.derived_ids, got.created_at, len(got.log_id)) == ('{"x":"é"}', "[]", 2, 26)
+    with pytest.raises(ValueError, match="unknown source kind: 'mail'"):
+        ledger.log_rows(spark.createDataFrame([("mail", None, "a", None, None, None, 1)], schema))
+
+
+def test_feed_log(spark):
+    from recallgrid.sources import files
+
+    folder = new_folder(spark, "feed")
+    files.append_feed(spark.createDataFrame([(1, "a", "x", None), (2, "b", None, 0.5)], "ts long, event string, id string, v double"), folder)
+    spark.createDataFrame([("",), ("{broken",), ("[]",)], "value string").write.mode("append").text(folder)
+    files.append_feed(spark.createDataFrame([(3, "c", "tab\tand\nline")], "ts long, event string, id string"), folder)
+    got = sorted(map(tuple, files.read_feed(spark, folder, "ts long, event string, id string, v double").collect()))
+    assert got == [(1, "a", "x", None), (2, "b", None, 0.5), (3, "c", "tab\tand\nline", None)]
