@@ -410,3 +410,19 @@ def retrieve(store: Store, index: Index, queries: DataFrame, budget: int = 2400,
     # Where the locks alone are over the budget, the first that doesn't fit ends the pack.
     packed = packed.where((F.col("spent") <= budget) & ((F.col("tier") == 0) | (F.col("all_locks") <= budget)))
     return packed.select("query_id", "id", "tier", "place", "tokens")
+
+
+def search_peers(peers: dict[str, Store], queries: DataFrame, k: int) -> DataFrame:
+    """(``query_id``, ``owner``, ``id``, ``scope``, ``score``, ``place``): for each query the best ``k`` of all peers' active beliefs that are shared (their scope is global or shared). Each peer has an index of
+    its own and gives ``k`` at most; ties by owner and id. Scores of different stores are held against each other as they are."""
+    found = []
+    for owner, store in sorted(peers.items()):
+        shared = store.active.where("scope = 'global' OR scope LIKE 'shared:%'").select("id", "scope")
+        index = cached(f"peer {owner}", generation(store.beliefs), lambda store=store: Index(store.active))
+        hits = index.match(queries).join(shared, "id")
+        found.append(top(hits, k).select("query_id", F.lit(owner).alias("owner"), "id", "score").join(shared, "id").select("query_id", "owner", "id", "scope", "score"))
+    if not found:
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return queries.sparkSession.createDataFrame([], f"query_id {kind}, owner string, id string, scope string, score double, place int")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "owner", "id"))
+    return reduce(DataFrame.unionByName, found).withColumn("place", place).where(F.col("place") <= k)

@@ -1,19 +1,21 @@
-"""Queries of conflicts with locks, of query strategies and of overlap."""
+"""Queries of conflicts with locks, query strategies, overlap, opportunities, rings, histories and peers."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
 from ..operators import locks, policy, retrieval
 from ..plans.session import new_folder
-from ..sources import history
+from ..sources import history, peers
 from ..streaming import feedback as streams
 from ..streaming import opportunities
 from ..streaming import ring as rings
 from .catalog import INDEX, MANY_SQL, index_of, turn_queries
 from .catalog_text import NUMBERS, _enum_sql
-from .registry import BASE, MEAN, on_store
+from .registry import ASKED_SQL, BASE, MEAN, asked, on_store
 
 # ---- conflicts ------------------------------------------------------------------------------------------------------------
 
@@ -184,3 +186,30 @@ def repository_scan(s):
     found = history.paragraph_candidates(texts, history.file_recency(log)).unionByName(history.commit_candidates(log))
     rows = history.scanned(found, s.beliefs, F.length("text") % 5 > 0)
     return rows.select("content_hash", "source", F.unix_timestamp("at").alias("at"), "seen")
+
+
+# ---- peers --------------------------------------------------------------------------------------------------------------------
+
+
+@on_store(
+    "beliefs",
+    """, b AS (SELECT *, 'p' || seq % 3 AS owner FROM beliefs WHERE valid_to IS NULL), w AS (SELECT owner, id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS term FROM b),
+    tf AS (SELECT owner, id, term, count(*) AS tf FROM w GROUP BY 1, 2, 3), dl AS (SELECT owner, id, count(*) AS dl FROM w GROUP BY 1, 2), df AS (SELECT owner, term, count(*) AS df FROM tf GROUP BY 1, 2),
+    n AS (SELECT b.owner, count(*) AS n, coalesce(sum(dl), 0) * 1.0 / count(*) AS avgdl FROM b LEFT JOIN dl USING (owner, id) GROUP BY 1), q AS (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '[^\\p{L}\\p{N}_]+')) AS term FROM """
+    + ASKED_SQL
+    + """),
+    m AS (SELECT query_id, owner, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (owner, term) JOIN dl USING (owner, id) JOIN n USING (owner) GROUP BY 1, 2, 3)
+    SELECT query_id, owner, id, scope, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, owner, id) AS place FROM m JOIN b USING (owner, id) WHERE score > 0 AND (scope = 'global' OR scope LIKE 'shared:%')
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, owner, id) <= 10""",
+)
+def peer_search(s):
+    """The store dealt to three peers that a configuration names, and searched through it."""
+    spark = s.beliefs.sparkSession
+    folder = new_folder(spark, "peers")
+    names = ("p0", "p1", "p2")
+    for n, name in enumerate(names):
+        s.beliefs.where(F.col("seq") % 3 == n).write.parquet(f"{folder}/{name}/beliefs")
+    config = json.dumps({"version": peers.VERSION, "deps": [{"name": x, "path": x} for x in names]})
+    spark.createDataFrame([(config,)], "value string").coalesce(1).write.text(f"{folder}/config")
+    stores = {p.name: peers.open_peer(spark, p) for p in peers.load_peers(spark, f"{folder}/config")}
+    return retrieval.search_peers(stores, asked(s), 10)

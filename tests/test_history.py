@@ -75,3 +75,26 @@ def test_feed_log(spark):
     files.append_feed(spark.createDataFrame([(3, "c", "tab\tand\nline")], "ts long, event string, id string"), folder)
     got = sorted(map(tuple, files.read_feed(spark, folder, "ts long, event string, id string, v double").collect()))
     assert got == [(1, "a", "x", None), (2, "b", None, 0.5), (3, "c", "tab\tand\nline", None)]
+
+
+def test_peers_of_a_configuration(spark, tmp_path):
+    import json
+
+    import pytest
+
+    from recallgrid.sources import peers
+
+    (tmp_path / "there").mkdir()
+    spark.range(3).selectExpr("CAST(id AS STRING) AS id").write.parquet(f"{tmp_path}/there/beliefs")
+    config = tmp_path / "deps.json"
+    assert peers.load_peers(spark, str(config)) == []
+    config.write_text(json.dumps({"version": 1, "deps": [{"name": "a", "path": "there"}, {"name": "b", "path": f"{tmp_path}/gone"}]}))
+    a, b = peers.load_peers(spark, str(config))
+    assert (a.name, a.path, a.reachable, b.reachable) == ("a", f"{tmp_path}/there", True, False)
+    assert peers.open_peer(spark, a).beliefs.count() == 3
+    with pytest.raises(ValueError, match="isn't there"):
+        peers.open_peer(spark, b)
+    for bad in ("{", "[]", '{"version": 2}', '{"version": 1, "deps": {}}'.replace("{}", '{"x": 1}'), '{"version": 1, "deps": [{"name": "a"}]}', '{"version": 1, "deps": [{"name": "a", "path": "x"}, {"name": "a", "path": "y"}]}'):
+        config.write_text(bad)
+        with pytest.raises(ValueError):
+            peers.load_peers(spark, str(config))
