@@ -14,7 +14,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -183,7 +185,10 @@ def decode(docs: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = pa.array([bpe.decode(x or []) for x in part.column(ids).to_pylist()], pa.string())
+                column = part.column(ids)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+                flat = column.flatten().to_numpy(zero_copy_only=False).tolist()  # several times as fast as lists of Arrow's own
+                texts = pa.array([bpe.decode(flat[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*names, "decoded"])
 
     return docs.mapInArrow(released(kernel, "bpe"), T.StructType([*docs.schema.fields, T.StructField("decoded", T.StringType())]))
