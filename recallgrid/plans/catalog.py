@@ -504,6 +504,17 @@ def index_update(s):
     return base.updated(s.active, anchors=s.edges).postings.select("id", "term", "tf", "ta", "dl", "da")
 
 
+@on_store(
+    "beliefs",
+    """, w AS (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(lower(CASE WHEN seq % 101 = 0 THEN 'a newer text of ' || id ELSE content END), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')) AS term FROM beliefs WHERE valid_to IS NULL)
+    SELECT term, count(*) AS df FROM w GROUP BY 1""",
+)
+def index_refresh(s):
+    """The frequencies after one text in a hundred changed, by an update of the index."""
+    docs = s.active.withColumn("content", F.when(F.col("seq") % 101 == 0, F.concat(F.lit("a newer text of "), "id")).otherwise(F.col("content")))
+    return index_of(s).updated(docs).frequencies.select("term", "df")
+
+
 def anchored(s, docs=None):
     """An index of beliefs and their incoming anchors, made once for each state of the files."""
     if docs is not None:
