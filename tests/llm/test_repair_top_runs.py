@@ -355,3 +355,17 @@ def test_a_text_of_megabytes(spark):
         assert got[i].n_words == 700_001 and [tuple(r) for r in got[i].runs] == [(500_000, 200_000, 40_000)]
         assert got[i].collapsed == " ".join([f"u{k}" for k in range(500_000)] + block + ["end"])
     assert got[2].collapsed == "a b" and [tuple(r) for r in got[2].runs] == [(0, 8, 2)]
+
+
+def test_texts_without_words_that_are_made_periodic(spark, tmp_path):
+    """A remainder by the number of words, where there are none, is an error under ANSI rules."""
+    import hashlib
+    import zlib
+
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    rows = list(zip(ids, ["", None, " \n ", "a b c"], strict=True))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op13_periodic_runs"](spark, str(tmp_path)).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [got[i].n_words for i in ids] == [0, 0, 0, 3]
+    assert all((got[i].n_runs, got[i].start, got[i].runs_sha256, got[i].collapsed_sha256) == (0, None, empty, empty) for i in ids[:3])
