@@ -16,7 +16,7 @@ from ..sources.model import PROJECTION
 def read(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
     """The feedback rows of the event files in a folder, with their time as ``at``; new files are new rows."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/events*.parquet")  # files or folders of them
     documents = spark.read.parquet(f"{folder}/documents.parquet")
     rows = spark.sql(PROJECTION["feedback"].replace("FROM events", "FROM {events}").replace("FROM documents", "FROM {documents}"), events=events, documents=documents)
     return rows.withColumn("at", F.timestamp_seconds("created_at"))

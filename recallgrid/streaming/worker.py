@@ -33,7 +33,7 @@ LOG = "log_id long, source_kind string, raw_text string, session_id string, crea
 def log_stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
     """The raw log of the conversation files in a folder, without what was derived from it; new files are new rows."""
     schema = spark.read.parquet(f"{folder}/conversations.parquet").schema
-    turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations*.parquet").option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    turns = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/conversations*.parquet")  # files or folders of them
     log = spark.sql(PROJECTION["log"].replace("{", "{{").replace("}", "}}").replace("FROM conversations", "FROM {conversations}"), conversations=turns)
     kind = F.when(F.col("log_id") % 7 == 0, "remember").otherwise(F.col("source_kind"))
     return log.select("log_id", kind.alias("source_kind"), "raw_text", "session_id", "created_at", F.when(F.col("log_id") % 2 == 0, "user").otherwise("assistant").alias("role"))

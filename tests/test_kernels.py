@@ -311,3 +311,14 @@ def test_large_batches_score_alike(spark, monkeypatch):
         for per_field in (False, True):
             found.append({(r.query_id, r.id): round(r.score, 9) for r in index.match(asked, per_field).collect()})
     assert found[0] and found[0] == found[2] == found[4] and found[1] == found[3] == found[5] and found[0] != found[1]
+
+
+def test_word_edges_are_those_of_ascii_words(spark):
+    """As in RE2: a letter beyond ASCII is no part of a word."""
+    from recallgrid.functions import detect
+
+    rows = spark.createDataFrame([("useé it",), ("noé",), ("not usé",), ("never",), ("nó",)], "text string")
+    t = F.col("text")
+    got = {r.text: r for r in rows.select("text", F.array_join(detect.correction_signals(t), " ").alias("signals"), detect.sentiment(t)["pattern"].alias("pattern"), detect.is_directive(t).alias("directive")).collect()}
+    assert got["useé it"].signals == "imperative" and got["noé"].pattern == "no" and got["nó"].pattern is None
+    assert got["never"].directive and got["not usé"].signals == "negation"

@@ -111,3 +111,11 @@ def test_evidence_may_be_cut_anywhere(spark, cuts):
     for k in half:
         up, down, last = plain_meta([(at, e) for _, key, at, e in rows if key == k], half[k])
         assert abs(got[k].alpha - 0.25 - up) < 1e-9 and abs(got[k].beta - 0.75 - down) < 1e-9 and got[k].last_at == last
+
+
+def test_log_of_a_folder_of_files(spark, tmp_path):
+    """A table of many files is a folder, whose files have names of their own."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").limit(40)
+    rows.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    made = worker.run(worker.log_stream(spark, str(tmp_path)))
+    assert made.table("stamps").count() == 40
