@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recallgrid.operators import recall, vectors
 from recallgrid.sources.model import load
@@ -118,3 +119,13 @@ def test_memory_recovers_what_is_bound(spark):
     noisy = spark.createDataFrame([(p, vectors.unbind(key, v).tolist()) for p, v in made.items()] + [("none", [0.0] * 512)], "probe string, vector array<double>")
     got = {r.probe: r.id for r in vectors.cleaned(memory, noisy, 1).collect()}
     assert got == {p: "n" + p[1:] for p in made}
+
+
+def test_sample_brings_its_own_vectors_only(spark):
+    """Each of eight tasks brought ``SAMPLE`` whole vectors to the driver before; ids are picked first now, and the sample stays the same."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9000, 4))
+    df = spark.createDataFrame([(f"v{i}", [float(c) for c in v]) for i, v in enumerate(x)], "id string, vector array<double>").repartition(8)
+    want = np.array([r.vector for r in df.orderBy(F.xxhash64("id"), "id").limit(recall.SAMPLE).collect()])
+    assert np.array_equal(recall._sampled(df), want)
+    assert len(recall._sampled(df.limit(0))) == 0
