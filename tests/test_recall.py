@@ -129,3 +129,19 @@ def test_sample_brings_its_own_vectors_only(spark):
     want = np.array([r.vector for r in df.orderBy(F.xxhash64("id"), "id").limit(recall.SAMPLE).collect()])
     assert np.array_equal(recall._sampled(df), want)
     assert len(recall._sampled(df.limit(0))) == 0
+
+
+def test_recovery_tells_near_copies_apart(spark):
+    """Near copies that noise brings nearer than the vector it is on, and vectors of several names, more than are asked for at first."""
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(40, 64))
+    x = np.repeat(x / np.linalg.norm(x, axis=1)[:, None], 30, axis=0)
+    x = np.vstack([x + rng.uniform(-0.012, 0.012, x.shape), np.repeat(x[:1], 50, axis=0)])
+    noisy = x + rng.uniform(-0.025, 0.025, x.shape)
+    df = lambda values, name: spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(values)], f"{name} long, vector array<double>")
+    by_cosine = {r.probe: r.id for r in vectors.cleaned(df(x, "id"), df(noisy, "probe"), 1).collect()}
+    assert any(by_cosine[i] != i for i in range(1200))
+    got = vectors.recovered(df(x, "id"), df(noisy, "probe"), 0.025, 4).collect()
+    assert sorted((r.probe, r.id) for r in got) == [(i, i) for i in range(len(x))]
+    other = vectors.recovered(df(x[1200:], "id"), df(noisy[1200:1201], "probe").selectExpr("probe - 1 AS probe", "vector"), 0.025).collect()
+    assert [(r.probe, r.id) for r in other] == [(-1, 0)]
