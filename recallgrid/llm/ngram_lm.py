@@ -10,9 +10,9 @@ The order is a parameter, 2 or 3. Training gathers blocks of numbers that are su
 4. for each first word its count and how many words follow it once, twice and more often; for each second word the number
    of first words before it.
 
-An n-gram is kept as a 64-bit hash (a pair is its two numbers), sorted in the arrays of its part. Triples that occur once are
-counted, but have the discount 1, so that they needn't be kept: their share goes to the pair. Two triples with one hash
-would share a count; for 10**12 triples a lookup meets one with a probability of 6e-8. Counts are unsigned integers as wide
+An n-gram is kept as a 64-bit hash (a pair is its two numbers), sorted in the arrays of its part. Triples that occur once, and
+contexts of a single such triple, are kept as hashes alone, apart from the others; without ``singles`` they have the discount 1
+and needn't be kept, as their share goes to the pair. Two triples with one hash would share a count; for 10**12 triples a lookup meets one with a probability of 6e-8. Counts are unsigned integers as wide
 as the largest of an array needs, up to 64 bits. Vocabularies of 2**32 - 2 words or more are refused.
 
 Each task writes its arrays as files of its own in the shared folder, under a temporary name first, so that a task that runs
@@ -118,6 +118,18 @@ class Model:
                 o[here[hit]] = self.array(f"{name}-{k}", p, kind, n)[at[hit]]
         return out
 
+    def has(self, name: str, key: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Whether a table without values has the keys; faster if they are ascending."""
+        out = np.zeros(len(key), bool)
+        order = by_part(part)
+        cuts = np.searchsorted(part[order], np.arange(self.n_parts + 1))
+        for p, (n, _) in self.tables.get(name, {}).items():
+            here = order[cuts[p] : cuts[p + 1]]
+            if len(here) and n:
+                known = self.array(f"{name}-key", p, "<u8", n)
+                out[here] = known[np.minimum(np.searchsorted(known, key[here]), n - 1)] == key[here]
+        return out
+
     def _interpolated(self, n: int, count: np.ndarray, stats: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
         d = self.discounts[n]
         total, *kinds = stats
@@ -152,13 +164,23 @@ class Model:
         context = _pair(np.maximum(t, 0), np.maximum(u, 0))
         contexts, _, of = distinct(context)
         part = self.spread_part(contexts)
-        stats = [s[of] for s in self.find("first3", contexts, part, 4)]
+        stats = self.find("first3", contexts, part, 4)
+        rest = np.flatnonzero(stats[0] == 0) if "lone3" in self.tables else np.zeros(0, np.int64)
+        lone = rest[self.has("lone3", contexts[rest], part[rest])]
+        for s in stats[:2]:
+            s[lone] = 1
+        stats = [s[of] for s in stats]
         for s in stats:
             s[none] = 0
         key = _triple(context, np.maximum(w, 0))
         order = np.argsort(key)
         count = np.empty(len(key), np.int64)
-        (count[order],) = self.find("triple", key[order], part[of][order], 1)
+        key, part = key[order], part[of][order]
+        (found,) = self.find("triple", key, part, 1)
+        # A context of no triple that occurs once has none to look for.
+        rest = np.flatnonzero((found == 0) & (stats[1][order] > 0)) if "triple1" in self.tables else np.zeros(0, np.int64)
+        found[rest] = self.has("triple1", key[rest], part[rest])
+        count[order] = found
         count[none | (w < 0)] = 0
         return np.log10(self._interpolated(3, count, stats, p2[back[first3]]))[back3]
 
@@ -230,14 +252,15 @@ def _hear(model: Model, name: str, rows: DataFrame) -> np.ndarray:
     return of_counts
 
 
-def train(docs: DataFrame, text: str = "text", order: int = 3) -> Model:
-    """The model of all texts of ``docs`` (null: empty). Tokens are words with A-Z lower-cased, and the end of each text."""
+def train(docs: DataFrame, text: str = "text", order: int = 3, singles: bool = False) -> Model:
+    """The model of all texts of ``docs`` (null: empty). Tokens are words with A-Z lower-cased, and the end of each text. ``singles``: whether triples that occur
+    once have the discount that the counts of counts give, as the method has it; else they are pruned by a discount of 1."""
     if order not in (2, 3):
         raise ValueError("the order is 2 or 3")
     spark = docs.sparkSession
     model = Model(new_path(spark, "lm"), parts_for(docs, text), order)
     _count_words(model, docs.select(text), text)
-    ends = _count_triples(model, docs.select(text), text) if order == 3 else None
+    ends = _count_triples(model, docs.select(text), text, singles) if order == 3 else None
     _count_pairs(model, docs.select(text), text, ends)
     return model
 
@@ -267,7 +290,7 @@ _TRIPLES = "part int, n long, pairs binary, thirds binary, counts binary"
 _PAIRS = f"{BLOCK}, {_TOLD}"
 
 
-def _count_triples(model: Model, docs: DataFrame, text: str) -> DataFrame:
+def _count_triples(model: Model, docs: DataFrame, text: str, singles: bool) -> DataFrame:
     """Write the tables of order 3; blocks of the pairs that end distinct triples, with how many those are."""
 
     def summed_triples(pair: np.ndarray, third: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -300,21 +323,30 @@ def _count_triples(model: Model, docs: DataFrame, text: str) -> DataFrame:
         key = _triple(pair[kept], third[kept])
         order = np.argsort(key)
         kinds = model.put("triple", p, key[order], [count[kept][order]])
+        if singles:
+            model.put("triple1", p, np.sort(_triple(pair[~kept], third[~kept])), [])
         by = np.argsort(pair)
         context, stats = _summed_stats(pair[by], count[by])
-        some = stats[2] + stats[3] > 0  # elsewhere all goes to the pair
+        some = stats[0] > 1 if singles else stats[2] + stats[3] > 0  # elsewhere all goes to the pair
         first_kinds = model.put("first3", p, context[some], [s[some] for s in stats])
+        if singles:
+            model.put("lone3", p, context[~some], [])
         w, n = np.unique(pair << _HALF | third.astype(np.uint64), return_counts=True)
         part = model.spread_part(w)
         order = by_part(part)
-        told = _told(p, len(key), [*kinds, *first_kinds, str(int(some.sum()))], _of_counts(count))
+        sizes = (int(x) for x in (some.sum(), (~kept).sum(), (~some).sum()))
+        told = _told(p, len(key), [*kinds, *first_kinds, *map(str, sizes)], _of_counts(count))
         return _with_told(blocks(w[order], n[order], part[order]), told)
 
     triples = docs.mapInArrow(released(_gathered(text, 4 << 20, of, block), "arrays"), _TRIPLES)
     made = written(triples.groupBy("part").applyInArrow(released_group(write), _PAIRS), "lm-ends")
     model.discounts[3] = _discounts(_hear(model, "triple", made).tolist())
-    model.discounts[3][1] = 1.0
-    model.tables["first3"] = {p: (int(kinds[-1]), kinds[1:-1]) for p, (_, kinds) in model.tables["triple"].items()}
+    told = model.tables["triple"].items()
+    model.tables["first3"] = {p: (int(kinds[5]), kinds[1:5]) for p, (_, kinds) in told}
+    if singles:
+        model.tables["triple1"], model.tables["lone3"] = ({p: (int(kinds[k]), []) for p, (_, kinds) in told} for k in (6, 7))
+    else:
+        model.discounts[3][1] = 1.0
     model.tables["triple"] = {p: (n, kinds[:1]) for p, (n, kinds) in model.tables["triple"].items()}
     return made.where("part IS NOT NULL").select("part", "n", "keys", "counts")
 

@@ -643,3 +643,39 @@ def test_model_of_nothing(docs, empty, rows):
         model = ngram_lm.train(empty, order=order)
         assert ngram_lm.score(docs, model).count() == len(rows)
         assert ngram_lm.score(empty, model).count() == 0
+
+
+class WholeKneserNey(PlainKneserNey):
+    """The same, with the discount of the counts of counts for triples that occur once too."""
+
+    def __init__(self, texts, order):
+        super().__init__(texts, order)
+        grams, total, kinds, _ = self.levels[3]
+        self.levels[3] = grams, total, kinds, self.discounts(grams.values())
+
+
+def test_kneser_ney_with_triples_that_occur_once(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "BLOCK_WORDS", 20_000)
+    model = ngram_lm.train(docs.where("doc_id IS NULL OR doc_id % 10 > 0"), singles=True)
+    plain = WholeKneserNey([[*words(t), None] for i, t in rows if i is None or i % 10], 3)
+    assert math.isclose(model.discounts[3][1], plain.levels[3][3][1]) and model.discounts[3][1] < 1
+    want = {i: [*words(t), None] for i, t in rows if i is not None}
+    for r in ngram_lm.score(docs, model).where("doc_id IS NOT NULL").select("doc_id", "score").collect():
+        t = want[r.doc_id]
+        assert math.isclose(r.score, sum(math.log10(plain.p(g)) for g in zip(["<start>"] * 2 + t, ["<start>"] + t, t, strict=False)), rel_tol=1e-9)
+
+
+def test_query_of_the_model_keeps_triples_that_occur_once(spark, tmp_path):
+    """The registered query trains with them: a text's rarest triples count."""
+    from recallgrid.llm.queries import QUERIES
+
+    seen = []
+    whole = ngram_lm.train
+    texts = [(i, f"w{i % 7} x{i % 3} y{i % 5} z{i}") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    try:
+        ngram_lm.train = lambda *a, **more: seen.append(more) or whole(*a, **more)
+        assert QUERIES["op10_kneser_ney"](spark, str(tmp_path)).count() == 60
+    finally:
+        ngram_lm.train = whole
+    assert [m.get("singles") for m in seen] == [True]
