@@ -131,6 +131,37 @@ def test_heat_of_all_eigenpairs_is_the_series(spark):
     assert all(abs(by_basis[k] - series.get(k, 0.0)) < 1e-6 for k in by_basis) and len(by_basis) == 2 * len(ids)
 
 
+def test_eigenpairs_by_components(spark):
+    """Paths of two to five nodes and a cycle of forty: each small one gives a zero, and the pairs are those of the dense matrix whether the cycle is solved by steps or not."""
+    links = [(f"p{n}_{x}", f"p{n}_{x + 1}", 1.0) for n in range(2, 6) for x in range(n - 1)]
+    links += [(f"c{x:02}", f"c{(x + 1) % 40:02}", -1.0 if x == 0 else 1.0) for x in range(40)]
+    rows = spark.createDataFrame([e for a, b, w in links for e in ((a, b, w), (b, a, w))], "i string, j string, w double")
+    d = rows.groupBy("i").agg(F.sum(F.abs("w")).alias("d"))
+    laplacian = rows.join(d, "i").join(d.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j").select("i", "j", (-F.col("w") / F.sqrt(F.col("d") * F.col("dj"))).alias("v"))
+    ids, m = dense(laplacian)
+    for most, k in ((512, 8), (8, 4)):
+        values, left, table = spectrum.least_eigenpairs(laplacian, k, dense=most)
+        found = {r.i: r.v for r in table.collect()}
+        v = np.array([found[i] for i in ids])
+        assert np.allclose(values, np.linalg.eigvalsh(m)[:k], atol=1e-8) and (left < 1e-6).all()
+        assert np.allclose(m @ v, v * values, atol=1e-6) and np.allclose(v.T @ v, np.eye(k), atol=1e-8)
+
+
+def test_steps_find_no_pair_twice(spark):
+    """All pairs of a dense small graph by Lanczos steps: no value from outside the spectrum, none missing."""
+    rng = random.Random(4)
+    w = np.zeros((14, 14))
+    for _ in range(40):
+        a, b = rng.sample(range(14), 2)
+        w[a, b] = w[b, a] = rng.choice([0.5, -0.5])
+    d = np.abs(w).sum(1)
+    rows = [(f"n{a:02}", f"n{b:02}", float(-w[a, b] / np.sqrt(d[a] * d[b]))) for a in range(14) for b in range(14) if w[a, b]]
+    laplacian = spark.createDataFrame(rows, "i string, j string, v double")
+    ids, m = dense(laplacian)
+    values, left, _ = spectrum.least_eigenpairs(laplacian, len(ids), dense=0)
+    assert np.allclose(values, np.linalg.eigvalsh(m), atol=1e-8) and (left < 1e-6).all()
+
+
 def test_eigenpairs_of_no_edges(spark):
     values, left, table = spectrum.least_eigenpairs(spark.createDataFrame([], "i string, j string, v double"), 3)
     assert len(values) == 0 and len(left) == 0 and table.isEmpty()
