@@ -10,8 +10,9 @@ The order is a parameter, 2 or 3. Training gathers blocks of numbers that are su
 4. for each first word its count and how many words follow it once, twice and more often; for each second word the number
    of first words before it.
 
-An n-gram is kept as a 64-bit hash (a pair is its two numbers), sorted in the arrays of its part. Triples that occur once, and
-contexts of a single such triple, are kept as hashes alone, apart from the others; without ``singles`` they have the discount 1
+An n-gram is kept as a 64-bit hash (a pair is its two numbers), sorted in the arrays of its part. Triples that occur once are kept
+as hashes alone, apart from the others; contexts of a single such triple aren't kept, as they are the pairs that have no statistics as
+a context. Without ``singles`` they have the discount 1
 and needn't be kept, as their share goes to the pair. Two triples with one hash would share a count; for 10**12 triples a lookup meets one with a probability of 6e-8. Counts are unsigned integers as wide
 as the largest of an array needs, up to 64 bits. Vocabularies of 2**32 - 2 words or more are refused.
 
@@ -165,8 +166,9 @@ class Model:
         contexts, _, of = distinct(context)
         part = self.spread_part(contexts)
         stats = self.find("first3", contexts, part, 4)
-        rest = np.flatnonzero(stats[0] == 0) if "lone3" in self.tables else np.zeros(0, np.int64)
-        lone = rest[self.has("lone3", contexts[rest], part[rest])]
+        # A pair that occurs but has no statistics begins a single triple; no context ends a text.
+        rest = np.flatnonzero(stats[0] == 0) if "triple1" in self.tables else np.zeros(0, np.int64)
+        lone = rest[self.find("pair", contexts[rest], part[rest], 1)[0] > 0]
         for s in stats[:2]:
             s[lone] = 1
         stats = [s[of] for s in stats]
@@ -292,6 +294,7 @@ _PAIRS = f"{BLOCK}, {_TOLD}"
 
 def _count_triples(model: Model, docs: DataFrame, text: str, singles: bool) -> DataFrame:
     """Write the tables of order 3; blocks of the pairs that end distinct triples, with how many those are."""
+    starts = np.uint64(model.n_words) << _HALF | np.uint64(model.n_words)
 
     def summed_triples(pair: np.ndarray, third: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
         order, starts = grouped(_triple(pair, third))
@@ -327,14 +330,13 @@ def _count_triples(model: Model, docs: DataFrame, text: str, singles: bool) -> D
             model.put("triple1", p, np.sort(_triple(pair[~kept], third[~kept])), [])
         by = np.argsort(pair)
         context, stats = _summed_stats(pair[by], count[by])
-        some = stats[0] > 1 if singles else stats[2] + stats[3] > 0  # elsewhere all goes to the pair
+        # Elsewhere all goes to the pair. The start of a text is no pair of the table below.
+        some = (stats[0] > 1) | (context == starts) if singles else stats[2] + stats[3] > 0
         first_kinds = model.put("first3", p, context[some], [s[some] for s in stats])
-        if singles:
-            model.put("lone3", p, context[~some], [])
         w, n = np.unique(pair << _HALF | third.astype(np.uint64), return_counts=True)
         part = model.spread_part(w)
         order = by_part(part)
-        sizes = (int(x) for x in (some.sum(), (~kept).sum(), (~some).sum()))
+        sizes = (int(x) for x in (some.sum(), (~kept).sum()))
         told = _told(p, len(key), [*kinds, *first_kinds, *map(str, sizes)], _of_counts(count))
         return _with_told(blocks(w[order], n[order], part[order]), told)
 
@@ -344,7 +346,7 @@ def _count_triples(model: Model, docs: DataFrame, text: str, singles: bool) -> D
     told = model.tables["triple"].items()
     model.tables["first3"] = {p: (int(kinds[5]), kinds[1:5]) for p, (_, kinds) in told}
     if singles:
-        model.tables["triple1"], model.tables["lone3"] = ({p: (int(kinds[k]), []) for p, (_, kinds) in told} for k in (6, 7))
+        model.tables["triple1"] = {p: (int(kinds[6]), []) for p, (_, kinds) in told}
     else:
         model.discounts[3][1] = 1.0
     model.tables["triple"] = {p: (n, kinds[:1]) for p, (n, kinds) in model.tables["triple"].items()}

@@ -679,3 +679,14 @@ def test_query_of_the_model_keeps_triples_that_occur_once(spark, tmp_path):
     finally:
         ngram_lm.train = whole
     assert [m.get("singles") for m in seen] == [True]
+
+
+def test_contexts_of_one_triple_are_not_kept(spark):
+    """They are known by the pairs; a text alone, of which even the start is such a context, too."""
+    for texts in (["a b c a b d"], ["a b c a b c", "b c a d", "x y z"]):
+        docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+        model = ngram_lm.train(docs, singles=True)
+        assert set(model.tables) == {"triple", "triple1", "first3", "pair", "first", "before"}
+        asked = [r.score for r in ngram_lm.score(docs, model).orderBy("doc_id").collect()]
+        unknown = spark.createDataFrame([(n, "q " + t) for n, t in enumerate(texts)], "doc_id long, text string")
+        assert all(a > b for a, b in zip(asked, [r.score for r in ngram_lm.score(unknown, model).orderBy("doc_id").collect()], strict=True))
