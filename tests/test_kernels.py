@@ -351,3 +351,17 @@ def test_edit_distance_is_the_tables_and_costs_little(spark):
     rows = [("g", i, t) for i, t in enumerate(["abc", "abd", "xbd", None, "abc"])] + [("h", 9, "alone"), ("d", 1, "ab"), ("d", 1, "abc")]
     got = {r.g: (r.medoid, r.distance) for r in similarity.medoids(spark.createDataFrame(rows, "g string, i int, t string"), "g", "i", "t").collect()}
     assert got["h"] == (9, 0) and got["d"] == (1, 2)
+
+
+def test_equal_queries_are_searched_once(spark):
+    """Each gets the rows of its own search; the matches are made for distinct texts only."""
+    from recallgrid.operators import retrieval
+
+    docs = spark.createDataFrame([("a", "red fox"), ("b", "red red hen"), ("c", "blue fox")], "id string, content string")
+    index = retrieval.Index(docs).written()
+    queries = spark.createDataFrame([("1", "red"), ("2", "fox red"), ("3", "red"), ("4", "red"), ("5", None), ("6", "owl")], "query_id string, query string")
+    asked, match = [], index.match
+    index.match = lambda q: (asked.append(q.count()), match(q))[1]
+    got = {tuple(r) for r in retrieval.top_of(index, queries, 2).select("query_id", "id", "score", "place").collect()}
+    assert asked == [4]
+    assert got and got == {tuple(r) for r in retrieval.top(match(queries), 2).select("query_id", "id", "score", "place").collect()}
