@@ -365,3 +365,23 @@ def test_equal_queries_are_searched_once(spark):
     got = {tuple(r) for r in retrieval.top_of(index, queries, 2).select("query_id", "id", "score", "place").collect()}
     assert asked == [4]
     assert got and got == {tuple(r) for r in retrieval.top(match(queries), 2).select("query_id", "id", "score", "place").collect()}
+
+
+def test_a_text_is_counted_within_its_row(spark):
+    """Words of texts and of their anchors, with stems and without; nothing is moved to count them, but anchors to their texts."""
+    docs = [("a", "Cats sit, a cat sits; cats"), ("b", "Größe x_1 größe 文字"), ("c", ""), ("d", None), ("e", "...")]
+    links = [("a", "cat rows"), ("a", "rows dogs"), ("c", "only said"), ("zz", "nothing"), ("e", "---")]
+    df = spark.createDataFrame(docs, "id string, content string")
+    said = spark.createDataFrame(links, "dst string, anchor_text string")
+    words = lambda t: __import__("re").findall(r"\w+", (t or "").lower())
+    for anchors, stem in ((None, False), (None, True), (said, False), (said, True)):
+        cut = (lambda t: [stems.porter(stems.folded(w)) for w in words(t)]) if stem else words  # noqa: B023
+        want = set()
+        for i, t in docs:
+            own, more = cut(t), [w for d, a in links if anchors is not None and d == i for w in cut(a)]
+            want |= {(w, i, own.count(w), more.count(w), len(own), len(more)) for w in own + more}
+        rows = retrieval.Index(df, anchors=anchors, stem=stem).postings
+        assert sorted(map(tuple, rows.collect())) == sorted(want)
+        if anchors is None:
+            plan = rows._jdf.queryExecution().optimizedPlan().toString()
+            assert "Aggregate" not in plan and "Join" not in plan
