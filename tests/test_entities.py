@@ -102,3 +102,21 @@ def test_triples_are_those_of_the_whole_patterns_and_cost_little():
     ours, begun = time.process_time() - begun, time.process_time()
     plain(long)
     assert 10 * ours < time.process_time() - begun
+
+
+def test_entities_leave_a_task_as_they_are_found(spark, monkeypatch):
+    """Rows of few texts come before the next texts are looked at, and are those of the column; a batch's own were held at once before."""
+    from pyspark.sql import functions as F
+
+    from recallgrid.functions import extract
+    from recallgrid.operators import ingest
+
+    texts = [("a", "see src/app/main.py on feat/x"), ("b", None), ("c", ""), ("d", "v1.2.3 fails"), ("e", "foo.bar and my_var")] * 3
+    rows = [(f"{i}{n}", t) for n, (i, t) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id string, content string").coalesce(1)
+    monkeypatch.setattr(extract, "HELD", 2)
+    want = sorted((i, e["lower"], e["kind"], e["start"]) for i, t in rows for e in extract.find_entities(t or ""))
+    assert sorted(map(tuple, ingest.entity_table(df).collect())) == want
+    by_column = df.select("id", F.explode(extract.entities(F.col("content"))).alias("e")).select("id", "e.lower", "e.kind", "e.start")
+    assert sorted(map(tuple, by_column.collect())) == want
+    assert extract.entity_rows(df.where("id = 'none'")).isEmpty()
