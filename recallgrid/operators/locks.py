@@ -2,7 +2,8 @@
 
 For a number the values within the tolerance make an interval around it, so the first lock outside it is one that is less, or greater,
 than all locks before it: only those that set such a record are joined. For words of state the locks of a category are joined by
-the distinct sets of groups that they name, of which the vocabulary allows a few.
+the distinct sets of groups that they name, of which the vocabulary allows a few. The lock that conflicts is sought once for each distinct
+value or set of groups of the candidates, so that a key that all of them have costs no pairs of candidates and locks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import detect
+from ..plans.session import new_folder
 
 # Keys that name versions, years of the calendar, and how far apart close numbers may be.
 VERSION_KEYS = ("v", "version", "rev", "release")
@@ -58,13 +60,19 @@ def _records(rows: DataFrame) -> DataFrame:
 def conflicting_locks(candidates: DataFrame, locks: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(``id``, ``lock_id``): for each candidate (``id``, ``text``) that contradicts a lock (``lock_id``, ``rank``, ``text``) in a slot the first such lock by ``rank``. Candidates without a
     conflict are left out. Numbers of one key conflict where they aren't close, states of one category where they share no group."""
-    c = candidates.select("id", annotation_slots(F.col("text")).alias("s"))
-    k = locks.select("lock_id", "rank", annotation_slots(F.col("text")).alias("s"))
+    # Slots are written, as numbers and states are both read from them and the patterns are what costs.
+    folder = new_folder(candidates.sparkSession, "slots")
+    candidates.select("id", annotation_slots(F.col("text")).alias("s")).write.parquet(f"{folder}/candidates")
+    locks.select("lock_id", "rank", annotation_slots(F.col("text")).alias("s")).write.parquet(f"{folder}/locks")
+    c, k = (candidates.sparkSession.read.parquet(f"{folder}/{n}") for n in ("candidates", "locks"))
+    first = F.min(F.struct("rank", "lock_id")).alias("f")
     numbers = c.select("id", F.explode("s.numbers").alias("n")).select("id", "n.key", F.col("n.value").alias("own"))
     records = _records(k.select("lock_id", "rank", F.explode("s.numbers").alias("n")).select("lock_id", "rank", "n.key", "n.value"))
-    by_number = numbers.join(records, "key").where(~close(F.col("own"), F.col("value"), tolerance))
+    met = numbers.select("key", "own").distinct().join(records, "key").where(~close(F.col("own"), F.col("value"), tolerance)).groupBy("key", "own").agg(first)
+    by_number = numbers.join(met, ["key", "own"]).select("id", "f.*")
     states = c.select("id", F.explode("s.states").alias("e")).select("id", "e.category", F.col("e.groups").alias("own"))
-    sets = k.select("lock_id", "rank", F.explode("s.states").alias("e")).groupBy("e.category", "e.groups").agg(F.min(F.struct("rank", "lock_id")).alias("f"))
-    by_state = states.join(sets.select("category", "groups", "f.*"), "category").where(~F.arrays_overlap("own", "groups"))
+    sets = k.select("lock_id", "rank", F.explode("s.states").alias("e")).groupBy("e.category", "e.groups").agg(first)
+    apart = states.select("category", "own").distinct().join(sets.select("category", "groups", "f.*"), "category").where(~F.arrays_overlap("own", "groups")).groupBy("category", "own").agg(first)
+    by_state = states.join(F.broadcast(apart), ["category", "own"]).select("id", "f.*")
     both = by_number.select("id", "rank", "lock_id").unionByName(by_state.select("id", "rank", "lock_id"))
     return both.groupBy("id").agg(F.min(F.struct("rank", "lock_id"))["lock_id"].alias("lock_id"))

@@ -112,3 +112,37 @@ def test_a_rotated_log_is_followed(spark):
         last[r.key] = r.session, seen
         want[r.key, r.n] = seen - 1, min(seen, 5), max(0, seen - 5)
     assert got == want and len(want) == sum(1 for i, e in enumerate(events) if i % 31 and e[0] >= 500)
+
+
+def test_numbers_after_words_cost_little(spark):
+    """What is looked for ahead changes no match, and a text of words without numbers isn't gone over again for each length of a word."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from recallgrid.functions import detect
+
+    rng = random.Random(7)
+    parts = ["a", "limit", "x_1", "is", "of", "to", "equal", "equals", "=", ":", " ", " ", "  ", "\n", "5", "12.5", "-3", "+4", "1e9", "é", "_", "w" * 33, "9ab", ".", "isx"]
+    rows = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))),) for _ in range(4000)], "text string")
+    old, new = (F.regexp_extract_all("text", F.lit(detect.edged(p)), F.lit(0)) for p in (detect.NUMERIC, detect.NUMERIC_AHEAD + detect.NUMERIC))
+    assert rows.where(old != new).isEmpty() and rows.where(F.size(new) > 1).count() > 100
+    long = spark.createDataFrame([("consideration of international representatives " * 30_000,)], "text string").select(F.concat("text", F.lit("limit = 5")).alias("text"))
+
+    def seconds(pattern):
+        start = time.time()
+        assert long.select(F.regexp_extract_all("text", F.lit(detect.edged(pattern)), F.lit(3))).first()[0] == ["5"]
+        return time.time() - start
+
+    assert min(seconds(detect.NUMERIC_AHEAD + detect.NUMERIC) for _ in range(2)) < seconds(detect.NUMERIC) / 2
+
+
+def test_a_value_that_many_candidates_have_is_held_against_the_locks_once(spark):
+    """The plan joins distinct values with locks, and their lock with the candidates."""
+    asks = [(f"c{k}", f"limit = {k % 3 * 10}, sync") for k in range(60)]
+    held = [("l1", 1, "limit = 10"), ("l2", 2, "limit = 20"), ("l3", 3, "async")]
+    got = locks.conflicting_locks(spark.createDataFrame(asks, "id string, text string"), spark.createDataFrame(held, "lock_id string, rank long, text string"))
+    assert {r.id: r.lock_id for r in got.collect()} == {f"c{k}": "l2" if k % 3 == 1 else "l1" for k in range(60)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
