@@ -120,3 +120,16 @@ def test_entities_leave_a_task_as_they_are_found(spark, monkeypatch):
     by_column = df.select("id", F.explode(extract.entities(F.col("content"))).alias("e")).select("id", "e.lower", "e.kind", "e.start")
     assert sorted(map(tuple, by_column.collect())) == want
     assert extract.entity_rows(df.where("id = 'none'")).isEmpty()
+
+
+def test_every_turn_asks(spark):
+    """Turns of all ids are queries, not only those divisible by 20 as before."""
+    store = load(spark, SF)
+    beliefs = {r.id: {e["lower"] for e in find_entities(r.content or "")} for r in store.active.collect()}
+    turns = {r.conv_id * 100 + r.turn: {e["lower"] for e in find_entities(r.text or "")} for r in store.turns.collect()}
+    want = {}
+    for q, wanted in turns.items():
+        scored = sorted((-len(wanted & found), i) for i, found in beliefs.items() if wanted & found)[:20]
+        want |= {(q, i): (place, -score, float(-score)) for place, (score, i) in enumerate(scored, 1)}
+    got = {(r.query_id, r.belief_id): (r.place, r.overlap, r.score) for r in catalog.QUERIES["extracted_overlap"](spark, SF).collect()}
+    assert got == want and any(q % 20 for q, _ in want)
