@@ -145,3 +145,39 @@ def test_recovery_tells_near_copies_apart(spark):
     assert sorted((r.probe, r.id) for r in got) == [(i, i) for i in range(len(x))]
     other = vectors.recovered(df(x[1200:], "id"), df(noisy[1200:1201], "probe").selectExpr("probe - 1 AS probe", "vector"), 0.025).collect()
     assert [(r.probe, r.id) for r in other] == [(-1, 0)]
+
+
+def test_neighbours_write_no_vectors(spark, tmp_path, monkeypatch):
+    """What probes find in small blocks is what plain products give, a hub's too and with ties at a low floor; folders hold names only, where all vectors stood before."""
+    store = load(spark, SF)
+    rng = np.random.default_rng(8)
+    edges = [(f"b{i}", f"b{rng.integers(60)}", ["CITES", "SUPPORTS", "RELATES_TO"][rng.integers(3)]) for i in range(60)] + [("hub", f"b{i % 50}", "TESTS") for i in range(120)]
+    own = store.replaced(
+        beliefs=spark.createDataFrame([(f"b{i}", None) for i in range(60)] + [("hub", None), ("hub", None)], "id string, valid_to long"),
+        edges=spark.createDataFrame([(*e, 1.0, "") for e in edges], "src string, dst string, type string, weight double, anchor_text string"),
+    )
+    d, k, floor = 64, 4, 0.2
+    folders = []
+    for module in (vectors, recall):
+        monkeypatch.setattr(module, "new_folder", lambda spark, name: folders.append(str(tmp_path / f"{name}{len(folders)}")) or folders[-1])
+    monkeypatch.setattr(vectors, "HELD_ROWS", 3)
+    monkeypatch.setattr(vectors, "AT_ONCE", 5)
+    names = {i: vectors.vector_of(i, d) for i in [f"b{i}" for i in range(60)] + ["hub"]}
+    roles = {t: vectors.vector_of("role:" + t, d) for t in vectors.EXPANDED}
+    made = {s: sum(vectors.bind(vectors.vector_of("role:" + t, d), vectors.vector_of(o, d)) for x, o, t in edges if x == s) for s in {s for s, _, _ in edges}}
+
+    def best(probe, of, seed):
+        scored = sorted((-round(float(probe @ v), 9), i) for i, v in of.items())
+        return [(i, -s) for s, i in scored if -s >= floor][: k + 1], seed
+
+    want = set()
+    for seed in ("b0", "b1", "b7", "hub"):
+        for kind, role in roles.items():
+            for direction, probe, of in (("forward", vectors.unbind(role, made[seed]), names), ("reverse", vectors.bind(role, names[seed]), made)):
+                found = [(i, s) for i, s in best(probe, of, seed)[0] if i != seed][:k]
+                want |= {(seed, i, kind, direction, round(s, 6)) for i, s in found}
+    seeds = spark.createDataFrame([("b0",), ("b1",), ("b7",), ("hub",), ("none",)], "id string")
+    got = vectors.neighbours(own, seeds, k, floor, d).collect()
+    assert {(r.seed, r.id, r.kind, r.direction, round(r.similarity, 6)) for r in got} == want and len(got) == len(want) > 50
+    held = sum(f.stat().st_size for folder in folders for f in (tmp_path / folder).rglob("*.parquet") if b"double" in f.read_bytes()[-4000:] or b"vector" in f.read_bytes()[-4000:])
+    assert folders and held == 0
